@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup
+from palimpsest.llm import line_dedup, packing
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_best_fit_pack": packing.op9_best_fit_pack,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.SQL,
