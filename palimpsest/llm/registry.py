@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, packing
+from palimpsest.llm import line_dedup, packing, token_store
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_token_store": token_store.op8_token_store,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
 }
 ORACLE_SQL = {
