@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, packing, token_store
+from palimpsest.llm import line_dedup, near_dup, packing, token_store
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_token_store": token_store.op8_token_store,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
+    "op10_near_dup": near_dup.op10_near_dup,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.SQL,
