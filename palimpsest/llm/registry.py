@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, near_dup, packing, token_store
+from palimpsest.llm import line_dedup, near_dup, packing, suffix_dedup, token_store
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_token_store": token_store.op8_token_store,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
     "op10_near_dup": near_dup.op10_near_dup,
