@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, near_dup, packing, suffix_dedup, token_store
+from palimpsest.llm import line_dedup, near_dup, packing, quality, suffix_dedup, token_store
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_token_store": token_store.op8_token_store,

@@ -13,6 +13,9 @@ _TAIL = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: White space besides space and 9 to 13 (or what one of the libraries takes for it): texts that hold it are encoded in one piece.
 _RARE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x2010))) + "\u2028\u2029\u202f\u205f\u3000"
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+#: Byte-level vocabularies write a byte as a character: printable ones as they are, the others in order from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _LONGEST = 64
 
@@ -20,19 +23,21 @@ _LONGEST = 64
 class _Memo(dict):
     """Chunk to its ids as bytes. It forgets everything when it is full."""
 
-    def __init__(self, encode, prefix: str, most: int):
+    def __init__(self, encode, word, prefix: str, most: int):
         super().__init__()
-        self.encode, self.prefix, self.most, self.bare = encode, prefix, most, self
+        self.encode, self.word, self.prefix, self.most, self.bare = encode, word, prefix, most, self
 
     def __missing__(self, chunk: str) -> bytes:
         end = len(chunk)
         while end and chunk[end - 1] in _TAIL:
             end -= 1
         stem = chunk[:end]
-        if 0 < end < len(chunk) and stem.isalpha() and max(stem) < "\u2000":
+        if not (stem.isalpha() and max(stem) < "\u2000"):
+            ids = self.encode(self.prefix + chunk)
+        elif end < len(chunk):
             ids = self[stem] + self.bare[chunk[end:]]
         else:
-            ids = self.encode(self.prefix + chunk)
+            ids = self.word(self.prefix + chunk)
         if len(chunk) <= _LONGEST:
             if len(self) >= self.most:
                 self.clear()
@@ -49,18 +54,27 @@ class Encoder:
     file's special tokens or unusual white space go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         quiet_shards()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first = _Memo(self.whole, "", most // 4)
-        self.later = _Memo(self.whole, " ", most)
+        word = self.letters if all(self.letters(w) == self.whole(w) for w in ("a", " word", "Été", " überall", " слово")) else self.whole
+        self.first = _Memo(self.whole, word, "", most // 5)
+        self.later = _Memo(self.whole, word, " ", most)
         self.later.bare = self.first
 
+    def letters(self, word: str) -> bytes:
+        """Ids of letters after at most one space, which the split pattern leaves together: the library's merges alone."""
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+
     def whole(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        ids = array("I", ids)
         if byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
