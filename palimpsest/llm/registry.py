@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, near_dup, packing, quality, suffix_dedup, token_store
+from palimpsest.llm import line_dedup, near_dup, packing, quality, secret_scan, suffix_dedup, token_store, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_token_store": token_store.op8_token_store,
