@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, near_dup, packing, quality, secret_scan, suffix_dedup, token_store, url_filter
+from palimpsest.llm import line_dedup, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, token_store, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_mix_sources": mixing.op6_mix_sources,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_token_store": token_store.op8_token_store,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
