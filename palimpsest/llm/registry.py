@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, token_store, url_filter
+from palimpsest.llm import ann, line_dedup, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, token_store, url_filter
 
 QUERIES = {
+    "op1_nearest": ann.op1_nearest,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secret_scan": secret_scan.op4_secret_scan,
