@@ -1,15 +1,66 @@
-"""Corpus pipeline: stages over documents."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing to target weights and packing, over documents.
+
+Each stage takes all that the one before kept and calls an operator of palimpsest.llm.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import line_dedup, mixing, near_dup, packing, quality
+from palimpsest.llm.common import shared_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base conditions nor the learned rules reject. The rules are learned from labels' quality."""
+    rules = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_rules(docs, rules).where("kept").select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines of at least 20 characters that 3 or more of them share, but for one; n_chars follows."""
+    out = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest id, of each group of similarity 0.8 or more. Documents without words or id stay."""
+    groups = near_dup.near_dup(docs, percent=80)
+    gone = groups.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of whole documents whose tokens meet the target shares of sources, languages and topics."""
+    return mixing.mix_sources(docs).where("kept").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in sequences of 2048 tokens."""
+    return packing.best_fit_pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", drop_shared_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
+#: Learned rules, near-dedup, raking and packing have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages in turn, each one's result written and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
