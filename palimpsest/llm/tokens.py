@@ -54,7 +54,7 @@ class Encoder:
     file's special tokens or unusual white space go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         quiet_shards()
         from tokenizers import Tokenizer
 
