@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from palimpsest.plans.materialize import Stash, shared_dir, stash
+
+__all__ = ["Stash", "computed_once", "lower_ascii", "partitions", "quiet_shards", "rest_of", "shared_dir", "stash", "table"]
+
 #: White space of the contracts, space and code points 9 to 13, as a Java character class and as the characters themselves.
 SPACE = "[\\x20\\x09-\\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -22,40 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. A session without
-    one is a local one, as in tests, and gets a temporary folder."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="palimpsest-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-class Stash:
-    """A table written to the shared folder. It cuts the lineage: a lost executor costs no earlier work,
-    and a reader sees the same rows whenever it runs. Reading it back also forgets the partitioning, so
-    that a join on it deals both sides itself and adaptive execution can split a hot key."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Remove the files. Only for a table that nothing lazy still reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    return Stash(df, name).df
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row, whatever reads them. They come out of a generator of one row, below
+    which Catalyst moves no filter on them; else a filter would compute them anew, inside lambdas for every element."""
+    own = rest_of(df, *columns)
+    out = df.select(*own, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return out.select(*own, *(F.col(f"_once.{n}").alias(n) for n in columns))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from palimpsest.llm.common import SPACE, SPACE_CHARS, rest_of, table
+from palimpsest.llm.common import SPACE, SPACE_CHARS, computed_once, rest_of, table
 
 OTHER = "other"
 #: The targets of the query and of the pipeline's stage: shares of tokens.
 TARGETS = {
     "source": {"src0": 0.25, OTHER: 0.75}, "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.14, OTHER: 0.01},
-    "topic": {"table": 0.02, "list": 0.18, "short": 0.3, "long": 0.5},
+    "topic": {"table": 0.02, "list": 0.05, "short": 0.4, "long": 0.53},
 }
 
 
@@ -71,13 +71,23 @@ def rake(tokens: dict[tuple[str, ...], float], names: tuple[str, ...], targets:
 
 
 def calibrate(tokens: dict[tuple[str, ...], float], share: dict[tuple[str, ...], float], names: tuple[str, ...], budget: float) -> Mix:
-    """Chances from raked shares: tokens of a cell times its chance are in proportion to its share. They are as high as
-    leaves none above 1, or lower where `budget`, a share of all tokens, asks for less."""
+    """Chances from raked shares: in proportion to the cells' weights, up to 1, so that `budget`, a share of all tokens,
+    is expected to stay. Where no cell has less than it is asked for, margins meet the targets exactly; else such cells
+    stay whole and the others make up the rest. Cells without tokens stay."""
     total = sum(tokens.values())
     weights = {c: share.get(c, 0.0) * total / t if t else 0.0 for c, t in tokens.items()}
-    top = max(weights.values(), default=0.0)
-    scale = min(1 / top, budget) if top else 0.0
-    return Mix(names, {c: round(w, 12) for c, w in weights.items()}, {c: min(1.0, round(w * scale, 12)) for c, w in weights.items()})
+    left, mass, scale = budget * total, sum(tokens[c] * w for c, w in weights.items()), 0.0
+    for c in sorted(weights, key=lambda c: (-weights[c], c)):  # those that would be over 1 first
+        if weights[c] <= 0:
+            break
+        scale = left / mass if mass > 0 else 0.0
+        if scale * weights[c] <= 1:
+            break
+        left, mass = left - tokens[c], mass - tokens[c] * weights[c]
+    if left > 0 and mass <= 1e-9 * total and scale:
+        scale = math.inf
+    chance = lambda w: 0.0 if w <= 0 else 1.0 if scale == math.inf else min(1.0, round(w * scale, 12))
+    return Mix(names, {c: round(w, 12) for c, w in weights.items()}, {c: chance(w) if tokens[c] else 1.0 for c, w in weights.items()})
 
 
 def cell_columns(targets: dict[str, dict[str, float]], columns: dict[str, Column]) -> dict[str, Column]:
@@ -91,16 +101,17 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float = 1.0, seed: int = 17, columns: dict[str, Column] | None = None
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float = 0.8, seed: int = 17, columns: dict[str, Column] | None = None
 ) -> DataFrame:
     """docs and n_tokens (long), cell (struct of a string for each margin), weight, probability (double), kept (boolean).
 
     targets: for each margin the shares of its values; by default source, lang and topic. columns: a margin's values,
-    by default the column of that name or, for topic where there is none, topic_of. kept documents' tokens
-    meet the targets in expectation. A whole document stays or goes.
+    by default the column of that name or, for topic where there is none, topic_of. budget: the share of all tokens that
+    is expected to stay; kept documents' tokens meet the targets in expectation as far as cells have enough of them for
+    it. A whole document stays or goes.
 
     Nulls in a margin: OTHER. Null or empty text: no tokens; such a document doesn't count, and stays by its cell's
-    chance. Null ids: all alike by hash. Repeated rows: kept alike. Empty table: empty result. Columns of docs with
+    chance, or always where the cell has no tokens. Null ids: all alike by hash. Repeated rows: kept alike. Empty table: empty result. Columns of docs with
     the names of added ones are replaced; all others stay.
     """
     targets = targets or TARGETS
@@ -108,10 +119,10 @@ def mix_sources(
     text = F.col(f"`{text_col}`")
     have = {c.lower(): c for c in docs.columns}
     given = columns or {}
-    base = docs.withColumn("_mix_n", count_words(text))
+    base = computed_once(docs, {"_mix_n": count_words(text)})
     own = {n: given[n] if n in given else F.col(f"`{have[n.lower()]}`").cast("string") if n.lower() in have else topic_of(text, F.col("_mix_n")) if n == "topic" else F.lit(None).cast("string") for n in names}
     cells = cell_columns(targets, own)
-    base = base.withColumn("_mix_cell", F.struct(*(c.alias(n) for n, c in cells.items())))
+    base = computed_once(base, {"_mix_cell": F.struct(*(c.alias(n) for n, c in cells.items()))})
     counted = base.groupBy("_mix_cell").agg(F.sum("_mix_n").alias("n")).collect()
     tokens = {tuple(r["_mix_cell"]): float(r["n"]) for r in counted}
     mix = calibrate(tokens, rake(tokens, names, targets), names, budget)

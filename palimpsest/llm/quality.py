@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from palimpsest.llm.common import SPACE, SPACE_CHARS, table
+from palimpsest.llm.common import SPACE, SPACE_CHARS, computed_once, table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = (*BASE, "n_lines", "n_marks", "n_capitals", "n_digits")
@@ -59,7 +59,8 @@ def with_stats(docs: DataFrame, text_col: str, prefix: str = "_q_") -> DataFrame
         places, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(i - acc["last"], F.lit(3))).alias("n")), lambda acc: acc["n"],
     )
-    return three.select(*own, *counted, F.coalesce(F.when(order.isNotNull(), covered), F.lit(0)).cast("long").alias(f"{p}n_repeat_words"))
+    stats = {c: F.col(c) for c in counted} | {f"{p}n_repeat_words": F.coalesce(F.when(order.isNotNull(), covered), F.lit(0)).cast("long")}
+    return computed_once(three, stats).drop(f"{p}order")
 
 
 @dataclass(frozen=True)

@@ -14,9 +14,14 @@ def test_rake_meets_margins():
     for k, name in enumerate(names):
         for value, goal in TARGETS[name].items():
             assert abs(sum(s for c, s in share.items() if c[k] == value) - goal) < 1e-6
-    mix = calibrate(tokens, share, names, 1.0)
-    assert max(mix.chances.values()) == 1.0
-    assert calibrate(tokens, share, names, 0.001).chances[cells[0]] < 0.01
+    total = sum(tokens.values())
+    for budget in (0.001, 0.05, 0.5, 0.8, 1.0):
+        mix = calibrate(tokens, share, names, budget)
+        assert abs(sum(tokens[c] * p for c, p in mix.chances.items()) / total - budget) < 1e-6
+    low = calibrate(tokens, share, names, 0.001)
+    for k, name in enumerate(names):
+        kept = {v: sum(tokens[c] * p for c, p in low.chances.items() if c[k] == v) / total / 0.001 for v in TARGETS[name]}
+        assert all(abs(kept[v] - TARGETS[name][v]) < 1e-5 for v in kept)
     assert rake({}, names, TARGETS) == {}
 
 
@@ -25,17 +30,18 @@ def test_documents(spark):
     rows = [(k, " ".join(["w"] * rng.randint(1, 900)) + "\n" * rng.randint(0, 80), rng.choice(["en", "fr", "de", "es", "xx", None]), rng.choice(["src0", "src1", "src2", None]), 5.0) for k in range(3000)]
     rows += [(None, None, None, None, 1.0), (9000, "", "en", "src0", 1.0), (9000, "", "en", "src0", 1.0), (9001, "a | b | c | d", "en", "src0", 2.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight double")
-    out = mix_sources(docs).cache()
+    goals = TARGETS | {"topic": {"list": 0.4, "short": 0.2, "long": 0.4}}
+    out = mix_sources(docs, goals, budget=0.02).cache()
     got = out.collect()
     assert len(got) == len(rows) and all(r["kept"] is not None and 0 <= r["probability"] <= 1 for r in got)
     words = {r["doc_id"]: r["n_tokens"] for r in got}
     assert all(words[k] == len((t or "").split()) for k, t, *_ in rows)
     for name in ("source", "lang"):
         for value, share in expected_margins(out, name).items():
-            assert abs(share - TARGETS[name][value]) < 0.02, (name, value)
+            assert abs(share - goals[name][value]) < 0.02, (name, value)
     want = sum(r["probability"] for r in got)
     assert abs(sum(r["kept"] for r in got) - want) < 6 * want**0.5
-    assert [r for r in got if r["doc_id"] == 9001][0]["cell"]["topic"] == "table"
-    again = {r["doc_id"]: r["kept"] for r in mix_sources(docs.repartition(7)).collect()}
+    assert [r for r in mix_sources(docs).collect() if r["doc_id"] == 9001][0]["cell"]["topic"] == "table"
+    again = {r["doc_id"]: r["kept"] for r in mix_sources(docs.repartition(7), goals, budget=0.02).collect()}
     assert again == {r["doc_id"]: r["kept"] for r in got}
     assert mix_sources(docs.limit(0)).count() == 0
