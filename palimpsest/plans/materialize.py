@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[str] = []
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Remove every table that this process wrote and didn't drop: at the end of a job, when no result is read any more."""
+    while _written:
+        delete(spark, _written.pop())
+
+
 class Stash:
     """A table written to the shared folder. It cuts the lineage: a lost executor costs no earlier work,
     and a reader sees the same rows whenever it runs. Reading it back also forgets the partitioning, so
@@ -32,12 +41,15 @@ class Stash:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        _written.append(self.path)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Remove the files. Only for a table that nothing lazy still reads."""
         delete(self.spark, self.path)
+        if self.path in _written:
+            _written.remove(self.path)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
