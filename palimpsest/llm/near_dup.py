@@ -8,43 +8,50 @@
    are one text are one row here.
 3. ROWS registers are a band. Documents with an equal band share a bucket. With 4 rows and 24 bands, a pair of
    similarity 0.85 shares none with a probability of 2e-8, one of 0.8 with 3e-6.
-4. Links within buckets, without emitting all pairs of one: a round compares, in every bucket that holds several
-   components so far, one member with all those of other components, then merges components. That member has
-   then met everyone, and leaves the bucket. When what is left has no more cross pairs than a small multiple of
-   the members, those pairs are compared and nothing is left. There is no cap: rounds go on until then.
-5. To compare, the sketches' joint likelihood of the similarity comes first: a pair goes on unless the likelihood
-   at the threshold is below e^-14 of the largest. Then the full sets decide.
+4. Links within buckets, without emitting all pairs of one: a round takes, in every bucket that holds several
+   components so far, some members outside its largest component, compares them with all those of other
+   components, and merges components. The first rounds take few, so that components form; the last takes all,
+   after which every two members of different components have met. Buckets all of whose members outside the largest
+   component were taken are done. There is no cap.
+5. Members meet in blocks: a row of the join is a block of sketches against another, and a pair comes out once, in its
+   first common band, if the sketches' joint likelihood allows it: unless the likelihood at the threshold is
+   below e^-SLACK of the largest. In buckets of many members, where many pairs are nearly alike, the sets' hashes
+   cut to 16 or 32 bits, whose common part is never less than that of the sets, sort out most others at once. Then
+   the full sets decide.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import Stash, stash, table
-from palimpsest.llm.graph import components
+from palimpsest.operators.components import components
 from palimpsest.llm.packing import small_batches
 from palimpsest.llm.shingles import mix, shingle_sets
 
 ROWS, BANDS = 4, 24
-_SIZE = ROWS * BANDS
+REGISTERS = ROWS * BANDS
 _B, _A, _MOST = 1.001, 20.0, 65_535  # base, rate and largest register
-_DRAWS = mix(np.arange(_SIZE, dtype=np.uint64), 7) | np.uint64(1)
+_DRAWS = mix(np.arange(REGISTERS, dtype=np.uint64), 7) | np.uint64(1)
 #: Ids that a task may hold as a hash table, about 50 MB.
 _BROADCAST_IDS = 1_000_000
-#: The largest number of cross pairs in buckets, as a multiple of their members, that are compared at once.
-_CROSS = 4
+#: Sketches in a block, and members that meet all others of a bucket in the first rounds.
+_BLOCK, _TAKEN = 256, (1, 4)
+_PAIRS = 4096  # worked on at a time
+_NARROW = 2000
+SLACK = 12.0
 
 
 def registers(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A row of registers for each set; all zero for empty sets."""
-    out = np.zeros((len(at) - 1, _SIZE), dtype="<u2")
+    out = np.zeros((len(at) - 1, REGISTERS), dtype="<u2")
     full = np.flatnonzero(at[1:] > at[:-1])
     if len(full):
-        least = np.empty((_SIZE, len(full)), dtype=np.uint64)
+        least = np.empty((REGISTERS, len(full)), dtype=np.uint64)
         starts = at[:-1][full]
         for k, draw in enumerate(_DRAWS):
             least[k] = np.minimum.reduceat(flat * draw, starts)
@@ -53,11 +60,11 @@ def registers(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, slack: float = 14.0) -> np.ndarray:
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, slack: float = SLACK) -> np.ndarray:
     """Whether each pair of register rows, of sets of n_a and n_b members, can be of similarity `least` or more: its
     log likelihood there is within slack of the largest below, by a grid of similarities."""
     more, less = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
-    same = _SIZE - more - less
+    same = REGISTERS - more - less
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     j = np.append(np.linspace(0, least, 60), least)[None] * np.ones_like(u)
@@ -93,41 +100,103 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
-def compare(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    kind = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+def meet(chosen: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows of chosen and members (key, band, _id, comp, n, regs, cut) of one key, of different components,
+    that can be links by their sketches. No row of the join holds more than a block of either side."""
+    kind = members.schema["_id"].dataType
+    block = F.floor(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) % F.greatest(F.col("c") / _BLOCK, F.lit(1)))
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        own = rows.groupBy("key", block.alias(f"block_{side}")).agg(F.min("band").alias(f"band_{side}"), F.collect_list(F.struct("_id", "comp", "n", "regs", "cut")).alias(side))
+        return own
 
     def gate(batches):
-        for x in batches:
-            if x.num_rows:
-                regs = [np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(-1, _SIZE) for c in ("regs_a", "regs_b")]
-                yes = likely(*regs, x.column("n_a").to_numpy().astype(float), x.column("n_b").to_numpy().astype(float), percent / 100)
-                yield x.select(["a", "b"]).filter(pa.array(yes))
+        for batch in batches:
+            out = [[], []]
+            for band, x, y in zip(batch.column("band_x").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                one, two = ({c: v.field(c) for c in ("_id", "comp", "n", "regs", "cut")} for v in (x.values, y.values))
+                regs = [np.frombuffer(b"".join(v["regs"].to_pylist()), "<u2").reshape(-1, REGISTERS) for v in (one, two)]
+                n = [v["n"].to_numpy() for v in (one, two)]
+                comp = [v["comp"].to_pylist() for v in (one, two)]
+                ids = [v["_id"].to_pylist() for v in (one, two)]
+                code = {c: k for k, c in enumerate(dict.fromkeys(comp[0] + comp[1]))}
+                comp = [np.array([code[c] for c in v]) for v in comp]
+                fits = (comp[0][:, None] != comp[1][None]) & (100 * np.minimum(n[0][:, None], n[1][None]) >= percent * np.maximum(n[0][:, None], n[1][None]))
+                every_i, every_j = np.nonzero(fits)
+                cuts = None
+                for at in range(0, len(every_i), _PAIRS):
+                    i, j = every_i[at : at + _PAIRS], every_j[at : at + _PAIRS]
+                    u, v = regs[0][i], regs[1][j]
+                    here = (u == v).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+                    i, j, u, v = i[here], j[here], u[here], v[here]
+                    yes = likely(u, v, n[0][i].astype(float), n[1][j].astype(float), percent / 100)
+                    if cuts is None and yes.any():
+                        cuts = [c["cut"].to_pylist() for c in (one, two)]
+                    for p, q in zip(i[yes].tolist(), j[yes].tolist(), strict=True):
+                        if cuts[0][p] is not None:
+                            size = int(n[0][p] + n[1][q])
+                            common = most_common(cuts[0][p], int(n[0][p]), cuts[1][q], int(n[1][q]))
+                            if 100 * common < percent * (size - common):
+                                continue
+                        out[0].append(min(ids[0][p], ids[1][q]))
+                        out[1].append(max(ids[0][p], ids[1][q]))
+            if out[0]:
+                t = pa.from_numpy_dtype(np.int64) if kind == T.LongType() else None
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], t), pa.array(out[1], t)], ["a", "b"])
+
+    both = packed(chosen, "x").join(packed(members, "y"), "key")
+    return both.select("band_x", "x", "y").mapInArrow(gate, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
 
-    def verify(batches):
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """No less than the number of common members of two sets, from their cut hashes."""
+    x, y = (np.frombuffer(v, "<u2" if n <= _NARROW else "<u4") for v, n in ((a, n_a), (b, n_b)))
+    if x.dtype != y.dtype:
+        x, y = (v if v.dtype == np.dtype("<u2") else (v >> 16).astype("<u2") for v in (x, y))
+    x, y = (v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v for v in (x, y))  # they come sorted
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum()) + min(n_a - len(x), n_b - len(y))
+
+
+def cut_sets(texts: DataFrame) -> DataFrame:
+    """(_id, cut): the sets of texts' (_id, _text), cut to 16 bits a hash, or to 32 for sets of over _NARROW."""
+
+    def run(batches):
+        for batch in batches:
+            flat, at = shingle_sets([(t.as_py() or "").encode() for t in batch.column("_text")])
+            own = [flat[a:b] >> np.uint64(48 if b - a <= _NARROW else 32) for a, b in zip(at, at[1:], strict=False)]
+            own = [x.astype("<u2" if len(x) <= _NARROW else "<u4").tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(own, pa.binary())], ["_id", "cut"])
+
+    return texts.mapInArrow(run, T.StructType([T.StructField("_id", texts.schema["_id"].dataType), T.StructField("cut", T.BinaryType())]))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    kind = pairs.schema["a"].dataType
+
+    def run(batches):
         for x in batches:
             own, known = [], {}  # a text that many pairs share is made into a set once a batch
             names = [(k, t.as_py()) for c in ("a", "b") for k, t in zip(x.column(c).to_pylist(), x.column(f"text_{c}"), strict=True)]
             for name in dict.fromkeys(names):
-                flat, _ = shingle_sets([(name[1] or "").encode()])
-                known[name] = flat
+                known[name] = shingle_sets([(name[1] or "").encode()])[0]
             for k in range(x.num_rows):
-                a, b = known[names[k]], known[names[k + x.num_rows]]
-                both = np.concatenate([a, b])
+                both = np.concatenate([known[names[k]], known[names[k + x.num_rows]]])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 own.append(100 * common >= percent * (len(both) - common))
             yield x.select(["a", "b"]).filter(pa.array(own, pa.bool_()))
 
-    for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")), c)
-    pairs = pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    passed = Stash(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(gate, schema), "gated")
-    pairs = passed.df
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("_id").alias(c), F.col("_text").alias(f"text_{c}")), c)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, schema)
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def if_few(rows: DataFrame) -> DataFrame:
+    """Narrow rows of a written table, marked for broadcast where counting shows them to be few enough."""
+    return F.broadcast(rows) if rows.count() <= _BROADCAST_IDS else rows
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -148,43 +217,50 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         every.where("n > 0 and _id is not null").groupBy("fp_a", "fp_b", "n").agg(F.min("_id").alias("_id"), F.min("regs").alias("regs")), "classes"
     ).df
     width = 2 * ROWS  # bytes
-    bands = sets.select("_id", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)) for k in range(BANDS)))).alias("key"))
+    bands = sets.select("_id", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)) for k in range(BANDS)))).alias("band", "key"))
     shared = Stash(bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "buckets")
     members = Stash(bands.join(shared.df, "key"), "members")
     ids = members.df.select("_id").distinct()
     ids = Stash(ids, "ids").df
-    if ids.count() <= _BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = stash(docs.join(ids, "_id", "left_semi"), "texts")
+    texts = Stash(docs.join(if_few(ids), "_id", "left_semi"), "texts")
     links: list[DataFrame] = []
     comp: Stash | None = None
-    turn = 0
-    while True:
+    cuts: DataFrame | None = None
+    for taken in (*_TAKEN, None):
+        now = members.df
         if comp is None:
-            now = members.df.withColumn("comp", F.col("_id"))
+            now = now.withColumn("comp", F.col("_id"))
         else:
-            now = members.df.join(comp.df.withColumnRenamed("node", "_id"), "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
-        # buckets of several components; where two components meet, two partial rows of each key and task are enough
-        several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)), F.col("_id"), F.col("comp"))).alias("m")).where("lo < hi")
-        several = Stash(several.select("key", "c", F.col("m._id").alias("a"), F.col("m.comp").alias("comp_a")), "several")
-        there = several.df.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-        if not there[0]:
+            now = now.join(if_few(comp.df.withColumnRenamed("node", "_id")), "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
+        now = Stash(now, "members")
+        # buckets of several components and the largest of each, from a row for each key, component and task
+        sizes = now.df.groupBy("key", "comp").agg(F.count("*").alias("k"))
+        several = sizes.groupBy("key").agg(F.sum("k").alias("c"), F.max(F.struct("k", "comp")).alias("m"))
+        several = Stash(several.select("key", "c", F.col("m.comp").alias("most"), (F.col("c") - F.col("m.k")).alias("others")).where("others > 0"), "several")
+        open_now = Stash(now.df.join(if_few(several.df), "key").select("key", "band", "_id", "comp", "most", "c", "others"), "open")
+        if open_now.df.isEmpty():
             break
-        open_now = Stash(now.join(several.df, "key").select("key", "_id", "comp", "a", "comp_a"), "open")
-        if there[1] <= _CROSS * there[0]:
-            x, y = open_now.df.select("key", F.col("_id").alias("a"), F.col("comp").alias("ca")), open_now.df.select("key", F.col("_id").alias("b"), F.col("comp").alias("cb"))
-            pairs, last = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct(), True
-        else:
-            pairs, last = open_now.df.where("comp <> comp_a").select("a", F.col("_id").alias("b")).distinct(), False
-        links.append(stash(compare(pairs, sets, texts, percent), "links"))
+        chosen = open_now.df.where("comp <> most")
+        if taken:
+            w = Window.partitionBy("key").orderBy(F.xxhash64("_id", F.lit(taken)), "_id")
+            chosen = chosen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= taken).drop("_r")
+        if links and cuts is None:
+            ids = Stash(open_now.df.select("_id").distinct(), "ids").df
+            cuts = stash(cut_sets(texts.df.join(if_few(ids), "_id", "left_semi")), "cut-sets")
+        sketch = sets.select("_id", "n", "regs")
+        sketch = sketch.join(cuts, "_id") if cuts is not None else sketch.withColumn("cut", F.lit(None).cast("binary"))
+        pairs = Stash(meet(chosen.join(sketch, "_id"), open_now.df.join(sketch, "_id"), percent), "pairs")
+        links.append(stash(verify(pairs.df.distinct(), texts.df, percent), "links"))
         every_link = links[0]
         for x in links[1:]:
             every_link = every_link.union(x)
         comp = components(every_link)
-        if last:
-            break
-        members = Stash(open_now.df.where("_id <> a").select("key", "_id"), "members")
-        turn += 1
+        for done in (members, now, several, pairs):
+            done.drop()
+        members = Stash(open_now.df.where(F.col("others") > (taken or 0)).select("key", "band", "_id"), "members")
+        open_now.drop()
+    for done in (members, texts, shared):
+        done.drop()
     out = every.join(sets.select("fp_a", "fp_b", "n", F.col("_id").alias("_rep")), ["fp_a", "fp_b", "n"], "left")
     if comp is not None:
         out = out.join(comp.df.withColumnRenamed("node", "_rep"), "_rep", "left")
