@@ -123,8 +123,8 @@ def learn(rows: list[dict], bad: list[bool], precision: float = 0.97, least: int
             cut = (known[j] + known[j + 1]) / 2
             over = sum(1 << i for i in range(n) if values[i] > cut)
             tests += [(Test(name, True, cut), over), (Test(name, False, cut), full ^ over)]
-    rules, left = [], full
-    while len(rules) < most_rules:
+    rules, left, tried = [], full, set()
+    while len(rules) < most_rules and len(tried) < most_rules:
         rule, cover = [], left
         while True:
             own = cover & grow
@@ -134,7 +134,7 @@ def learn(rows: list[dict], bad: list[bool], precision: float = 0.97, least: int
             base, best = math.log2(p0 / (p0 + n0)), (0.0, None, 0)
             for t, bits in tests:
                 p1 = (own & bits & target).bit_count()
-                if p1 >= least:
+                if p1 >= least and (rule or t not in tried):
                     gain = p1 * (math.log2(p1 / (own & bits).bit_count()) - base)
                     if gain > best[0] + 1e-9:
                         best = (gain, t, bits)
@@ -159,24 +159,30 @@ def learn(rows: list[dict], bad: list[bool], precision: float = 0.97, least: int
             bits &= b
         p = (bits & target).bit_count()
         if p < least or p < precision * bits.bit_count():
-            break
+            tried.add(rule[0][0])  # no good start; another may be
+            continue
         rules.append(tuple(t for t, _ in rule))
         left &= ~bits
     return DecisionList(tuple(rules))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, **how) -> DecisionList:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, min_words: int = 50, **how) -> DecisionList:
     """Rules from at most `sample` labelled documents, those with the smallest hash of their id. A label of 0 is a document
-    to reject, 1 one to keep; others count as none, and of several labels of an id the least counts."""
+    to reject, 1 one to keep; others count as none, and of several labels of an id the least counts. Documents that fail the
+    base conditions teach nothing, as no rule needs to judge them."""
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     chosen = labels.withColumn("_hash", F.xxhash64("_id")).orderBy("_hash", "_id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    stats = with_stats(texts, "_text").select("_hash", "_id", "_label", *(ratio(r, "_q_").alias(r) for r in RATIOS))
+    stats = with_stats(texts, "_text").where(~base_failed(min_words)).select("_hash", "_id", "_label", *(ratio(r, "_q_").alias(r) for r in RATIOS))
     rows = stats.limit(2 * sample).collect()
     rows = sorted(rows, key=lambda r: tuple(r))
     return learn([r.asDict() for r in rows], [r["_label"] == 0 for r in rows], **how)
 
 
+def base_failed(min_words: int, prefix: str = "_q_") -> Column:
+    return (F.col(prefix + "n_words") < min_words) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
+
+
 def quality_rules(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """docs with the statistics, ratios' rule number `rule` (int, 0: none), base_failed and kept (boolean) added.
 
@@ -189,7 +195,7 @@ def quality_rules(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id",
     added = {*STATS, "rule", "base_failed", "kept"}
     own = [c for c in docs.columns if c.lower() not in added or c in (id_col, text_col)]
     out = with_stats(docs.select(*[f"`{c.replace('`', '``')}`" for c in own]), text_col)
-    failed = (F.col("_q_n_words") < min_words) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
+    failed = base_failed(min_words)
     out = out.withColumn("_q_rule", rules.column())
     return out.select(*[f"`{c.replace('`', '``')}`" for c in own], *(F.col(f"_q_{s}").alias(s) for s in STATS), F.col("_q_rule").alias("rule"), failed.alias("base_failed"), (~failed & (F.col("_q_rule") == 0)).alias("kept"))
 
