@@ -107,7 +107,8 @@ class Engine:
         """Summaries of sessions without one by the model; how many."""
         done = 0
         for r in self.list_unsummarized_sessions(project, limit).collect() if self.complete else []:
-            text = self.get_session_transcript(r["session_id"], 60_000)
+            row = se.render(self.store.read("chunks").where(F.col("session_id") == r["session_id"])).first()
+            text = row["prompt"] if row else None
             if text and (reply := self.complete("Summarize the session in a few sentences.", text).strip()):
                 self.save_session_summary(r["session_id"], reply[:4000])
                 done += 1

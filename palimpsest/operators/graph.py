@@ -34,19 +34,34 @@ def edges(sessions: DataFrame, topics: DataFrame, stored: DataFrame, with_sessio
     return out.unionByName(held.select(ids.edge_id(F.col("kind"), F.col("from"), F.col("to")).alias("edge_id"), "kind", "from", "to", F.lit(1.0).alias("weight")))
 
 
-def visible(nodes: DataFrame, edges: DataFrame, search: str | None = None, kinds: list[str] | None = None, projects: list[str] | None = None) -> DataFrame:
-    """Nodes to show: of the kinds and projects and, with a search, those whose label has it and their neighbours."""
+def visible(nodes: DataFrame, edges: DataFrame, search: str | None = None, kinds: list[str] | None = None, projects: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Nodes to show, of the kinds, projects and days (of a session's ended_at, where nodes have it) that are asked for.
+    With a search, those whose label or id has it and their neighbours; without, sessions and what leads to them."""
     rows = nodes
     if kinds:
         rows = rows.where(F.col("kind").isin(*kinds))
-    if projects:
-        rows = rows.where(F.col("project_id").isin(*projects))
-    if not search:
-        return rows
-    hits = rows.where(F.lower("label").contains(search.lower())).select("id")
-    near = edges.join(hits.withColumnRenamed("id", "from"), "from", "left_semi").select(F.col("to").alias("id"))
-    near = near.union(edges.join(hits.withColumnRenamed("id", "to"), "to", "left_semi").select(F.col("from").alias("id")))
-    return rows.join(hits.union(near).distinct(), "id", "left_semi")
+    if projects is not None:
+        rows = rows.where((F.col("kind") == "topic") | F.col("project_id").isin(*projects))
+    if (start or end) and "ended_at" in nodes.columns:
+        day = F.date_format("ended_at", "yyyy-MM-dd")
+        inside = (day >= (start or "")) & (day <= (end or "9999-12-31"))
+        rows = rows.where((F.col("kind") != "session") | F.col("ended_at").isNull() | inside)
+    part = (search or "").strip().lower()
+    links = edges.where("kind not in ('session-continuation')").select("from", "to")
+    links = links.union(links.select("to", "from")).distinct()
+    if part:
+        hits = rows.where(F.lower("label").contains(part) | F.lower("id").contains(part)).select("id")
+    else:
+        hits = rows.where("kind = 'session'").select("id", "project_id")
+    near = links.join(hits.select(F.col("id").alias("from")), "from", "left_semi").select(F.col("to").alias("id"))
+    shown = hits.select("id").union(near)
+    if not part:
+        shown = shown.union(hits.select(F.concat(F.lit("p:"), "project_id")))
+    return rows.join(shown.distinct(), "id", "left_semi")
+
+
+def counts(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

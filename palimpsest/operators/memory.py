@@ -45,6 +45,12 @@ def list_memories(memories: DataFrame, project: str, scope: str | None = None, l
     return rows.orderBy(F.desc("pinned"), F.desc("updated_at"), "id").limit(min(max(limit, 1), 500))
 
 
+def with_global(memories: DataFrame, project: str, limit: int = 100) -> DataFrame:
+    """A project's memories and the global ones, each id once."""
+    both = list_memories(memories, project, None, limit).unionByName(list_memories(memories, GLOBAL, None, limit))
+    return both.dropDuplicates(["id"]).orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
+
+
 def search(memories: DataFrame, project: str, query, limit: int = 10) -> DataFrame:
     """Automatic memories by cosine, with a score."""
     rows = memories.where((F.col("project_id") == project) & (F.coalesce("scope", F.lit("auto")) == "auto") & F.col("embedding").isNotNull())

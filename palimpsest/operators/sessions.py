@@ -95,14 +95,28 @@ def hot_chunks(hits: DataFrame, chunks: DataFrame, project: str | None, since, l
 
 
 def transcript(chunks: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """A session's transcript: its chunks in order with their roles, cut before the first that doesn't fit."""
-    line = F.concat(F.when(F.col("tool_name").isNotNull(), F.concat(F.lit("[tool_use: "), F.col("tool_name"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("role"), F.lit("]"))), F.lit("\n"), F.col("text"))
+    """A session's transcript: a line of role, tool and text for each chunk in order, cut before the first that doesn't fit."""
+    tool = F.when(F.col("tool_name").isNotNull(), F.concat(F.lit(" ["), F.col("tool_name"), F.lit("]"))).otherwise("")
     w = Window.partitionBy("session_id").orderBy("turn_index", "sub_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = chunks.withColumn("line", line).withColumn("bytes", F.sum(F.octet_length("line") + 2).over(w))
+    rows = chunks.withColumn("line", F.concat(F.col("role"), tool, F.lit(": "), F.col("text"), F.lit("\n\n"))).withColumn("bytes", F.sum(F.octet_length("line")).over(w))
     fits = F.lit(True) if most_bytes is None else F.col("bytes") <= most_bytes
     parts = F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("turn_index", "sub_index", "line")))), lambda x: x["line"])
-    cut = F.when(F.bool_or(~fits), F.lit(f"\n\n[…transcript truncated at {most_bytes}…]")).otherwise("")
-    return rows.groupBy("session_id").agg(F.concat(F.array_join(parts, "\n\n"), cut).alias("transcript"))
+    cut = F.when(F.bool_or(~fits), F.lit("[…transcript truncated at max_chars…]")).otherwise("")
+    return rows.groupBy("session_id").agg(F.concat(F.array_join(parts, ""), cut).alias("transcript"))
+
+
+def render(chunks: DataFrame) -> DataFrame:
+    """A session's chunks as a prompt for a summary."""
+    label = F.when((F.col("role") == "tool_use") & F.col("tool_name").isNotNull(), F.concat(F.lit("[tool_use: "), F.col("tool_name"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("role"), F.lit("]")))
+    line = F.concat(label, F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "sub_index", line.alias("line")))), lambda x: x["line"])
+    return chunks.groupBy("session_id").agg(F.concat(F.lit("Transcript:\n\n"), F.array_join(parts, "")).alias("prompt"))
+
+
+def input_hashes(chunks: DataFrame, model: str) -> DataFrame:
+    """By session, the hash that tells whether a cached summary still holds."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "sub_index", "chunk_id", "text"))), lambda x: F.struct(x["chunk_id"].alias("id"), x["text"].alias("text")))
+    return chunks.groupBy("session_id").agg(ids.summary_hash(model, rows).alias("input_hash"))
 
 
 def doctor(records: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -330,13 +330,27 @@ def hot_chunks(spark, sf):
 
 
 @query(r"""
-WITH l AS (SELECT conv_id, turn, '[' || role || ']' || chr(10) || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''),
-w AS (SELECT *, sum(strlen(line) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS b FROM l)
-SELECT conv_id::VARCHAR AS session_id, sha256(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY turn) FILTER (b <= 3000), '') || CASE WHEN bool_or(b > 3000) THEN chr(10) || chr(10) || '[…transcript truncated at 3000…]' ELSE '' END) AS transcript_sha FROM w GROUP BY conv_id""")
+WITH l AS (SELECT conv_id, turn, role || ': ' || text || chr(10) || chr(10) AS line FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''),
+w AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS b FROM l)
+SELECT conv_id::VARCHAR AS session_id, sha256(coalesce(string_agg(line, '' ORDER BY turn) FILTER (b <= 3000), '') || CASE WHEN bool_or(b > 3000) THEN '[…transcript truncated at max_chars…]' ELSE '' END) AS transcript_sha FROM w GROUP BY conv_id""")
 def transcript_render(spark, sf):
     c = t(spark, sf, "conversations").where("role in ('user', 'assistant') and text <> ''")
-    rows = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_index"), F.lit(0).alias("sub_index"), "role", "text", F.lit(None).cast("string").alias("tool_name"))
-    return se.transcript(rows, 3000).select("session_id", F.sha2("transcript", 256).alias("transcript_sha"))
+    return se.transcript(_turns(c), 3000).select("session_id", F.sha2("transcript", 256).alias("transcript_sha"))
+
+
+def _turns(c: DataFrame) -> DataFrame:
+    tool = F.when(F.col("role") == "tool_use", "Read")
+    return c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_index"), F.lit(0).alias("sub_index"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "role", "text", tool.alias("tool_name"))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'tool_use' ELSE role END AS role, text FROM conversations)
+SELECT conv_id::VARCHAR AS session_id, sha256('Transcript:' || chr(10) || chr(10) || string_agg(CASE WHEN role = 'tool_use' THEN '[tool_use: Read]' ELSE '[' || role || ']' END || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn)) AS prompt_sha,
+       sha256(unhex(sha256('m1' || chr(10) || string_agg(conv_id || ':' || turn || '|' || text || chr(10), '' ORDER BY turn)))) AS input_hash FROM c GROUP BY conv_id""")
+def summary_prompts(spark, sf):
+    c = _turns(t(spark, sf, "conversations").withColumn("role", F.when(F.col("turn") % 3 == 2, "tool_use").otherwise(F.col("role"))))
+    prompts = se.render(c).select("session_id", F.sha2("prompt", 256).alias("prompt_sha"))
+    return prompts.join(se.input_hashes(c, "m1"), "session_id")
 
 
 @query("""
@@ -458,13 +472,51 @@ def graph_edges(spark, sf):
 
 
 @query(f"""WITH {_USER_HOURS}, {_TOPICS}, {_NODES}, {_SIM}, {_EDGES}, hit AS (SELECT id FROM nodes WHERE contains(lower(label), 'topic 3')),
-near AS (SELECT id FROM hit UNION SELECT "to" FROM edges WHERE "from" IN (SELECT id FROM hit) UNION SELECT "from" FROM edges WHERE "to" IN (SELECT id FROM hit))
+near AS (SELECT id FROM hit UNION SELECT "to" FROM edges WHERE kind <> 'session-continuation' AND "from" IN (SELECT id FROM hit) UNION SELECT "from" FROM edges WHERE kind <> 'session-continuation' AND "to" IN (SELECT id FROM hit))
 SELECT id, kind FROM nodes WHERE id IN (SELECT id FROM near)""")
 def graph_search_1hop(spark, sf):
     sessions, topics = user_hours(spark, sf), graph_topics(spark, sf)
     return graph.visible(graph.nodes(sessions, topics), graph.edges(sessions, topics, stored_edges(spark, sf)), "topic 3").select("id", "kind")
 
 
+@query(f"""WITH {_USER_HOURS}, {_TOPICS}, {_NODES}, shown AS (SELECT session_id, project_id FROM user_hours WHERE project_id IN ('1', '2') AND ended_at >= TIMESTAMP '2024-01-05' AND ended_at < TIMESTAMP '2024-01-08')
+SELECT id, kind FROM nodes WHERE id IN (SELECT 's:' || session_id FROM shown) OR id IN (SELECT 'p:' || project_id FROM shown)""")
+def graph_visible(spark, sf):
+    sessions, topics = user_hours(spark, sf), graph_topics(spark, sf)
+    ended = sessions.select(F.concat(F.lit("s:"), "session_id").alias("id"), "ended_at")
+    nodes = graph.nodes(sessions, topics).join(ended, "id", "left")
+    return graph.visible(nodes, graph.edges(sessions, topics, stored_edges(spark, sf)), None, None, ["1", "2"], "2024-01-05", "2024-01-07").select("id", "kind")
+
+
+@query(f"WITH {_USER_HOURS}, {_TOPICS}, {_NODES} SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def graph_kind_counts(spark, sf):
+    return graph.counts(graph_nodes(spark, sf))
+
+
+@query(f"WITH {_USER_HOURS}, {_TOPICS}, {_NODES}, {_SIM}, {_EDGES} SELECT 'p:' || project_id AS \"from\", id AS \"to\" FROM nodes WHERE kind = 'session' AND id NOT IN (SELECT \"to\" FROM edges WHERE kind LIKE 'contains%' AND \"from\" <> 'p:3')")
+def graph_orphans(spark, sf):
+    sessions, topics = user_hours(spark, sf), graph_topics(spark, sf)
+    edges = graph.edges(sessions, topics, stored_edges(spark, sf)).where("from <> 'p:3'")  # as if one project's edges were lost
+    return graph.orphans(graph.nodes(sessions, topics), edges).select("from", "to")
+
+
+@query("SELECT (user_id % 5)::VARCHAR AS project_id, arg_max(event_type, ts) FILTER (event_type <> 'view') AS cwd FROM events GROUP BY 1")
+def project_cwd(spark, sf):
+    e = t(spark, sf, "events").select((F.col("user_id") % 5).cast("string").alias("project_id"), F.col("ts").alias("started_at"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("cwd"))
+    return se.project_cwd(e)
+
+
+@query(f"SELECT doc_id, greatest(1, len({_WORDS.format('text')}) * 4 // 3)::INTEGER AS tokens FROM documents")
+def memory_tokens(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", tx.estimate_tokens("text").alias("tokens"))
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS cosine, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS dot FROM embeddings")
+def vector_products(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(vx.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("cosine"), F.round(vx.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("dot"))
+
+
 # memories
 
 
@@ -489,6 +541,11 @@ def memory_list(spark, sf):
     return memory.list_memories(memories(spark, sf), "1", "auto").select("id", "pinned", "updated_at")
 
 
+@query(f"WITH {_MEMORIES} SELECT id, project_id FROM m WHERE project_id = '2' OR project_id = '__global__'")
+def memory_with_global(spark, sf):
+    return memory.with_global(memories(spark, sf), "2", 500).select("id", "project_id")
+
+
 @query(f"WITH {_MEMORIES} SELECT id, round({_MCOS}, 6) AS score FROM m WHERE project_id = '1' AND scope = 'auto' ORDER BY {_MCOS} DESC, id LIMIT 10")
 def memory_search(spark, sf):
     return memory.search(memories(spark, sf), "1", query_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
