@@ -12,7 +12,8 @@ that long. So suffixes need ordering only among those that can share so much, an
 3. One context of each class that shares its gram with another class is fetched. Within a gram, the suffixes at
    every place of the contexts are put in the order of their first `least` bytes, ties by position; the neighbours in
    that order are the previous and next matches, whose common bytes are then compared. Grams with very
-   many classes are not gathered: there, windows are counted by hash over all tasks.
+   many classes are dealt out further, by the bytes that all windows of a range of places have in common; what
+   shares even those with very many is not gathered: there, windows are counted by hash over all tasks.
 4. Bits of matched windows go back to the anchors' documents, where their bytes are united and removed.
 """
 
@@ -31,7 +32,10 @@ from palimpsest.llm.shingles import mix, powers
 
 _GRAM = 128
 _BLOCK = 2 << 20  # bytes of one text worked on at a time
-_GATHER = 2000  # classes of a gram that one task may hold together
+_GATHER = 3000  # classes of a gram that one task may hold together
+_RANGES = 4  # of places, in grams of more classes
+_GATHER_RANGE = 20_000  # classes of a range that one task may hold together, some 100 MB
+_ROWS = 1024  # contexts hashed at a time
 _BROADCAST = 1_000_000  # grams, about 50 MB as a hash table
 _TOP = np.uint64((1 << 64) - 1)
 
@@ -99,17 +103,31 @@ def text_anchors(text: bytes, least: int) -> tuple[np.ndarray, ...]:
     return np.zeros(len(once), np.int64), q[once], gram[once], around[once]
 
 
-def match_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context (a row; bytes lo to hi are its text) and place s, whether the window at s is also in another
+def ranges(least: int) -> list[tuple[int, int]]:
+    """First and last place of each range."""
+    edges = np.linspace(0, least - _GRAM + 1, _RANGES + 1).astype(int).tolist()
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def match_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, order: np.ndarray, least: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """part: the range of places to look at, for each context; all if None. For each context (a row; bytes lo to hi are its text) and place s, whether the window at s is also in another
     context of its group, and whether in one earlier in order. Contexts of a group hold their gram at the same column."""
     m, width = len(rows), rows.shape[1] - least + 1
-    sums = _prefix(rows)
     _, down = powers(rows.shape[1] + 1)
     s = np.arange(width)
-    keys = mix((sums[:, least:] - sums[:, :-least]) * down[:width] + mix(group.astype(np.uint64), 3)[:, None] + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    valid = (s[None] >= lo[:, None]) & (s[None] + least <= hi[:, None])
-    where = np.flatnonzero(valid)
-    flat = keys.ravel()[where]
+    from_, to = np.zeros(m, dtype=np.int64), np.full(m, width - 1)
+    if part is not None:
+        from_, to = np.array(ranges(least))[part].T
+    from_, to = np.maximum(lo, from_), np.minimum(hi - least, to)
+    flat, where = [], []
+    for k in range(0, m, _ROWS):
+        own = slice(k, k + _ROWS)
+        sums = _prefix(rows[own])
+        keys = mix((sums[:, least:] - sums[:, :-least]) * down[:width] + mix(group[own].astype(np.uint64), 3)[:, None] + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        valid = np.flatnonzero((s[None] >= from_[own, None]) & (s[None] <= to[own, None]))
+        flat.append(keys.ravel()[valid])
+        where.append(valid + k * width)
+    flat, where = np.concatenate(flat), np.concatenate(where)
     by = np.argsort(flat, kind="stable")
     flat, where = flat[by], where[by]
     same = flat[1:] == flat[:-1]
@@ -139,14 +157,26 @@ def match_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.nd
     return anyone, earlier
 
 
-def window_hashes(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int):
-    """(row, place, hash) of every window of the contexts."""
+def core_hashes(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int):
+    """(row, range, hash) of the bytes that all windows of each range have in common, where it has any."""
+    sums = _prefix(rows)
+    _, down = powers(rows.shape[1] + 1)
+    out = []
+    for k, (first, last) in enumerate(ranges(least)):
+        own = np.flatnonzero((lo <= last) & (hi >= first + least))
+        out.append((own, np.full(len(own), k), mix((sums[own, first + least] - sums[own, last]) * down[last])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def window_hashes(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, part: np.ndarray):
+    """(row, place, hash) of every window of the contexts in the range of each."""
     sums = _prefix(rows)
     width = rows.shape[1] - least + 1
     _, down = powers(rows.shape[1] + 1)
     keys = mix((sums[:, least:] - sums[:, :-least]) * down[:width])
     s = np.arange(width)
-    row, place = np.nonzero((s[None] >= lo[:, None]) & (s[None] + least <= hi[:, None]))
+    first, last = np.array(ranges(least))[part].T
+    row, place = np.nonzero((s[None] >= np.maximum(lo, first)[:, None]) & (s[None] + least <= hi[:, None]) & (s[None] <= last[:, None]))
     return row, place, keys[row, place]
 
 
@@ -206,7 +236,7 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
     contexts = Stash(docs.join(lists, ["_a", "_b"]).select("_a", "_b", "_text", "own").mapInArrow(fetch, "g long, c long, m long, _a long, _b long, q long, left int, context binary"), "contexts")
 
     def judge(batches):
-        """Rows come with those of a gram together; a batch's last gram waits for the next batch."""
+        """Rows come with those of a group together; a batch's last group waits for the next batch."""
         held: pa.Table | None = None
 
         def done(part: pa.Table):
@@ -214,7 +244,7 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
             rows, lo, hi = _contexts(part, least)
             order = np.empty(part.num_rows, dtype=np.int64)
             order[np.lexsort([part.column(x).to_numpy() for x in ("q", "_b", "_a")])] = np.arange(part.num_rows)
-            anyone, earlier = match_windows(rows, lo, hi, part.column("g").to_numpy(), order, least)
+            anyone, earlier = match_windows(rows, lo, hi, part.column("group").to_numpy(), order, least, part.column("r").to_numpy() if "r" in part.schema.names else None)
             hit = np.flatnonzero(anyone.any(1))
             bits = [pa.array([x.tobytes() for x in np.packbits(y[hit], axis=1)], pa.binary()) for y in (anyone, earlier)]
             take = pa.array(hit)
@@ -223,7 +253,7 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if held.num_rows >= 2000:
-                g = held.column("g").to_numpy()
+                g = held.column("group").to_numpy()
                 cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
                 if cut:
                     yield done(held.slice(0, cut))
@@ -231,21 +261,34 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
         if held is not None and held.num_rows:
             yield done(held)
 
+    def cores(batches):
+        for batch in batches:
+            row, part, key = core_hashes(*_contexts(batch, least), least)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(take), batch.column("c").take(take), pa.array(part.astype(np.int32)), pa.array(key.view(np.int64))], ["g", "c", "r", "h"])
+
     def expand(batches):
         for batch in batches:
-            rows, lo, hi = _contexts(batch, least)
-            row, place, key = window_hashes(rows, lo, hi, least)
+            row, place, key = window_hashes(*_contexts(batch, least), least, batch.column("r").to_numpy())
             for k in range(0, len(row), 10_000):
                 take = pa.array(row[k : k + 10_000])
                 cols = [batch.column(c).take(take) for c in ("g", "c", "_a", "_b", "q")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(place[k : k + 10_000].astype(np.int32)), pa.array(key[k : k + 10_000].view(np.int64))], ["g", "c", "_a", "_b", "q", "s", "h"])
 
     bits = "g long, c long, anyone binary, earlier binary"
-    gathered = contexts.df.where(F.col("m") <= _GATHER).repartition("g").sortWithinPartitions("g").mapInArrow(judge, bits)
-    # a gram of very many classes: windows by their own hash, nowhere together
-    wide = contexts.df.where(F.col("m") > _GATHER).mapInArrow(expand, "g long, c long, _a long, _b long, q long, s int, h long")
+    gather = lambda rows: rows.repartition("group").sortWithinPartitions("group").mapInArrow(judge, bits)
+    gathered = gather(contexts.df.where(F.col("m") <= _GATHER).withColumn("group", F.col("g")))
+    large = contexts.df.where(F.col("m") > _GATHER)
     if not groups.df.where(F.col("m") > _GATHER).isEmpty():
-        wide = Stash(wide, "windows").df
+        own = Stash(large.mapInArrow(cores, "g long, c long, r int, h long"), "cores")
+        shared = Stash(own.df.groupBy("g", "r", "h").agg(F.count("*").alias("k")).where("k > 1"), "shared-cores")
+        placed = own.df.join(shared.df, ["g", "r", "h"]).join(large.drop("m"), ["g", "c"])
+        placed = Stash(placed.withColumn("group", F.xxhash64("g", "r", "h")), "placed")
+        gathered = gathered.union(gather(placed.df.where(F.col("k") <= _GATHER_RANGE)))
+    else:
+        shared = None
+    if shared is not None and not shared.df.where(F.col("k") > _GATHER_RANGE).isEmpty():
+        wide = Stash(placed.df.where(F.col("k") > _GATHER_RANGE).mapInArrow(expand, "g long, c long, _a long, _b long, q long, s int, h long"), "windows").df
         known = stash(wide.groupBy("g", "s", "h").agg(F.count("*").alias("k"), F.min(F.struct("_a", "_b", "q", "c")).alias("p")).where("k > 1").select("g", "s", "h", "p"), "window-counts")
         met = wide.join(known, ["g", "s", "h"]).groupBy("g", "c").agg(F.collect_set("s").alias("any_s"), F.collect_set(F.when(F.col("p") != F.struct("_a", "_b", "q", "c"), F.col("s"))).alias("later_s"))
 

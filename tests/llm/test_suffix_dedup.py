@@ -44,9 +44,11 @@ def plain(rows, least, keep):
     return out
 
 
-@pytest.mark.parametrize("keep,gather", [("none", 2000), ("first", 2000), ("none", 1), ("first", 1)])
+@pytest.mark.parametrize("keep,gather", [("none", 3000), ("first", 3000), ("none", 1), ("first", 1), ("none", 3)])
 def test_against_all_windows(spark, monkeypatch, keep, gather):
     monkeypatch.setattr(S, "_GATHER", gather)
+    monkeypatch.setattr(S, "_GATHER_RANGE", gather)
+    monkeypatch.setattr(S, "_ROWS", 7)
     rows = corpus()
     docs = spark.createDataFrame([(t, k, 1) for k, t in rows], "text string, doc_id long, q long").repartition(6)
     got = {r[0]: tuple(r)[1:5] for r in S.suffix_dedup(docs, keep=keep).collect()}
