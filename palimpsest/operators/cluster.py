@@ -46,6 +46,35 @@ def neighbours(vectors: DataFrame, eps: DataFrame | float, id_col: str = "chunk_
     return both.mapInArrow(run, f"project_id {project}, a {kind}, b {kind}").distinct()
 
 
+def nearest_of_group(rows: DataFrame, others: DataFrame, group: str, id_col: str = "id") -> DataFrame:
+    """(id_col, nearest, score): for each of rows (group, id_col, embedding) the most similar of others of its group with
+    another id, ties to the largest. Blocks meet blocks; a block keeps one best for each of its rows."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        sizes = df.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+        spread = df.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) % F.col("_n"))
+        own = spread.groupBy(group, "_block").agg(F.collect_list(F.struct(F.col(id_col).alias("i"), vx.normalise(F.col("embedding")).alias("v"))).alias(name))
+        return stash(own.drop("_block"), "blocks")
+
+    both = packed(rows, "xs").join(packed(others, "ys"), group).select("xs", "ys")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                xs, ys = batch.column("xs")[k].values, batch.column("ys")[k].values
+                i, j = xs.field("i").to_pylist(), ys.field("i").to_pylist()
+                a, b = (np.array(v.field("v").to_pylist(), float).reshape(len(v), -1) for v in (xs, ys))
+                score = np.where(np.array([[x == y for y in j] for x in i]), -np.inf, a @ b.T)
+                best = [max(((score[p, q], j[q]) for q in range(len(j)) if score[p, q] > -np.inf), default=None) for p in range(len(i))]
+                found = [(x, m[1], float(m[0])) for x, m in zip(i, best, strict=True) if m]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], [id_col, "nearest", "score"])
+
+    pairs = both.mapInArrow(run, f"{id_col} {kind}, nearest {kind}, score double")
+    return pairs.groupBy(id_col).agg(F.max(F.struct("score", "nearest")).alias("m")).select(id_col, F.col("m.nearest").alias("nearest"), F.col("m.score").alias("score"))
+
+
 def dbscan(vectors: DataFrame, eps: float | None = None, least: int = LEAST, id_col: str = "chunk_id") -> DataFrame:
     """(project_id, id_col, cluster): clusters are named by their smallest core point; noise isn't returned. A cluster is a
     component of core points within eps; a border point goes to the one of its clusters with the smallest name.

@@ -574,11 +574,10 @@ def memory_tiers(spark, sf):
 WITH {_MEMORIES}, c AS (SELECT x.id AS id, y.id AS other, list_cosine_similarity(x.embedding, y.embedding) AS s FROM m x JOIN m y ON x.project_id = y.project_id AND x.scope = y.scope AND x.id <> y.id WHERE NOT y.pinned AND y.scope = 'manual')
 SELECT id, arg_max(other, s) AS supersedes, round(max(s), 6) AS score FROM c GROUP BY id""")
 def supersede_candidates(spark, sf):
-    """For each manual memory the nearest one that it would supersede, by blocks of its project."""
-    m = memories(spark, sf).where("scope = 'manual'")
-    a, b = m.select("id", "project_id", "embedding"), m.where("not pinned").select(F.col("id").alias("other"), "project_id", F.col("embedding").alias("v"))
-    pairs = a.join(b, "project_id").where("id <> other").select("id", "other", vx.cosine(F.col("embedding"), F.col("v")).alias("s"))
-    return pairs.groupBy("id").agg(F.max(F.struct("s", "other")).alias("m")).select("id", F.col("m.other").alias("supersedes"), F.round("m.s", 6).alias("score"))
+    """For each manual memory the nearest one of its project that it would supersede."""
+    m = memories(spark, sf).where("scope = 'manual'").select("id", "project_id", "embedding", "pinned")
+    found = cluster.nearest_of_group(m.drop("pinned"), m.where("not pinned").drop("pinned"), "project_id")
+    return found.select("id", F.col("nearest").alias("supersedes"), F.round("score", 6).alias("score"))
 
 
 # caches and merges
