@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end_id: int,
 def small_batches(spark: SparkSession) -> None:
     """Documents travel to Python few at a time, as some are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:

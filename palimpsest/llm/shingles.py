@@ -31,8 +31,51 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Bytes of text hashed at a time; the arrays take some 50 times as much.
+_BLOCK = 1 << 20
+_SPACES = b" \t\n\x0b\x0c\r"
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """A text in blocks that end where a word ends; a longer word is a block of its own."""
+    out, at = [], 0
+    while len(text) - at > _BLOCK:
+        cut = max(text.rfind(c, at, at + _BLOCK) for c in (_SPACES[k : k + 1] for k in range(6)))
+        if cut <= at:
+            cut = min((x for x in (text.find(_SPACES[k : k + 1], at + _BLOCK) for k in range(6)) if x >= 0), default=len(text))
+        out.append(text[at:cut])
+        at = cut
+    out.append(text[at:])
+    return out
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word with A-Z lower-cased, and where the words of each text begin among them (one more at the end)."""
+    parts, owner, held, size = [], [], [], 0
+    counts = np.zeros(len(texts), dtype=np.int64)
+
+    def done():
+        if held:
+            hashes, at = _word_hashes(held)
+            parts.append(hashes)
+            np.add.at(counts, owner, np.diff(at))
+            held.clear()
+            owner.clear()
+
+    for k, text in enumerate(texts):
+        for piece in pieces(text) if len(text) > _BLOCK else [text]:
+            if size + len(piece) > _BLOCK:
+                done()
+                size = 0
+            held.append(piece)
+            owner.append(k)
+            size += len(piece)
+    done()
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of texts of a block."""
     data = _LOWER[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
     ends = np.cumsum([len(t) + 1 for t in texts])
     word = np.zeros(len(data) + 2, dtype=bool)

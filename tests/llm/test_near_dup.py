@@ -50,6 +50,17 @@ def test_sets():
     assert np.diff(at).tolist() == [len(plain_set(t)) for t in rows]
 
 
+def test_blocks_give_the_same_hashes(monkeypatch):
+    from palimpsest.llm import shingles as S
+
+    texts = [(t or "").encode() for _, t in corpus(40)] + [b"x" * 500 + b" y", b" " * 300, b"", b"a b " * 200]
+    whole = S.word_hashes(texts)
+    for size in (1, 7, 64, 400):
+        monkeypatch.setattr(S, "_BLOCK", size)
+        parts = S.word_hashes(texts)
+        assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all(), size
+
+
 def test_components(spark):
     rows = corpus()
     for percent in (85, 60):
