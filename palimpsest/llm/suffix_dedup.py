@@ -31,7 +31,7 @@ from palimpsest.llm.packing import small_batches
 from palimpsest.llm.shingles import mix, powers
 
 _GRAM = 128
-_BLOCK = 2 << 20  # bytes of one text worked on at a time
+_BLOCK = 1 << 20  # bytes of text worked on at a time; the arrays take some 100 times as much
 _GATHER = 3000  # classes of a gram that one task may hold together
 _RANGES = 4  # of places, in grams of more classes
 _GATHER_RANGE = 20_000  # classes of a range that one task may hold together, some 100 MB
@@ -109,6 +109,18 @@ def ranges(least: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def in_runs(sizes: list[int], most: int) -> list[list[int]]:
+    """Numbers of texts in runs of at most `most` bytes together; a longer text is a run of its own."""
+    out, size = [], most + 1
+    for k, n in enumerate(sizes):
+        if size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(k)
+        size += n
+    return out
+
+
 def match_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, order: np.ndarray, least: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """part: the range of places to look at, for each context; all if None. For each context (a row; bytes lo to hi are its text) and place s, whether the window at s is also in another
     context of its group, and whether in one earlier in order. Contexts of a group hold their gram at the same column."""
@@ -198,14 +210,11 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
     def find(batches):
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column("_text")]
-            short = [k for k, t in enumerate(texts) if len(t) <= _BLOCK]
-            f = anchors([texts[k] for k in short], least)
-            found = [np.array(short, dtype=np.int64)[f[0]]], [f[1]], [f[2]], [f[3]]
-            for k, t in enumerate(texts):
-                if len(t) > _BLOCK:
-                    f = text_anchors(t, least)
-                    for to, x in zip(found, (f[0] + k, *f[1:]), strict=True):
-                        to.append(x)
+            found = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+            for own in in_runs([len(t) for t in texts], _BLOCK):
+                f = anchors([texts[k] for k in own], least) if len(texts[own[0]]) <= _BLOCK else text_anchors(texts[own[0]], least)
+                for to, x in zip(found, (np.array(own, dtype=np.int64)[f[0]], *f[1:]), strict=True):
+                    to.append(x)
             k, q, gram, around = (np.concatenate(x) for x in found)
             take = pa.array(k)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(around), batch.column("_a").take(take), batch.column("_b").take(take), pa.array(q)], ["g", "c", "_a", "_b", "q"])
