@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from palimpsest.llm.common import SPACE, SPACE_CHARS, table
+from palimpsest.llm.common import SPACE, SPACE_CHARS, Stash, table
 from palimpsest.llm.trees import Node, forest
 
 SHORTEST = 16
@@ -22,6 +22,8 @@ _RUN = f"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}"
 #: Words that stand before secrets, and before other long strings.
 CUES = "token|secret|passwd|password|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
 OTHER_CUES = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|etag|revision|integrity|path|file|url|href"
+#: The share of all words from which on a word is in the dictionary.
+FREQUENT = 1 / 5000
 FEATURES = ("length", "transitions", "digit_ratio", "upper_ratio", "hex", "dictionary", "slashes", "dots", "extension", "cue", "other_cue", "assigned", "quoted", "distinct")
 
 
@@ -79,13 +81,16 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...]) -> DataFrame:
     return found.select("*", *(x.alias(f"_{f}") for f, x in features(dictionary).items()))
 
 
-def sample_dictionary(docs: DataFrame, id_col: str, text_col: str, sample: int = 400, most: int = 150) -> tuple[str, ...]:
-    """The most frequent words of 3 to 8 letters a-z in `sample` documents, those with the smallest hashes of their id."""
-    ids = [r[0] for r in docs.where(F.col(f"`{id_col}`").isNotNull()).select(f"`{id_col}`").orderBy(F.xxhash64(f"`{id_col}`"), f"`{id_col}`").limit(sample).collect()]
-    if not ids:
-        return ()
-    words = docs.where(F.col(f"`{id_col}`").isin(ids)).select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`").cast("string")), F.lit("(?<![a-z])[a-z]{3,8}(?![a-z])"), 0)).alias("w"))
-    return tuple(r[0] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect())
+def frequent_words(docs: DataFrame, text_col: str = "text", least: float = FREQUENT) -> tuple[str, ...]:
+    """The words of 3 to 8 letters a-z that are at least the share `least` of all such words of all documents, most frequent
+    first; by that share there are no more than 1 / least."""
+    text = F.lower(F.col(f"`{text_col}`").cast("string"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit("(?<![a-z])[a-z]{3,8}(?![a-z])"), 0)).alias("w"))
+    counts = Stash(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    total = counts.df.agg(F.sum("n")).first()[0] or 0
+    out = tuple(r["w"] for r in counts.df.where(F.col("n") >= least * total).orderBy(F.desc("n"), "w").collect())
+    counts.drop()
+    return out
 
 
 def example_findings(dictionary: tuple[str, ...], n: int = 700, seed: int = 4) -> list[tuple[str, int]]:
@@ -144,7 +149,7 @@ def redact(text: Column, findings: Column) -> Column:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    dictionary = sample_dictionary(docs, "doc_id", "text")
+    dictionary = frequent_words(docs)
     model = train(spark.createDataFrame(example_findings(dictionary), "text string, label int"), dictionary)
     out = secret_scan(docs, model)
     return out.select("doc_id", "pos", F.char_length("finding").cast("long").alias("n_chars"), F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")

@@ -2,7 +2,7 @@
 
 import re
 
-from palimpsest.llm.secret_scan import candidates, example_findings, redact, secret_scan, train
+from palimpsest.llm.secret_scan import candidates, example_findings, frequent_words, redact, secret_scan, train
 
 DICTIONARY = ("the", "and", "tion", "with", "that", "this", "from", "have")
 
@@ -34,6 +34,20 @@ def test_held_out_findings(spark):
     assert secret_scan(docs.limit(0), model).count() == 0
 
 
+def test_frequent_words_are_of_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    ids = [r[0] for r in spark.range(1500).orderBy(F.xxhash64("id"), "id").collect()]
+    # the 400 documents with the smallest hashes hold many words of their own; the others a word that is in none of these
+    common = ["".join("abcdefghij"[int(c)] for c in f"{k:03}") for k in range(200)]
+    rows = [(i, " ".join(common[k % 10 :: 10]) if k < 400 else "Quuxly" if k % 2 else "12 quuxly, ab toolongaword") for k, i in enumerate(ids)] + [(None, "quuxly"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = frequent_words(docs)
+    assert got[0] == "quuxly" and set(got) == {"quuxly", *common}
+    assert frequent_words(docs, least=0.1) == ("quuxly",)
+    assert frequent_words(docs.limit(0)) == ()
+
+
 def test_redact(spark):
     from pyspark.sql import functions as F
 
