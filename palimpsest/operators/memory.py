@@ -37,16 +37,17 @@ def validate(content: str | None = None, source: str | None = None, scope: str |
     return source, scope, own if scope == "glob" else None
 
 
-def list_memories(memories: DataFrame, project: str, scope: str | None = None, limit: int = 100) -> DataFrame:
-    """Pinned ones first, then the latest."""
+def list_memories(memories: DataFrame, project: str, scope: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Pinned ones first, then the latest; at most 500, or all where limit is None."""
     rows = memories.where(F.col("project_id") == project)
     if scope:
         rows = rows.where(F.coalesce("scope", F.lit("auto")) == scope)
-    return rows.orderBy(F.desc("pinned"), F.desc("updated_at"), "id").limit(min(max(limit, 1), 500))
+    rows = rows.orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
+    return rows if limit is None else rows.limit(min(max(limit, 1), 500))
 
 
-def with_global(memories: DataFrame, project: str, limit: int = 100) -> DataFrame:
-    """A project's memories and the global ones, each id once."""
+def with_global(memories: DataFrame, project: str, limit: int | None = 100) -> DataFrame:
+    """A project's memories and the global ones, each id once; limit as in list_memories, for each of the two."""
     both = list_memories(memories, project, None, limit).unionByName(list_memories(memories, GLOBAL, None, limit))
     return both.dropDuplicates(["id"]).orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
 

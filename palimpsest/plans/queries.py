@@ -543,7 +543,7 @@ def memory_list(spark, sf):
 
 @query(f"WITH {_MEMORIES} SELECT id, project_id FROM m WHERE project_id = '2' OR project_id = '__global__'")
 def memory_with_global(spark, sf):
-    return memory.with_global(memories(spark, sf), "2", 500).select("id", "project_id")
+    return memory.with_global(memories(spark, sf), "2", None).select("id", "project_id")
 
 
 @query(f"WITH {_MEMORIES} SELECT id, round({_MCOS}, 6) AS score FROM m WHERE project_id = '1' AND scope = 'auto' ORDER BY {_MCOS} DESC, id LIMIT 10")

@@ -42,6 +42,19 @@ def test_against_duckdb(spark, db, name):
     assert mine == theirs
 
 
+def test_memory_with_global_has_all_rows(spark, tmp_path):
+    import duckdb
+
+    n = 2_404  # 601 memories of project 2 and as many global ones
+    spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'src0' as source", "id % 90 as n_chars").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(n).selectExpr("id as vec_id", "array(cast(1 as float), cast(id as float)) as embedding", "0 as label").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = [tuple(r) for r in q.memory_with_global(spark, str(tmp_path)).select("id", "project_id").collect()]
+    assert len(got) == 1202 and sorted(got) == sorted(db.execute(q.SQL["memory_with_global"]).fetchall())
+
+
 def test_mmr_by_hand(spark):
     from palimpsest.operators.recall import mmr
 
