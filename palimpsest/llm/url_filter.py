@@ -1,7 +1,8 @@
 """URL filters: rules on hosts and paths first, gradient-boosted trees on lexical features for the rest.
 
-Rules become one conditional expression. The trees are trained on the driver from a bounded sample of labelled
-URLs, by default those that rules decide, and score all others where they are read, without a shuffle.
+Rules become one conditional expression. How often URLs of a suffix are blocked is counted over all labelled URLs, by
+default those that rules decide; only the trees are trained on the driver from a bounded sample of them. They score all
+others where they are read, joined with the suffixes' table, which is broadcast where it is small.
 """
 
 from __future__ import annotations
@@ -9,17 +10,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from palimpsest.llm.common import lower_ascii, table
+from palimpsest.llm.common import Stash, lower_ascii, table
 from palimpsest.llm.trees import Node, boost
 
 FEATURES = ("length", "host_length", "host_depth", "path_depth", "path_length", "digit_ratio", "entropy", "parameters", "hyphens", "fragment", "host_digits", "top_rate", "site_rate", "host_word", "vowel_ratio")
 
+#: Up to so many suffixes are broadcast.
+MOST_BROADCAST = 1_000_000
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host with A-Z lower-cased, and path; both empty where there is no `://`."""
@@ -39,8 +44,14 @@ def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def lexical(url: str, rates: dict[str, float], usual: float) -> list[float]:
-    """FEATURES of a URL; rates: how often URLs of a suffix are blocked."""
+def suffixes(url: Column) -> tuple[Column, Column]:
+    """The last label of a URL's host, and the last two."""
+    host = F.lower(F.when(url.contains("://"), F.regexp_extract(url, "://([^/?#]*)", 1)).otherwise(F.regexp_extract(url, "^([^/?#]*)", 1)))
+    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+
+
+def lexical(url: str, top_rate: float, site_rate: float) -> list[float]:
+    """FEATURES of a URL; the rates: how often URLs of its suffixes are blocked."""
     after = url.split("://", 1)[1] if "://" in url else url
     host = re.split(r"[/?#]", after, maxsplit=1)[0].lower()
     path = re.split(r"[?#]", after[len(host) :], maxsplit=1)[0]
@@ -52,35 +63,57 @@ def lexical(url: str, rates: dict[str, float], usual: float) -> list[float]:
     return [
         len(url), len(host), len(labels), sum(bool(x) for x in path.split("/")), len(path), sum(c.isdigit() for c in url) / n,
         -sum(k / n * math.log2(k / n) for k in chars.values()), len([x for x in query.split("&") if x]), url.count("-"), float("#" in url), sum(c.isdigit() for c in host),
-        rates.get(labels[-1], usual), rates.get(".".join(labels[-2:]), usual), len(longest), sum(c in "aeiou" for c in host) / max(len(host), 1),
+        top_rate, site_rate, len(longest), sum(c in "aeiou" for c in host) / max(len(host), 1),
     ]
 
 
+def log_odds(start: float, trees: list[Node], row: list[float]) -> float:
+    return start + sum(t.score(row) for t in trees)
+
+
 class UrlModel:
-    """Boosted trees, and the suffix statistics of their training sample."""
-
-    def __init__(self, urls: list[str], blocked: list[int]):
-        self.usual = (sum(blocked) + 1) / (len(blocked) + 2)
-        seen: dict[str, list[int]] = {}
-        for url, y in zip(urls, blocked, strict=True):
-            labels = re.split(r"[/?#]", url.partition("://")[2], maxsplit=1)[0].lower().split(".")
-            for suffix in {labels[-1], ".".join(labels[-2:])}:
-                seen.setdefault(suffix, []).append(y)
-        # smoothed, and only suffixes that several URLs have, so that the table is no larger than the sample
-        self.rates = {s: round((sum(y) + 4 * self.usual) / (len(y) + 4), 4) for s, y in seen.items() if len(y) >= 4}
-        self.start, self.trees = boost([lexical(u, self.rates, self.usual) for u in urls], blocked)
+    """Boosted trees, and the table (suffix, rate) of all labelled URLs' suffixes; other suffixes have the usual rate."""
+
+    def __init__(self, table: DataFrame, usual: float, rows: list[list[float]], blocked: list[int]):
+        self.table, self.usual = table, usual
+        self.start, self.trees = boost(rows, blocked)
+
+    @cached_property
+    def rates(self) -> dict[str, float]:
+        """The table on the driver, for single URLs."""
+        return {r["suffix"]: r["rate"] for r in self.table.collect()}
 
     def score(self, url: str | None) -> float:
         """Log odds of being blocked."""
-        row = lexical(url or "", self.rates, self.usual)
-        return self.start + sum(t.score(row) for t in self.trees)
+        url = url or ""
+        labels = re.split(r"[/?#]", url.split("://", 1)[-1], maxsplit=1)[0].lower().split(".")
+        top, site = (self.rates.get(s, self.usual) for s in (labels[-1], ".".join(labels[-2:])))
+        return log_odds(self.start, self.trees, lexical(url, top, site))
+
+
+def with_rates(urls: DataFrame, url: Column, table: DataFrame, usual: float) -> DataFrame:
+    """urls with _top_rate and _site_rate from the table (suffix, rate)."""
+    small = F.broadcast if table.count() <= MOST_BROADCAST else lambda t: t
+    out = urls.withColumns(dict(zip(("_top", "_site"), suffixes(F.coalesce(url, F.lit(""))), strict=True)))
+    for name in ("_top", "_site"):
+        out = out.join(small(table.select(F.col("suffix").alias(name), F.col("rate").alias(f"{name}_rate"))), name, "left")
+    return out.withColumns({f"{n}_rate": F.coalesce(f"{n}_rate", F.lit(usual)) for n in ("_top", "_site")}).drop("_top", "_site")
 
 
 def train(urls: DataFrame, url_col: str = "url", label_col: str = "blocked", sample: int = 3000) -> UrlModel:
-    """A model from at most `sample` labelled distinct URLs, those with the smallest hashes; label 1 is block, 0 allow."""
+    """A model from labelled distinct URLs; label 1 is block, 0 allow. Suffixes are counted over all of them; the trees are
+    trained on at most `sample`, those with the smallest hashes."""
     rows = urls.select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).where("u is not null and y in (0, 1)").groupBy("u").agg(F.max("y").alias("y"))
-    rows = rows.orderBy(F.xxhash64("u"), "u").limit(sample).collect()
-    return UrlModel([r["u"] for r in rows], [r["y"] for r in rows])
+    known = Stash(rows, "labelled")
+    n, blocked = known.df.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    usual = (blocked + 1) / (n + 2)
+    counts = known.df.select("y", F.explode(F.array_distinct(F.array(*suffixes(F.col("u"))))).alias("suffix")).groupBy("suffix").agg(F.count("y").alias("n"), F.sum("y").alias("blocked"))
+    # smoothed, and only suffixes that several URLs have
+    table = Stash(counts.where("n >= 4").select("suffix", F.round((F.col("blocked") + 4 * usual) / (F.col("n") + 4), 4).alias("rate")), "suffixes").df
+    chosen = known.df.orderBy(F.xxhash64("u"), "u").limit(sample)
+    found = sorted(with_rates(chosen.withColumn("h", F.xxhash64("u")), F.col("u"), table, usual).collect(), key=lambda r: (r["h"], r["u"]))
+    known.drop()
+    return UrlModel(table, usual, [lexical(r["u"], r["_top_rate"], r["_site_rate"]) for r in found], [r["y"] for r in found])
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None = None, url_col: str = "url") -> DataFrame:
@@ -101,10 +134,13 @@ def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     out = out.withColumn("_verdict", F.when(F.col("_rule").isNotNull(), verdicts[F.col("_rule")]))
     if model is None:
         model = train(out.where("_rule is not null").select("_url", (F.col("_verdict") == "block").cast("int").alias("blocked")), "_url")
+    out = with_rates(out, F.col("_url"), model.table, model.usual)
+    start, trees = model.start, model.trees
 
     def run(batches):
         for batch in batches:
-            scores = [None if r is not None else model.score(u) for u, r in zip(batch.column("_url").to_pylist(), batch.column("_rule").to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_url", "_rule", "_top_rate", "_site_rate")), strict=True)
+            scores = [None if r is not None else log_odds(start, trees, lexical(u or "", top, site)) for u, r, top, site in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
 
     from pyspark.sql import types as T

@@ -52,3 +52,22 @@ def test_model_on_held_out(spark):
     model = train(spark.createDataFrame(rows[:600], "url string, blocked int"))
     right = sum((model.score(u) > 0) == bool(y) for u, y in rows[600:])
     assert right / 300 > 0.95
+
+
+def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
+    from palimpsest.llm import url_filter as module
+
+    # one blocked site in 1,000 labelled URLs, and one in ten sites blocked at all
+    rows = [(f"http://w{k % 7}.s{k % 1000}.com/{k}", int(k % 1000 % 10 == 3)) for k in range(20_000)] + [("http://once.net/", 1), ("no scheme", 0), (None, 1)]
+    model = train(spark.createDataFrame(rows, "url string, blocked int"), sample=300)
+    sites = {f"s{k}.com" for k in range(1000)}
+    assert sites <= set(model.rates) and "once.net" not in model.rates
+    usual = 2001 / 20_002
+    for k in (3, 4, 993):
+        assert abs(model.rates[f"s{k}.com"] - (20 * (k % 10 == 3) + 4 * usual) / 24) < 1e-3
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter(pages, {}, model).collect()}
+    assert sum((got[k]["verdict"] == "block") == bool(y) for k, (_, y) in enumerate(rows[:20_000])) / 20_000 > 0.99
+    assert all(abs(got[k]["score"] - model.score(rows[k][0])) < 1e-9 for k in (*range(200), 20_000, 20_001, 20_002))
+    monkeypatch.setattr(module, "MOST_BROADCAST", 10)  # joined without a broadcast
+    assert {r["page_id"]: r for r in url_filter(pages, {}, model).collect()} == got
