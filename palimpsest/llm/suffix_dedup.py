@@ -1,17 +1,18 @@
-"""Repeated-substring dedup by longest-previous-factor arrays over buckets of suffixes.
+"""Repeated-substring dedup by anchored hashing of windows, in place of suffix arrays.
 
-Only the first `least` bytes of a suffix matter here: a suffix has an earlier match iff its longest previous factor
-(the longer of its common prefixes with the previous and the next smaller position in suffix order) is at least
-that long. So suffixes need ordering only among those that can share so much, and these are brought together:
+Only the first `least` bytes of a suffix matter here: a suffix has an earlier match iff its longest previous factor is
+at least that long, that is, iff its window of `least` bytes occurs at a smaller position. No suffixes are ordered and
+no array of longest previous factors is built; equal windows are found by hash, among those that can be equal, and
+these are brought together:
 
 1. Each window of `least` bytes has an anchor, the gram of `_GRAM` bytes in it with the smallest hash; equal windows
    have the same anchor at the same place. One pass finds all anchors, about one in `(least - _GRAM) / 2` bytes,
    and a hash of the bytes around each that its windows can cover, its context.
 2. Anchors whose gram is found twice or more are kept. Those with the same gram and context form a class: all their
    windows repeat. A text copied to a third of all documents is a few classes, whatever its copies.
-3. One context of each class that shares its gram with another class is fetched. Within a gram, the suffixes at
-   every place of the contexts are put in the order of their first `least` bytes, ties by position; the neighbours in
-   that order are the previous and next matches, whose common bytes are then compared. Grams with very
+3. One context of each class that shares its gram with another class is fetched. Within a gram, the windows at
+   every place of the contexts are sorted by 64 bits of hash, ties by position; neighbours of equal hash are the
+   previous and next matches, whose common bytes are then compared. Grams with very
    many classes are dealt out further, by the bytes that all windows of a range of places have in common; what
    shares even those with very many is not gathered: there, windows are counted by hash over all tasks.
 4. Bits of matched windows go back to the anchors' documents, where their bytes are united and removed.
@@ -148,7 +149,7 @@ def match_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.nd
         return anyone, earlier
     part = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     flat, where = flat[part], where[part]
-    by = np.lexsort((order[where // width], flat))  # suffix order as far as it matters, ties by position
+    by = np.lexsort((order[where // width], flat))  # equal windows together, by position
     flat, where = flat[by], where[by]
     pair = np.flatnonzero(flat[1:] == flat[:-1])
     i, j, col = where[pair] // width, where[pair + 1] // width, where[pair] % width
