@@ -1,7 +1,8 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then Poisson sampling.
 
-Documents fall into cells of source, language and topic, where values without a target of their own share one, so
-that there are no more cells than targets multiply to, whatever the corpus. One aggregation counts the tokens of
+Documents fall into cells of source, language and topic, where values without a target of their own share one; in a margin
+whose rest is dealt, as that of sources is by default, each value in the corpus gets a target, in proportion to a power
+of its tokens. So there are as many cells as targets multiply to. One aggregation counts the tokens of
 each cell; raking on the driver scales the cells until their margins meet the targets; a document then
 stays with its cell's probability, decided by a hash of its id, so that reruns and other partitionings agree.
 """
@@ -18,12 +19,17 @@ from pyspark.sql.column import Column
 from palimpsest.llm.common import SPACE, SPACE_CHARS, computed_once, rest_of, table
 
 OTHER = "other"
-#: The targets of the query and of the pipeline's stage: shares of tokens.
+#: The targets of the query and of the pipeline's stage: shares of tokens. OTHER's share of sources is dealt.
 TARGETS = {
     "source": {"src0": 0.25, OTHER: 0.75}, "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.14, OTHER: 0.01},
     "topic": {"table": 0.02, "list": 0.05, "short": 0.4, "long": 0.53},
 }
 
+#: The power of tokens by which a margin's rest is dealt: 1 keeps the corpus's balance, 0 makes all alike.
+TEMPER = 0.5
+#: Up to so many cells are looked up in a literal; beyond, joined.
+MOST_LITERAL = 2000
+
 
 def count_words(text: Column) -> Column:
     """Words as runs without white space (long)."""
@@ -90,9 +96,17 @@ def calibrate(tokens: dict[tuple[str, ...], float], share: dict[tuple[str, ...],
     return Mix(names, {c: round(w, 12) for c, w in weights.items()}, {c: chance(w) if tokens[c] else 1.0 for c, w in weights.items()})
 
 
-def cell_columns(targets: dict[str, dict[str, float]], columns: dict[str, Column]) -> dict[str, Column]:
-    """Each margin's value, or OTHER where it has no target or is null."""
-    return {name: F.when(columns[name].isin(*goal), columns[name]).otherwise(F.lit(OTHER)) for name, goal in targets.items()}
+def cell_columns(targets: dict[str, dict[str, float]], columns: dict[str, Column], dealt: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Each margin's value, or OTHER where it is null or, in a margin that isn't dealt, has no target."""
+    return {name: F.coalesce(columns[name] if name in dealt else F.when(columns[name].isin(*goal), columns[name]), F.lit(OTHER)) for name, goal in targets.items()}
+
+
+def deal(goal: dict[str, float], tokens: dict[str, float], temper: float = TEMPER) -> dict[str, float]:
+    """goal with OTHER's share dealt among the values of tokens without a target, in proportion to a power of their tokens."""
+    own = {v: g for v, g in goal.items() if v != OTHER}
+    rest = {v: t**temper for v, t in sorted(tokens.items()) if v not in own and t > 0}
+    mass = math.fsum(rest.values())
+    return own | {v: goal.get(OTHER, 0.0) * x / mass for v, x in rest.items()} if rest else goal
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -101,19 +115,22 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float = 0.8, seed: int = 17, columns: dict[str, Column] | None = None
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float = 0.8, seed: int = 17, columns: dict[str, Column] | None = None,
+    dealt: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """docs and n_tokens (long), cell (struct of a string for each margin), weight, probability (double), kept (boolean).
 
     targets: for each margin the shares of its values; by default source, lang and topic. columns: a margin's values,
     by default the column of that name or, for topic where there is none, topic_of. budget: the share of all tokens that
     is expected to stay; kept documents' tokens meet the targets in expectation as far as cells have enough of them for
-    it. A whole document stays or goes.
+    it. A whole document stays or goes. dealt: margins in which OTHER's share is dealt among all values without a target
+    (`deal`), by their tokens in all of docs; by default source with the default targets, and none with others.
 
     Nulls in a margin: OTHER. Null or empty text: no tokens; such a document doesn't count, and stays by its cell's
     chance, or always where the cell has no tokens. Null ids: all alike by hash. Repeated rows: kept alike. Empty table: empty result. Columns of docs with
     the names of added ones are replaced; all others stay.
     """
+    dealt = dealt if dealt is not None else () if targets else ("source",)
     targets = targets or TARGETS
     names = tuple(targets)
     text = F.col(f"`{text_col}`")
@@ -121,14 +138,24 @@ def mix_sources(
     given = columns or {}
     base = computed_once(docs, {"_mix_n": count_words(text)})
     own = {n: given[n] if n in given else F.col(f"`{have[n.lower()]}`").cast("string") if n.lower() in have else topic_of(text, F.col("_mix_n")) if n == "topic" else F.lit(None).cast("string") for n in names}
-    cells = cell_columns(targets, own)
+    cells = cell_columns(targets, own, dealt)
     base = computed_once(base, {"_mix_cell": F.struct(*(c.alias(n) for n, c in cells.items()))})
     counted = base.groupBy("_mix_cell").agg(F.sum("_mix_n").alias("n")).collect()
     tokens = {tuple(r["_mix_cell"]): float(r["n"]) for r in counted}
+    for k, name in enumerate(names):
+        if name in dealt:
+            margin: dict[str, float] = {}
+            for c, n in tokens.items():
+                margin[c[k]] = margin.get(c[k], 0.0) + n
+            targets = targets | {name: deal(targets[name], margin)}
     mix = calibrate(tokens, rake(tokens, names, targets), names, budget)
     weight, chance = F.lit(None).cast("double"), F.lit(None).cast("double")
     key = F.concat_ws("\x1f", *(F.col(f"_mix_cell.{n}") for n in names))
-    if tokens:
+    if len(tokens) > MOST_LITERAL:
+        plan = base.sparkSession.createDataFrame([("\x1f".join(c), w, mix.chances[c]) for c, w in sorted(mix.weights.items())], "_mix_key string, _mix_weight double, _mix_chance double")
+        base = base.join(F.broadcast(plan), key == F.col("_mix_key"), "left")
+        weight, chance = F.col("_mix_weight"), F.col("_mix_chance")
+    elif tokens:
         weight, chance = (F.create_map(*(F.lit(x) for c, v in sorted(m.items()) for x in ("\x1f".join(c), v)))[key] for m in (mix.weights, mix.chances))
     added = ("n_tokens", "cell", "weight", "probability", "kept")
     rows = base.withColumn("_mix_w", weight).withColumn("_mix_p", chance)

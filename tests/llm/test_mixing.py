@@ -45,3 +45,22 @@ def test_documents(spark):
     again = {r["doc_id"]: r["kept"] for r in mix_sources(docs.repartition(7), goals, budget=0.02).collect()}
     assert again == {r["doc_id"]: r["kept"] for r in got}
     assert mix_sources(docs.limit(0)).count() == 0
+
+
+def test_every_source_has_a_target(spark, monkeypatch):
+    from palimpsest.llm import mixing
+
+    # no src0, a hot src7, and a null source; all of one language and topic
+    sizes = {"src7": 1600, "src1": 400, "src2": 100, "src3": 100, None: 25}
+    rows = [(k, "w " * 10, "en", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    roots = {s or "other": n**0.5 for s, n in sizes.items()}
+    out = mix_sources(docs, budget=0.05).cache()
+    got = expected_margins(out, "source")
+    assert set(got) == set(roots) and all(abs(got[s] - r / sum(roots.values())) < 1e-6 for s, r in roots.items())
+    more = docs.unionByName(spark.createDataFrame([(9000 + k, "w " * 10, "en", "src0") for k in range(700)], docs.schema))
+    got = expected_margins(mix_sources(more, budget=0.05), "source")
+    assert abs(got["src0"] - 0.25) < 1e-6 and abs(got["src7"] - 0.75 * 40 / sum(roots.values())) < 1e-6
+    monkeypatch.setattr(mixing, "MOST_LITERAL", 1)  # cells joined
+    row = lambda r: (r["doc_id"], r["weight"], r["probability"], r["kept"])
+    assert sorted(map(row, mix_sources(docs, budget=0.05).collect())) == sorted(map(row, out.collect()))
