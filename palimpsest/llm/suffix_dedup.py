@@ -1,21 +1,24 @@
-"""Repeated-substring dedup by anchored hashing of windows, in place of suffix arrays.
+"""Repeated-substring dedup by longest previous factors in suffix order, worked out bucket by bucket.
 
-Only the first `least` bytes of a suffix matter here: a suffix has an earlier match iff its longest previous factor is
-at least that long, that is, iff its window of `least` bytes occurs at a smaller position. No suffixes are ordered and
-no array of longest previous factors is built; equal windows are found by hash, among those that can be equal, and
-these are brought together:
+A suffix has an earlier match of `least` bytes iff its longest previous factor is at least that long. Suffixes that can
+share so much are brought together and put in order there (`factors`):
 
 1. Each window of `least` bytes has an anchor, the gram of `_GRAM` bytes in it with the smallest hash; equal windows
    have the same anchor at the same place. One pass finds all anchors, about one in `(least - _GRAM) / 2` bytes,
    and a hash of the bytes around each that its windows can cover, its context.
 2. Anchors whose gram is found twice or more are kept. Those with the same gram and context form a class: all their
-   windows repeat. A text copied to a third of all documents is a few classes, whatever its copies.
-3. One context of each class that shares its gram with another class is fetched. Within a gram, the windows at
-   every place of the contexts are sorted by 64 bits of hash, ties by position; neighbours of equal hash are the
-   previous and next matches, whose common bytes are then compared. Grams with very
-   many classes are dealt out further, by the bytes that all windows of a range of places have in common; what
-   shares even those with very many is not gathered: there, windows are counted by hash over all tasks.
-4. Bits of matched windows go back to the anchors' documents, where their bytes are united and removed.
+   windows repeat, and the smallest position of the class is the earlier match of all others. A text copied to a third of
+   all documents is a few classes, whatever its copies.
+3. One context of each class that shares its gram with another class is fetched. Within a gram, contexts are put in
+   suffix order by their bytes, and previous and next smaller positions give the longest previous factor at every place.
+4. A gram of more than `_GATHER` classes is dealt out by ranges of places, a range by narrower ones: contexts meet again
+   only if they agree in the bytes that all windows of the range have in common, and are one class if they agree in all
+   bytes that the range's windows cover. At a range of one place the two are the same, so no task holds more than `_GATHER`
+   contexts of a bucket.
+5. Places whose factors are long enough go back to the anchors' documents, where their bytes are united and removed.
+
+On every path, equal strings of a class are told by 128 bits of hash or more (gram and context), and those of different
+classes are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -28,15 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Stash, stash, table
+from palimpsest.llm.factors import factors
 from palimpsest.llm.packing import small_batches
 from palimpsest.llm.shingles import mix, powers
 
 _GRAM = 128
 _BLOCK = 1 << 20  # bytes of text worked on at a time; the arrays take some 100 times as much
-_GATHER = 3000  # classes of a gram that one task may hold together
-_RANGES = 4  # of places, in grams of more classes
-_GATHER_RANGE = 20_000  # classes of a range that one task may hold together, some 100 MB
-_ROWS = 1024  # contexts hashed at a time
+_GATHER = 1000  # classes of a bucket that meet in one task
+_SPLIT = 8  # ranges that a range of places is dealt to
+_ROWS = 4096  # contexts put in order at a time, and whole buckets beyond
+_FETCH = 4096  # contexts that leave a task together
 _BROADCAST = 1_000_000  # grams, about 50 MB as a hash table
 _TOP = np.uint64((1 << 64) - 1)
 
@@ -104,12 +108,22 @@ def text_anchors(text: bytes, least: int) -> tuple[np.ndarray, ...]:
     return np.zeros(len(once), np.int64), q[once], gram[once], around[once]
 
 
-def ranges(least: int) -> list[tuple[int, int]]:
-    """First and last place of each range."""
-    edges = np.linspace(0, least - _GRAM + 1, _RANGES + 1).astype(int).tolist()
+def ranges(least: int, level: int) -> list[tuple[int, int]]:
+    """First and last place of each range of a level; those of a level lie within those of the level before."""
+    width = least - _GRAM + 1
+    n = min(_SPLIT**level, width)
+    edges = [k * width // n for k in range(n + 1)]
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def levels(least: int) -> int:
+    """The level whose ranges are single places."""
+    level = 0
+    while _SPLIT**level < least - _GRAM + 1:
+        level += 1
+    return level
+
+
 def in_runs(sizes: list[int], most: int) -> list[list[int]]:
     """Numbers of texts in runs of at most `most` bytes together; a longer text is a run of its own."""
     out, size = [], most + 1
@@ -122,75 +136,29 @@ def in_runs(sizes: list[int], most: int) -> list[list[int]]:
     return out
 
 
-def match_windows(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, order: np.ndarray, least: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """part: the range of places to look at, for each context; all if None. For each context (a row; bytes lo to hi are its text) and place s, whether the window at s is also in another
-    context of its group, and whether in one earlier in order. Contexts of a group hold their gram at the same column."""
-    m, width = len(rows), rows.shape[1] - least + 1
-    _, down = powers(rows.shape[1] + 1)
-    s = np.arange(width)
-    from_, to = np.zeros(m, dtype=np.int64), np.full(m, width - 1)
-    if part is not None:
-        from_, to = np.array(ranges(least))[part].T
-    from_, to = np.maximum(lo, from_), np.minimum(hi - least, to)
-    flat, where = [], []
-    for k in range(0, m, _ROWS):
-        own = slice(k, k + _ROWS)
-        sums = _prefix(rows[own])
-        keys = mix((sums[:, least:] - sums[:, :-least]) * down[:width] + mix(group[own].astype(np.uint64), 3)[:, None] + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        valid = np.flatnonzero((s[None] >= from_[own, None]) & (s[None] <= to[own, None]))
-        flat.append(keys.ravel()[valid])
-        where.append(valid + k * width)
-    flat, where = np.concatenate(flat), np.concatenate(where)
-    by = np.argsort(flat, kind="stable")
-    flat, where = flat[by], where[by]
-    same = flat[1:] == flat[:-1]
-    anyone, earlier = np.zeros((m, width), dtype=bool), np.zeros((m, width), dtype=bool)
-    if not same.any():
-        return anyone, earlier
-    part = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    flat, where = flat[part], where[part]
-    by = np.lexsort((order[where // width], flat))  # equal windows together, by position
-    flat, where = flat[by], where[by]
-    pair = np.flatnonzero(flat[1:] == flat[:-1])
-    i, j, col = where[pair] // width, where[pair + 1] // width, where[pair] % width
-    one, back = np.unique(i * m + j, return_inverse=True)
-    a, b = one // m, one % m
-    left, right = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
-    middle = width - 1
-    for k in range(0, len(one), 4096):
-        differ = rows[a[k : k + 4096]] != rows[b[k : k + 4096]]
-        before = differ[:, middle::-1]
-        left[k : k + 4096] = np.where(before.any(1), middle + 1 - before.argmax(1), 0)
-        after = differ[:, middle:]
-        right[k : k + 4096] = np.where(after.any(1), middle + after.argmax(1), rows.shape[1])
-    left, right = np.maximum(left, np.maximum(lo[a], lo[b])), np.minimum(right, np.minimum(hi[a], hi[b]))
-    true = (col >= left[back]) & (col + least <= right[back])
-    i, j, col = i[true], j[true], col[true]
-    anyone[i, col] = anyone[j, col] = earlier[j, col] = True
-    return anyone, earlier
-
-
-def core_hashes(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int):
-    """(row, range, hash) of the bytes that all windows of each range have in common, where it has any."""
+def range_hashes(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, inside: np.ndarray, level: int, least: int):
+    """(row, range, hash of the bytes that all windows of the range share, hash of all bytes that they cover) for each range of
+    the level that lies in the context's range of the level before (`inside`) and at whose places it has windows."""
     sums = _prefix(rows)
     _, down = powers(rows.shape[1] + 1)
-    out = []
-    for k, (first, last) in enumerate(ranges(least)):
-        own = np.flatnonzero((lo <= last) & (hi >= first + least))
-        out.append((own, np.full(len(own), k), mix((sums[own, first + least] - sums[own, last]) * down[last])))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def window_hashes(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, part: np.ndarray):
-    """(row, place, hash) of every window of the contexts in the range of each."""
-    sums = _prefix(rows)
-    width = rows.shape[1] - least + 1
-    _, down = powers(rows.shape[1] + 1)
-    keys = mix((sums[:, least:] - sums[:, :-least]) * down[:width])
-    s = np.arange(width)
-    first, last = np.array(ranges(least))[part].T
-    row, place = np.nonzero((s[None] >= np.maximum(lo, first)[:, None]) & (s[None] + least <= hi[:, None]) & (s[None] <= last[:, None]))
-    return row, place, keys[row, place]
+    hashes = lambda own, a, b: mix((sums[own, b] - sums[own, a]) * down[a])
+    above, out, k = ranges(least, level - 1), [], 0
+    for n, (first, last) in enumerate(ranges(least, level)):
+        k += first > above[k][1]
+        own = np.flatnonzero((inside == k) & (lo <= last) & (hi >= first + least))
+        if len(own):
+            a, b = np.maximum(lo[own], first), np.minimum(hi[own], last + least)
+            core = hashes(own, np.full(len(own), last), np.full(len(own), first + least))
+            out.append((own, np.full(len(own), n), core, mix(hashes(own, a, b) + mix(((a - first) * (4 * least) + (last + least - b)).astype(np.uint64), 5))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+
+
+def range_bits(least: int, level: int) -> list[bytes]:
+    """For each range of a level, its places as bits."""
+    grid = np.zeros((len(ranges(least, level)), least - _GRAM + 1), dtype=bool)
+    for k, (first, last) in enumerate(ranges(least, level)):
+        grid[k, first : last + 1] = True
+    return [x.tobytes() for x in np.packbits(grid, axis=1)]
 
 
 def _contexts(batch: pa.RecordBatch, least: int):
@@ -205,7 +173,7 @@ def _contexts(batch: pa.RecordBatch, least: int):
 
 
 def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
-    """(_a, _b, at): the sorted starts of the windows to remove, of docs' (_a, _b, _text)."""
+    """(_a, _b, own): the windows to remove, of docs' (_a, _b, _text)."""
     middle = least - _GRAM
 
     def find(batches):
@@ -231,8 +199,10 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
     lists = need.groupBy("_a", "_b").agg(F.collect_list(F.struct("g", "c", "m", "q")).alias("own"))
 
     def fetch(batches):
+        types, names = [pa.int64()] * 6 + [pa.int32(), pa.binary()], ["g", "c", "m", "_a", "_b", "q", "left", "context"]
+        done = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
         for batch in batches:
-            cols = [[] for _ in range(8)]
+            cols = [[] for _ in names]
             for a, b, text, own in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), batch.column("_text"), batch.column("own").to_pylist(), strict=True):
                 text = (text.as_py() or "").encode()
                 for x in own:
@@ -240,95 +210,96 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
                     lo = max(q - middle, 0)
                     for col, value in zip(cols, (x["g"], x["c"], x["m"], a, b, q, q - lo, text[lo : q + least]), strict=True):
                         col.append(value)
-            types = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["g", "c", "m", "_a", "_b", "q", "left", "context"])
+                    if len(cols[0]) >= _FETCH:
+                        yield done(cols)
+                        cols = [[] for _ in names]
+            yield done(cols)
 
     contexts = Stash(docs.join(lists, ["_a", "_b"]).select("_a", "_b", "_text", "own").mapInArrow(fetch, "g long, c long, m long, _a long, _b long, q long, left int, context binary"), "contexts")
 
     def judge(batches):
-        """Rows come with those of a group together; a batch's last group waits for the next batch."""
+        """Rows come with those of a bucket together, and of a class; a batch's last bucket waits for the next batch."""
         held: pa.Table | None = None
 
         def done(part: pa.Table):
-            part = part.combine_chunks().to_batches()[0]
+            bucket, c = part.column("bucket").to_numpy(), part.column("c").to_numpy()
+            # documents that are there twice bring a class's context twice
+            part = part.filter(pa.array(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1])]))).combine_chunks().to_batches()[0]
             rows, lo, hi = _contexts(part, least)
-            order = np.empty(part.num_rows, dtype=np.int64)
-            order[np.lexsort([part.column(x).to_numpy() for x in ("q", "_b", "_a")])] = np.arange(part.num_rows)
-            anyone, earlier = match_windows(rows, lo, hi, part.column("group").to_numpy(), order, least, part.column("r").to_numpy() if "r" in part.schema.names else None)
-            hit = np.flatnonzero(anyone.any(1))
-            bits = [pa.array([x.tobytes() for x in np.packbits(y[hit], axis=1)], pa.binary()) for y in (anyone, earlier)]
+            position = np.empty(part.num_rows, dtype=np.int64)
+            position[np.lexsort([part.column(x).to_numpy() for x in ("q", "_b", "_a")])] = np.arange(part.num_rows)
+            previous, other = factors(rows, lo, hi, part.column("bucket").to_numpy(), position, middle, least)
+            enough = (other if keep == "none" else previous) >= least
+            hit = np.flatnonzero(enough.any(1))
             take = pa.array(hit)
-            return pa.RecordBatch.from_arrays([part.column("g").take(take), part.column("c").take(take), *bits], ["g", "c", "anyone", "earlier"])
+            return pa.RecordBatch.from_arrays([part.column("g").take(take), part.column("c").take(take), pa.array([x.tobytes() for x in np.packbits(enough[hit], axis=1)], pa.binary())], ["g", "c", "bits"])
 
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.num_rows >= 2000:
-                g = held.column("group").to_numpy()
-                cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            if held.num_rows >= _ROWS:
+                bucket = held.column("bucket").to_numpy()
+                cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
                 if cut:
                     yield done(held.slice(0, cut))
                     held = held.slice(cut)
         if held is not None and held.num_rows:
             yield done(held)
 
-    def cores(batches):
-        for batch in batches:
-            row, part, key = core_hashes(*_contexts(batch, least), least)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("g").take(take), batch.column("c").take(take), pa.array(part.astype(np.int32)), pa.array(key.view(np.int64))], ["g", "c", "r", "h"])
-
-    def expand(batches):
-        for batch in batches:
-            row, place, key = window_hashes(*_contexts(batch, least), least, batch.column("r").to_numpy())
-            for k in range(0, len(row), 10_000):
-                take = pa.array(row[k : k + 10_000])
-                cols = [batch.column(c).take(take) for c in ("g", "c", "_a", "_b", "q")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(place[k : k + 10_000].astype(np.int32)), pa.array(key[k : k + 10_000].view(np.int64))], ["g", "c", "_a", "_b", "q", "s", "h"])
-
-    bits = "g long, c long, anyone binary, earlier binary"
-    gather = lambda rows: rows.repartition("group").sortWithinPartitions("group").mapInArrow(judge, bits)
-    gathered = gather(contexts.df.where(F.col("m") <= _GATHER).withColumn("group", F.col("g")))
+    bits = "g long, c long, bits binary"
+    gather = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket", "c").mapInArrow(judge, bits)
+    judged = gather(contexts.df.where(F.col("m") <= _GATHER).withColumn("bucket", F.col("g")))
     large = contexts.df.where(F.col("m") > _GATHER)
-    if not groups.df.where(F.col("m") > _GATHER).isEmpty():
-        own = Stash(large.mapInArrow(cores, "g long, c long, r int, h long"), "cores")
-        shared = Stash(own.df.groupBy("g", "r", "h").agg(F.count("*").alias("k")).where("k > 1"), "shared-cores")
-        placed = own.df.join(shared.df, ["g", "r", "h"]).join(large.drop("m"), ["g", "c"])
-        placed = Stash(placed.withColumn("group", F.xxhash64("g", "r", "h")), "placed")
-        gathered = gathered.union(gather(placed.df.where(F.col("k") <= _GATHER_RANGE)))
-    else:
-        shared = None
-    if shared is not None and not shared.df.where(F.col("k") > _GATHER_RANGE).isEmpty():
-        wide = Stash(placed.df.where(F.col("k") > _GATHER_RANGE).mapInArrow(expand, "g long, c long, _a long, _b long, q long, s int, h long"), "windows").df
-        known = stash(wide.groupBy("g", "s", "h").agg(F.count("*").alias("k"), F.min(F.struct("_a", "_b", "q", "c")).alias("p")).where("k > 1").select("g", "s", "h", "p"), "window-counts")
-        met = wide.join(known, ["g", "s", "h"]).groupBy("g", "c").agg(F.collect_set("s").alias("any_s"), F.collect_set(F.when(F.col("p") != F.struct("_a", "_b", "q", "c"), F.col("s"))).alias("later_s"))
-
-        def to_bits(batches):
-            for batch in batches:
-                out = []
-                for name in ("any_s", "later_s"):
-                    grid = np.zeros((batch.num_rows, middle + 1), dtype=bool)
-                    for k, x in enumerate(batch.column(name).to_pylist()):
-                        grid[k, x] = True
-                    out.append(pa.array([x.tobytes() for x in np.packbits(grid, axis=1)], pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("c"), *out], ["g", "c", "anyone", "earlier"])
-
-        gathered = gathered.union(met.mapInArrow(to_bits, bits))
-    judged = Stash(gathered, "judged")
+    if not large.isEmpty():
+        large = Stash(large.drop("m").dropDuplicates(["g", "c"]), "large").df
+        todo = large.withColumn("r", F.lit(0))
+        for level in range(1, levels(least) + 1):
+            found, todo = narrower(large, todo, level, least, keep)
+            judged = judged.unionByName(gather(found[0])).unionByName(found[1])
+            if todo.isEmpty():
+                break
+    judged = Stash(judged, "judged")
     contexts.drop()
-    # what each class means for its members: every window, or those of the bits
-    known = classes.df.join(judged.df, ["g", "c"], "left").where("n > 1 or anyone is not null").select("g", "c", "n", "p", "anyone", "earlier")
+    # what each class means for its members: every window (null), or those of the bits
+    marks = judged.df.groupBy("g", "c").agg(F.collect_list("bits").alias("bits"))
+    known = classes.df.join(marks, ["g", "c"], "left").where("n > 1 or bits is not null").select("g", "c", "n", "p", "bits")
     known = Stash(known, "known")
     member = here.df.join(known.df, ["g", "c"])
     if keep == "none":
-        member = member.select("_a", "_b", "q", F.when(F.col("n") == 1, F.col("anyone")).alias("bits"))
+        member = member.select("_a", "_b", "q", F.when(F.col("n") == 1, F.col("bits")).alias("bits"))
     else:
         first = F.col("p") == F.struct("_a", "_b", "q")
-        member = member.select("_a", "_b", "q", F.when(first, F.coalesce("earlier", F.lit(b""))).alias("bits"))
+        member = member.select("_a", "_b", "q", F.when(first, F.coalesce("bits", F.array().cast("array<binary>"))).alias("bits"))
     return member.groupBy("_a", "_b").agg(F.collect_list(F.struct("q", "bits")).alias("own"))
 
 
+def narrower(large: DataFrame, todo: DataFrame, level: int, least: int, keep: str) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """Contexts of buckets that are too large (todo: large's columns and r, their range of the level before), dealt to the ranges of `level`:
+    those to judge in buckets, the bits of those that are one class with others, and those whose buckets are still too large."""
+
+    def deal(batches):
+        for batch in batches:
+            row, part, core, cover = range_hashes(*_contexts(batch, least), batch.column("r").to_numpy(), level, least)
+            take = pa.array(row)
+            own = [batch.column(x).take(take) for x in ("g", "c", "_a", "_b", "q")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(part.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], ["g", "c", "_a", "_b", "q", "r", "h", "u"])
+
+    bucket, one = ["g", "r", "h"], ["g", "r", "h", "u"]
+    dealt = Stash(todo.mapInArrow(deal, "g long, c long, _a long, _b long, q long, r int, h long, u long"), "dealt").df
+    alike = stash(dealt.groupBy(*one).agg(F.count("*").alias("k"), F.min(F.struct("_a", "_b", "q", "c")).alias("p")), "alike")
+    sizes = stash(alike.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    marks = F.array(*(F.lit(x) for x in range_bits(least, level)))
+    same = dealt.join(alike.where("k > 1").select(*one, "p"), one)
+    if keep != "none":
+        same = same.where(F.col("p") != F.struct("_a", "_b", "q", "c"))
+    same = same.select("g", "c", F.element_at(marks, F.col("r") + 1).alias("bits"))
+    first = alike.join(sizes, bucket).select(*bucket, "m", F.col("p.c").alias("c"))
+    again = stash(first.join(large, ["g", "c"]).select(*large.columns, "r", "m", F.xxhash64(*bucket).alias("bucket")), "again")
+    return (again.where(F.col("m") <= _GATHER).drop("r"), same), again.where(F.col("m") > _GATHER).drop("m", "bucket")
+
+
 def covered(n: int, own: list[dict], least: int) -> np.ndarray:
-    """Which of n bytes the windows cover; null bits stand for every window with that anchor."""
+    """Which of n bytes the windows cover; null bits stand for every window with that anchor, and bits of places where the text has no
+    window for nothing."""
     middle, edge = least - _GRAM, np.zeros(n + 1, dtype=np.int32)
     for x in own:
         q, bits = x["q"], x["bits"]
@@ -336,8 +307,9 @@ def covered(n: int, own: list[dict], least: int) -> np.ndarray:
             lo, hi = max(q - middle, 0), min(q, n - least)
             edge[lo] += 1
             edge[hi + least] -= 1
-        elif bits:
-            s = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=middle + 1)) + (q - middle)
+        for one in bits or ():
+            s = np.flatnonzero(np.unpackbits(np.frombuffer(one, dtype=np.uint8), count=middle + 1)) + (q - middle)
+            s = s[(s >= 0) & (s + least <= n)]
             if len(s):
                 cut = np.flatnonzero(np.diff(s) > 1)
                 np.add.at(edge, s[np.concatenate([[0], cut + 1])], 1)
@@ -351,9 +323,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     elsewhere in any document, itself included: anywhere with keep='none', or at an earlier place (by id, then
     offset) with keep='first', so that the first copy stays. Strings are judged on the input.
 
-    Null or empty text: no bytes. Null ids: a document like others, first in order. Repeated rows: each is a
-    document; with keep='first', those of one id and text lose what any of them loses. Empty table: empty result.
-    Other columns of docs are not read.
+    Null or empty text: no bytes. Null ids: a document like others, first in order. Repeated rows: each is a document; with
+    keep='first' one of them counts as the first, and the others lose all that `least` bytes cover. Very long texts: read whole, in
+    blocks of 1 MB, with the result of one piece. Empty table: empty result. Other columns of docs are not read.
     """
     if least < _GRAM + 16:
         raise ValueError(f"least must be {_GRAM + 16} or more")
@@ -361,8 +333,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ident = F.col(f"`{id_col}`").cast("long")
     body = F.col(f"`{text_col}`").cast("string")
     small_batches(docs.sparkSession)
-    # a row is known by its id and its text's hash; a null id by a value of its own
-    base = docs.select(F.coalesce(ident, F.lit(-(1 << 62))).alias("_a"), F.xxhash64(ident, body).alias("_b"), body.alias("_text"))
+    # a row is known by its id (for order) and the hash of both
+    base = docs.select(F.coalesce(ident, F.lit(-(1 << 63))).alias("_a"), F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), body).alias("_b"), ident.alias("_id"), body.alias("_text"))
     found = spans(base, least, keep)
 
     def cut(batches):
@@ -380,12 +352,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     col.append(x)
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))][: 6 if text else 5], ["_a", *names][: 6 if text else 5])
-
-    out = base.join(found, ["_a", "_b"], "left").select("_a", "_text", "own")
-    out = out.mapInArrow(cut, "_a long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text)
-    out = out.withColumn(id_col, F.when(F.col("_a") != -(1 << 62), F.col("_a")).cast(kind))
-    return out.select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_a", "_b", "_id")), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))][: 8 if text else 7], ["_a", "_b", "_id", *names][: 8 if text else 7])
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text]
+    out = base.join(found, ["_a", "_b"], "left").select("_a", "_b", "_id", "_text", "own")
+    out = out.mapInArrow(cut, "_a long, _b long, _id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text)
+    if keep == "first":
+        out = later_copies(base, out, names, least)
+    return out.select(F.col("_id").cast(kind).alias(id_col), *names)
+
+
+def later_copies(base: DataFrame, out: DataFrame, names: list[str], least: int) -> DataFrame:
+    """out, in which of the rows of one id and text, all with the result of the first, all but one lose everything."""
+    times = Stash(base.groupBy("_a", "_b").agg(F.count("*").alias("times")).where("times > 1"), "repeated-rows").df
+    if times.isEmpty():
+        return out
+    copies = times.count() <= _BROADCAST
+    times = F.broadcast(times) if copies else times
+    one = out.join(times, ["_a", "_b"]).groupBy("_a", "_b").agg(*(F.first(c).alias(c) for c in ("_id", *names, "times")))
+    each = one.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).withColumn("_gone", (F.col("_n") > 1) & (F.col("n_bytes") >= least))
+    nothing = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept": F.lit(b"")}
+    each = each.withColumns({c: F.when(F.col("_gone"), x).otherwise(F.col(c)) for c, x in nothing.items() if c in names})
+    return out.join(times, ["_a", "_b"], "left_anti").unionByName(each.select(*out.columns))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from palimpsest.llm import suffix_dedup as S
+from palimpsest.llm.factors import factors
 
 
 def corpus(n=70, seed=5):
@@ -47,7 +48,6 @@ def plain(rows, least, keep):
 @pytest.mark.parametrize("keep,gather", [("none", 3000), ("first", 3000), ("none", 1), ("first", 1), ("none", 3)])
 def test_against_all_windows(spark, monkeypatch, keep, gather):
     monkeypatch.setattr(S, "_GATHER", gather)
-    monkeypatch.setattr(S, "_GATHER_RANGE", gather)
     monkeypatch.setattr(S, "_ROWS", 7)
     rows = corpus()
     docs = spark.createDataFrame([(t, k, 1) for k, t in rows], "text string, doc_id long, q long").repartition(6)
@@ -57,6 +57,80 @@ def test_against_all_windows(spark, monkeypatch, keep, gather):
     assert len(got) == len(want)
 
 
+def naive_factors(rows, lo, hi, group, position, middle):
+    m = len(rows)
+    previous, other = np.zeros((m, middle + 1), int), np.zeros((m, middle + 1), int)
+    for i in range(m):
+        for j in range(m):
+            if i != j and group[i] == group[j]:
+                for s in range(max(lo[i], lo[j]), middle + 1):
+                    a, b = bytes(rows[i, s : hi[i]]), bytes(rows[j, s : hi[j]])
+                    n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                    if n > middle - s:
+                        other[i, s] = max(other[i, s], n)
+                        if position[j] < position[i]:
+                            previous[i, s] = max(previous[i, s], n)
+    return previous, other
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_factors(seed):
+    """The array of longest previous factors against all pairs of suffixes, whole and from a length on."""
+    rng = np.random.default_rng(seed)
+    m, middle, width = 40, 12, 30
+    base = rng.integers(0, 2 + seed % 3, (4, width))
+    rows = base[rng.integers(0, 4, m)].astype(np.uint8)
+    noise = rng.random((m, width)) < 0.06
+    rows[noise] = 7
+    rows[:, middle : middle + 3] = 9  # the gram
+    lo, hi = np.where(rng.random(m) < 0.3, rng.integers(0, middle, m), 0), np.where(rng.random(m) < 0.3, rng.integers(middle + 3, width, m), width)
+    rows[np.arange(width) < lo[:, None]] = 0
+    rows[np.arange(width) >= hi[:, None]] = 0
+    group, position = np.sort(rng.integers(0, 3, m)) * 10, rng.permutation(m)
+    want = naive_factors(rows, lo, hi, group, position, middle)
+    for got, exact in zip(factors(rows, lo, hi, group, position, middle, 1), want, strict=True):
+        assert (got == exact).all()
+    for least in (8, 14, 20):
+        for got, exact in zip(factors(rows, lo, hi, group, position, middle, least), want, strict=True):
+            assert ((got >= least) == (exact >= least)).all() and (got[exact >= least] == exact[exact >= least]).all()
+
+
+def test_ranges():
+    assert [len(S.ranges(400, k)) for k in range(S.levels(400) + 1)] == [1, 8, 64, 273]
+    for k in range(1, 4):
+        inner, outer = S.ranges(400, k), S.ranges(400, k - 1)
+        assert inner[0][0] == 0 and inner[-1][1] == 272 and all(b[0] == a[1] + 1 for a, b in zip(inner, inner[1:], strict=False))
+        assert all(any(x <= a and b <= y for x, y in outer) for a, b in inner)
+
+
+def test_repeated_rows(spark):
+    """Rows of one id and text: one of them is the first, the others are later copies."""
+    rng = random.Random(9)
+    passage, own = ("".join(rng.choices("abcdefgh ", k=n)) for n in (600, 900))
+    rows = [(5, own + passage), (5, own + passage), (9, "x" * 50 + passage), (7, "short"), (7, "short"), (-(1 << 62), "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted((r["doc_id"], r["n_removed"], r["n_spans"], len(r["kept"])) for r in S.suffix_dedup(docs).collect())
+    assert first == [(-(1 << 62), 0, 0, 4), (5, 0, 0, 1500), (5, 1500, 1, 0), (7, 0, 0, 5), (7, 0, 0, 5), (9, 600, 1, 50)]
+    none = sorted((r["doc_id"], r["n_removed"]) for r in S.suffix_dedup(docs, keep="none").collect())
+    assert none == [(-(1 << 62), 0), (5, 1500), (5, 1500), (7, 0), (7, 0), (9, 600)]
+
+
+def test_very_long_texts(spark):
+    """Texts over a block of 1 MB, with passages that repeat within and across them."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefghijklm \n", k=n))
+    p, q = text(700), text(450)
+    rows = [(1, text(1_100_000) + p + text(900_000) + q + text(1000)), (2, text(300) + p + text(300)), (3, text(1_300_000) + q)]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep="none").collect()}
+    for k, t in rows:
+        raw = t.encode()
+        for x in (p, q):
+            raw = raw.replace(x.encode(), b"")
+        n, removed, spans, _ = got[k]
+        # a byte next to a passage can be equal by chance on both sides
+        assert n == len(t) and 0 <= removed - (len(t) - len(raw)) <= 6 and spans == sum(x in t for x in (p, q))
+
+
 def test_blocks_of_long_texts(monkeypatch):
     rng = np.random.default_rng(1)
     text = bytes(rng.integers(97, 101, 30_000, dtype=np.uint8))
