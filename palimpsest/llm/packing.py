@@ -5,6 +5,9 @@ packer sees nothing but how many pieces there are of each length, at most `size`
 input, and plans with runs of like sequences: "so many sequences of these lengths". A piece's rank among the
 pieces of its length then gives its sequence and place, in one pass over all tasks. Ranks come from a range
 partitioning by length and id, so that a length that a third of all pieces have spreads over many tasks.
+
+What fills a gap exactly is looked up: an index holds, under each sum, the single lengths, pairs and triples that make it,
+and gives the first of them that the pieces that are left still allow.
 """
 
 from __future__ import annotations
@@ -27,6 +30,67 @@ _PIECES = T.StructType(
 )
 
 
+class Sums:
+    """Combinations of one, two or three lengths by their sum, under availability counts (`left`, which may only fall). A sum
+    holds its pairs by their longer length, and its triples by their longest, whose pair is found under the sum's
+    complement; longest first. An entry that the counts don't allow any more never comes back, so that it is passed
+    over for good, and all lookups of a sum together read its entries once."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, size = left, len(left) - 1
+        known = np.flatnonzero(left[1:] > 0) + 1
+        self.known = known[::-1]
+        there = np.zeros(size + 1, dtype=bool)
+        there[known] = True
+        self.pairs, self.triples = [np.zeros(0, np.int64)] * (size + 1), [np.zeros(0, np.int64)] * (size + 1)
+        some = np.zeros(size + 1, dtype=bool)  # sums that have a pair
+        for total in range(2, size + 1):
+            longer = self.known[(self.known < total) & (2 * self.known >= total)]
+            self.pairs[total] = longer[there[total - longer]]
+            some[total] = len(self.pairs[total]) > 0
+        for total in range(3, size + 1):
+            longest = self.known[self.known < total - 1]
+            self.triples[total] = longest[some[total - longest]]
+        self.next_pair, self.next_triple = [0] * (size + 1), [0] * (size + 1)
+
+    def single(self, total: int) -> list[int] | None:
+        return [total] if self.left[total] > 0 else None
+
+    def pair(self, total: int) -> list[int] | None:
+        own, k = self.pairs[total], self.next_pair[total]
+        while k < len(own):
+            a = int(own[k])
+            if self.left[a] > (2 * a == total) and self.left[total - a] > 0:
+                break
+            k += 1
+        self.next_pair[total] = k
+        return [a, total - a] if k < len(own) else None
+
+    def triple(self, total: int) -> list[int] | None:
+        own, k = self.triples[total], self.next_triple[total]
+        while k < len(own):
+            a = int(own[k])
+            if self.left[a] > 0 and (two := self.pair_beside(a, total - a)):
+                break
+            k += 1
+        self.next_triple[total] = k
+        return [a, *two] if k < len(own) else None
+
+    def pair_beside(self, a: int, total: int) -> list[int] | None:
+        """A pair of this sum where one piece of length a is taken already; a pair passed over for that stays for others."""
+        two = self.pair(total)
+        if not two or a not in two or two.count(a) < self.left[a]:
+            return two
+        for b in self.pairs[total][self.next_pair[total] + 1 :].tolist():
+            if self.left[b] > (2 * b == total) and self.left[total - b] > 0:
+                return [b, total - b]
+        return None
+
+    def complement(self, gap: int) -> list[int] | None:
+        """One, two or three lengths that fill the gap exactly."""
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
+
+
 class Plan:
     """Runs of like sequences. A run holds, for each slot of its pattern, pieces of one length by their rank."""
 
@@ -58,35 +122,14 @@ class Plan:
                 offset += length
             self.sequences += n
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two lengths there are pieces of that sum up to total, the largest first; the index of pair sums at one place."""
-        if total < 2:
-            return None
-        first = np.arange(total - 1, (total - 1) // 2, -1)
-        fits = (self.left[first] > 0) & (self.left[total - first] > 0) & ((first * 2 != total) | (self.left[first] > 1))
-        k = int(fits.argmax())
-        return (int(first[k]), total - int(first[k])) if fits[k] else None
-
-    def complement(self, gap: int) -> list[int] | None:
-        """One, two or three lengths that fill the gap exactly."""
-        if self.left[gap] > 0:
-            return [gap]
-        if two := self.pair(gap):
-            return list(two)
-        for first in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if self.left[first] > 0:
-                self.left[first] -= 1
-                two = self.pair(gap - first)
-                self.left[first] += 1
-                if two and two[0] <= first:
-                    return [first, *two]
-        return None
-
     def fill_exactly(self) -> None:
+        sums = Sums(self.left)
         for length in range(self.size - 1, 0, -1):
             while self.left[length] > 0:
+                # the piece itself is out of the counts meanwhile; an entry passed over for want of it could only serve sequences
+                # that hold it, and these are all found here
                 self.left[length] -= 1
-                others = self.complement(self.size - length)
+                others = sums.complement(self.size - length)
                 self.left[length] += 1
                 if others is None:
                     break

@@ -1,11 +1,12 @@
 """Packing against a plain reading of its contract."""
 
+import itertools
 import zlib
 
 import numpy as np
 import pytest
 
-from palimpsest.llm.packing import Plan, best_fit_pack, sequences
+from palimpsest.llm.packing import Plan, Sums, best_fit_pack, sequences
 from palimpsest.llm.tokens import Encoder, default_path
 
 
@@ -38,6 +39,29 @@ def test_plan_places_every_piece_once(n, high):
     assert plan.sequences <= -(-int(lengths.sum()) // 2048) * 1.1 + 1 or (lengths > 1024).sum() >= plan.sequences * 0.9
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_sums_against_brute_force(seed):
+    """Whatever is taken away, a sum has a combination iff some one, two or three pieces make it."""
+    rng = np.random.default_rng(seed)
+    left = np.zeros(61, dtype=np.int64)
+    left[rng.integers(1, 61, 14)] = rng.integers(1, 4, 14)
+    sums = Sums(left)
+    while left.any():
+        pieces = np.repeat(np.arange(61), np.minimum(left, 3)).tolist()
+        for n, find in ((1, sums.single), (2, sums.pair), (3, sums.triple)):
+            possible = {sum(c) for c in itertools.combinations(pieces, n)}
+            for total in range(1, 61):
+                got = find(total)
+                assert (got is not None) == (total in possible), (n, total)
+                assert got is None or sum(got) == total and len(got) == n and all(left[x] >= got.count(x) for x in got)
+                if got and n > 1 and rng.random() < 0.02:
+                    for x in got:
+                        left[x] -= 1
+                    pieces = np.repeat(np.arange(61), np.minimum(left, 3)).tolist()
+                    possible = {sum(c) for c in itertools.combinations(pieces, n)}
+        left[rng.choice(np.flatnonzero(left))] -= 1 if left.any() else 0
+
+
 def test_pack(spark):
     long = "word and more, " * 3000
     rows = [(1, "a b c", 5), (2, long, 6), (3, None, 7), (4, "", 8), (4, "", 8), (None, "x", 9), (7, long[: len(long) // 2], 1)]
