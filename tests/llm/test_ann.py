@@ -2,7 +2,10 @@
 
 import numpy as np
 
-from palimpsest.llm.ann import Forest, nearest
+import pytest
+
+from palimpsest.llm import ann
+from palimpsest.llm.ann import Forest, Search, nearest
 
 
 def brute(rows, queries, k):
@@ -36,6 +39,55 @@ def test_small_is_exact(spark):
         assert np.allclose([s for s, _ in got[k]], [s for s, _ in v], atol=1e-12)
 
 
+def recall_of(got, x, step, k=10):
+    hit = total = 0
+    for q in range(0, len(x), step):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:k].tolist()))
+        total += k
+    return hit / total
+
+
+def test_the_forest_saves_distances(spark):
+    """Distances computed fall with the share; clustered vectors need a small one for the same recall."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 32))[rng.integers(0, 60, 5000)] + 0.15 * rng.standard_normal((5000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 50 = 0")
+    search = lambda share: Search(df, asked, "vec_id", "embedding", 10, share, 0.94, 1, None)
+    some = [search(share) for share in (0.02, 0.1, 0.4)]
+    done = [s.products() for s in some]
+    assert done[0] < done[1] < done[2] and done[0] < 0.04 * 5000 * 100
+    tuned = search(None)
+    assert tuned.share < 0.25 and tuned.products() < 0.3 * 5000 * 100
+    got = {}
+    for r in tuned.run().collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert recall_of(got, x, 50) >= 0.9
+
+
+@pytest.mark.parametrize("rows,queries", [(7, 3), (1000, 2), (5, 1000)])
+def test_blocks_of_a_leaf(spark, monkeypatch, rows, queries):
+    """Leaves of many rows and queries, in blocks, give what whole leaves give."""
+    own = table(400)
+    df = spark.createDataFrame([(k, v) for k, v in own], "vec_id long, embedding array<float>").repartition(3)
+    asked = df.where("vec_id % 8 = 0")
+    whole = sorted(nearest(df, asked, share=0.3, least=1).collect())
+    monkeypatch.setattr(ann, "ROWS", rows)
+    monkeypatch.setattr(ann, "QUERIES", queries)
+    assert sorted(nearest(df, asked, share=0.3, least=1).collect()) == whole
+
+
+def test_share_is_measured(spark):
+    rng = np.random.default_rng(5)
+    loose, tight = Forest(rng.standard_normal((1500, 48))), Forest(rng.standard_normal((30, 48))[rng.integers(0, 30, 1500)] + 0.1 * rng.standard_normal((1500, 48)))
+    assert tight.share_for(0.94, 10) < 0.2 < 0.5 < loose.share_for(0.94, 10) <= 1
+    assert loose.share_for(0.5, 10) < loose.share_for(0.94, 10)
+    one = Forest(rng.standard_normal((1, 4)))
+    assert one.share_for(0.9, 10) == 1.0 and one.visit(np.ones(4), 1) == [0]
+
+
 def test_recall(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((6000, 64))
