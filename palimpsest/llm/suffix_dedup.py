@@ -37,8 +37,8 @@ from palimpsest.llm.shingles import mix, powers
 
 _GRAM = 128
 _BLOCK = 1 << 20  # bytes of text worked on at a time; the arrays take some 100 times as much
-_GATHER = 1000  # classes of a bucket that meet in one task
-_SPLIT = 8  # ranges that a range of places is dealt to
+_GATHER = 64  # classes of a bucket that meet in one task; small, so that tables of all sizes go the same way
+_SPLIT = 4  # ranges that a range of places is dealt to
 _ROWS = 4096  # contexts put in order at a time, and whole buckets beyond
 _FETCH = 4096  # contexts that leave a task together
 _BROADCAST = 1_000_000  # grams, about 50 MB as a hash table

@@ -96,8 +96,8 @@ def test_factors(seed):
 
 
 def test_ranges():
-    assert [len(S.ranges(400, k)) for k in range(S.levels(400) + 1)] == [1, 8, 64, 273]
-    for k in range(1, 4):
+    assert [len(S.ranges(400, k)) for k in range(S.levels(400) + 1)] == [1, 4, 16, 64, 256, 273]
+    for k in range(1, 6):
         inner, outer = S.ranges(400, k), S.ranges(400, k - 1)
         assert inner[0][0] == 0 and inner[-1][1] == 272 and all(b[0] == a[1] + 1 for a, b in zip(inner, inner[1:], strict=False))
         assert all(any(x <= a and b <= y for x, y in outer) for a, b in inner)
