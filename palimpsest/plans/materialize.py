@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="palimpsest-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -33,6 +33,12 @@ def drop_all(spark: SparkSession) -> None:
         delete(spark, _written.pop())
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is in use by nothing, and that drop_all removes."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 class Stash:
     """A table written to the shared folder. It cuts the lineage: a lost executor costs no earlier work,
     and a reader sees the same rows whenever it runs. Reading it back also forgets the partitioning, so
@@ -40,8 +46,7 @@ class Stash:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        _written.append(self.path)
+        self.path = shared_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
