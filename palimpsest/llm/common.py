@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from palimpsest.plans.materialize import Stash, shared_dir, stash
+from palimpsest.plans.materialize import Stash, shared_dir, shared_path, stash
 
-__all__ = ["Stash", "computed_once", "lower_ascii", "partitions", "quiet_shards", "rest_of", "shared_dir", "stash", "table"]
+__all__ = ["Stash", "computed_once", "lower_ascii", "partitions", "quiet_shards", "rest_of", "shared_dir", "shared_path", "stash", "table"]
 
 #: White space of the contracts, space and code points 9 to 13, as a Java character class and as the characters themselves.
 SPACE = "[\\x20\\x09-\\x0D]"

@@ -37,7 +37,7 @@ from palimpsest.llm.shingles import mix, powers
 
 _GRAM = 128
 _BLOCK = 1 << 20  # bytes of text worked on at a time; the arrays take some 100 times as much
-_GATHER = 64  # classes of a bucket that meet in one task; small, so that tables of all sizes go the same way
+_GATHER = 256  # classes of a bucket that meet in one task
 _SPLIT = 4  # ranges that a range of places is dealt to
 _ROWS = 4096  # contexts put in order at a time, and whole buckets beyond
 _FETCH = 4096  # contexts that leave a task together
@@ -248,14 +248,13 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
     bits = "g long, c long, bits binary"
     gather = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket", "c").mapInArrow(judge, bits)
     judged = gather(contexts.df.where(F.col("m") <= _GATHER).withColumn("bucket", F.col("g")))
-    large = contexts.df.where(F.col("m") > _GATHER)
+    large = contexts.df.where(F.col("m") > _GATHER).drop("m")
     if not large.isEmpty():
-        large = Stash(large.drop("m").dropDuplicates(["g", "c"]), "large").df
         todo = large.withColumn("r", F.lit(0))
         for level in range(1, levels(least) + 1):
-            found, todo = narrower(large, todo, level, least, keep)
-            judged = judged.unionByName(gather(found[0])).unionByName(found[1])
-            if todo.isEmpty():
+            rows, marks, todo = narrower(large, todo, level, least, keep)
+            judged = judged.unionByName(gather(rows)).unionByName(marks)
+            if todo is None:
                 break
     judged = Stash(judged, "judged")
     contexts.drop()
@@ -272,29 +271,35 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
     return member.groupBy("_a", "_b").agg(F.collect_list(F.struct("q", "bits")).alias("own"))
 
 
-def narrower(large: DataFrame, todo: DataFrame, level: int, least: int, keep: str) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+def narrower(large: DataFrame, todo: DataFrame, level: int, least: int, keep: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Contexts of buckets that are too large (todo: large's columns and r, their range of the level before), dealt to the ranges of `level`:
-    those to judge in buckets, the bits of those that are one class with others, and those whose buckets are still too large."""
+    those to judge in buckets, the bits of those that are one class with others, and those whose buckets are still too large (None
+    without any). A bucket is known by the hash h of gram, range and the bytes that the range's windows share; a class in it by the hash u of
+    all that they cover. Which of a class goes on matters only where the first is kept."""
+    place = ["_a", "_b", "q"] if keep != "none" else []
 
     def deal(batches):
         for batch in batches:
             row, part, core, cover = range_hashes(*_contexts(batch, least), batch.column("r").to_numpy(), level, least)
             take = pa.array(row)
-            own = [batch.column(x).take(take) for x in ("g", "c", "_a", "_b", "q")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(part.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], ["g", "c", "_a", "_b", "q", "r", "h", "u"])
-
-    bucket, one = ["g", "r", "h"], ["g", "r", "h", "u"]
-    dealt = Stash(todo.mapInArrow(deal, "g long, c long, _a long, _b long, q long, r int, h long, u long"), "dealt").df
-    alike = stash(dealt.groupBy(*one).agg(F.count("*").alias("k"), F.min(F.struct("_a", "_b", "q", "c")).alias("p")), "alike")
-    sizes = stash(alike.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+            gram = batch.column("g").to_numpy()[row].view(np.uint64)
+            core = mix(core + mix(gram + mix(part.astype(np.uint64), 7), 9))
+            own = [batch.column(x).take(take) for x in ("g", "c", *place)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(part.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], ["g", "c", *place, "r", "h", "u"])
+
+    dealt = Stash(todo.mapInArrow(deal, f"g long, c long, {''.join(f'{x} long, ' for x in place)}r short, h long, u long"), "dealt").df
+    # the documents of repeated rows bring their contexts twice: contexts count, not rows
+    alike = stash(dealt.groupBy("h", "u").agg((F.min("c") != F.max("c")).alias("many"), F.min(F.struct(*place, "c", "g", "r")).alias("p")), "alike")
     marks = F.array(*(F.lit(x) for x in range_bits(least, level)))
-    same = dealt.join(alike.where("k > 1").select(*one, "p"), one)
+    same = dealt.join(alike.where("many").select("h", "u", "p"), ["h", "u"])
     if keep != "none":
-        same = same.where(F.col("p") != F.struct("_a", "_b", "q", "c"))
+        same = same.where(F.col("p.c") != F.col("c"))
     same = same.select("g", "c", F.element_at(marks, F.col("r") + 1).alias("bits"))
-    first = alike.join(sizes, bucket).select(*bucket, "m", F.col("p.c").alias("c"))
-    again = stash(first.join(large, ["g", "c"]).select(*large.columns, "r", "m", F.xxhash64(*bucket).alias("bucket")), "again")
-    return (again.where(F.col("m") <= _GATHER).drop("r"), same), again.where(F.col("m") > _GATHER).drop("m", "bucket")
+    sizes = alike.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    first = stash(alike.join(sizes, "h").select("p.g", "p.c", F.col("p.r").cast("int").alias("r"), F.col("h").alias("bucket"), "m"), "first")
+    over = first.where(F.col("m") > _GATHER)
+    rows = large.join(first.where(F.col("m") <= _GATHER).select("g", "c", "bucket"), ["g", "c"])
+    return rows, same, None if over.isEmpty() else large.join(over.select("g", "c", "r"), ["g", "c"])
 
 
 def covered(n: int, own: list[dict], least: int) -> np.ndarray:
