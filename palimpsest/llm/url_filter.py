@@ -1,8 +1,9 @@
 """URL filters: rules on hosts and paths first, gradient-boosted trees on lexical features for the rest.
 
-Rules become one conditional expression. How often URLs of a suffix are blocked is counted over all labelled URLs, by
+Rules become one conditional expression. How often URLs of a suffix are blocked is counted over all labelled rows, by
 default those that rules decide; only the trees are trained on the driver from a bounded sample of them. They score all
-others where they are read, joined with the suffixes' table, which is broadcast where it is small.
+others where they are read, as expressions over features that are expressions too, joined with the suffixes' table, which
+is broadcast where it is small.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ import re
 from collections import Counter
 from functools import cached_property
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from palimpsest.llm.common import Stash, lower_ascii, table
+from palimpsest.llm.common import computed_once, lower_ascii, stash, table
 from palimpsest.llm.trees import Node, boost
 
 FEATURES = ("length", "host_length", "host_depth", "path_depth", "path_length", "digit_ratio", "entropy", "parameters", "hyphens", "fragment", "host_digits", "top_rate", "site_rate", "host_word", "vowel_ratio")
@@ -51,22 +51,38 @@ def suffixes(url: Column) -> tuple[Column, Column]:
 
 
 def lexical(url: str, top_rate: float, site_rate: float) -> list[float]:
-    """FEATURES of a URL; the rates: how often URLs of its suffixes are blocked."""
+    """FEATURES of a single URL; the rates: how often URLs of its suffixes are blocked."""
     after = url.split("://", 1)[1] if "://" in url else url
     host = re.split(r"[/?#]", after, maxsplit=1)[0].lower()
     path = re.split(r"[?#]", after[len(host) :], maxsplit=1)[0]
     query = after.partition("#")[0].partition("?")[2]
     n = max(len(url), 1)
     labels = host.split(".")
-    chars = Counter(url)
-    longest = max(labels, key=len)
+    digits = lambda x: sum("0" <= c <= "9" for c in x)
     return [
-        len(url), len(host), len(labels), sum(bool(x) for x in path.split("/")), len(path), sum(c.isdigit() for c in url) / n,
-        -sum(k / n * math.log2(k / n) for k in chars.values()), len([x for x in query.split("&") if x]), url.count("-"), float("#" in url), sum(c.isdigit() for c in host),
-        top_rate, site_rate, len(longest), sum(c in "aeiou" for c in host) / max(len(host), 1),
+        len(url), len(host), len(labels), sum(bool(x) for x in path.split("/")), len(path), digits(url) / n,
+        -sum(k / n * math.log2(k / n) for k in Counter(url).values()), len([x for x in query.split("&") if x]), url.count("-"), float("#" in url), digits(host),
+        top_rate, site_rate, max(map(len, labels)), sum(c in "aeiou" for c in host) / max(len(host), 1),
     ]
 
 
+def feature_columns(url: Column, top_rate: Column, site_rate: Column) -> dict[str, Column]:
+    """FEATURES as expressions, by name."""
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
+    after = F.when(url.contains("://"), F.regexp_extract(url, "(?s)://(.*)$", 1)).otherwise(url)
+    host = F.lower(F.regexp_extract(after, "^([^/?#]*)", 1))
+    path, query = F.regexp_extract(after, "^[^/?#]*([^?#]*)", 1), F.regexp_extract(after, "^[^?#]*[?]([^#]*)", 1)
+    n = F.greatest(F.char_length(url), F.lit(1)).cast("double")
+    of = lambda c: (F.char_length(url) - F.char_length(F.replace(url, c, F.lit("")))) / n
+    entropy = F.aggregate(F.array_distinct(F.split(url, "")), F.lit(0.0), lambda acc, c: acc - F.when(c == "", 0.0).otherwise(of(c) * F.log2(of(c))))
+    values = (
+        F.char_length(url).cast("double"), F.char_length(host).cast("double"), count(host, "[.]") + 1, count(path, "[^/]+"), F.char_length(path).cast("double"), count(url, "[0-9]") / n,
+        entropy, count(query, "[^&]+"), count(url, "-"), url.contains("#").cast("double"), count(host, "[0-9]"),
+        top_rate, site_rate, F.array_max(F.transform(F.split(host, "[.]", -1), F.char_length)).cast("double"), count(host, "[aeiou]") / F.greatest(F.char_length(host), F.lit(1)),
+    )
+    return dict(zip(FEATURES, values, strict=True))
+
+
 def log_odds(start: float, trees: list[Node], row: list[float]) -> float:
     return start + sum(t.score(row) for t in trees)
 
@@ -101,19 +117,29 @@ def with_rates(urls: DataFrame, url: Column, table: DataFrame, usual: float) ->
 
 
 def train(urls: DataFrame, url_col: str = "url", label_col: str = "blocked", sample: int = 3000) -> UrlModel:
-    """A model from labelled distinct URLs; label 1 is block, 0 allow. Suffixes are counted over all of them; the trees are
-    trained on at most `sample`, those with the smallest hashes."""
-    rows = urls.select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).where("u is not null and y in (0, 1)").groupBy("u").agg(F.max("y").alias("y"))
-    known = Stash(rows, "labelled")
-    n, blocked = known.df.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    """A model from labelled URLs; label 1 is block, 0 allow, others count as none. Suffixes are counted over all rows, before any
+    shuffle; the trees are trained on at most `sample` distinct URLs, those with the smallest hashes, blocked if any row of the URL is."""
+    u, y, h = F.col(url_col), F.col(label_col).cast("int"), F.xxhash64(F.col(url_col))
+    rows = urls.select(u.alias("u"), y.alias("y"), h.alias("h")).where("u is not null and y in (0, 1)")
+    top, site = suffixes(F.col("u"))
+    sites = stash(rows.groupBy(top.alias("top"), site.alias("site")).agg(F.count("y").alias("n"), F.sum("y").alias("blocked")), "sites")
+    n, blocked = sites.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     usual = (blocked + 1) / (n + 2)
-    counts = known.df.select("y", F.explode(F.array_distinct(F.array(*suffixes(F.col("u"))))).alias("suffix")).groupBy("suffix").agg(F.count("y").alias("n"), F.sum("y").alias("blocked"))
-    # smoothed, and only suffixes that several URLs have
-    table = Stash(counts.where("n >= 4").select("suffix", F.round((F.col("blocked") + 4 * usual) / (F.col("n") + 4), 4).alias("rate")), "suffixes").df
-    chosen = known.df.orderBy(F.xxhash64("u"), "u").limit(sample)
-    found = sorted(with_rates(chosen.withColumn("h", F.xxhash64("u")), F.col("u"), table, usual).collect(), key=lambda r: (r["h"], r["u"]))
-    known.drop()
-    return UrlModel(table, usual, [lexical(r["u"], r["_top_rate"], r["_site_rate"]) for r in found], [r["y"] for r in found])
+    counts = sites.select("n", "blocked", F.explode(F.array_distinct(F.array("top", "site"))).alias("suffix")).groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    # smoothed, and only suffixes of several rows
+    table = stash(counts.where("n >= 4").select("suffix", F.round((F.col("blocked") + 4 * usual) / (F.col("n") + 4), 4).alias("rate")), "suffixes")
+    # a part of the hashes that is likely to hold enough; where rows repeat much, a larger one
+    part = min(1.0, 4 * sample / max(n, 1))
+    while True:
+        low = rows if part >= 1 else rows.where(F.col("h") < int(part * 2**64) - 2**63)
+        chosen = stash(low.groupBy("u", "h").agg(F.max("y").alias("y")).orderBy("h", "u").limit(sample), "labelled")
+        if part >= 1 or chosen.count() == sample:
+            break
+        part = min(1.0, 8 * part)
+    rated = with_rates(chosen, F.col("u"), table, usual)
+    found = rated.select("h", "u", "y", *(c.alias(f) for f, c in feature_columns(F.col("u"), F.col("_top_rate"), F.col("_site_rate")).items())).collect()
+    found = sorted(found, key=lambda r: (r["h"], r["u"]))
+    return UrlModel(table, usual, [[float(r[f]) for f in FEATURES] for r in found], [r["y"] for r in found])
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None = None, url_col: str = "url") -> DataFrame:
@@ -122,8 +148,8 @@ def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     A rule fits its host and all subdomains where the path starts with the rule's; the longest wins. No rule: the
     model blocks at log odds over 0. Without a model one is trained on the URLs that rules decide.
 
-    Null URLs or such without `://`: host and path empty, the model judges. Repeated rows: judged alike. Empty
-    table: empty result. Columns of pages with the names of added ones are replaced; all others stay.
+    Null URLs or such without `://`: host and path empty, the model judges. Repeated rows: judged alike. Very long URLs:
+    read whole. Empty table: empty result. Columns of pages with the names of added ones are replaced; all others stay.
     """
     added = ("host", "path", "rule", "verdict", "score")
     quoted = {c: f"`{c.replace('`', '``')}`" for c in pages.columns if c.lower() not in added or c == url_col}
@@ -135,17 +161,12 @@ def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     if model is None:
         model = train(out.where("_rule is not null").select("_url", (F.col("_verdict") == "block").cast("int").alias("blocked")), "_url")
     out = with_rates(out, F.col("_url"), model.table, model.usual)
-    start, trees = model.start, model.trees
-
-    def run(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_url", "_rule", "_top_rate", "_site_rate")), strict=True)
-            scores = [None if r is not None else log_odds(start, trees, lexical(u or "", top, site)) for u, r, top, site in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
-
-    from pyspark.sql import types as T
-
-    scored = out.mapInArrow(run, T.StructType([*out.schema, T.StructField("_score", T.DoubleType())]))
+    scored = computed_once(out, {f"_f_{f}": c for f, c in feature_columns(F.coalesce("_url", F.lit("")), F.col("_top_rate"), F.col("_site_rate")).items()})
+    own = [F.col(f"_f_{f}") for f in FEATURES]
+    score = F.lit(model.start)
+    for tree in model.trees:
+        score = score + tree.column(own)
+    scored = scored.withColumn("_score", F.when(F.col("_rule").isNull(), score))
     verdict = F.coalesce("_verdict", F.when(F.col("_score") > 0, "block").otherwise("allow"))
     return scored.select(
         *[F.col("_row").getField(c).alias(c) for c in quoted],

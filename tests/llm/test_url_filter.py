@@ -3,7 +3,7 @@
 import random
 import re
 
-from palimpsest.llm.url_filter import RULES, train, url_filter
+from palimpsest.llm.url_filter import RULES, feature_columns, lexical, train, url_filter
 
 
 def plain(url):
@@ -54,6 +54,42 @@ def test_model_on_held_out(spark):
     assert right / 300 > 0.95
 
 
+def test_features_are_the_plain_ones(spark):
+    from pyspark.sql import functions as F
+
+    rows = [*urls(300, 3), "", "no scheme", "http://a\nb.org/x?y\n#z", "http://x.org/" + "a1-" * 9000, "http://É.b.c/é?&&a=1&&b#?c=1&d", "://", "a://b://c/d?e://f", "http://h?q#f/g", "😀😀://x😀"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "k int, u string")
+    got = df.select("k", *(c.alias(f) for f, c in feature_columns(F.col("u"), F.lit(0.25), F.lit(0.5)).items())).collect()
+    for r in got:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r[1:], lexical(rows[r["k"]], 0.25, 0.5), strict=True)), (rows[r["k"]][:80], r)
+
+
+def test_rule_decided_pages_held_out(spark):
+    """Trees trained on half of the given URLs that rules decide, by hash, against the verdicts of the other half."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm.url_filter import host_and_path, rule_column
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").where("url is not null").distinct()
+    known = pages.withColumn("rule", rule_column(*host_and_path(F.col("url")), RULES)).where("rule is not null")
+    known = known.select("url", F.col("rule").isin(*(r for r, v in RULES.items() if v == "block")).cast("int").alias("blocked"), F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(2)).alias("half")).cache()
+    model = train(known.where("half = 0"))
+    held = url_filter(known.where("half = 1"), {}, model).select("blocked", (F.col("verdict") == "block").alias("said")).collect()
+    right, blocked = sum(r["blocked"] == r["said"] for r in held) / len(held), sum(r["blocked"] for r in held) / len(held)
+    print("held out", len(held), "right", right, "blocked", blocked)
+    assert len(held) > 300 and right > max(blocked, 1 - blocked)
+
+
+def test_repeated_rows_do_not_shrink_the_sample(spark):
+    """A URL that most rows have, and few others: the trees still see all distinct URLs."""
+    rows = [("http://hot.com/", 1)] * 3000 + [(f"http://w{k}.com/{k}", k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "url string, blocked int")
+    model = train(df, sample=40)
+    assert model.rates["hot.com"] > 0.9 and set(model.rates) == {"com", "hot.com"}
+    got = url_filter(df.where("url like '%hot%'"), {}, model).select("score").distinct().collect()
+    assert len(got) == 1 and abs(got[0]["score"] - model.score("http://hot.com/")) < 1e-9
+
+
 def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
     from palimpsest.llm import url_filter as module
 
