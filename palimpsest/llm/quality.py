@@ -169,13 +169,14 @@ def learn(rows: list[dict], bad: list[bool], precision: float = 0.97, least: int
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, min_words: int = 50, **how) -> DecisionList:
     """Rules from at most `sample` labelled documents, those with the smallest hash of their id. A label of 0 is a document
     to reject, 1 one to keep; others count as none, and of several labels of an id the least counts. Documents that fail the
-    base conditions teach nothing, as no rule needs to judge them."""
+    base conditions teach nothing, as no rule needs to judge them. Of several documents of an id, the one of the smallest hash
+    of its text teaches."""
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     chosen = labels.withColumn("_hash", F.xxhash64("_id")).orderBy("_hash", "_id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = texts.groupBy("_hash", "_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))["t"].alias("_text"))
     stats = with_stats(texts, "_text").where(~base_failed(min_words)).select("_hash", "_id", "_label", *(ratio(r, "_q_").alias(r) for r in RATIOS))
-    rows = stats.limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: tuple(r))
+    rows = sorted(stats.collect(), key=lambda r: tuple(r))  # one an id, so at most `sample`
     return learn([r.asDict() for r in rows], [r["_label"] == 0 for r in rows], **how)
 
 
@@ -189,8 +190,8 @@ def quality_rules(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id",
     base_failed: fewer than min_words words, or more than half of them in windows of three words found twice or
     more. kept: not base_failed and covered by no rule. Words are runs without space and code points 9 to 13.
 
-    Null or empty text: no words, so base_failed. Null ids and repeated rows: judged like any row. Empty table: empty
-    result. Columns of docs with the names of added ones are replaced; all others stay.
+    Null or empty text: no words, so base_failed. Null ids and repeated rows: judged like any row. Very long texts: read whole,
+    within the memory that a few times their words take. Empty table: empty result. Columns of docs with the names of added ones are replaced; all others stay.
     """
     added = {*STATS, "rule", "base_failed", "kept"}
     own = [c for c in docs.columns if c.lower() not in added or c in (id_col, text_col)]
