@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import partitions, shared_dir, table
+from palimpsest.llm.common import partitions, shared_path, table
 from palimpsest.llm.packing import small_batches
 from palimpsest.llm.tokens import default_path, encoder
 
@@ -31,17 +31,30 @@ MAGIC = b"PLMPTOK1"
 _SHARD_BYTES, _SHARD_DOCS = 4 << 20, 4096
 
 
-def train_dictionary(docs: DataFrame, id_col: str, text_col: str, end_id: int, path: str, sample: int = 800, size: int = 32_768) -> bytes:
-    """A zstandard dictionary from the ids of `sample` documents, those with the smallest hash of their id; longer
-    documents than 64 KB of text are passed over. Empty where there is too little to train on."""
+def train_dictionary(docs: DataFrame, id_col: str, text_col: str, end_id: int, path: str, sample: int = 800, size: int = 32_768, longest: int = 65_536) -> bytes:
+    """A zstandard dictionary from the ids of `sample` documents, those with the smallest hash of their id. Of a document of more than
+    `longest` bytes of ids so many train, from a place that the id's hash gives; of several of an id, one. Documents are
+    encoded on the executors. Empty where there is too little to train on."""
     import zstandard
 
-    ids = [r[0] for r in docs.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
-    texts = docs.where(F.col(id_col).isin(ids) & (F.octet_length(text_col) <= 65_536)).select(text_col).limit(sample) if ids else docs.select(text_col).limit(0)
-    e = encoder(path)
-    rows = sorted(e.encode(r[0] or "") + int(end_id).to_bytes(4, "little") for r in texts.collect())
+    chosen = [r[0] for r in docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
+    if not chosen:
+        return b""
+
+    def encode(batches):
+        e, end = encoder(path), int(end_id).to_bytes(4, "little")
+        for batch in batches:
+            out = []
+            for text, h in zip(batch.column("t"), batch.column("h").to_pylist(), strict=True):
+                ids = e.encode(text.as_py() or "") + end
+                at = 4 * (h % max((len(ids) - longest) // 4 + 1, 1))
+                out.append(ids[at : at + longest])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.binary())], ["i", "ids"])
+
+    rows = docs.where(F.col(id_col).isin(chosen)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
+    rows = rows.mapInArrow(encode, "i long, ids binary").groupBy("i").agg(F.min("ids").alias("ids")).collect()
     try:
-        return zstandard.train_dictionary(size, rows, k=512, d=8).as_bytes()
+        return zstandard.train_dictionary(size, sorted(bytes(r["ids"]) for r in rows), k=512, d=8).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
         return b""
 
@@ -111,9 +124,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Documents are encoded and compressed where they are read; only frames are shuffled, to the range of ids
     that they belong to, and each range writes its shards in order.
 
-    Null or empty text: end_id alone. Null ids come first. Repeated rows: each is a document; rows of
-    one id follow one another in the order of their texts' hashes. Empty table: an empty store. Other
-    columns of docs are not read.
+    Null or empty text: end_id alone. Null ids come first. Repeated rows: each is a document; rows of one id follow one another
+    in the order of their texts' hashes. Very long texts: one frame. Empty table: an empty store. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path()
@@ -178,6 +190,4 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    return write_tokens(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}").read()
+    return write_tokens(table(spark, sf_dir, "documents"), shared_path(spark, "tokens")).read()
