@@ -17,8 +17,8 @@ from pyspark.sql.column import Column
 from palimpsest.llm.common import SPACE, SPACE_CHARS, Stash, table
 from palimpsest.llm.trees import Node, forest
 
+#: Unbroken runs are candidates from this length on, by default.
 SHORTEST = 16
-_RUN = f"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}"
 #: Words that stand before secrets, and before other long strings.
 CUES = "token|secret|passwd|password|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
 OTHER_CUES = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|etag|revision|integrity|path|file|url|href"
@@ -39,24 +39,29 @@ FREQUENT = 1 / 5000
 FEATURES = ("length", "transitions", "digit_ratio", "upper_ratio", "hex", "dictionary", "slashes", "dots", "extension", "cue", "other_cue", "assigned", "quoted", "distinct", "spaces", "symbols", "placeholder")
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def run_pattern(shortest: int) -> str:
+    return f"[A-Za-z0-9+/_=.-]{{{shortest},}}"
+
+
+def candidates(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST) -> DataFrame:
     """(id_col, pos, finding, word, before, after): each candidate and its neighbours; pos: its word, from 0, or the first
-    of its words."""
+    of its words. shortest: of unbroken runs; values after a cue and prefixed strings count from SHORTEST_VALUE on."""
+    run = run_pattern(shortest)
     trimmed = F.trim(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(SPACE_CHARS))
     words = docs.select(F.col(f"`{id_col}`").alias("_id"), F.split(trimmed, f"{SPACE}+", -1).alias("_words"))
     at = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
-    long = F.transform(F.col("_words"), lambda w, i: F.when(F.octet_length(w) >= SHORTEST, F.when(w.rlike(_RUN), i)))
+    long = F.transform(F.col("_words"), lambda w, i: F.when(F.octet_length(w) >= shortest, F.when(w.rlike(run), i)))
     # twice used, so that the words stay computed
     found = words.select("_id", "_words", F.explode(F.array_compact(long)).alias("_pos"))
     near = found.select(
         "_id", F.col("_pos").cast("long").alias("pos"), at(F.col("_pos")).alias("word"),
         F.concat_ws(" ", at(F.col("_pos") - 3), at(F.col("_pos") - 2), at(F.col("_pos") - 1)).alias("before"), at(F.col("_pos") + 1).alias("after"),
     )
-    out = near.select("_id", "pos", "word", "before", "after", F.explode(F.regexp_extract_all("word", F.lit(_RUN), 0)).alias("finding"))
-    return out.unionByName(_values(docs, id_col, trimmed)).withColumnRenamed("_id", id_col)
+    out = near.select("_id", "pos", "word", "before", "after", F.explode(F.regexp_extract_all("word", F.lit(run), 0)).alias("finding"))
+    return out.unionByName(_values(docs, id_col, trimmed, run)).withColumnRenamed("_id", id_col)
 
 
-def _values(docs: DataFrame, id_col: str, trimmed: Column) -> DataFrame:
+def _values(docs: DataFrame, id_col: str, trimmed: Column, run: str) -> DataFrame:
     """Candidates that are values after a cue or have a known prefix, but for those that are long runs as a whole."""
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), trimmed.alias("_text")).where(F.col("_text").rlike(_VALUE))
     # a mark before each value, so that the words of the marked text tell where they are
@@ -67,7 +72,7 @@ def _values(docs: DataFrame, id_col: str, trimmed: Column) -> DataFrame:
     found = texts.select("_id", F.split("_text", f"{SPACE}+", -1).alias("_words"), F.explode(zipped).alias("_v"))
     found = found.select("_id", "_words", F.col("_v")["pos"].alias("_pos"), F.col("_v")["all"].alias("_all"), F.col("_v")["head"].alias("_head"), F.expr("substring(_v.all, char_length(_v.head) + 1)").alias("finding"))
     at = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
-    return found.where(~F.col("finding").rlike(f"^{_RUN}$")).select(
+    return found.where(~F.col("finding").rlike(f"^{run}$")).select(
         "_id", F.col("_pos").cast("long").alias("pos"), F.when(F.col("_head") != "", F.col("_all")).otherwise(at(F.col("_pos"))).alias("word"),
         F.concat_ws(" ", at(F.col("_pos") - 3), at(F.col("_pos") - 2), at(F.col("_pos") - 1)).alias("before"),
         at(F.col("_pos") + F.regexp_count("finding", F.lit(f"{SPACE}+")) + 1).alias("after"), "finding",
@@ -199,14 +204,15 @@ def train(findings: DataFrame, dictionary: tuple[str, ...] = (), text_col: str =
     return SecretModel(tuple(dictionary), tuple(forest([[float(r[f"_{f}"]) for f in FEATURES] for r in found], [r["_key"]["y"] for r in found], trees=11, depth=5)))
 
 
-def secret_scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def secret_scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, shortest: int = SHORTEST) -> DataFrame:
     """A row for each candidate: id_col, pos (long, its word from 0), finding, before, after (string), score (double) and
-    is_secret (boolean).
+    is_secret (boolean). Candidates are unbroken runs of `shortest` (16) or more of letters, digits and +/_=.-, and from 8
+    characters on values that are quoted or assigned after a cue, and what starts with a known prefix.
 
-    Null or empty text: no candidates. Null ids and repeated rows: findings of each row. Empty table: empty
-    result. Other columns of docs are not read.
+    Null or empty text: no candidates. Null ids and repeated rows: findings of each row. Very long texts: read whole. Empty
+    table: empty result. Other columns of docs are not read.
     """
-    found = with_features(candidates(docs, id_col, text_col), model.dictionary)
+    found = with_features(candidates(docs, id_col, text_col, shortest), model.dictionary)
     out = found.select(f"`{id_col}`", "pos", "finding", "before", "after", F.round(model.column(), 6).alias("score"))
     return out.withColumn("is_secret", F.col("score") >= least)
 
