@@ -5,13 +5,11 @@ Each stage takes all that the one before kept and calls an operator of palimpses
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import line_dedup, mixing, near_dup, packing, quality
-from palimpsest.llm.common import shared_dir, table
+from palimpsest.llm.common import shared_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each one's result written and reread."""
+    """The stages in turn, each one's result written and reread; materialize.drop_all removes what is left of them."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
+        path = shared_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
