@@ -141,6 +141,9 @@ def example_findings(dictionary: tuple[str, ...], n: int = 700, seed: int = 4) -
     random_of = lambda chars, a, b: "".join(rng.choices(chars, k=rng.randint(a, b)))
     cue = lambda: rng.choice(["token", "secret", "password", "api_key", "API_KEY", "access_key", "auth", "TOKEN", "private_key", "credential"])
     other = lambda: rng.choice(["commit", "sha256", "md5", "hash", "checksum", "uuid", "etag", "revision", "digest"])
+    beside = lambda: rng.choice([
+        random_of("0123456789", 16, 24), f"{letters(2)[:8]}.{rng.randint(10, 99)}@mail{rng.randint(1, 9)}.example.com", f"mail{rng.randint(1, 9)}.{letters(2)}.example.com", f"{letters(5).upper():E<16}!!", f"{letters(5):e<16}", "/".join(rng.choices(words, k=5)) + "/index.html",
+    ])
     out = []
     for k in range(n):
         secret = rng.choice([lambda: random_of(hexa, 32, 64), lambda: random_of(hexa, 32, 64).upper(), lambda: random_of(mixed, 20, 60), lambda: random_of(mixed + "+/", 24, 64), lambda: rng.choice(["ghp_", "sk_live_", "AKIA", "xoxb-"]) + random_of(mixed, 20, 40)])()
@@ -154,6 +157,8 @@ def example_findings(dictionary: tuple[str, ...], n: int = 700, seed: int = 4) -
                 lambda: "/".join(rng.choices(words, k=5)) + rng.choice([".py", ".html", ".md", ""]) + "/index", lambda: random_of("0123456789", 16, 24), lambda: rng.choice("-=._") * rng.randint(16, 60),
                 lambda: f"mail{rng.randint(1, 9)}.{letters(3)}.example.com", lambda: letters(6).upper() + "!!", lambda: f"{cue()} {letters(6)}", lambda: f"{letters(3)}-{letters(3)}-{letters(3)}",
                 lambda: f"{rng.randint(2000, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}.{rng.randint(0, 59):02}.00", lambda: f"uuid {'-'.join(random_of(hexa, m, m) for m in (8, 4, 4, 4, 12))}",
+                # what stands after another's value
+                lambda: f'{cue()} = "{letters(1)[:6]}"{rng.choice(["", "###", ","])} {beside()}', lambda: f'{cue()}: "{letters(1)[:6]}" {some(1)} {beside()}',
             ])()
             out.append((f"{some(3)} {text} {some(2)}", 0))
     return out

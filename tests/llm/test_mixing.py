@@ -1,8 +1,12 @@
 """Mixing: margins after raking, counts of kept documents, and defined cases."""
 
 import random
+import re
 
-from palimpsest.llm.mixing import TARGETS, calibrate, expected_margins, mix_sources, rake
+import numpy as np
+from pyspark.sql import functions as F
+
+from palimpsest.llm.mixing import TARGETS, calibrate, expected_margins, mix_sources, op6_mix_sources, rake, uniform
 
 
 def test_rake_meets_margins():
@@ -64,3 +68,59 @@ def test_every_source_has_a_target(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_LITERAL", 1)  # cells joined
     row = lambda r: (r["doc_id"], r["weight"], r["probability"], r["kept"])
     assert sorted(map(row, mix_sources(docs, budget=0.05).collect())) == sorted(map(row, out.collect()))
+
+
+def plain(rows, uniforms):
+    """What op6 gives for rows (doc_id, text, lang, source), by a plain reading: cells, tokens, fitted shares and who stays."""
+    out, tokens = {}, {}
+    for k, text, lang, source in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        bars, lines = (text or "").count("|"), (text or "").count("\n") + 1
+        topic = "table" if 3 * bars >= max(n, 1) else "list" if 12 * lines >= max(n, 1) else "short" if n < 400 else "long"
+        cell = (source if source is not None else "other", lang if lang in TARGETS["lang"] else "other", topic)
+        out[k] = (n, cell)
+        tokens[cell] = tokens.get(cell, 0) + n
+    values = [sorted({c[k] for c in tokens}) for k in range(3)]
+    grid = np.zeros([len(v) for v in values])
+    for c, n in tokens.items():
+        grid[tuple(v.index(x) for v, x in zip(values, c, strict=True))] = n
+    total = grid.sum()
+    by_source = dict(zip(values[0], grid.sum((1, 2)), strict=True))
+    rest = {v: t**0.5 for v, t in by_source.items() if v != "src0" and t > 0}
+    goals = [{"src0": 0.25} | {v: 0.75 * x / sum(rest.values()) for v, x in rest.items()}, TARGETS["lang"], TARGETS["topic"]]
+    share = grid / total
+    for _ in range(400):
+        for k in range(3):
+            axes = tuple(a for a in range(3) if a != k)
+            margin = share.sum(axes)
+            goal = np.array([goals[k].get(v, 0.0) for v in values[k]]) * (margin > 0)
+            factor = np.divide(goal / goal.sum(), margin, out=np.zeros_like(margin), where=margin > 0)
+            share = share * factor.reshape([-1 if a == k else 1 for a in range(3)])
+    weight = np.divide(share * total, grid, out=np.zeros_like(grid), where=grid > 0)
+    low, high = 0.0, 1e9  # the scale at which capped chances spend the budget
+    for _ in range(300):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (np.minimum(1, weight * middle) * grid).sum() < 0.8 * total else (low, middle)
+    chance = np.minimum(1, weight * high)
+    at = lambda g, c: g[tuple(v.index(x) for v, x in zip(values, c, strict=True))]
+    return {k: (n, c, at(weight, c), at(chance, c) if tokens[c] else 1.0, uniforms[k]) for k, (n, c) in out.items()}
+
+
+def test_query_against_a_plain_reading(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    uniforms = {r[0]: r[1] for r in docs.select("doc_id", uniform(F.col("doc_id"), 17)).collect()}
+    want = plain([tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()], uniforms)
+    got = op6_mix_sources(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, cell, weight, chance, u = want[r["doc_id"]]
+        assert (r["n_tokens"], r["cell_source"], r["cell_lang"], r["cell_topic"]) == (n, *cell)
+        assert abs(r["weight"] - weight) < 1e-5 * max(1, weight) and abs(r["probability"] - chance) < 1e-5
+        assert r["kept"] == (u < chance) or abs(u - chance) < 1e-5
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "w " * 600_000, "en", "src0"), (2, "a|b " * 200_000, "en", "src1"), (3, "x" * 3_000_000, "en", "src1")]
+    got = {r["doc_id"]: (r["n_tokens"], r["cell"]["topic"]) for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {1: (600_000, "long"), 2: (200_000, "table"), 3: (1, "list")}

@@ -87,3 +87,41 @@ def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f")], "doc_id long, text string")
     assert sorted((tuple(r) for r in near_dup(docs).collect()), key=str) == sorted([(None, 2, None, True), (5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False)], key=str)
     assert near_dup(docs.limit(0)).count() == 0
+
+
+def test_registers_merge_and_agree_as_often_as_jaccard():
+    """Registers of a union are the maxima of registers; equal registers are about as frequent as the sets are alike."""
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (1, 5, 300, 1200, 2500)]
+    rows = lambda own: registers(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+    each = rows(sets)
+    for i in range(len(sets)):
+        for j in range(i):
+            union = rows([np.union1d(sets[i], sets[j])])[0]
+            assert (union == np.maximum(each[i], each[j])).all()
+    for share in (0.5, 0.8, 0.95):
+        same = total = 0
+        for k in range(60):
+            own = np.random.default_rng(k).integers(0, 1 << 63, 2000, dtype=np.uint64)
+            only = int(1000 * (1 - share) / (1 + share) / 1)
+            a, b = own[: 1000], np.concatenate([own[: 1000 - only], own[1000 : 1000 + only]])
+            jaccard = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            x, y = rows([np.sort(a), np.sort(b)])
+            same += int((x == y).sum())
+            total += len(x)
+        assert abs(same / total - jaccard) < 0.03, (share, jaccard, same / total)
+
+
+def test_very_long_texts(spark):
+    """Texts of over a block of 1 MB are compared whole: a pair alike only in its first megabyte is no link."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    head = words(220_000)
+    tail, other = words(120_000), words(120_000)
+    near = list(head + tail)
+    for k in range(0, len(near), 4000):
+        near[k] = "changed"
+    rows = [(1, " ".join(head + tail)), (2, " ".join(near)), (3, " ".join(head + other)), (4, " ".join(words(50)))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert len(rows[0][1]) > 1 << 21 and got == {1: 1, 2: 1, 3: 3, 4: 4}

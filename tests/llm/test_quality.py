@@ -63,3 +63,17 @@ def test_no_labels_and_empty(spark):
     assert not rules.rules and quality_rules(docs, rules).first()["kept"]
     assert quality_rules(docs.limit(0), rules).count() == 0
     assert learn([], []).rules == ()
+
+
+def test_very_long_texts_and_repeated_labels(spark):
+    """A text of megabytes has the statistics of the whole; of several documents of an id the same one teaches in every run."""
+    from palimpsest.llm.quality import quality_rules, train, DecisionList
+
+    long = " ".join(f"w{k}" for k in range(300_000)) + " a b c a b c"
+    rows = [(1, long), (2, "same words " * 200_000), (3, "x" * 2_000_000)]
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), DecisionList(())).collect()}
+    assert got == {1: (300_006, sum(len(f"w{k}") for k in range(300_000)) + 6, 6, False), 2: (400_000, 1_800_000, 400_000, True), 3: (1, 2_000_000, 0, True)}
+    docs = [(k % 40, " ".join(["word", "###" if k % 2 else "text"] * 40 + [str(k)] + [f"v{j}" for j in range(60)])) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0)], "doc_id long, quality int")
+    one, two = (str(train(spark.createDataFrame(d, "doc_id long, text string").repartition(n), labels, sample=30)) for d, n in ((docs, 3), (docs[::-1], 7)))
+    assert one == two

@@ -79,3 +79,27 @@ def test_redact(spark):
 
     row = spark.createDataFrame([("a KEY1 b KEY2", ["KEY1", "KEY2"])], "t string, f array<string>").select(redact(F.col("t"), F.col("f")).alias("r")).first()
     assert row["r"] == "a [SECRET] b [SECRET]"
+
+
+def test_planted_secrets_of_documents(spark):
+    """The query on given documents: every unbroken run is a candidate, as a plain reading finds them; all planted tokens are found,
+    in repeated rows as well, and nothing else."""
+    from palimpsest.llm.secret_scan import op4_secret_scan
+    import hashlib
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda f: hashlib.sha256(f.encode()).hexdigest()
+    got = op4_secret_scan(spark, sf).collect()
+    runs = sorted((k, p, sha(f)) for k, t in texts.items() for p, f in plain(t))
+    planted = sorted((k, sha(m)) for k, t in texts.items() for m in re.findall(r'token = "([0-9a-f]{40})"', t or ""))
+    assert len(planted) >= 10 and set(runs) <= {(r["doc_id"], r["pos"], r["finding_sha256"]) for r in got}
+    assert sorted((r["doc_id"], r["finding_sha256"]) for r in got if r["is_secret"]) == planted
+
+
+def test_repeated_rows_and_shorter_runs(spark):
+    model = train(spark.createDataFrame(example_findings(DICTIONARY), "text string, label int"), DICTIONARY)
+    rows = [(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x'), (1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x'), (2, "x" * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["doc_id"], r["is_secret"]) for r in secret_scan(docs, model).collect()] == [(1, True), (1, True)]
+    assert {r["finding"] for r in secret_scan(docs, model, shortest=12).collect()} == {"24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "x" * 12}
