@@ -1,14 +1,21 @@
-"""Tables of the engine: Parquet under a root, replaced as a whole by a staged write and a rename."""
+"""Tables of the engine: Parquet folders under a root, of which a numbered list in JSON says which ones are the table.
+
+A write adds folders and then a list with the next number, made in one step that fails where the number is taken. Readers take
+the list of the largest number that can be read, so that whatever is cut short, they see the table before or after
+a write. Keyed tables are dealt to buckets by a hash of their key, and a write of some keys replaces only their buckets.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from palimpsest.operators import memory
-from palimpsest.operators.cache import merge
-from palimpsest.plans.materialize import delete, exists, rename
+from palimpsest.plans.materialize import delete, exists
 
 SCHEMAS = {
     "files": "path string, modified timestamp, length long, sha string, project_id string, session_id string, is_sidechain boolean, parent_session string, agent_type string, description string",
@@ -25,35 +32,143 @@ SCHEMAS = {
     "promotions": "project_id string, target string, content_hash string, promoted_at timestamp",
     "memories": memory.SCHEMA,
     "metrics": "at timestamp, query string, items int, tokens long",
+    "summaries": "input_hash string, session_id string, model string, text string",
 }
+#: The column by which a table is dealt to buckets; rows are replaced by its values.
+KEYS = {
+    "files": "path", "sessions": "session_id", "usage": "session_id", "chunks": "session_id", "vectors": "session_id", "stats": "path", "topics": "topic_id", "topic_names": "topic_id", "promotions": "project_id", "memories": "id", "summaries": "input_hash",
+}
+BUCKETS = 16
+#: Folders of a table that is only added to, beyond which they are written anew as one.
+MOST_FOLDERS = 64
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, name: str) -> DataFrame:
-        """The table; empty where it was never written."""
+    # lists
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, name: str) -> list[int]:
+        """Of the lists that are there, the largest first."""
         if not exists(self.spark, self.path(name)):
+            return []
+        p, fs = self._fs(self.path(name))
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit()), reverse=True)
+
+    def _list(self, name: str, number: int) -> dict | None:
+        """A list, or None where it was cut short."""
+        p, fs = self._fs(f"{self.path(name)}/v{number}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def current(self, name: str) -> dict:
+        """buckets: how many (0: not dealt); parts: the folders of each bucket, or of "all". Empty where the table was never written."""
+        for number in self._numbers(name):
+            if found := self._list(name, number):
+                return found
+        return {"buckets": 0, "parts": {}}
+
+    def _commit(self, name: str, content: dict) -> None:
+        """Make the next list; another writer's list of the same number is an error. What neither this list nor the one before
+        names is removed afterwards."""
+        numbers = self._numbers(name)
+        before = self.current(name)
+        p, fs = self._fs(f"{self.path(name)}/v{(numbers[0] if numbers else 0) + 1}.json")
+        stream = fs.create(p, False)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        live = {part.split("/")[0] for x in (before, content) for own in x["parts"].values() for part in own}
+        folder, fs = self._fs(self.path(name))
+        for status in fs.listStatus(folder):
+            own = status.getPath().getName()
+            if own.startswith("part-") and own not in live and not self._fresh(status):
+                delete(self.spark, f"{self.path(name)}/{own}")
+        for number in numbers[1:]:
+            delete(self.spark, f"{self.path(name)}/v{number}.json")
+
+    def _fresh(self, status) -> bool:
+        """Whether a folder may be another writer's that isn't listed yet."""
+        return self.spark._jvm.java.lang.System.currentTimeMillis() - status.getModificationTime() < 3_600_000
+
+    # tables
+
+    def _schema(self, name: str):
+        return self.spark.createDataFrame([], SCHEMAS[name]).schema
+
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in self._schema(name)))
+
+    def _load(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path(name)}/{x}" for x in folders))
+
+    def read(self, name: str) -> DataFrame:
+        """The table; empty where it was never written."""
+        return self._load(name, [x for own in self.current(name)["parts"].values() for x in own])
+
+    def _bucket(self, key: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def _folder(self, name: str, df: DataFrame, buckets: int) -> dict[str, list[str]]:
+        """Write rows to a new folder; the parts that it adds. A bucket's rows are one task's."""
+        folder = f"part-{uuid.uuid4().hex}"
+        rows = self._shaped(name, df)
+        if not buckets:
+            rows.write.parquet(f"{self.path(name)}/{folder}")
+            return {"all": [folder]}
+        rows.withColumn("_bucket", self._bucket(KEYS[name], buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path(name)}/{folder}")
+        p, fs = self._fs(f"{self.path(name)}/{folder}")
+        own = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {x.split("=")[1]: [f"{folder}/{x}"] for x in own if x.startswith("_bucket=")}
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace the table. Readers see the old files until the rename."""
-        staged, old = f"{self.root}/.staging-{name}-{uuid.uuid4().hex}", f"{self.root}/.old-{name}-{uuid.uuid4().hex}"
-        kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in kinds)).write.parquet(staged)
-        if exists(self.spark, self.path(name)):
-            rename(self.spark, self.path(name), old)
-        rename(self.spark, staged, self.path(name))
-        delete(self.spark, old)
+        """Replace the table."""
+        buckets = self.buckets if name in KEYS else 0
+        self._commit(name, {"buckets": buckets, "parts": self._folder(name, df, buckets)})
 
     def append(self, name: str, df: DataFrame) -> None:
-        kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in kinds)).write.mode("append").parquet(self.path(name))
+        """Add rows to a table without keys."""
+        known = self.current(name)
+        new = self._folder(name, df, 0)["all"]
+        folders = known["parts"].get("all", []) + new
+        if len(folders) > MOST_FOLDERS:
+            folders = self._folder(name, self._load(name, folders), 0)["all"]
+        self._commit(name, {"buckets": 0, "parts": {"all": folders}})
+
+    def replace(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Put rows in the place of all rows of their keys, and of the keys in gone (a column of that name). Only these keys'
+        buckets are read and written."""
+        key, known = KEYS[name], self.current(name)
+        buckets = known["buckets"] or self.buckets
+        rows = self._shaped(name, rows)
+        keys = (rows.select(key) if gone is None else rows.select(key).unionByName(gone.select(key))).distinct()
+        touched = {str(r["b"]) for r in keys.select(self._bucket(key, buckets).alias("b")).distinct().collect()}  # at most `buckets`
+        if not touched:
+            return
+        old = self._load(name, [x for b, own in known["parts"].items() if b in touched for x in own])
+        new = self._folder(name, old.join(keys, key, "left_anti").unionByName(rows), buckets)
+        self._commit(name, {"buckets": buckets, "parts": {b: own for b, own in known["parts"].items() if b not in touched} | new})
+
+    def remove(self, name: str, gone: DataFrame) -> None:
+        """Drop the rows whose key is in gone."""
+        self.replace(name, self.spark.createDataFrame([], SCHEMAS[name]), gone)
 
-    def upsert(self, name: str, df: DataFrame, key: list[str]) -> None:
-        self.write(name, merge(self.read(name), df, key))
+    def dimension(self) -> int | None:
+        """Components of the stored vectors; None without any."""
+        row = self.read("vectors").select(F.size("embedding").alias("n")).first()
+        return row["n"] if row else None

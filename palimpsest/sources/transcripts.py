@@ -6,6 +6,7 @@ A project is a folder under the root; a session is a `.jsonl` file in it, or, fo
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -20,8 +21,9 @@ def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """The session files under root with their identity, project, and sidecars. A root that isn't there: none."""
+def discover(spark: SparkSession, root: str, sha: bool = True) -> DataFrame:
+    """The session files under root with their identity, project, and sidecars; without sha, only the sidecars are read, and it is
+    null. A root that isn't there: none."""
     from palimpsest.plans.materialize import exists
 
     if not exists(spark, root):
@@ -33,13 +35,34 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     rows = rows.where(~F.col("rel").rlike(r"^\.") & ((F.size(parts) == 2) | side))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")
     rows = rows.select(
-        "path", F.col("modificationTime").alias("modified"), "length", F.sha2("content", 256).alias("sha"), parts[0].alias("project_id"), side.alias("side"), F.regexp_replace("path", r"\.jsonl$", "").alias("key"),
+        "path", F.col("modificationTime").alias("modified"), "length", (F.sha2("content", 256) if sha else F.lit(None).cast("string")).alias("sha"), parts[0].alias("project_id"), side.alias("side"), F.regexp_replace("path", r"\.jsonl$", "").alias("key"),
         F.when(side, F.regexp_replace(stem, "^agent-", "")).otherwise(stem).alias("session_id"), F.when(side, F.element_at(parts, -3)).alias("above"),
     )
     meta = _files(spark, root, "*.meta.json").select(F.regexp_replace("path", r"\.meta\.json$", "").alias("key"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v")).where("v is not null")
     meta = meta.select("key", F.try_variant_get("v", "$.agentType", "string").alias("agent_type"), F.try_variant_get("v", "$.description", "string").alias("description"), F.lit(True).alias("has_meta"))
     out = rows.join(meta, "key", "left").withColumn("is_sidechain", F.col("side") & F.coalesce("has_meta", F.lit(False)))
-    return out.select("path", "modified", "length", "sha", "project_id", "session_id", "is_sidechain", F.when(F.col("is_sidechain"), F.col("above")).alias("parent_session"), "agent_type", "description").orderBy("path")
+    return out.select("path", "modified", "length", "sha", "project_id", "session_id", "is_sidechain", F.when(F.col("is_sidechain"), F.col("above")).alias("parent_session"), "agent_type", "description")
+
+
+def with_sha(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """files with the SHA-256 of their content; null where it can't be read. Their paths go to the driver, as the list of
+    files of any read does."""
+    paths = [r["path"] for r in files.select("path").collect()]
+    if not paths:
+        return files
+    return files.drop("sha").join(_contents(spark, paths).select("path", F.sha2("content", 256).alias("sha")), "path", "left").select(*files.columns)
+
+
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files that can be read; those that went since they were listed, before or while Spark reads, are left out."""
+    from palimpsest.plans.materialize import exists
+
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    try:
+        return reader.load(paths)
+    except AnalysisException:
+        there = [p for p in paths if exists(spark, p)]
+        return reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
 
 
 def lines(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -49,7 +72,7 @@ def lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     paths = [r["path"] for r in files.select("path").collect()]
     if not paths:
         return spark.createDataFrame([], "path string, session_id string, project_id string, line_no long, v variant")
-    texts = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("text"))
+    texts = _contents(spark, paths).select("path", F.decode("content", "UTF-8").alias("text"))
     rows = texts.join(files.select("path", "session_id", "project_id"), "path").select("path", "session_id", "project_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
     return rows.select("path", "session_id", "project_id", F.col("line_no").cast("long").alias("line_no"), F.try_parse_json("line").alias("v"))
 

@@ -1,20 +1,23 @@
 """Incremental indexing: new and grown files are found by their identity and indexed anew, file by file in effect.
 
 Spark's file source takes a path once, and transcripts grow in place; so a run compares a listing with the manifest
-of what was indexed. Files that are gone stay indexed unless they are collected. For folders of files that never
-change once written, watch() does the same from a stream's micro-batches.
+of what was indexed: by time and length first, and by content where these differ. Files that are gone stay indexed unless they
+are collected. follow() does so at every tick of a stream; for folders of files that never change once written, watch() does
+it from a stream's micro-batches.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
+from palimpsest.functions.tokens import Bpe
 from palimpsest.operators import cache, chunking
 from palimpsest.operators import sessions as se
 from palimpsest.plans.materialize import Stash, stash
@@ -38,18 +41,35 @@ def changed(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return listing.join(manifest.select("path", "sha"), ["path", "sha"], "left_anti")
 
 
+def touched(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that aren't in the manifest with their time and length: those whose content has to be looked at."""
+    same = (listing["path"] == manifest["path"]) & (listing["modified"] == manifest["modified"]) & (listing["length"] == manifest["length"])
+    return listing.join(manifest, same, "left_anti")
+
+
 def gone(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(listing.select("path"), "path", "left_anti")
 
 
-def index(store: Store, files: DataFrame, embed: Embed = hashed_bag) -> dict[str, int]:
-    """Parse, roll up, chunk, embed what the cache lacks, and merge into the tables; a saved summary stays. Counts of files,
-    chunks, cache hits and misses. Running it again on the same files changes nothing."""
+def check_dimension(vectors: DataFrame, known: int | None) -> None:
+    """ValueError unless all vectors have the same number of components, and that of the known ones."""
+    sizes = sorted(r["n"] for r in vectors.select(F.size("embedding").alias("n")).distinct().limit(2).collect())
+    if len(sizes) > 1 or known and sizes and sizes[0] != known:
+        raise ValueError(f"vectors of {sizes} components, but {known or 'one number'} expected")
+
+
+NOTHING = {"files": 0, "chunks": 0, "hits": 0, "misses": 0}
+
+
+def index(store: Store, files: DataFrame, embed: Embed = hashed_bag, tokens: Bpe | None = None) -> dict[str, int]:
+    """Parse, roll up, chunk, embed what the cache lacks, and put the sessions' rows in the place of their old ones; a saved summary
+    stays. Counts of files, chunks, cache hits and misses. Running it again on the same files changes nothing. The manifest is written
+    last, so that files of a run that was cut short are indexed again."""
     spark = store.spark
     files = stash(files, "files")
     n = files.count()
     if not n:
-        return {"files": 0, "chunks": 0, "hits": 0, "misses": 0}
+        return dict(NOTHING)
     parsed = Stash(transcripts.lines(spark, files).withColumn("j", F.to_json("v")).drop("v"), "lines")
     lines = parsed.df.withColumn("v", F.try_parse_json("j"))
     records = Stash(transcripts.records(lines), "records").df
@@ -57,34 +77,59 @@ def index(store: Store, files: DataFrame, embed: Embed = hashed_bag) -> dict[str
     kept = store.read("sessions").select("session_id", "summary")
     side = files.select("session_id", "sha", "is_sidechain", "parent_session")
     sessions = side.join(rolled, "session_id").join(kept, "session_id", "left").withColumn("content_hash", ids.session_hash(F.col("sha"), F.col("message_count")))
-    chunks = Stash(chunking.chunk(records), "chunks").df
+    chunks = Stash(chunking.chunk(records, tokens), "chunks").df
     looked = Stash(cache.cached(chunks, store.read("embedding_cache")), "looked-up").df
     fresh = stash(embed(cache.misses(looked)), "embedded")
+    check_dimension(fresh, store.dimension())
     counts = looked.agg(F.count("*").alias("n"), F.count_if("hit").alias("h")).first()
     vectors = looked.drop("embedding").join(store.read("embedding_cache").unionByName(fresh), "hash").select("chunk_id", "session_id", "project_id", "started_at", vx.normalise(F.col("embedding")).alias("embedding"))
     vectors = stash(vectors, "vectors")
-    touched = files.select("session_id").distinct()
-    without = lambda name: store.read(name).join(touched, "session_id", "left_anti")
+    own = files.select("session_id").distinct()
     usage = se.usage(records)
     stats = transcripts.parse_stats(lines)
-    # each table is written from the old one and the session's new rows, so stale chunks go with the rewrite
-    store.append("embedding_cache", fresh)
-    for name, rows in (("sessions", sessions), ("usage", usage), ("chunks", chunks), ("vectors", vectors)):
-        store.write(name, stash(without(name).unionByName(rows, allowMissingColumns=True), name))
-    store.upsert("stats", stats, ["path"])
-    store.upsert("files", files, ["path"])
+    if counts["n"] > counts["h"]:
+        store.append("embedding_cache", fresh)
+    # the rows of these sessions go as a whole, and stale chunks with them
+    for name, rows in (("sessions", stash(sessions, "sessions")), ("usage", usage), ("chunks", chunks), ("vectors", vectors)):
+        store.replace(name, rows, own)
+    store.replace("stats", stats)
+    store.replace("files", files)
     parsed.drop()
     return {"files": n, "chunks": counts["n"], "hits": counts["h"], "misses": counts["n"] - counts["h"]}
 
 
-def refresh(store: Store, root: str, embed: Embed = hashed_bag, collect_gone: bool = False) -> dict[str, int]:
-    """One pass over a folder: index what changed since the last."""
-    listing = stash(transcripts.discover(store.spark, root), "listing")
-    out = index(store, changed(listing, store.read("files")), embed)
+def refresh(store: Store, root: str, embed: Embed = hashed_bag, collect_gone: bool = False, progress: Callable[[int, int], None] | None = None, step: int = 25, settle: float = 0.0, tokens: Bpe | None = None) -> dict[str, int]:
+    """One pass over a folder: index what changed since the last. Only files of another time or length than the manifest's are read.
+    Files that can't be read are counted as failed and tried again next time; the others go on. progress: called with the files done and
+    their number after every `step` of them; without it all go in one run. settle: files changed in the last so many seconds wait."""
+    listing = transcripts.discover(store.spark, root, sha=False)
+    if settle:
+        listing = listing.where(F.col("modified") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(settle))))
+    listing = stash(listing, "listing")
+    known = store.read("files")
+    looked = stash(transcripts.with_sha(store.spark, touched(listing, known)), "looked-at")
+    read = looked.where("sha is not null")
+    todo = stash(changed(read, known), "changed")
+    total, out = todo.count(), dict(NOTHING)
+    parts = -(-total // step) if progress else 1
+    if progress:
+        todo = todo.withColumn("_n", F.row_number().over(Window.orderBy("path")) - 1)  # a list of file names
+    for k in range(parts):
+        own = todo.where(F.floor(F.col("_n") / step) == k).drop("_n") if progress else todo
+        for name, n in index(store, own, embed, tokens).items():
+            out[name] += n
+        if progress:
+            progress(min((k + 1) * step, total), total)
+    # others are as they were, at another time
+    moved = read.join(todo.select("path"), "path", "left_anti")
+    if not moved.isEmpty():
+        store.replace("files", moved)
+    if failed := looked.where("sha is null").count():
+        out["failed"] = failed
     if collect_gone:
         lost = stash(gone(listing, store.read("files")).select("path", "session_id"), "gone")
-        for name in ("sessions", "usage", "chunks", "vectors", "files"):
-            store.write(name, stash(store.read(name).join(lost.select("session_id").distinct(), "session_id", "left_anti"), name))
+        for name in ("sessions", "usage", "chunks", "vectors", "files", "stats"):
+            store.remove(name, lost)
     return out
 
 
@@ -100,6 +145,54 @@ def watch(store: Store, root: str, checkpoint: str, embed: Embed = hashed_bag, t
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def follow(store: Store, root: str, embed: Embed = hashed_bag, every: str = "1 second", settle: float = 0.25, collect_gone: bool = False, events: Events | None = None, tokens: Bpe | None = None):
+    """A streaming query that refreshes at every tick, for files that are made, grow or go: a file is indexed once it has been quiet
+    for `settle` seconds. Files that are gone stay indexed unless collect_gone. events: told what each round did, if anything."""
+    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def batch(_: DataFrame, __: int) -> None:
+        done = refresh(store, root, embed, collect_gone, settle=settle, tokens=tokens)
+        if events and any(done.values()):
+            events.publish(done)
+
+    return ticks.writeStream.foreachBatch(batch).trigger(processingTime=every).start()
+
+
+class Events:
+    """What happened, for any number of subscribers. Each holds the last `most` events that it hasn't taken; one that falls
+    behind is closed, so that it can tell and start anew."""
+
+    def __init__(self, most: int = 1024):
+        self.most, self.subscribers = most, []
+
+    def subscribe(self) -> Subscriber:
+        self.subscribers.append(Subscriber(self.most))
+        return self.subscribers[-1]
+
+    def publish(self, event) -> None:
+        for s in self.subscribers:
+            s.put(event)
+        self.subscribers = [s for s in self.subscribers if not s.closed]
+
+
+class Subscriber:
+    def __init__(self, most: int):
+        self.held, self.most, self.closed = deque(), most, False
+
+    def put(self, event) -> None:
+        if len(self.held) == self.most:
+            self.closed = True
+        else:
+            self.held.append(event)
+
+    def take(self) -> list:
+        """Events since the last call."""
+        out = []
+        while self.held:
+            out.append(self.held.popleft())
+        return out
+
+
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums of a stream or table of events by type and window of event time."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
