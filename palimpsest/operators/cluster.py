@@ -1,4 +1,8 @@
-"""Topics: density clusters of vectors by project, their centroids, and edges between them."""
+"""Topics: density clusters of vectors by project, their centroids, and edges between them.
+
+Vectors meet in pairs of blocks, each pair a row of its own, so that a project of any size spreads over tasks. Equal vectors are
+one class before, and what a pair of blocks gives is bounded by its rows: sums, links of a spanning forest, best ones.
+"""
 
 from __future__ import annotations
 
@@ -14,81 +18,191 @@ from palimpsest.operators.components import components
 from palimpsest.plans.materialize import stash
 
 EPS, SMALL_EPS, SMALL, LEAST = 0.18, 0.12, 25, 4
-BLOCK = 512
+BLOCK = 1024
+
+
+def in_blocks(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """group, _b, _n and an array `name` of the other columns of rows (i, v and more): blocks of about BLOCK rows, their number from 0 and how many the
+    group has."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    spread = rows.join(sizes, group).withColumn("_b", F.pmod(F.xxhash64("i"), F.col("_n")))
+    own = [F.col(c) for c in rows.columns if c != group]
+    return spread.groupBy(group, "_n", "_b").agg(F.collect_list(F.struct(*own)).alias(name))
+
+
+def block_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """group, same (boolean), xs and ys: each pair of blocks of a group once, and each block with itself."""
+    packed = stash(in_blocks(rows, group, "rows"), "blocks")
+    one = packed.select(group, F.col("_b").alias("x"), F.explode(F.sequence(F.col("_b"), F.col("_n").cast("long") - 1)).alias("y"), F.col("rows").alias("xs"))
+    two = packed.select(group, F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("x"), F.col("_b").alias("y"), F.col("rows").alias("ys"))
+    return one.join(two, [group, "x", "y"]).select(group, (F.col("x") == F.col("y")).alias("same"), "xs", "ys")
+
+
+def _side(column, k: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Ids, vectors (rows) and all fields of the k-th block."""
+    own = column[k].values
+    i = np.array(own.field("i").to_pylist(), dtype=object if pa.types.is_string(own.type.field("i").type) else None)
+    return i, own.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), own
+
+
+def _near(batch: pa.RecordBatch, k: int):
+    """xs, ys and which of them are within eps of each other, none of itself."""
+    xs, ys = _side(batch.column("xs"), k), _side(batch.column("ys"), k)
+    near = 1 - xs[1] @ ys[1].T <= xs[2].field("eps")[0].as_py()
+    if batch.column("same")[k].as_py():
+        near &= xs[0][:, None] != ys[0][None]
+    return xs, ys, near
+
+
+def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def neighbours(vectors: DataFrame, eps: DataFrame | float, id_col: str = "chunk_id") -> DataFrame:
-    """(project_id, a, b) of pairs of a project, a < b, whose cosine distance is at most eps (a number, or by project_id).
-    Vectors meet in blocks: a row of the join is one block against another of a project, so that a project of any
-    size spreads over tasks and only pairs within eps come out."""
-    kind = vectors.schema[id_col].dataType.simpleString()
-    spread = vectors.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(1 << 20)))
-    sizes = vectors.groupBy("project_id").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    rows = spread.join(sizes, "project_id").withColumn("_block", F.col("_block") % F.col("_blocks"))
-    packed = rows.groupBy("project_id", "_block").agg(F.collect_list(F.struct(F.col(id_col).alias("i"), vx.normalise(F.col("embedding")).alias("v"))).alias("rows"))
-    packed = packed.join(eps, "project_id") if isinstance(eps, DataFrame) else packed.withColumn("eps", F.lit(float(eps)))
-    packed = stash(packed, "blocks")
-    one, two = packed.select("project_id", "eps", F.col("_block").alias("x"), F.col("rows").alias("xs")), packed.select("project_id", F.col("_block").alias("y"), F.col("rows").alias("ys"))
-    both = one.join(two, "project_id").where("x <= y").select("project_id", "eps", "xs", "ys")
+    """(project_id, a, b) of pairs of a project, a < b, whose cosine distance is at most eps (a number, or by project_id): all links, for
+    callers that want them as rows. Clusters and edges do without."""
+    rows = _rows(vectors, eps, id_col)
+    schema = pa.schema([("project_id", _arrow(vectors, "project_id")), ("a", _arrow(vectors, id_col)), ("b", _arrow(vectors, id_col))])
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                xs, ys, limit = batch.column("xs")[k].values, batch.column("ys")[k].values, batch.column("eps")[k].as_py()
-                i, j = xs.field("i").to_pylist(), ys.field("i").to_pylist()
-                a, b = (np.array(v.field("v").to_pylist(), float).reshape(len(v), -1) for v in (xs, ys))
-                near = np.argwhere(1 - a @ b.T <= limit)
-                pairs = sorted({(min(i[p], j[q]), max(i[p], j[q])) for p, q in near.tolist() if i[p] != j[q]})
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("project_id")[k].as_py()] * len(pairs), batch.schema.field("project_id").type), *(pa.array(x, xs.type.field("i").type) for x in zip(*pairs, strict=True))], ["project_id", "a", "b"])
+                (i, _, _), (j, _, _), near = _near(batch, k)
+                p, q = np.nonzero(near)
+                if batch.column("same")[k].as_py():
+                    p, q = p[i[p] < j[q]], q[i[p] < j[q]]
+                if len(p):
+                    low = i[p] < j[q]
+                    yield _batch(schema, [batch.column("project_id")[k].as_py()] * len(p), np.where(low, i[p], j[q]).tolist(), np.where(low, j[q], i[p]).tolist())
 
-    project = vectors.schema["project_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"project_id {project}, a {kind}, b {kind}").distinct()
+    return block_pairs(rows, "project_id").mapInArrow(run, _spark(vectors, "project_id", id_col, "a", "b")).distinct()
 
 
-def nearest_of_group(rows: DataFrame, others: DataFrame, group: str, id_col: str = "id") -> DataFrame:
-    """(id_col, nearest, score): for each of rows (group, id_col, embedding) the most similar of others of its group with
-    another id, ties to the largest. Blocks meet blocks; a block keeps one best for each of its rows."""
-    kind = rows.schema[id_col].dataType.simpleString()
+def _rows(vectors: DataFrame, eps: DataFrame | float, id_col: str, *more: str) -> DataFrame:
+    """project_id, i, v (normalised), eps and more columns."""
+    vectors = vectors.join(eps, "project_id") if isinstance(eps, DataFrame) else vectors.withColumn("eps", F.lit(float(eps)))
+    return vectors.select("project_id", F.col(id_col).alias("i"), vx.normalise(F.col("embedding")).alias("v"), F.col("eps").cast("double").alias("eps"), *more)
+
+
+def _arrow(df: DataFrame, c: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
-        spread = df.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) % F.col("_n"))
-        own = spread.groupBy(group, "_block").agg(F.collect_list(F.struct(F.col(id_col).alias("i"), vx.normalise(F.col("embedding")).alias("v"))).alias(name))
-        return stash(own.drop("_block"), "blocks")
+    return to_arrow_type(df.schema[c].dataType)
 
-    both = packed(rows, "xs").join(packed(others, "ys"), group).select("xs", "ys")
+
+def _spark(df: DataFrame, group: str, id_col: str, *names: str) -> str:
+    kind = df.schema[id_col].dataType.simpleString()
+    return ", ".join([f"{group} {df.schema[group].dataType.simpleString()}", *(f"{n} {kind}" for n in names)])
+
+
+def nearest_of_group(rows: DataFrame, others: DataFrame, group: str, id_col: str = "id") -> DataFrame:
+    """(id_col, nearest, score): for each of rows (group, id_col, embedding) the most similar of others of its group with
+    another id, ties to the largest. Blocks meet blocks; a pair of them keeps one best for each row."""
+    schema = pa.schema([(id_col, _arrow(rows, id_col)), ("nearest", _arrow(rows, id_col)), ("score", pa.float64())])
+    shaped = lambda df: df.select(group, F.col(id_col).alias("i"), vx.normalise(F.col("embedding")).alias("v"))
+    xs, ys = stash(in_blocks(shaped(rows), group, "xs"), "blocks"), stash(in_blocks(shaped(others), group, "ys"), "blocks")
+    counts = lambda df, n: df.select(group, F.col("_n").cast("long").alias(n)).distinct()
+    one = xs.join(counts(ys, "_m"), group).select(group, F.col("_b").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("y"), "xs")
+    two = ys.join(counts(xs, "_m"), group).select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("x"), F.col("_b").alias("y"), "ys")
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                xs, ys = batch.column("xs")[k].values, batch.column("ys")[k].values
-                i, j = xs.field("i").to_pylist(), ys.field("i").to_pylist()
-                a, b = (np.array(v.field("v").to_pylist(), float).reshape(len(v), -1) for v in (xs, ys))
-                score = np.where(np.array([[x == y for y in j] for x in i]), -np.inf, a @ b.T)
-                best = [max(((score[p, q], j[q]) for q in range(len(j)) if score[p, q] > -np.inf), default=None) for p in range(len(i))]
-                found = [(x, m[1], float(m[0])) for x, m in zip(i, best, strict=True) if m]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], [id_col, "nearest", "score"])
-
-    pairs = both.mapInArrow(run, f"{id_col} {kind}, nearest {kind}, score double")
+                (i, a, _), (j, b, _) = _side(batch.column("xs"), k), _side(batch.column("ys"), k)
+                by = np.argsort(j)[::-1]  # of equal scores the first is the largest id
+                j, b = j[by], b[by]
+                score = np.where(i[:, None] == j[None], -np.inf, a @ b.T)
+                best = score.argmax(1)
+                top = score[np.arange(len(i)), best]
+                good = top > -np.inf
+                if good.any():
+                    yield _batch(schema, i[good].tolist(), j[best[good]].tolist(), top[good].tolist())
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    pairs = one.join(two, [group, "x", "y"]).select("xs", "ys").mapInArrow(run, f"{id_col} {kind}, nearest {kind}, score double")
     return pairs.groupBy(id_col).agg(F.max(F.struct("score", "nearest")).alias("m")).select(id_col, F.col("m.nearest").alias("nearest"), F.col("m.score").alias("score"))
 
 
+def spanning(near: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric matrix of links, the node of its component that comes first in order."""
+    label, links = order.copy(), near | np.eye(len(near), dtype=bool)
+    first = np.argsort(order)
+    while True:
+        new = np.where(links, label[None], len(label)).min(1)
+        new = np.minimum(new, new[first[new]])  # and on from there, so that chains halve
+        if (new == label).all():
+            return first[label]
+        label = new
+
+
 def dbscan(vectors: DataFrame, eps: float | None = None, least: int = LEAST, id_col: str = "chunk_id") -> DataFrame:
     """(project_id, id_col, cluster): clusters are named by their smallest core point; noise isn't returned. A cluster is a
     component of core points within eps; a border point goes to the one of its clusters with the smallest name.
-    Without eps, projects of under SMALL vectors use SMALL_EPS, others EPS."""
+    Without eps, projects of under SMALL vectors use SMALL_EPS, others EPS.
+
+    Three passes over pairs of blocks: how many each vector is near to, links between core points, clusters of border points."""
     by_project = eps if eps is not None else vectors.groupBy("project_id").agg(F.when(F.count("*") < SMALL, SMALL_EPS).otherwise(EPS).alias("eps"))
-    pairs = stash(neighbours(vectors, by_project, id_col), "neighbours")
-    both = pairs.unionByName(pairs.select("project_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    core = stash(both.groupBy("project_id", "a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("project_id", "a"), "core")
-    linked = pairs.join(core, ["project_id", "a"], "left_semi").join(core.withColumnRenamed("a", "b"), ["project_id", "b"], "left_semi")
-    alone = core.select(F.col("a").alias("x"), F.col("a").alias("y"))
-    found = components(linked.select("a", "b").union(alone)).df
-    named = core.join(found, core.a == found.node).select("project_id", "a", F.col("comp").alias("cluster"))
-    border = both.join(named.withColumnRenamed("a", "b"), ["project_id", "b"]).join(core, ["project_id", "a"], "left_anti").groupBy("project_id", "a").agg(F.min("cluster").alias("cluster"))
-    return named.unionByName(border).select("project_id", F.col("a").alias(id_col), "cluster")
+    base = stash(_rows(vectors, by_project, id_col), "normalised")
+    # equal vectors are one class, by its smallest id; zero vectors are near to nothing
+    weight = F.when(F.exists("v", lambda x: x != 0), F.col("k")).otherwise(F.lit(1)).cast("long")
+    classes = base.groupBy("project_id", "v").agg(F.min("i").alias("i"), F.max("eps").alias("eps"), F.count("*").alias("k"))
+    reps = stash(classes.select("project_id", "i", "v", "eps", weight.alias("w")), "classes")
+    members = base.select("project_id", "v", F.col("i").alias(id_col)).join(reps.select("project_id", "v", F.col("i").alias("rep")), ["project_id", "v"])
+    kind, project = _arrow(vectors, id_col), _arrow(vectors, "project_id")
+    counted = pa.schema([("project_id", project), ("i", kind), ("n", pa.int64())])
+    linked = pa.schema([("a", kind), ("b", kind)])
+    named_as = pa.schema([("project_id", project), ("i", kind), ("cluster", kind)])
+
+    def degrees(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (i, _, xs), (j, _, ys), near = _near(batch, k)
+                p = batch.column("project_id")[k].as_py()
+                yield _batch(counted, [p] * len(i), i.tolist(), (near @ ys.field("w").to_numpy()).tolist())
+                if not batch.column("same")[k].as_py():
+                    yield _batch(counted, [p] * len(j), j.tolist(), (near.T @ xs.field("w").to_numpy()).tolist())
+
+    def links(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (i, _, _), (j, _, _), near = _near(batch, k)
+                if batch.column("same")[k].as_py():
+                    nodes, full = i, near
+                else:
+                    nodes, full = np.concatenate([i, j]), np.zeros((len(i) + len(j),) * 2, dtype=bool)
+                    full[: len(i), len(i) :], full[len(i) :, : len(i)] = near, near.T
+                order = np.empty(len(nodes), dtype=np.int64)
+                order[np.argsort(nodes)] = np.arange(len(nodes))
+                root = spanning(full, order)
+                own = root != np.arange(len(nodes))
+                if own.any():
+                    yield _batch(linked, nodes[root[own]].tolist(), nodes[own].tolist())
+
+    def borders(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (i, _, xs), (j, _, ys), near = _near(batch, k)
+                p, same = batch.column("project_id")[k].as_py(), batch.column("same")[k].as_py()
+                for one, (ids_, own), other in ((near, (i, xs), ys), (near.T, (j, ys), xs))[: 1 if same else 2]:
+                    theirs, mine = other.field("cluster").to_pylist(), own.field("cluster").to_pylist()
+                    names = sorted({x for x in theirs if x is not None})
+                    rank = {x: n for n, x in enumerate(names)}
+                    place = np.array([rank.get(x, len(names)) for x in theirs])
+                    best = np.where(one, place[None], len(names)).min(1)
+                    hit = [n for n in range(len(ids_)) if mine[n] is None and best[n] < len(names)]
+                    if hit:
+                        yield _batch(named_as, [p] * len(hit), [ids_[n] for n in hit], [names[best[n]] for n in hit])
+
+    kinds = vectors.schema[id_col].dataType.simpleString(), vectors.schema["project_id"].dataType.simpleString()
+    near = block_pairs(reps, "project_id").mapInArrow(degrees, f"project_id {kinds[1]}, i {kinds[0]}, n long").groupBy("project_id", "i").agg(F.sum("n").alias("n"))
+    core = stash(reps.join(near, ["project_id", "i"]).where(F.col("n") + F.col("w") >= least).select("project_id", "i", "v", "eps"), "core")
+    forest = block_pairs(core, "project_id").mapInArrow(links, f"a {kinds[0]}, b {kinds[0]}")
+    found = components(forest.union(core.select(F.col("i").alias("a"), F.col("i").alias("b")))).df
+    named = stash(core.join(found, core.i == found.node).select("project_id", "i", F.col("comp").alias("cluster")), "named")
+    todo = reps.join(named.select("project_id").distinct(), "project_id", "left_semi").join(named, ["project_id", "i"], "left")
+    border = block_pairs(todo, "project_id").mapInArrow(borders, f"project_id {kinds[1]}, i {kinds[0]}, cluster {kinds[0]}").groupBy("project_id", "i").agg(F.min("cluster").alias("cluster"))
+    every = named.unionByName(border).withColumnRenamed("i", "rep")
+    return members.select("project_id", "rep", id_col).join(every, ["project_id", "rep"]).select("project_id", id_col, "cluster")
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
@@ -115,26 +229,60 @@ def topics(vectors: DataFrame, clusters: DataFrame, chunks: DataFrame, id_col: s
     return out.select(ids.topic_id(F.col("members")).alias("topic_id"), "label", "description", "members", "sessions", "projects", "centroid", F.size("members").alias("size"))
 
 
+def naming_prompts(topics: DataFrame, chunks: DataFrame, samples: int = 3, most: int = 600) -> DataFrame:
+    """(topic_id, prompt): a topic's description, the start of up to `samples` more of its members and how many there are, for a model
+    to name it."""
+    others = topics.select("topic_id", F.posexplode(F.slice("members", 2, samples)).alias("n", "chunk_id"))
+    shown = others.join(chunks.select("chunk_id", tx.clip("text", most).alias("text")), "chunk_id")
+    shown = shown.groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: F.concat(F.lit("Sample chunk:\n"), x["text"], F.lit("\n\n"))), "").alias("shown"))
+    counts = F.format_string("There are %d chunks in this topic across %d session(s).", F.col("size"), F.size("sessions"))
+    return topics.join(shown, "topic_id", "left").select("topic_id", F.concat(F.lit("Centroid chunk:\n"), F.coalesce("description", F.lit("")), F.lit("\n\n"), F.coalesce("shown", F.lit("")), counts).alias("prompt"))
+
+
 def similarity_edges(topics: DataFrame, threshold: float = 0.78, k: int = 5, id_col: str = "topic_id") -> DataFrame:
-    """Edges between topics whose centroids' cosine reaches the threshold and that are among the k nearest of either."""
-    n = topics.withColumn("project_id", F.lit("all")).withColumnRenamed("centroid", "embedding")
-    near = neighbours(n.select("project_id", id_col, "embedding"), 1 - threshold + 1e-9, id_col)
-    own = topics.select(F.col(id_col), F.col("centroid"))
-    pairs = near.join(own.select(F.col(id_col).alias("a"), F.col("centroid").alias("ca")), "a").join(own.select(F.col(id_col).alias("b"), F.col("centroid").alias("cb")), "b")
-    pairs = pairs.select("a", "b", vx.dot(vx.normalise(F.col("ca")), vx.normalise(F.col("cb"))).alias("cosine")).where(F.col("cosine") >= threshold)
-    both = pairs.select("a", "b", "cosine", F.col("a").alias("from")).union(pairs.select("a", "b", "cosine", F.col("b").alias("from")))
-    other = F.when(F.col("from") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("from").orderBy(F.desc("cosine"), other))).where(F.col("r") <= k)
+    """Edges between topics whose centroids' cosine reaches the threshold and that are among the k nearest of either. A pair of blocks
+    gives the k nearest of each of its rows."""
+    n = topics.select(F.lit(0).alias("project_id"), F.col(id_col), F.col("centroid").alias("embedding"))
+    schema = pa.schema([("from", _arrow(topics, id_col)), ("to", _arrow(topics, id_col))])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                xs, ys, near = _near(batch, r)
+                for (i, a, _), (j, b, _), ok in ((xs, ys, near), (ys, xs, near.T))[: 1 if batch.column("same")[r].as_py() else 2]:
+                    by = np.argsort(j)  # of equal ones the smallest ids come first
+                    score = np.where(ok[:, by], a @ b[by].T, -np.inf)
+                    # some more than k, as the exact order is found outside
+                    top = np.argsort(-score, axis=1, kind="stable")[:, : k + 3]
+                    p, q = np.nonzero(np.take_along_axis(score, top, 1) > -np.inf)
+                    if len(p):
+                        yield _batch(schema, i[p].tolist(), j[by][top[p, q]].tolist())
+
+    kind = topics.schema[id_col].dataType.simpleString()
+    near = block_pairs(_rows(n, 1 - threshold + 1e-9, id_col), "project_id").mapInArrow(run, f"from {kind}, to {kind}").distinct()
+    own = topics.select(F.col(id_col), vx.normalise(F.col("centroid")).alias("c"))
+    pairs = near.join(own.select(F.col(id_col).alias("from"), F.col("c").alias("ca")), "from").join(own.select(F.col(id_col).alias("to"), F.col("c").alias("cb")), "to")
+    low, high = F.least("from", "to"), F.greatest("from", "to")
+    first = F.when(F.col("from") < F.col("to"), F.col("ca")).otherwise(F.col("cb"))
+    second = F.when(F.col("from") < F.col("to"), F.col("cb")).otherwise(F.col("ca"))
+    pairs = pairs.select("from", "to", low.alias("a"), high.alias("b"), vx.dot(first, second).alias("cosine")).where(F.col("cosine") >= threshold)
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("from").orderBy(F.desc("cosine"), "to"))).where(F.col("r") <= k)
     out = ranked.select("a", "b", "cosine").distinct()
     weight = F.least(F.greatest((F.col("cosine") - threshold) / (1 - threshold), F.lit(0.0)), F.lit(1.0))
     return out.select(ids.edge_id(F.lit("topic-similarity"), F.col("a").cast("string"), F.col("b").cast("string")).alias("edge_id"), "a", "b", "cosine", weight.alias("weight"), F.format_string("cosine=%.3f", F.col("cosine")).alias("evidence"))
 
 
 def shared_file_edges(paths: DataFrame, least: int = 3) -> DataFrame:
-    """Edges between topics that both refer at least `least` times to a path; paths (topic_id, path), a row a reference."""
-    counts = paths.groupBy("topic_id", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    a, b = counts.select(F.col("topic_id").alias("a"), "path"), counts.select(F.col("topic_id").alias("b"), "path")
-    pairs = a.join(b, "path").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("evidence"))
+    """Edges between topics that both refer at least `least` times to a path; paths (topic_id, path), a row a reference. Each such pair
+    is a row of the result; those of a path that many topics share are found in pairs of blocks, over many tasks."""
+    counts = stash(paths.groupBy("topic_id", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least), "path-counts")
+    sizes = counts.groupBy("path").agg(F.ceil(F.count("*") / BLOCK).alias("_n")).where("_n > 0")
+    spread = counts.join(sizes, "path").withColumn("_b", F.pmod(F.xxhash64("topic_id"), F.col("_n")))
+    one = spread.select("path", F.col("topic_id").alias("one"), F.col("_b").alias("x"), F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("y"))
+    two = spread.select("path", F.col("topic_id").alias("two"), F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("x"), F.col("_b").alias("y"))
+    both = one.join(two, ["path", "x", "y"]).where((F.col("x") < F.col("y")) & (F.col("one") != F.col("two")) | (F.col("one") < F.col("two")))
+    pairs = both.select("path", F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("evidence"))
     return pairs.select(ids.edge_id(F.lit("shared-file"), F.col("a").cast("string"), F.col("b").cast("string")).alias("edge_id"), "a", "b", F.col("n").alias("shared"), F.least(F.col("n") / 5, F.lit(1.0)).alias("weight"), "evidence")
 
 
