@@ -16,6 +16,7 @@ from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.operators import cache, chunking, cluster, graph, memory, recall
 from palimpsest.operators import sessions as se
+from palimpsest.sources import transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,12 +198,18 @@ def command_messages(spark, sf):
     return c.select("conv_id", "turn", tx.is_command("x").alias("is_command"))
 
 
-def _redact_sql() -> str:
-    steps = [r"""s0 AS (SELECT doc_id, regexp_replace(text, '\btoken = "', 'access_token = "', 'g') AS t, 0 AS n FROM documents)"""]
+def _redact_steps(columns: str) -> str:
+    """CTEs s1 and on over s0 (columns, t, n): t with each kind of secret replaced in turn, n their number."""
+    steps = []
     for k, (kind, pattern) in enumerate(tx.SECRETS, 1):
         p = pattern.replace("'", "''")
-        steps.append(f"s{k} AS (SELECT doc_id, regexp_replace(t, '{p}', '[REDACTED:{kind}]', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM s{k - 1})")
-    return f"WITH {', '.join(steps)} SELECT doc_id, n::INTEGER AS redactions, sha256(t) AS text_sha FROM s{len(tx.SECRETS)}"
+        steps.append(f"s{k} AS (SELECT {columns}, regexp_replace(t, '{p}', '[REDACTED:{kind}]', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM s{k - 1})")
+    return ", ".join(steps)
+
+
+def _redact_sql() -> str:
+    first = r"""s0 AS (SELECT doc_id, regexp_replace(text, '\btoken = "', 'access_token = "', 'g') AS t, 0 AS n FROM documents)"""
+    return f"WITH {first}, {_redact_steps('doc_id')} SELECT doc_id, n::INTEGER AS redactions, sha256(t) AS text_sha FROM s{len(tx.SECRETS)}"
 
 
 @query(_redact_sql())
@@ -251,6 +258,85 @@ def topic_labels(spark, sf):
     return d.select("doc_id", tx.first_sentence("line").alias("label"))
 
 
+# transcripts
+
+
+def transcript_lines(spark, sf) -> DataFrame:
+    """conversations as lines of transcripts, in JSON: prompts as strings, every seventh turn a command; answers as blocks of thinking, text and
+    two tool calls; turns of other roles as two results for the answer before."""
+    c = t(spark, sf, "conversations").withColumn("again", F.explode(F.when(F.col("role").isin("user", "assistant"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    own, at = F.concat_ws(":", "conv_id", "turn"), F.format_string("2025-01-%02dT%02d:%02d:00Z", 1 + F.col("turn").cast("int") % 28, F.col("conv_id").cast("int") % 24, F.col("turn").cast("int") % 60)
+    said = F.when(F.col("turn") % 7 == 0, F.concat(F.lit(" <command-name>"), "text")).otherwise(F.col("text"))
+    none = F.lit(None).cast("string")
+
+    def block(kind, text=none, id_=none, name=none, path=none):
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"), id_.alias("id"), name.alias("name"), F.when(path.isNotNull(), F.struct(path.alias("path"))).alias("input"))
+
+    calls = [block("tool_use", id_=F.concat(own, F.lit(n)), name=F.lit(n), path=F.concat(F.lit(f"{n.lower()}/"), F.col("conv_id").cast("string"), F.lit(".rs"))) for n in ("Read", "Grep")]
+    blocks = F.array(block("thinking", F.lit("hm")), block("text", F.col("text")), *calls)
+    usage = F.struct(F.coalesce(F.char_length("text"), F.lit(0)).alias("input_tokens"), F.col("turn").alias("output_tokens"))
+    base = [own.alias("uuid"), at.alias("timestamp")]
+    user = F.to_json(F.struct(F.lit("user").alias("type"), *base, F.struct(F.lit("user").alias("role"), said.alias("content")).alias("message")))
+    assistant = F.to_json(F.struct(F.lit("assistant").alias("type"), *base, F.struct(F.lit("assistant").alias("role"), F.lit("m1").alias("model"), usage.alias("usage"), blocks.alias("content")).alias("message")))
+    result = F.struct(F.lit("tool-result").alias("type"), F.when(F.col("again") == 0, F.col("text")).otherwise(F.concat(F.lit("again: "), "text")).alias("result"))
+    other = F.to_json(F.struct(F.lit("attachment").alias("type"), *base, F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("parentUuid"), result.alias("attachment")))
+    line = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(other)
+    ids_ = [F.col("conv_id").cast("string").alias(n) for n in ("path", "session_id")]
+    return c.select(*ids_, (F.col("conv_id") % 5).cast("string").alias("project_id"), (2 * F.col("turn") + F.col("again")).cast("long").alias("line_no"), F.try_parse_json(line).alias("v"))
+
+
+_LINES = r"""l AS (SELECT conv_id, turn, role, text, 0 AS again FROM conversations UNION ALL SELECT conv_id, turn, role, text, 1 FROM conversations WHERE role NOT IN ('user', 'assistant')),
+r AS (SELECT conv_id, turn, role, again, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, again) - 1)::INTEGER AS ti, CASE WHEN role = 'user' AND turn % 7 = 0 THEN ' <command-name>' || text WHEN again = 1 THEN 'again: ' || text ELSE text END AS text,
+  (epoch(TIMESTAMP '2025-01-01') + 86400 * (turn % 28) + 3600 * (conv_id % 24) + 60 * (turn % 60))::BIGINT AS said_at FROM l)"""
+
+
+@query(f"""
+WITH {_LINES}
+SELECT conv_id::VARCHAR AS session_id, ti AS turn_index, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'attachment' END AS ty, conv_id || ':' || turn AS uuid, CASE WHEN role NOT IN ('user', 'assistant') THEN conv_id || ':' || (turn - 1) END AS parent_uuid,
+       said_at, CASE WHEN role IN ('user', 'assistant') THEN role END AS role, CASE WHEN role = 'assistant' THEN 'm1' END AS model,
+       CASE WHEN role = 'assistant' THEN 'thinking,' || CASE WHEN text <> '' THEN 'text,' ELSE '' END || 'tool_use,tool_use' WHEN role = 'user' AND text <> '' THEN 'text' ELSE '' END AS kinds,
+       CASE WHEN role = 'assistant' THEN '{{"path":"read/' || conv_id || '.rs"}} {{"path":"grep/' || conv_id || '.rs"}}' ELSE '' END AS inputs,
+       CASE WHEN role IN ('user', 'assistant') AND text <> '' THEN sha256(text) END AS text_sha, CASE WHEN role NOT IN ('user', 'assistant') THEN sha256(text) END AS attachment_sha, CASE WHEN role = 'assistant' THEN coalesce(length(text), 0) ELSE 0 END::BIGINT AS input_tokens
+FROM r""")
+def record_projection(spark, sf):
+    """Every line parsed and projected: what the indexer makes of a file."""
+    rows = transcripts.records(transcript_lines(spark, sf))
+    kinds = F.array_join(F.transform("blocks", lambda b: b["kind"]), ",")
+    inputs = F.array_join(F.transform(F.filter("blocks", lambda b: b["input_preview"].isNotNull()), lambda b: b["input_preview"]), " ")
+    return rows.select(
+        "session_id", "turn_index", "ty", "uuid", "parent_uuid", F.unix_timestamp("timestamp").alias("said_at"), "role", "model", kinds.alias("kinds"), inputs.alias("inputs"),
+        F.sha2(chunking.text_of(F.col("blocks")), 256).alias("text_sha"), F.sha2("attachment_text", 256).alias("attachment_sha"), "input_tokens",
+    )
+
+
+@query(rf"""
+WITH {_LINES},
+prompts AS (SELECT conv_id, ti, 0 AS block, 0 AS piece, 'user' AS role, CASE WHEN regexp_matches(text, '^\s*<command-(name|message)>') THEN 'command_message' ELSE 'user_prompt' END AS kind, text, NULL AS tool_name, said_at FROM r WHERE role = 'user' AND text <> ''),
+w AS (SELECT conv_id, ti, text, said_at, {_WORDS.format('text')} AS w FROM r WHERE role = 'assistant' AND text <> ''),
+p AS (SELECT *, unnest(generate_series(0, greatest(len(w) - 1, 0), 350)) AS s FROM w),
+texts AS (SELECT conv_id, ti, 1 AS block, s // 350 AS piece, 'assistant' AS role, 'assistant_text' AS kind, CASE WHEN len(w) <= 400 THEN text ELSE array_to_string(list_slice(w, s + 1, s + 400), ' ') END AS text, NULL AS tool_name, said_at FROM p WHERE s = 0 OR (len(w) > 400 AND s + 50 < len(w))),
+results AS (SELECT conv_id, turn - 1 AS turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY again) AS k, text FROM r WHERE role NOT IN ('user', 'assistant') AND text IS NOT NULL),
+calls AS (SELECT r.conv_id, r.ti, 1 + k.k AS block, 0 AS piece, 'tool_use' AS role, 'tool_call' AS kind,
+  'Tool call: ' || k.name || chr(10) || 'Input: {{"path":"' || lower(k.name) || '/' || r.conv_id || '.rs"}}' || CASE WHEN x.text IS NULL THEN '' ELSE chr(10) || 'Result:' || chr(10) || CASE WHEN length(x.text) <= 4000 THEN x.text ELSE substr(x.text, 1, 4000) || '…' END END AS text, k.name AS tool_name, r.said_at
+  FROM r CROSS JOIN (VALUES (1, 'Read'), (2, 'Grep')) AS k(k, name) LEFT JOIN results x ON x.conv_id = r.conv_id AND x.turn = r.turn AND x.k = k.k WHERE r.role = 'assistant'),
+every AS (SELECT * FROM prompts UNION ALL SELECT * FROM texts UNION ALL SELECT * FROM calls),
+s0 AS (SELECT conv_id, ti, role, kind, tool_name, said_at, row_number() OVER (PARTITION BY conv_id, ti ORDER BY block, piece) - 1 AS sub, text AS t, 0 AS n FROM every), {_redact_steps('conv_id, ti, role, kind, tool_name, said_at, sub')}
+SELECT conv_id || ':' || ti || ':' || sub AS chunk_id, (conv_id % 5)::VARCHAR AS project_id, sub::INTEGER AS sub_index, role, kind, tool_name, sha256(t) AS text_sha, len({_WORDS.format('t')})::INTEGER AS token_count, n::INTEGER AS redactions, said_at FROM s{len(tx.SECRETS)}""")
+def chunk_transcripts(spark, sf):
+    """Chunks of whole transcripts: prompts, windows of answers, tool calls with the results that belong to them, redacted and counted."""
+    rows = chunking.chunk(transcripts.records(transcript_lines(spark, sf)))
+    return rows.select("chunk_id", "project_id", "sub_index", "role", "kind", "tool_name", F.sha2("text", 256).alias("text_sha"), "token_count", "redactions", F.unix_timestamp("started_at").alias("said_at"))
+
+
+@query(f"""
+WITH {_KEYS_CTE}, d AS (SELECT doc_id, (n_chars % 100) / 100.0::DOUBLE AS s, text, substr(text, 1, 80) AS title, {_GREETS} AS greets, {_SHORT} AS short FROM documents),
+h AS (SELECT d.*, list_slice(list_filter(keys, lambda x: contains(lower(title), x) OR contains(lower(text), x)), 1, 4) AS hits FROM d, keys)
+SELECT doc_id AS chunk_id, 'semantic ' || printf('%.2f', s) || CASE WHEN len(hits) > 0 THEN ' · keywords: ' || array_to_string(hits, ', ') ELSE '' END || CASE WHEN {_PENALTY} > 0 THEN ' · boilerplate down-weighted' ELSE '' END AS why FROM h""")
+def recall_why(spark, sf):
+    rows = chunks(spark, sf).join(t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("n_chars") % 100 / 100.0).alias("score")), "chunk_id")
+    return recall.hybrid(rows, QUERY).select("chunk_id", "why")
+
+
 # analytics
 
 
@@ -413,6 +499,21 @@ def central_member(spark, sf):
     return cluster.central(v, "project_id", cluster.centroids(v, "project_id")).withColumn("score", F.round("score", 6))
 
 
+@query(rf"""
+WITH {_CENTRES}, scored AS (SELECT e.label, vec_id, list_dot_product(embedding::DOUBLE[], c) AS s FROM embeddings e JOIN centres USING (label)),
+best AS (SELECT label, arg_min(vec_id, (-s, vec_id)) AS vec_id FROM scored GROUP BY label),
+line AS (SELECT label, {_ONE_LINE} AS line FROM best JOIN documents ON doc_id = vec_id), h AS (SELECT *, substr(line, 1, 80) AS head FROM line), c AS (SELECT *, regexp_extract(head, '^(?s)(.{{8,}}?[.?!\n])', 1) AS cut FROM h),
+said AS (SELECT label, CASE WHEN trim(CASE WHEN cut <> '' THEN cut ELSE head END) = '' THEN '(no preview)' ELSE trim(CASE WHEN cut <> '' THEN cut ELSE head END) END AS name, CASE WHEN length(line) <= 240 THEN line ELSE substr(line, 1, 239) || '…' END AS description FROM c),
+members AS (SELECT label, list_sort(list(vec_id::VARCHAR)) AS m, list_sort(list(DISTINCT (vec_id % 9)::VARCHAR)) AS sessions FROM embeddings GROUP BY label)
+SELECT substr(sha256(array_to_string(m, chr(10)) || chr(10)), 1, 16) AS topic_id, len(m)::INTEGER AS size, sha256(array_to_string(m, ' ')) AS members_sha, array_to_string(sessions, ' ') AS sessions, members.label::VARCHAR AS projects, name AS label, description
+FROM members LEFT JOIN said USING (label)""")
+def topic_build(spark, sf):
+    """A topic of each label: members, sessions and projects as sets, and what the most central member says."""
+    v = vectors(spark, sf).withColumn("session_id", (F.col("chunk_id") % 9).cast("string"))
+    out = cluster.topics(v, v.select("chunk_id", F.col("project_id").alias("cluster")), chunks(spark, sf))
+    return out.select("topic_id", "size", F.sha2(F.array_join("members", " "), 256).alias("members_sha"), F.array_join("sessions", " ").alias("sessions"), F.array_join("projects", " ").alias("projects"), "label", "description")
+
+
 _SIM = f"""{_CENTRES}, p AS (SELECT x.label::VARCHAR AS a, y.label::VARCHAR AS b, list_dot_product(x.c, y.c) AS s FROM centres x JOIN centres y ON x.label::VARCHAR < y.label::VARCHAR WHERE list_dot_product(x.c, y.c) >= {_THRESHOLD}),
 r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, CASE WHEN f = a THEN b ELSE a END) AS n FROM (SELECT a, b, s, a AS f FROM p UNION ALL SELECT a, b, s, b FROM p)),
 sim AS (SELECT DISTINCT substr(sha256('topic-similarity:' || a || ':' || b), 1, 16) AS edge_id, a, b, round(s, 6) AS cosine, round(least(greatest((s - {_THRESHOLD}) / (1 - {_THRESHOLD}), 0), 1), 6)::DOUBLE AS weight FROM r WHERE n <= 5)"""
@@ -521,18 +622,18 @@ def vector_products(spark, sf):
 
 
 def memories(spark, sf) -> DataFrame:
-    """Documents with their vectors as memories of projects 0, 1, 2 and the global one, in all scopes."""
-    d = t(spark, sf, "documents").join(t(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    """All documents as memories of projects 0, 1, 2 and the global one, in all scopes, with their vectors where they have one."""
+    d = t(spark, sf, "documents").join(t(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     project = F.when(F.col("doc_id") % 4 == 3, memory.GLOBAL).otherwise((F.col("doc_id") % 4).cast("string"))
     scope = F.element_at(F.array(*map(F.lit, ("auto", "auto", "always", "glob", "manual"))), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select(
-        F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("id"), project.alias("project_id"), F.substring("text", 1, 200).alias("content"), F.lit("agent").alias("source"), (F.col("doc_id") % 11 == 0).alias("pinned"), scope.alias("scope"),
+        F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("id"), project.alias("project_id"), F.col("text").alias("content"), F.lit("agent").alias("source"), (F.col("doc_id") % 11 == 0).alias("pinned"), scope.alias("scope"),
         F.when(scope == "glob", F.array(F.concat(F.lit("**/"), "lang", F.lit("/*.py")))).alias("globs"), F.col("doc_id").alias("created_at"), (F.col("n_chars") * 10 + F.col("doc_id") % 10).alias("updated_at"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
 
 
-_MEMORIES = """m AS (SELECT lpad(doc_id::VARCHAR, 8, '0') AS id, CASE WHEN doc_id % 4 = 3 THEN '__global__' ELSE (doc_id % 4)::VARCHAR END AS project_id, substr(text, 1, 200) AS content, doc_id % 11 = 0 AS pinned,
-  (['auto', 'auto', 'always', 'glob', 'manual'])[doc_id % 5 + 1] AS scope, lang, n_chars * 10 + doc_id % 10 AS updated_at, embedding::DOUBLE[] AS embedding FROM documents JOIN embeddings ON doc_id = vec_id)"""
+_MEMORIES = """m AS (SELECT lpad(doc_id::VARCHAR, 8, '0') AS id, CASE WHEN doc_id % 4 = 3 THEN '__global__' ELSE (doc_id % 4)::VARCHAR END AS project_id, text AS content, doc_id % 11 = 0 AS pinned,
+  (['auto', 'auto', 'always', 'glob', 'manual'])[doc_id % 5 + 1] AS scope, lang, n_chars * 10 + doc_id % 10 AS updated_at, embedding::DOUBLE[] AS embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 _MCOS = f"list_cosine_similarity(embedding, {_Q})"
 
 
@@ -546,12 +647,12 @@ def memory_with_global(spark, sf):
     return memory.with_global(memories(spark, sf), "2", None).select("id", "project_id")
 
 
-@query(f"WITH {_MEMORIES} SELECT id, round({_MCOS}, 6) AS score FROM m WHERE project_id = '1' AND scope = 'auto' ORDER BY {_MCOS} DESC, id LIMIT 10")
+@query(f"WITH {_MEMORIES} SELECT id, round({_MCOS}, 6) AS score FROM m WHERE project_id = '1' AND scope = 'auto' AND embedding IS NOT NULL ORDER BY {_MCOS} DESC, id LIMIT 10")
 def memory_search(spark, sf):
     return memory.search(memories(spark, sf), "1", query_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_MEMORIES} SELECT id, round({_MCOS}, 6) AS score FROM m WHERE project_id = '2' AND scope = 'manual' AND NOT pinned ORDER BY {_MCOS} DESC, id LIMIT 1")
+@query(f"WITH {_MEMORIES} SELECT id, round({_MCOS}, 6) AS score FROM m WHERE project_id = '2' AND scope = 'manual' AND NOT pinned AND embedding IS NOT NULL ORDER BY {_MCOS} DESC, id LIMIT 1")
 def memory_nearest(spark, sf):
     return memory.nearest(memories(spark, sf), "2", "manual", query_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
@@ -560,7 +661,7 @@ def memory_nearest(spark, sf):
 WITH {_MEMORIES}, o AS (SELECT *, (project_id <> '1')::INTEGER AS near, row_number() OVER (PARTITION BY project_id, scope ORDER BY pinned DESC, updated_at DESC, id) AS n FROM m WHERE project_id IN ('1', '__global__')),
 always AS (SELECT 1 AS tier, id, 1.0::DOUBLE AS score, 0.0::DOUBLE AS by_, near, n FROM o WHERE scope = 'always' AND n <= 3),
 globs AS (SELECT 2 AS tier, id, 0.9::DOUBLE AS score, 0.0::DOUBLE AS by_, near, n FROM o WHERE scope = 'glob' AND n <= 50 AND lang = 'en'),
-a0 AS (SELECT *, {_MCOS} AS score, row_number() OVER (PARTITION BY project_id ORDER BY {_MCOS} DESC, id) AS k FROM o WHERE scope = 'auto'),
+a0 AS (SELECT *, {_MCOS} AS score, row_number() OVER (PARTITION BY project_id ORDER BY {_MCOS} DESC, id) AS k FROM o WHERE scope = 'auto' AND embedding IS NOT NULL),
 a1 AS (SELECT *, min(updated_at) OVER () AS lo, max(updated_at) OVER () AS hi FROM a0 WHERE k <= 5),
 auto AS (SELECT 3 AS tier, id, score, -(score + CASE WHEN hi > lo THEN 0.03::DOUBLE * (updated_at - lo) / (hi - lo) ELSE 0 END) AS by_, near, k AS n FROM a1),
 every AS (SELECT * FROM always UNION ALL SELECT * FROM globs UNION ALL SELECT * FROM auto)
@@ -571,11 +672,11 @@ def memory_tiers(spark, sf):
 
 
 @query(f"""
-WITH {_MEMORIES}, c AS (SELECT x.id AS id, y.id AS other, list_cosine_similarity(x.embedding, y.embedding) AS s FROM m x JOIN m y ON x.project_id = y.project_id AND x.scope = y.scope AND x.id <> y.id WHERE NOT y.pinned AND y.scope = 'manual')
+WITH {_MEMORIES}, c AS (SELECT x.id AS id, y.id AS other, list_cosine_similarity(x.embedding, y.embedding) AS s FROM m x JOIN m y ON x.project_id = y.project_id AND x.scope = y.scope AND x.id <> y.id WHERE NOT y.pinned AND y.scope = 'manual' AND x.embedding IS NOT NULL AND y.embedding IS NOT NULL)
 SELECT id, arg_max(other, s) AS supersedes, round(max(s), 6) AS score FROM c GROUP BY id""")
 def supersede_candidates(spark, sf):
-    """For each manual memory the nearest one of its project that it would supersede."""
-    m = memories(spark, sf).where("scope = 'manual'").select("id", "project_id", "embedding", "pinned")
+    """For each manual memory with a vector the nearest one of its project that it would supersede."""
+    m = memories(spark, sf).where("scope = 'manual' and embedding is not null").select("id", "project_id", "embedding", "pinned")
     found = cluster.nearest_of_group(m.drop("pinned"), m.where("not pinned").drop("pinned"), "project_id")
     return found.select("id", F.col("nearest").alias("supersedes"), F.round("score", 6).alias("score"))
 
@@ -584,11 +685,12 @@ def supersede_candidates(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id < 500)
+WITH c AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE lang = 'en')
 SELECT count(*) FILTER (c.hash IS NOT NULL) AS hits, count(*) FILTER (c.hash IS NULL) AS misses, count(DISTINCT d.h) FILTER (c.hash IS NULL) AS to_embed FROM (SELECT sha256(text) AS h FROM documents) d LEFT JOIN c ON c.hash = d.h""")
 def embed_cache_hits_misses(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "text")
-    known = d.where("doc_id < 500").select(F.sha2("text", 256).alias("hash"), F.array(F.lit(1.0)).alias("embedding")).dropDuplicates(["hash"])
+    """All documents against a cache of the English ones' texts."""
+    d = t(spark, sf, "documents").select("doc_id", "lang", "text")
+    known = d.where("lang = 'en'").select(F.sha2("text", 256).alias("hash"), F.array(F.lit(1.0)).alias("embedding")).dropDuplicates(["hash"])
     looked = cache.cached(d, known)
     return looked.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.countDistinct(F.when(~F.col("hit"), F.col("hash"))).alias("to_embed"))
 
