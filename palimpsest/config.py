@@ -21,6 +21,7 @@ class Config:
     auto_promote: bool = False
     dedupe_threshold: float = 0.95
     memory_reconcile: bool = False
+    notes_file: str = "NOTES.md"
     hook: HookConfig = field(default_factory=HookConfig)
 
     def dedupe(self) -> float:

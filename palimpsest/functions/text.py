@@ -83,6 +83,7 @@ def path_tokens(c: Column | str, most: int = 32) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, looks)), 1, most)
 
 
+# What a path or URL in a text looks like.
 PATH_PATTERN = r"(?:/|~/|\./)[A-Za-z0-9_./-]+\.[A-Za-z0-9]{1,8}|https?://[^\s<>\"'`]+"
 
 
@@ -120,6 +121,26 @@ def loose_json(c: Column | str, schema: str) -> Column:
     return F.from_json(F.regexp_extract(col(c), r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
 
 
+def summary_reply(c: Column | str) -> Column:
+    """struct(text, bullets, decisions, artifacts) of a model's reply: its JSON, in whatever prose or fence, or the reply as
+    it is, without items, where there is none with a text."""
+    items = "bullets array<string>, decisions array<string>, artifacts array<string>"
+    found = loose_json(c, f"text string, {items}")
+    none = F.array().cast("array<string>")
+    lists = (F.when(found["text"].isNotNull(), F.coalesce(found[k], none)).otherwise(none).alias(k) for k in ("bullets", "decisions", "artifacts"))
+    return F.struct(F.coalesce(found["text"], col(c)).alias("text"), *lists)
+
+
+def clean_label(c: Column | str, kind: str) -> Column:
+    """A graph node's label as shown: of topics without what marks a tool call and its input."""
+    return F.trim(F.regexp_replace(F.regexp_replace(col(c), r"(?i)^Tool call:\s*", ""), r"(?i)\s+Input:.*$", "")) if kind == "topic" else col(c)
+
+
+def enum_name(c: Column | str, mark: str = "_") -> Column:
+    """A name in words with capitals as one in lower case, parted by mark: ToolCall as tool_call or tool-call."""
+    return F.lower(F.regexp_replace(col(c), "(?<=[a-z0-9])(?=[A-Z])", mark))
+
+
 def estimate_tokens(c: Column | str) -> Column:
     """A memory's tokens by its words."""
     return F.greatest(F.lit(1), F.expr("cast(0 as int)") + F.floor(F.size(words(c)) * 4 / 3).cast("int"))
@@ -127,6 +148,7 @@ def estimate_tokens(c: Column | str) -> Column:
 
 def lexical_score(keys: Column, title: Column, text: Column) -> Column:
     """Keywords found: 1 in the title, 0.7 in the text, over their number; 0 without keywords."""
+    # The weights 1.0 and 0.7.
     title, text = F.lower(F.coalesce(title, F.lit(""))), F.lower(text)
     hits = F.aggregate(keys, F.lit(0.0), lambda a, k: a + F.when(F.contains(title, k), 1.0).when(F.contains(text, k), 0.7).otherwise(0.0))
     return F.when(F.size(keys) > 0, F.least(hits / F.size(keys), F.lit(1.0))).otherwise(0.0)
@@ -134,6 +156,7 @@ def lexical_score(keys: Column, title: Column, text: Column) -> Column:
 
 def boilerplate_penalty(c: Column | str) -> Column:
     """How much greetings, openings and very short texts are to weigh less, at most 0.7."""
+    # The weights, and 40 characters as short.
     t = F.trim(col(c), F.lit(" \t\r\n"))
     low = F.lower(t)
     greets = F.regexp_extract(low, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1).isin(*GREETINGS)

@@ -8,6 +8,7 @@ from pyspark.sql.column import Column
 
 from palimpsest.functions import ids
 from palimpsest.functions import text as tx
+from palimpsest.functions.tokens import Bpe
 
 WINDOW, OVERLAP, RESULT_CHARS = 400, 50, 4000
 
@@ -25,15 +26,18 @@ def text_of(blocks: Column) -> Column:
     return F.when(t != "", t)
 
 
-def chunk(records: DataFrame) -> DataFrame:
+def chunk(records: DataFrame, tokens: Bpe | None = None) -> DataFrame:
     """chunk_id, session_id, project_id, turn_index, sub_index, role, kind, text, token_count, redactions, started_at,
     tool_name and tool_input of records (session_id, project_id, turn_index, ty, uuid, parent_uuid, timestamp, blocks,
-    attachment_kind, attachment_text). The k-th tool call of a message takes the k-th result attached to it."""
+    attachment_kind, attachment_text). The k-th tool call of a message takes the k-th result attached to it. tokens: the vocabulary
+    that windows and counts go by; words without one."""
+    cut = (lambda c: tokens.windows(c, WINDOW, OVERLAP)) if tokens else token_windows
+    count = tokens.count if tokens else lambda c: F.size(tx.words(c))
     keep = ["session_id", "project_id", "turn_index", "timestamp"]
     prompts = records.where("ty = 'user'").withColumn("t", text_of(F.col("blocks"))).where("t is not null")
     prompts = prompts.select(*keep, F.lit(0).alias("block"), F.lit(0).alias("piece"), F.lit("user").alias("role"), F.when(tx.is_command("t"), "command_message").otherwise("user_prompt").alias("kind"), F.col("t").alias("text"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("tool_input"))
     parts = records.where("ty = 'assistant'").select(*keep, "uuid", F.posexplode("blocks").alias("block", "b"))
-    texts = parts.where("b.kind = 'text'").select(*keep, "block", F.posexplode(token_windows(F.col("b.text"))).alias("piece", "text"))
+    texts = parts.where("b.kind = 'text'").select(*keep, "block", F.posexplode(cut(F.col("b.text"))).alias("piece", "text"))
     texts = texts.select(*keep, "block", "piece", F.lit("assistant").alias("role"), F.lit("assistant_text").alias("kind"), "text", F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("tool_input"))
     calls = parts.where("b.kind = 'tool_use'").withColumn("k", F.row_number().over(Window.partitionBy("session_id", "turn_index").orderBy("block")))
     results = records.where("ty = 'attachment' and attachment_kind = 'tool-result' and attachment_text is not null").select("session_id", F.col("parent_uuid").alias("uuid"), F.row_number().over(Window.partitionBy("session_id", "parent_uuid").orderBy("turn_index")).alias("k"), F.col("attachment_text").alias("result"))
@@ -45,5 +49,5 @@ def chunk(records: DataFrame) -> DataFrame:
     every = every.withColumn("sub_index", sub).withColumn("r", tx.redact("text"))
     return every.select(
         ids.chunk_id(F.col("session_id"), F.col("turn_index"), F.col("sub_index")).alias("chunk_id"), "session_id", "project_id", "turn_index", "sub_index", "role", "kind", F.col("r.text").alias("text"),
-        F.size(tx.words(F.col("r.text"))).alias("token_count"), F.col("r.n").alias("redactions"), F.coalesce("timestamp", F.current_timestamp()).alias("started_at"), "tool_name", "tool_input",
+        count(F.col("r.text")).alias("token_count"), F.col("r.n").alias("redactions"), F.coalesce("timestamp", F.current_timestamp()).alias("started_at"), "tool_name", "tool_input",
     )

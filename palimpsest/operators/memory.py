@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,12 +69,13 @@ def scopes(project: str | None) -> list[str]:
 
 
 def candidates(memories: DataFrame, project: str | None, query: str, query_vector, paths: list[str] = (), max_always: int = 3) -> DataFrame:
-    """Memories of the three tiers in order: tier (int), place (int, within it), and score. Bounded: a few for each scope."""
+    """Memories of the three tiers in order: tier (int), place (int, within it), score and why. Bounded: a few for each scope."""
     own = scopes(project)
     rows = memories.where(F.col("project_id").isin(*own)) if own else memories.limit(0)
     rows = rows.withColumn("scope", F.coalesce("scope", F.lit("auto"))).withColumn("near", (F.col("project_id") != (own[0] if own else "")).cast("int"))
     listed = Window.partitionBy("project_id").orderBy(F.desc("pinned"), F.desc("updated_at"), "id")
-    always = rows.where("scope = 'always'").withColumn("n", F.row_number().over(listed)).where(F.col("n") <= max_always).select("*", F.lit(1).alias("tier"), F.lit(1.0).alias("score"), F.lit(1.0).alias("rank_by"))
+    pin = F.when(F.col("pinned"), " · pinned").otherwise("")
+    always = rows.where("scope = 'always'").withColumn("n", F.row_number().over(listed)).where(F.col("n") <= max_always).select("*", F.lit(1).alias("tier"), F.lit(1.0).alias("score"), F.lit(1.0).alias("rank_by"), F.concat(F.lit("standing rule (always)"), pin).alias("why"))
     looked = [p for p in paths if p and len(p.encode()) <= MOST_GLOB_BYTES][:MOST_PATHS]
     tokens = memories.sparkSession.range(1).select(tx.path_tokens(F.lit(query)).alias("p")).first()["p"]
     looked = list(dict.fromkeys([*looked, *tokens]))
@@ -82,17 +83,19 @@ def candidates(memories: DataFrame, project: str | None, query: str, query_vecto
     if looked:
         patterns = {g for r in glob.select(F.explode("globs").alias("g")).distinct().collect() for g in [r["g"]]}
         good = [p for p in patterns if (rx := tx.glob_regex(p)) and any(re.search(_python(rx), x) or re.search(_python(rx), x.rsplit("/", 1)[-1]) for x in looked)]
-        glob = glob.where(F.arrays_overlap("globs", F.array(*map(F.lit, good)).cast("array<string>")))
+        fits = F.array(*map(F.lit, good)).cast("array<string>")
+        glob = glob.where(F.arrays_overlap("globs", fits))
     else:
-        glob = glob.limit(0)
-    glob = glob.select("*", F.lit(2).alias("tier"), F.lit(0.9).alias("score"), F.lit(0.9).alias("rank_by"))
+        glob, fits = glob.limit(0), F.array().cast("array<string>")
+    first = F.get(F.array_intersect("globs", fits), F.lit(0))  # of a memory's own patterns, in their order
+    glob = glob.select("*", F.lit(2).alias("tier"), F.lit(0.9).alias("score"), F.lit(0.9).alias("rank_by"), F.format_string('matches glob "%s"', first).alias("why"))
     auto = rows.where("scope = 'auto' and embedding is not null").withColumn("score", vx.cosine(F.col("embedding"), vx.literal(query_vector)))
     auto = auto.withColumn("n", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("score"), "id"))).where("n <= 5")
     span = Window.partitionBy(F.lit(1))  # ten rows at most
     lo, hi = F.min("updated_at").over(span), F.max("updated_at").over(span)
     bonus = F.when(hi > lo, RECENCY * (F.col("updated_at") - lo) / (hi - lo)).otherwise(0.0)
-    auto = auto.withColumn("rank_by", F.col("score") + bonus).withColumn("tier", F.lit(3))
-    keep = ["id", "project_id", "content", "pinned", "scope", "near", "n", "tier", "score", "rank_by"]
+    auto = auto.withColumn("rank_by", F.col("score") + bonus).withColumn("tier", F.lit(3)).withColumn("why", F.concat(F.format_string("semantic match %.2f", "score"), pin))
+    keep = ["id", "project_id", "content", "pinned", "scope", "near", "n", "tier", "score", "rank_by", "why"]
     every = always.select(keep).unionByName(glob.select(keep)).unionByName(auto.select(keep))
     order = Window.partitionBy("tier").orderBy(F.when(F.col("tier") == 3, -F.col("rank_by")), "near", "n", "id")
     return every.withColumn("place", F.row_number().over(order)).drop("near", "n", "rank_by")
@@ -127,16 +130,25 @@ def upsert(memories: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return memories.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
-def remember(memories: DataFrame, row: dict, threshold: float = 0.95) -> tuple[DataFrame, str, bool]:
-    """(memories after the write, id, superseded). A memory of the same project and scope whose cosine reaches the threshold
+def settle(memories: DataFrame, row: dict, threshold: float = 0.95) -> tuple[dict, bool]:
+    """(the row to write, superseded). A memory of the same project and scope whose cosine reaches the threshold
     takes the new content and embedding, and keeps its id, pin, scope and globs."""
-    spark = memories.sparkSession
     best = nearest(memories, row["project_id"], row["scope"], row["embedding"]).collect() if row.get("embedding") else []
     if best and best[0]["score"] >= min(max(threshold, 0.5), 0.999):
         new = best[0].asDict() | {"content": row["content"], "embedding": row["embedding"], "updated_at": row["updated_at"]}
         new.pop("score")
-        return upsert(memories, spark.createDataFrame([tuple(new[c] for c in memories.columns)], memories.schema)), new["id"], True
-    return memories.unionByName(spark.createDataFrame([tuple(row[c] for c in memories.columns)], memories.schema)), row["id"], False
+        return new, True
+    return row, False
+
+
+def as_row(memories: DataFrame, row: dict) -> DataFrame:
+    return memories.sparkSession.createDataFrame([tuple(row[c] for c in memories.columns)], memories.schema)
+
+
+def remember(memories: DataFrame, row: dict, threshold: float = 0.95) -> tuple[DataFrame, str, bool]:
+    """(memories after the write, id, superseded); see settle."""
+    new, superseded = settle(memories, row, threshold)
+    return upsert(memories, as_row(memories, new)), new["id"], superseded
 
 
 def reconcile(reply: str, known: list[dict]) -> tuple[str, dict | None]:
@@ -167,9 +179,24 @@ def splice(existing: str, body: str, start: str, end: str) -> str:
     return (existing.rstrip() + "\n\n" if existing else "") + block + "\n"
 
 
-def distil(memories: DataFrame, facts: list[str], make: Callable[[str], dict], threshold: float = 0.95) -> DataFrame:
-    """Writes facts one after another, each distinct one once."""
-    for fact in dict.fromkeys(f.removeprefix("- ").strip() for f in facts):
-        if fact:
-            memories = remember(memories, make(fact), threshold)[0]
-    return memories
+def facts_of(items: list[str]) -> list[str]:
+    """Distilled items without their dashes, each distinct one once."""
+    return [f for f in dict.fromkeys(i.removeprefix("- ").strip() for i in items) if f]
+
+
+def distil(known: list[dict], rows: list[dict], threshold: float = 0.95) -> list[dict]:
+    """The memories to write for a batch of facts (rows with embeddings), one after another: a fact supersedes the nearest of
+    `known` (a project's automatic memories that aren't pinned) or of the batch's own before it, as settle does."""
+    threshold, out = min(max(threshold, 0.5), 0.999), {}
+    pool = {m["id"]: m for m in known}
+    for row in rows:
+        scored = [(_cosine(m["embedding"], row["embedding"]), m["id"]) for m in pool.values()]
+        near = min(scored, key=lambda x: (-x[0], x[1]), default=(0.0, None))
+        new = pool[near[1]] | {k: row[k] for k in ("content", "embedding", "updated_at")} if near[1] and near[0] >= threshold else row
+        pool[new["id"]] = out[new["id"]] = new
+    return list(out.values())
+
+
+def _cosine(a: list[float], b: list[float]) -> float:
+    n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+    return sum(x * y for x, y in zip(a, b, strict=True)) / n if n and len(a) == len(b) else 0.0

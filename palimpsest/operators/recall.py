@@ -54,13 +54,16 @@ def query_keywords(df: DataFrame, query: str) -> list[str]:
 
 def cap_and_pack(ranked: DataFrame, score: Column, floor: float, per_session: int, limit: int, budget: int, id_col: str = "chunk_id") -> DataFrame:
     """Rows over the floor, at most per_session of a session, the best first, until limit or the token budget is reached;
-    the first always fits. Adds rank (int) and used_tokens (long). Input is a bounded pool."""
+    the first always fits. Adds rank (int), used_tokens (long) and truncated (whether any row was left out for limit or budget).
+    Input is a bounded pool."""
     rows = ranked.withColumn("_s", score).where(F.col("_s") >= floor)
     by_session = Window.partitionBy("session_id").orderBy(F.desc("_s"), id_col)
     rows = rows.withColumn("_n", F.row_number().over(by_session)).where(F.col("_n") <= per_session)
     order = Window.orderBy(F.desc("_s"), id_col)
     rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("used_tokens", F.sum("token_count").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return rows.where((F.col("rank") <= limit) & ((F.col("rank") == 1) | (F.col("used_tokens") <= budget))).drop("_s", "_n")
+    fits = (F.col("rank") <= limit) & ((F.col("rank") == 1) | (F.col("used_tokens") <= budget))
+    rows = rows.withColumn("_fits", fits).withColumn("truncated", ~F.min("_fits").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.where("_fits").drop("_s", "_n", "_fits")
 
 
 def recall(chunks: DataFrame, vectors: DataFrame, sessions: DataFrame, query: str, query_vector, limit: int = 10, budget: int = 4000, project: str | None = None, min_score: float = 0.0) -> DataFrame:

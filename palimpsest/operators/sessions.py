@@ -11,7 +11,8 @@ from palimpsest.functions import text as tx
 
 # Record types of transcripts.
 KNOWN_TYPES = ("user", "assistant", "system", "attachment", "tool-result", "file-history-snapshot", "queue-operation", "ai-title", "agent-name", "last-prompt", "file-missing", "file-error", "permission-mode")
-CONTINUES_MINUTES = 30
+# How long a session may pause, what stands where a transcript is cut, and by how much a pause weighs.
+CONTINUES_MINUTES, CUT_MARK, PAUSE_WEIGHT = 30, "[…transcript truncated at max_chars…]", 0.75
 
 
 def last_filled(c: str, order: str) -> Column:
@@ -81,7 +82,7 @@ def continuations(sessions: DataFrame) -> DataFrame:
     pairs = pairs.where(F.col("b").isNotNull()).withColumn("gap_minutes", gap).where(F.col("gap_minutes").between(0, CONTINUES_MINUTES))
     return pairs.select(
         ids.edge_id(F.lit("session-continuation"), F.col("a"), F.col("b")).alias("edge_id"), "project_id", "a", "b", F.col("gap_minutes").cast("long").alias("gap_minutes"),
-        (1 - 0.75 * F.col("gap_minutes") / CONTINUES_MINUTES).alias("weight"), F.format_string("resumed %dm after the previous session ended", F.col("gap_minutes")).alias("evidence"),
+        (1 - PAUSE_WEIGHT * F.col("gap_minutes") / CONTINUES_MINUTES).alias("weight"), F.format_string("resumed %dm after the previous session ended", F.col("gap_minutes")).alias("evidence"),
     )
 
 
@@ -101,7 +102,7 @@ def transcript(chunks: DataFrame, most_bytes: int | None = None) -> DataFrame:
     rows = chunks.withColumn("line", F.concat(F.col("role"), tool, F.lit(": "), F.col("text"), F.lit("\n\n"))).withColumn("bytes", F.sum(F.octet_length("line")).over(w))
     fits = F.lit(True) if most_bytes is None else F.col("bytes") <= most_bytes
     parts = F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("turn_index", "sub_index", "line")))), lambda x: x["line"])
-    cut = F.when(F.bool_or(~fits), F.lit("[…transcript truncated at max_chars…]")).otherwise("")
+    cut = F.when(F.bool_or(~fits), F.lit(CUT_MARK)).otherwise("")
     return rows.groupBy("session_id").agg(F.concat(F.array_join(parts, ""), cut).alias("transcript"))
 
 

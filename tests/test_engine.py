@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import config
 from palimpsest.facade import Engine
+from palimpsest.sources import store as store_module
 from palimpsest.sources import transcripts as tr
 from palimpsest.sources.store import Store
 from palimpsest.streaming import indexer
@@ -81,6 +82,239 @@ def test_index_grow_and_recall(spark, root, tmp_path):
     assert e.graph()[0].where("kind = 'session'").count() == 2
 
 
+def test_summaries_are_cached_by_input(spark, root, tmp_path):
+    asked = []
+
+    def complete(system, user):
+        asked.append(user)
+        if "explore" in user:
+            raise RuntimeError("no reply")
+        return 'Here it is:\n```json\n{"text": "Parsing.", "bullets": ["uses serde"], "decisions": [], "artifacts": ["src/lib.rs"]}\n```'
+
+    e = Engine(spark, str(tmp_path / "store"), complete=complete)
+    e.refresh(root)
+    assert e.summarize(session="main") == {"summarized": 1, "cached": 0, "skipped": 0, "failed": 0}
+    assert e.get_session("main")["summary"] == "Parsing.\n- uses serde\n- src/lib.rs"
+    assert e.summarize(force=True) == {"summarized": 1, "cached": 1, "skipped": 0, "failed": 1} and len(asked) == 2
+    with open(f"{root}/-proj/main.jsonl", "a") as f:
+        f.write("\n" + said("user", "More about toml", 9))
+    e.refresh(root)
+    assert e.summarize(session="main")["cached"] == 0 and len(asked) == 3  # another input, another hash
+    assert e.summarize() == {"summarized": 0, "cached": 0, "skipped": 0, "failed": 0}
+    assert Engine(spark, str(tmp_path / "store")).summarize() == {"summarized": 0, "cached": 0, "skipped": 0, "failed": 0}
+    raw = e._value(__import__("palimpsest.functions.text", fromlist=["x"]).summary_reply(F.lit("just prose {")))
+    assert raw["text"] == "just prose {" and raw["bullets"] == []
+    assert e.get_chunk("main:0:0")["role"] == "user" and e.get_chunk("none") is None
+    with pytest.raises(ValueError):
+        e.get_chunk("../x")
+
+
+def test_topics_are_named(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), complete=lambda s, u: f'"Topic of {u.count("Sample")}."\nmore')
+    rows = [(f"s:{k}:0", "s", "p", k, 0, "user", "user_prompt", f"text {k} about things", 4, 0, None, None, None) for k in range(6)]
+    e.store.write("chunks", spark.createDataFrame(rows, e.store.read("chunks").schema))
+    e.store.write("vectors", spark.createDataFrame([(f"s:{k}:0", "s", "p", None, [1.0, 0.001 * k]) for k in range(6)], e.store.read("vectors").schema))
+    e.cluster()
+    topic = e.list_topics().first()
+    assert topic["size"] == 6
+    assert e.name_topics() == 1 and e.list_topics().first()["label"] == "Topic of 3"
+    assert e.name_topics() == 0
+    e.cluster()
+    assert e.list_topics().first()["label"] == "Topic of 3"  # as its members stayed
+    e.name_topic(topic["topic_id"], "By hand")
+    assert e.list_topics().first()["label"] == "By hand"
+
+
+def test_auto_promotion_and_hook(spark, root, tmp_path):
+    home = tmp_path / "home"
+    home.mkdir()
+    with open(f"{root}/-proj/main.jsonl", "a") as f:
+        f.write("\n" + line(type="user", uuid="u9", timestamp="2025-01-02T00:00:00Z", cwd=str(home), message={"role": "user", "content": "What about parsing toml with serde now?"}))
+    e = Engine(spark, str(tmp_path / "store"), complete=lambda s, u: "* Uses serde\n* Uses serde\n• Rust", config=config.Config(auto_promote=True))
+    e.refresh(root)
+    for s in ("s1", "s2", "s3"):
+        out = e.recall("what about parsing with serde", "-proj", session=s, limit=1)
+    assert out["truncated"] and len(out["items"].collect()) == 1
+    assert (home / "NOTES.md").read_text().count("Uses serde") == 2  # as the reply has it; the memory of it is one
+    assert e.list_memories("-proj").count() == 2 and e.count_memories("-proj") == 2 and e.has_memory("-proj", "Rust")
+    assert e.get_memory(e.list_memories("-proj").first()["id"])["source"] == "distilled"
+    text = e.hook("what about parsing toml with serde", session="s1", cwd="/proj")
+    assert text.split("\n")[0].endswith("indexed chunks.") and "### " in text and "toml" in text
+    assert e.hook("too short", cwd="/proj") == ""
+    bad = Engine(spark, str(tmp_path / "store"), complete=lambda s, u: 1 / 0, config=config.Config(auto_promote=True))
+    assert bad.recall("what about parsing with serde", "-proj", session="s4")["items"].count() > 0
+
+
+def test_dimensions_are_checked(spark, root, tmp_path):
+    def embed(n):
+        return lambda rows: rows.select("hash", F.array(*(F.lit(1.0) for _ in range(n))).alias("embedding"))
+
+    Engine(spark, str(tmp_path / "store"), embed(3)).refresh(root)
+    with open(f"{root}/-proj/main.jsonl", "a") as f:
+        f.write("\n" + said("user", "Another prompt", 9))
+    other = Engine(spark, str(tmp_path / "store"), embed(4))
+    with pytest.raises(ValueError):
+        other.refresh(root)
+    with pytest.raises(ValueError):
+        other.recall("what about this", "-proj")
+    assert Engine(spark, str(tmp_path / "store"), embed(3)).refresh(root)["files"] == 1
+
+
+def test_store_survives_cut_writes(spark, tmp_path, monkeypatch):
+    """A write that stops before its list is made, or within it, loses nothing, whatever it had removed or written."""
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    rows = lambda *ids_: spark.createDataFrame([(i, None, k) for k, i in enumerate(ids_)], "input_hash string, session_id string, text int")
+    shaped = lambda df: df.selectExpr("input_hash", "session_id", "'m' as model", "cast(text as string) as text")
+    read = lambda: {r["input_hash"]: r["text"] for r in store.read("summaries").collect()}
+    assert read() == {}
+    store.replace("summaries", shaped(rows(*"abcdefgh")))
+    before = read()
+    assert len(before) == 8
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: 1 / 0)
+        for cut in (lambda: store.replace("summaries", shaped(rows("a"))), lambda: store.write("summaries", shaped(rows("z")))):
+            with pytest.raises(ZeroDivisionError):
+                cut()
+            assert read() == before
+    with open(tmp_path / "store" / "summaries" / "v2.json", "w") as f:
+        f.write('{"buckets": 4, "par')  # cut within the list
+    assert read() == before
+    store.remove("summaries", shaped(rows("b")))
+    assert read() == {k: v for k, v in before.items() if k != "b"}
+    with pytest.raises(Exception, match="(?i)exist"):  # another writer was first
+        with monkeypatch.context() as m:
+            m.setattr(store, "_numbers", lambda name: [2, 1])
+            store._commit("summaries", {"buckets": 0, "parts": {}})
+    assert len(read()) == 7
+
+
+def test_a_file_rewrites_only_its_buckets(spark, root, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.refresh(root)
+    before = e.store.current("chunks")["parts"]
+    assert len(before) == 2  # two sessions, in two of the buckets
+    with open(f"{root}/-proj/main.jsonl", "a") as f:
+        f.write("\n" + said("user", "And what about toml files?", 9))
+    e.refresh(root)
+    after = e.store.current("chunks")["parts"]
+    assert before.keys() == after.keys() and sum(before[b] != after[b] for b in before) == 1
+    os.utime(f"{root}/-proj/main.jsonl", (1, 1))  # another time, the same content
+    assert e.refresh(root)["files"] == 0
+    assert e.store.read("files").where("session_id = 'main'").first()["modified"].year == 1970
+    monkeypatch.setattr(store_module, "MOST_FOLDERS", 3)
+    for k in range(6):
+        e.store.append("metrics", spark.createDataFrame([(None, str(k), k, k)], e.store.read("metrics").schema))
+    assert e.store.read("metrics").count() == 6 and len(e.store.current("metrics")["parts"]["all"]) <= 3
+
+
+def test_progress_failures_and_events(spark, root, tmp_path, monkeypatch):
+    e, seen = Engine(spark, str(tmp_path / "store")), []
+    for k in range(3):
+        with open(f"{root}/-proj/more{k}.jsonl", "w") as f:
+            f.write(said("user", f"Prompt number {k}", k))
+    mine = e.events.subscribe()
+    real = tr.with_sha
+
+    def without(spark, files):  # a file that goes between listing and reading
+        os.remove(f"{root}/-proj/more1.jsonl")
+        return real(spark, files)
+
+    monkeypatch.setattr(tr, "with_sha", without)
+    got = e.refresh(root, lambda done, total: seen.append((done, total)))
+    assert got["files"] == 4 and got["failed"] == 1 and seen == [(4, 4)]
+    assert mine.take() == [got] and mine.take() == []
+    monkeypatch.setattr(tr, "with_sha", real)
+    assert e.refresh(root, collect_gone=True)["files"] == 0
+    assert e.store.read("sessions").count() == 4 and not e.health()["indexing"]
+    seen.clear()
+    for k in range(5):
+        with open(f"{root}/-proj/next{k}.jsonl", "w") as f:
+            f.write(said("user", f"Next prompt {k}", k))
+    indexer.refresh(e.store, root, progress=lambda done, total: seen.append((done, total)), step=2)
+    assert seen == [(2, 5), (4, 5), (5, 5)] and e.store.read("sessions").count() == 9
+    os.remove(f"{root}/-proj/next0.jsonl")
+    assert indexer.refresh(e.store, root)["files"] == 0 and e.store.read("sessions").count() == 9  # kept
+    indexer.refresh(e.store, root, collect_gone=True)
+    assert e.store.read("sessions").count() == 8
+    behind = indexer.Events(2)
+    slow = behind.subscribe()
+    for k in range(4):
+        behind.publish(k)
+    assert slow.closed and slow.take() == [0, 1] and behind.subscribers == []
+
+
+def test_follow(spark, root, tmp_path):
+    import time
+
+    e = Engine(spark, str(tmp_path / "store"))
+    mine = e.events.subscribe()
+    q = e.follow(root, every="1 second")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if mine.held:
+                break
+    finally:
+        q.stop()
+    assert mine.take()[0]["files"] == 2 and e.store.read("sessions").count() == 2
+
+
+def test_tools(spark, root, tmp_path):
+    from palimpsest import tools
+
+    e = Engine(spark, str(tmp_path / "store"))
+    e.refresh(root)
+    assert {s["name"] for s in tools.schemas()} == set(tools.TOOLS) and len(tools.TOOLS) == 13
+    assert all(s["inputSchema"]["required"] == [r for r in s["inputSchema"]["required"] if r in s["inputSchema"]["properties"]] for s in tools.schemas())
+    assert "recall(query" in tools.call(e, "help") and [r["project_id"] for r in tools.call(e, "list_projects")] == ["-proj"]
+    assert tools.call(e, "recall", {"query": "parse with serde", "limit": 99})["items"]
+    assert "serde" in tools.call(e, "get_session_transcript", {"session": "main", "most_bytes": 5000})
+    for name, arguments in (("none", {}), ("recall", {}), ("recall", {"query": 1}), ("forget", {"id_": "x", "y": 1}), ("list_sessions", {"limit": True})):
+        with pytest.raises(ValueError):
+            tools.call(e, name, arguments)
+
+
+def test_chunks_by_a_vocabulary(spark, root, tmp_path):
+    """Windows and counts of a byte-pair vocabulary, against its library."""
+    import public_tokenizers
+
+    from palimpsest.functions.tokens import Bpe
+
+    bpe = Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), special=(("<|end|>", 50256),))
+    e = bpe.encoding()
+    text = "Ünïcode wörds and more of them, 日本語 too. " * 60
+    with open(f"{root}/-proj/long.jsonl", "w") as f:
+        f.write(line(type="assistant", uuid="a", timestamp="2025-01-01T00:01:00Z", message={"role": "assistant", "content": [{"type": "text", "text": text}, {"type": "text", "text": "short <|end|>"}]}))
+    engine = Engine(spark, str(tmp_path / "store"), tokens=bpe)
+    engine.refresh(root)
+    got = [r for r in engine.store.read("chunks").where("session_id = 'long'").orderBy("sub_index").collect()]
+    ids, want = e.encode(text), []
+    for s in range(0, len(ids), 350):
+        raw = e.decode_bytes(ids[s : s + 400])
+        if raw.decode(errors="replace").encode() == raw:
+            want.append(raw.decode())
+        if s + 400 >= len(ids):
+            break
+    assert len(ids) > 1000 and [r["text"] for r in got] == [*want, "short <|end|>"] and got[-1]["token_count"] == len(e.encode("short ")) + 1
+    assert all(r["token_count"] == len(e.encode(r["text"], allowed_special="all")) for r in got)
+
+
+def test_distil_supersedes_within_the_batch():
+    from palimpsest.operators.memory import distil, facts_of
+
+    assert facts_of(["- a", "a", " - b ", "", "- "]) == ["a", "- b"]
+    row = lambda i, v, **x: {"id": i, "content": i, "embedding": v, "updated_at": 9, "pinned": False} | x
+    out = distil([row("old", [1.0, 0.0], updated_at=1)], [row("x", [1.0, 0.01]), row("y", [0.0, 1.0]), row("z", [0.01, 1.0])])
+    assert [(r["id"], r["content"]) for r in out] == [("old", "x"), ("y", "z")]
+
+
+def test_labels_and_names(spark):
+    from palimpsest.functions import text as tx
+
+    got = spark.createDataFrame([("tool call: Read Input: {}", "ToolCall")], "a string, b string").select(tx.clean_label("a", "topic"), tx.clean_label("a", "session"), tx.enum_name("b"), tx.enum_name("b", "-")).first()
+    assert tuple(got) == ("Read", "tool call: Read Input: {}", "tool_call", "tool-call")
+
+
 def test_watch(spark, root, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     q = indexer.watch(store, root, str(tmp_path / "cp"))
