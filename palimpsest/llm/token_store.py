@@ -29,6 +29,7 @@ from palimpsest.llm.tokens import default_path, encoder
 
 MAGIC = b"PLMPTOK1"
 _SHARD_BYTES, _SHARD_DOCS = 4 << 20, 4096
+_NO_ID = -(1 << 63)  # where null ids stand, first of all
 
 
 def train_dictionary(docs: DataFrame, id_col: str, text_col: str, end_id: int, path: str, sample: int = 800, size: int = 32_768, longest: int = 65_536) -> bytes:
@@ -59,6 +60,15 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, end_id: int, p
         return b""
 
 
+def range_of(edges: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The range of each row by id. An id that several edges fall on, as many rows have it, has the ranges on both sides of each, which its rows
+    go to by their texts' hashes: still in order of id and hash."""
+    first, last = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
+    many = last - first > 1
+    spread = np.floor((hashes.astype(np.float64) / 2.0**64 + 0.5) * (last - first + 1)).astype(np.int64)
+    return np.where(many, np.minimum(first + np.clip(spread, 0, None), last), last)
+
+
 def pack_shard(dict_hash: bytes, keys: list, tokens: list[int], frames: list[bytes]) -> bytes:
     n = len(keys)
     ends = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype("<u8")
@@ -135,8 +145,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     dict_hash = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(bytearray(dictionary), dict_hash.hex())], "bytes binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     n = partitions(spark)
-    edges = docs.select(F.percentile_approx("_id", [k / n for k in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
-    edges = np.unique(np.array(edges, dtype=np.int64))
+    edges = docs.select(F.percentile_approx(F.coalesce("_id", F.lit(_NO_ID)), [k / n for k in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
+    edges = np.array(edges, dtype=np.int64)
 
     def compress(batches):
         import zstandard
@@ -150,7 +160,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 ids = encode(text.as_py() or "") + end
                 counts.append(len(ids) // 4)
                 frames.append(pack.compress(ids))
-            part = [0 if k is None else int(np.searchsorted(edges, k, "right")) for k in keys]
+            part = range_of(edges, np.array([_NO_ID if k is None else k for k in keys], dtype=np.int64), batch.column("_hash").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.int64()), batch.column("_hash"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["part", "_id", "_hash", "n", "frame"])
 
     frames = docs.withColumn("_hash", F.xxhash64("_text")).mapInArrow(compress, "part int, _id long, _hash long, n long, frame binary")
