@@ -7,12 +7,13 @@ import logging
 import os
 import time
 from collections.abc import Callable
+from dataclasses import asdict, replace
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.config import Config
+from palimpsest.config import Config, save, validate
 from palimpsest.functions import text as tx
 from palimpsest.functions.tokens import Bpe
 from palimpsest.operators import cluster, graph, memory, recall
@@ -154,6 +155,24 @@ class Engine:
     def health(self) -> dict[str, int | bool]:
         return {n: self.store.read(n).count() for n in ("sessions", "chunks", "topics", "memories")} | {"indexing": self.indexing}
 
+    # settings
+
+    def get_settings(self) -> dict:
+        return asdict(self.config)
+
+    def put_settings(self, path: str | None = None, **changes) -> dict:
+        """Change settings (those of the hook in a dictionary of that name), and save them at path; ValueError where they are out of bounds
+        or unknown, with nothing changed."""
+        hook = changes.pop("hook", {})
+        try:
+            new = replace(self.config, **changes, hook=replace(self.config.hook, **hook))
+        except TypeError as e:
+            raise ValueError(str(e)) from e
+        self.config = validate(new)
+        if path:
+            save(new, path)
+        return self.get_settings()
+
     # summaries and topics
 
     def save_session_summary(self, session: str, text: str, items: list[str] = ()) -> None:

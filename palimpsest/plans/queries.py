@@ -459,10 +459,11 @@ def edge_ids(spark, sf):
     return t(spark, sf, "documents").select("doc_id", ids.edge_id(F.lit("contains-session"), F.col("lang"), F.col("source")).alias("edge_id"), ids.project_id(F.concat(F.lit("/"), "lang", F.lit("/"), "source")).alias("project"))
 
 
-@query("SELECT source, sha256(unhex(sha256('m1' || chr(10) || string_agg(doc_id || '|' || text || chr(10), '' ORDER BY doc_id)))) AS input_hash FROM documents GROUP BY source")
+@query("SELECT conv_id::VARCHAR AS session_id, sha256(unhex(sha256('m1' || chr(10) || string_agg(conv_id || ':' || turn || ':0|' || text || chr(10), '' ORDER BY turn)))) AS input_hash FROM conversations GROUP BY conv_id")
 def input_hash(spark, sf):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.struct(x["doc_id"].cast("string").alias("id"), x["text"].alias("text")))
-    return t(spark, sf, "documents").groupBy("source").agg(ids.summary_hash("m1", rows).alias("input_hash"))
+    """Of each conversation as a session: as much as a session has is hashed at once."""
+    c = t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_index"), F.lit(0).alias("sub_index"), F.concat_ws(":", "conv_id", "turn", F.lit(0)).alias("chunk_id"), "text")
+    return se.input_hashes(c, "m1")
 
 
 # topics and the graph

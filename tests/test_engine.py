@@ -383,6 +383,16 @@ def test_config(tmp_path):
         config.validate(config.Config(hook=config.HookConfig(scope="x")))
 
 
+def test_settings(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.put_settings(str(tmp_path / "c.toml"), auto_promote=True, hook={"limit": 7})["hook"]["limit"] == 7
+    assert config.load(str(tmp_path / "c.toml")) == e.config
+    for bad in ({"hook": {"limit": 0}}, {"hook": {"none": 1}}, {"none": 1}):
+        with pytest.raises(ValueError):
+            e.put_settings(**bad)
+    assert e.get_settings()["hook"]["limit"] == 7
+
+
 def test_event_windows_stream(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     e.write.parquet(str(tmp_path / "e"))
