@@ -25,7 +25,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or empty text: one empty line, returned as ''. Null ids: the row stays as it is and isn't counted.
     Repeated rows: rows of one id count as one document, and each row loses and keeps its lines alike.
-    Empty table: empty result. Columns of docs named n_lines or n_dropped are replaced; all others stay.
+    Very long texts: read whole, a row for each line. Empty table: empty result. Columns of docs named n_lines or n_dropped are replaced; all others stay.
     """
     others = rest_of(docs, text_col, "n_lines", "n_dropped")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

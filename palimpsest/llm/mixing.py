@@ -127,7 +127,7 @@ def mix_sources(
     (`deal`), by their tokens in all of docs; by default source with the default targets, and none with others.
 
     Nulls in a margin: OTHER. Null or empty text: no tokens; such a document doesn't count, and stays by its cell's
-    chance, or always where the cell has no tokens. Null ids: all alike by hash. Repeated rows: kept alike. Empty table: empty result. Columns of docs with
+    chance, or always where the cell has no tokens. Null ids: all alike by hash. Repeated rows: kept alike. Very long texts: read whole. Empty table: empty result. Columns of docs with
     the names of added ones are replaced; all others stay.
     """
     dealt = dealt if dealt is not None else () if targets else ("source",)

@@ -208,7 +208,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     Null, empty or wordless text: no shingles, linked with nothing. Null ids: linked with nothing, component_id
     null, kept. Repeated rows: each is returned; rows of one id are one document to links, and kept alike.
-    Empty table: empty result. Other columns of docs are not read.
+    Very long texts: whole, hashed in blocks of 1 MB. Empty table: empty result. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))

@@ -219,7 +219,7 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     length first and as often as there are pieces; best fit places what is left.
 
     Null or empty text: the end id alone. Null ids and repeated rows: each row is a document of its own.
-    Empty table: empty result. Other columns of docs are not read. Token ids of the sequences: sequences().
+    Very long texts: as many pieces as they take. Empty table: empty result. Other columns of docs are not read. Token ids of the sequences: sequences().
     """
     spark = docs.sparkSession
     path = path or default_path()
