@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from palimpsest.llm.common import SPACE, SPACE_CHARS, Stash, table
-from palimpsest.llm.trees import Node, forest
+from palimpsest.llm.trees import Node, forest, total
 
 #: Unbroken runs are candidates from this length on, by default.
 SHORTEST = 16
@@ -105,13 +105,7 @@ class SecretModel:
 
     def column(self) -> Column:
         """The forest's share for secret, over columns named as FEATURES with an underscore before."""
-        if not self.trees:
-            return F.lit(0.0)
-        names = [F.col(f"_{f}") for f in FEATURES]
-        total = self.trees[0].column(names)
-        for t in self.trees[1:]:
-            total = total + t.column(names)
-        return total / len(self.trees)
+        return total(list(self.trees), [f"_{f}" for f in FEATURES]) / max(len(self.trees), 1)
 
 
 def with_features(found: DataFrame, dictionary: tuple[str, ...]) -> DataFrame:

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 
+def total(trees: list[Node], features: list[str], start: float = 0.0) -> Column:
+    """The sum of start and all trees, in their order."""
+    return F.expr(" + ".join([f"{start!r}D", *(t.sql(features) for t in trees)]))
+
+
 @dataclass(frozen=True)
 class Node:
     """A test `feature <= cut`, or a value where feature is negative."""
@@ -24,10 +29,11 @@ class Node:
     high: Node | None
     value: float
 
-    def column(self, features: list[Column]) -> Column:
+    def sql(self, features: list[str]) -> str:
+        """The tree over columns of these names, as an expression in SQL: a tree is one call to the JVM, whatever its size."""
         if self.feature < 0:
-            return F.lit(self.value)
-        return F.when(features[self.feature] <= self.cut, self.low.column(features)).otherwise(self.high.column(features))
+            return f"{self.value!r}D"
+        return f"CASE WHEN `{features[self.feature]}` <= {self.cut!r}D THEN {self.low.sql(features)} ELSE {self.high.sql(features)} END"
 
     def score(self, row) -> float:
         node = self

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from palimpsest.llm.common import computed_once, lower_ascii, stash, table
-from palimpsest.llm.trees import Node, boost
+from palimpsest.llm.trees import Node, boost, total
 
 FEATURES = ("length", "host_length", "host_depth", "path_depth", "path_length", "digit_ratio", "entropy", "parameters", "hyphens", "fragment", "host_digits", "top_rate", "site_rate", "host_word", "vowel_ratio")
 
@@ -90,8 +90,8 @@ def log_odds(start: float, trees: list[Node], row: list[float]) -> float:
 class UrlModel:
     """Boosted trees, and the table (suffix, rate) of all labelled URLs' suffixes; other suffixes have the usual rate."""
 
-    def __init__(self, table: DataFrame, usual: float, rows: list[list[float]], blocked: list[int]):
-        self.table, self.usual = table, usual
+    def __init__(self, table: DataFrame, small: bool, usual: float, rows: list[list[float]], blocked: list[int]):
+        self.table, self.small, self.usual = table, small, usual
         self.start, self.trees = boost(rows, blocked)
 
     @cached_property
@@ -107,12 +107,12 @@ class UrlModel:
         return log_odds(self.start, self.trees, lexical(url, top, site))
 
 
-def with_rates(urls: DataFrame, url: Column, table: DataFrame, usual: float) -> DataFrame:
-    """urls with _top_rate and _site_rate from the table (suffix, rate)."""
-    small = F.broadcast if table.count() <= MOST_BROADCAST else lambda t: t
+def with_rates(urls: DataFrame, url: Column, table: DataFrame, usual: float, small: bool) -> DataFrame:
+    """urls with _top_rate and _site_rate from the table (suffix, rate); small: counted, and few enough to be broadcast."""
+    ship = F.broadcast if small else lambda t: t
     out = urls.withColumns(dict(zip(("_top", "_site"), suffixes(F.coalesce(url, F.lit(""))), strict=True)))
     for name in ("_top", "_site"):
-        out = out.join(small(table.select(F.col("suffix").alias(name), F.col("rate").alias(f"{name}_rate"))), name, "left")
+        out = out.join(ship(table.select(F.col("suffix").alias(name), F.col("rate").alias(f"{name}_rate"))), name, "left")
     return out.withColumns({f"{n}_rate": F.coalesce(f"{n}_rate", F.lit(usual)) for n in ("_top", "_site")}).drop("_top", "_site")
 
 
@@ -132,14 +132,15 @@ def train(urls: DataFrame, url_col: str = "url", label_col: str = "blocked", sam
     part = min(1.0, 4 * sample / max(n, 1))
     while True:
         low = rows if part >= 1 else rows.where(F.col("h") < int(part * 2**64) - 2**63)
-        chosen = stash(low.groupBy("u", "h").agg(F.max("y").alias("y")).orderBy("h", "u").limit(sample), "labelled")
-        if part >= 1 or chosen.count() == sample:
+        chosen = low.groupBy("u", "h").agg(F.max("y").alias("y")).orderBy("h", "u").limit(sample).collect()
+        if part >= 1 or len(chosen) == sample:
             break
         part = min(1.0, 8 * part)
-    rated = with_rates(chosen, F.col("u"), table, usual)
+    small = table.count() <= MOST_BROADCAST
+    rated = with_rates(urls.sparkSession.createDataFrame(chosen, "u string, h long, y int"), F.col("u"), table, usual, small)
     found = rated.select("h", "u", "y", *(c.alias(f) for f, c in feature_columns(F.col("u"), F.col("_top_rate"), F.col("_site_rate")).items())).collect()
     found = sorted(found, key=lambda r: (r["h"], r["u"]))
-    return UrlModel(table, usual, [[float(r[f]) for f in FEATURES] for r in found], [r["y"] for r in found])
+    return UrlModel(table, small, usual, [[float(r[f]) for f in FEATURES] for r in found], [r["y"] for r in found])
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None = None, url_col: str = "url") -> DataFrame:
@@ -160,13 +161,9 @@ def url_filter(pages: DataFrame, rules: dict[str, str], model: UrlModel | None =
     out = out.withColumn("_verdict", F.when(F.col("_rule").isNotNull(), verdicts[F.col("_rule")]))
     if model is None:
         model = train(out.where("_rule is not null").select("_url", (F.col("_verdict") == "block").cast("int").alias("blocked")), "_url")
-    out = with_rates(out, F.col("_url"), model.table, model.usual)
+    out = with_rates(out, F.col("_url"), model.table, model.usual, model.small)
     scored = computed_once(out, {f"_f_{f}": c for f, c in feature_columns(F.coalesce("_url", F.lit("")), F.col("_top_rate"), F.col("_site_rate")).items()})
-    own = [F.col(f"_f_{f}") for f in FEATURES]
-    score = F.lit(model.start)
-    for tree in model.trees:
-        score = score + tree.column(own)
-    scored = scored.withColumn("_score", F.when(F.col("_rule").isNull(), score))
+    scored = scored.withColumn("_score", F.when(F.col("_rule").isNull(), total(model.trees, [f"_f_{f}" for f in FEATURES], model.start)))
     verdict = F.coalesce("_verdict", F.when(F.col("_score") > 0, "block").otherwise("allow"))
     return scored.select(
         *[F.col("_row").getField(c).alias(c) for c in quoted],

@@ -106,6 +106,8 @@ def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
     assert sum((got[k]["verdict"] == "block") == bool(y) for k, (_, y) in enumerate(rows[:20_000])) / 20_000 > 0.99
     assert all(abs(got[k]["score"] - model.score(rows[k][0])) < 1e-9 for k in (*range(200), 20_000, 20_001, 20_002))
     monkeypatch.setattr(module, "MOST_BROADCAST", 10)  # joined without a broadcast
+    assert model.small and not train(spark.createDataFrame(rows, "url string, blocked int"), sample=300).small
+    model.small = False
     assert {r["page_id"]: r for r in url_filter(pages, {}, model).collect()} == got
 
 
