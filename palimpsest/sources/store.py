@@ -13,9 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
+from pyspark.sql.types import StringType, StructField, StructType
 
 from palimpsest.operators import memory
-from palimpsest.plans.materialize import delete, exists
+from palimpsest.plans.materialize import delete, exists, stash
 
 SCHEMAS = {
     "files": "path string, modified timestamp, length long, sha string, project_id string, session_id string, is_sidechain boolean, parent_session string, agent_type string, description string",
@@ -46,6 +47,7 @@ MOST_FOLDERS = 64
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._schemas: dict[str, StructType] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -106,8 +108,10 @@ class Store:
 
     # tables
 
-    def _schema(self, name: str):
-        return self.spark.createDataFrame([], SCHEMAS[name]).schema
+    def _schema(self, name: str) -> StructType:
+        if name not in self._schemas:
+            self._schemas[name] = StructType.fromDDL(SCHEMAS[name])
+        return self._schemas[name]
 
     def _shaped(self, name: str, df: DataFrame) -> DataFrame:
         return df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in self._schema(name)))
@@ -150,24 +154,43 @@ class Store:
             folders = self._folder(name, self._load(name, folders), 0)["all"]
         self._commit(name, {"buckets": 0, "parts": {"all": folders}})
 
+    def touched(self, keys: DataFrame, buckets: int) -> set[str]:
+        """The buckets of a column of keys."""
+        return {str(r["b"]) for r in keys.select(self._bucket(keys.columns[0], buckets).alias("b")).distinct().collect()}
+
     def replace(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
-        """Put rows in the place of all rows of their keys, and of the keys in gone (a column of that name). Only these keys'
-        buckets are read and written."""
+        """Put rows in the place of all rows of their keys; of those of the keys in gone (a column of that name) where it is given,
+        which then has all keys of rows. Only these keys' buckets are read and written."""
         key, known = KEYS[name], self.current(name)
         buckets = known["buckets"] or self.buckets
         rows = self._shaped(name, rows)
-        keys = (rows.select(key) if gone is None else rows.select(key).unionByName(gone.select(key))).distinct()
-        touched = {str(r["b"]) for r in keys.select(self._bucket(key, buckets).alias("b")).distinct().collect()}  # at most `buckets`
+        keys = (rows if gone is None else gone).select(key).distinct()
+        touched = self.touched(keys, buckets)
         if not touched:
             return
-        old = self._load(name, [x for b, own in known["parts"].items() if b in touched for x in own])
-        new = self._folder(name, old.join(keys, key, "left_anti").unionByName(rows), buckets)
+        old = [x for b, own in known["parts"].items() if b in touched for x in own]
+        rows = self._load(name, old).join(keys, key, "left_anti").unionByName(rows) if old else rows
+        new = self._folder(name, rows, buckets)
         self._commit(name, {"buckets": buckets, "parts": {b: own for b, own in known["parts"].items() if b not in touched} | new})
 
     def remove(self, name: str, gone: DataFrame) -> None:
         """Drop the rows whose key is in gone."""
         self.replace(name, self.spark.createDataFrame([], SCHEMAS[name]), gone)
 
+    def export_json(self, name: str, path: str) -> None:
+        """Write a table as lines of JSON, for others to read."""
+        self.read(name).write.json(path)
+
+    def import_json(self, name: str, path: str) -> int:
+        """Put rows of JSON lines in the place of those of their keys, or add them to a table without keys; how many lines could not be
+        used, as they aren't JSON or have no key."""
+        key = KEYS.get(name)
+        rows = self.spark.read.schema(StructType([*self._schema(name).fields, StructField("_bad", StringType())])).option("columnNameOfCorruptRecord", "_bad").json(path)
+        rows = stash(rows, "imported")
+        good = F.col("_bad").isNull() & (F.col(key).isNotNull() if key else F.lit(True))
+        (self.replace if key else self.append)(name, rows.where(good).drop("_bad"))
+        return rows.where(~good).count()
+
     def dimension(self) -> int | None:
         """Components of the stored vectors; None without any."""
         row = self.read("vectors").select(F.size("embedding").alias("n")).first()

@@ -383,6 +383,18 @@ def test_config(tmp_path):
         config.validate(config.Config(hook=config.HookConfig(scope="x")))
 
 
+def test_json_of_tables(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "one")), Store(spark, str(tmp_path / "two"))
+    one.write("edges", spark.createDataFrame([("e", "k", "a", "b", 0.5)], one.read("edges").schema))
+    one.write("topic_names", spark.createDataFrame([("t", "name", None)], one.read("topic_names").schema))
+    for name in ("edges", "topic_names"):
+        one.export_json(name, str(tmp_path / name))
+        with open(tmp_path / name / "more.json", "w") as f:
+            f.write('{not json\n{"label": "no key"}\n')
+        assert two.import_json(name, str(tmp_path / name)) == (1 if name == "edges" else 2)
+    assert two.read("edges").where("edge_id = 'e'").first()["weight"] == 0.5 and two.read("topic_names").first()["label"] == "name"
+
+
 def test_settings(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     assert e.put_settings(str(tmp_path / "c.toml"), auto_promote=True, hook={"limit": 7})["hook"]["limit"] == 7
