@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import ann, line_dedup, mixing, near_dup, packing, quality, secret_scan, suffix_dedup, token_store, url_filter
+from palimpsest.llm import ann, divergence, line_dedup, mixing, near_dup, packing, periodic, quality, secret_scan, substring_dedup, suffix_dedup, token_store, url_filter
 
 QUERIES = {
     "op1_nearest": ann.op1_nearest,
@@ -15,7 +15,11 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_best_fit_pack": packing.op9_best_fit_pack,
     "op10_near_dup": near_dup.op10_near_dup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
