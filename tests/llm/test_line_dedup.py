@@ -64,6 +64,8 @@ CONTRACT = {
     "op3_url_filter": "page_id bigint, host string, path string, rule string, verdict string", "op5_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     "op7_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", "op8_token_store": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op9_best_fit_pack": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint", "op10_near_dup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op11_source_divergence": "lang string, source string, part string, item string, value bigint, rank int", "op12_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
 }
 
 
