@@ -173,7 +173,7 @@ def _contexts(batch: pa.RecordBatch, least: int):
 
 
 def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
-    """(_a, _b, own): the windows to remove, of docs' (_a, _b, _text)."""
+    """(_a, _b, own): the windows to remove, of docs' (_a, _b, _text) with one row for each (_a, _b)."""
     middle = least - _GRAM
 
     def find(batches):
@@ -222,9 +222,7 @@ def spans(docs: DataFrame, least: int, keep: str) -> DataFrame:
         held: pa.Table | None = None
 
         def done(part: pa.Table):
-            bucket, c = part.column("bucket").to_numpy(), part.column("c").to_numpy()
-            # documents that are there twice bring a class's context twice
-            part = part.filter(pa.array(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1])]))).combine_chunks().to_batches()[0]
+            part = part.combine_chunks().to_batches()[0]
             rows, lo, hi = _contexts(part, least)
             position = np.empty(part.num_rows, dtype=np.int64)
             position[np.lexsort([part.column(x).to_numpy() for x in ("q", "_b", "_a")])] = np.arange(part.num_rows)
@@ -288,8 +286,7 @@ def narrower(large: DataFrame, todo: DataFrame, level: int, least: int, keep: st
             yield pa.RecordBatch.from_arrays([*own, pa.array(part.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))], ["g", "c", *place, "r", "h", "u"])
 
     dealt = Stash(todo.mapInArrow(deal, f"g long, c long, {''.join(f'{x} long, ' for x in place)}r short, h long, u long"), "dealt").df
-    # the documents of repeated rows bring their contexts twice: contexts count, not rows
-    alike = stash(dealt.groupBy("h", "u").agg((F.min("c") != F.max("c")).alias("many"), F.min(F.struct(*place, "c", "g", "r")).alias("p")), "alike")
+    alike = stash(dealt.groupBy("h", "u").agg((F.count("*") > 1).alias("many"), F.min(F.struct(*place, "c", "g", "r")).alias("p")), "alike")
     marks = F.array(*(F.lit(x) for x in range_bits(least, level)))
     same = dealt.join(alike.where("many").select("h", "u", "p"), ["h", "u"])
     if keep != "none":
@@ -328,8 +325,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     elsewhere in any document, itself included: anywhere with keep='none', or at an earlier place (by id, then
     offset) with keep='first', so that the first copy stays. Strings are judged on the input.
 
-    Null or empty text: no bytes. Null ids: a document like others, first in order. Repeated rows: each is a document; with
-    keep='first' one of them counts as the first, and the others lose all that `least` bytes cover. Very long texts: read whole, in
+    Null or empty text: no bytes. Null ids: a document like others, first in order. Repeated rows: each is a document, of which one goes
+    through the search: those of at least `least` bytes lose everything, but for one of them with keep='first', which has the result of a single row. Very long texts: read whole, in
     blocks of 1 MB, with the result of one piece. Empty table: empty result. Other columns of docs are not read.
     """
     if least < _GRAM + 16:
@@ -340,6 +337,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     # a row is known by its id (for order) and the hash of both
     base = docs.select(F.coalesce(ident, F.lit(-(1 << 63))).alias("_a"), F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), body).alias("_b"), ident.alias("_id"), body.alias("_text"))
+    base, times = once(base)
     found = spans(base, least, keep)
 
     def cut(batches):
@@ -362,23 +360,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text]
     out = base.join(found, ["_a", "_b"], "left").select("_a", "_b", "_id", "_text", "own")
     out = out.mapInArrow(cut, "_a long, _b long, _id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text)
-    if keep == "first":
-        out = later_copies(base, out, names, least)
+    if times is not None:
+        out = each_copy(out, times, names, least, keep)
     return out.select(F.col("_id").cast(kind).alias(id_col), *names)
 
 
-def later_copies(base: DataFrame, out: DataFrame, names: list[str], least: int) -> DataFrame:
-    """out, in which of the rows of one id and text, all with the result of the first, all but one lose everything."""
+def once(base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """base with one row for each (_a, _b), and those of which there are more with their number (times; None where there are none)."""
     times = Stash(base.groupBy("_a", "_b").agg(F.count("*").alias("times")).where("times > 1"), "repeated-rows").df
     if times.isEmpty():
-        return out
-    copies = times.count() <= _BROADCAST
-    times = F.broadcast(times) if copies else times
-    one = out.join(times, ["_a", "_b"]).groupBy("_a", "_b").agg(*(F.first(c).alias(c) for c in ("_id", *names, "times")))
-    each = one.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).withColumn("_gone", (F.col("_n") > 1) & (F.col("n_bytes") >= least))
+        return base, None
+    times = F.broadcast(times) if times.count() <= _BROADCAST else times
+    several = base.join(times, ["_a", "_b"], "left_semi").groupBy("_a", "_b").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"))
+    return base.join(times, ["_a", "_b"], "left_anti").unionByName(stash(several, "rows-once")), times
+
+
+def each_copy(out: DataFrame, times: DataFrame, names: list[str], least: int, keep: str) -> DataFrame:
+    """out with as many rows of one id and text as there were. All of `least` bytes or more repeat each other as a whole: they lose everything,
+    but for one where the first is kept."""
+    each = out.join(times, ["_a", "_b"], "left").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1)))))
+    gone = F.col("times").isNotNull() & (F.col("n_bytes") >= least) & ((F.col("_n") > 1) | F.lit(keep == "none"))
     nothing = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept": F.lit(b"")}
-    each = each.withColumns({c: F.when(F.col("_gone"), x).otherwise(F.col(c)) for c, x in nothing.items() if c in names})
-    return out.join(times, ["_a", "_b"], "left_anti").unionByName(each.select(*out.columns))
+    return each.withColumns({c: F.when(gone, x).otherwise(F.col(c)) for c, x in nothing.items() if c in names})
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,27 @@ def test_repeated_rows(spark):
     assert none == [(-(1 << 62), 0), (5, 1500), (5, 1500), (7, 0), (7, 0), (9, 600)]
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_thousands_of_repeated_rows(spark, keep):
+    """They go through the search once, whatever their number: buckets hold classes, and no list grows with copies."""
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    one, passage = text(1400), text(700)
+    rows = [(5, one)] * 5000 + [(None, one)] * 3000 + [(6, "tiny")] * 2000 + [(k, text(300) + one[k : k + 500 + k] + text(200) + passage) for k in range(10, 60)]
+    plainly = [*rows[:1], *rows[5000:5001], *rows[8000:8001], *rows[10000:]]
+    want = plain([(-1 if k is None else k, t) for k, t in plainly], 400, keep)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = S.suffix_dedup(docs, keep=keep, text=False).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    rest = {-1 if r[0] is None else r[0]: tuple(r)[1:5] for r in got if r["count"] == 1}
+    empty = hashlib.sha256(b"").hexdigest()
+    gone = {(r[0], r[2]): r["count"] for r in got if r["count"] > 1}
+    assert gone == ({(5, 1400): 5000, (None, 1400): 3000, (6, 0): 2000} if keep == "none" else {(5, 1400): 5000, (None, 1400): 2999, (6, 0): 2000})
+    assert all(r["kept_sha256"] == empty for r in got if r["n_removed"] == 1400)
+    if keep == "first":
+        assert rest.pop(-1) == want[-1]
+    assert rest == {k: x for k, x in want.items() if k >= 10}
+
+
 def test_very_long_texts(spark):
     """Texts over a block of 1 MB, with passages that repeat within and across them."""
     rng = random.Random(11)
