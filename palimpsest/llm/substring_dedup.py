@@ -35,7 +35,7 @@ from palimpsest.llm.shingles import mix, pieces
 #: Perfect difference sets, in which every distance but 0 occurs exactly once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
 _WORDS = 1 << 17  # of a long text, anchored at a time
-_BROADCAST = 1_000_000  # grams or ids, about 50 MB as a hash table
+_BROADCAST = 1_000_000  # ids, about 50 MB as a hash table
 _FETCH = 4096  # rows that leave a task together
 
 
@@ -122,7 +122,7 @@ def spans(docs: DataFrame, width: int) -> DataFrame:
 
     several = F.min("_a") < F.max("_a")  # documents hold it
     twice = Stash(find(True).groupBy("g").agg(several.alias("s")).where("s").select("g"), "grams")
-    here = Stash(find(False).join(if_few(twice.df), "g", "left_semi"), "repeated")
+    here = Stash(find(False).join(twice.df, "g", "left_semi"), "repeated")
     classes = Stash(here.df.groupBy("g", "c").agg(F.min(F.struct("_a", "_b", "q")).alias("p"), F.max("_a").alias("last")), "anchor-classes")
     # classes of a gram matter to each other if their smallest ids differ
     groups = classes.df.groupBy("g").agg((F.min("p._a") < F.max("p._a")).alias("s")).where("s").select("g")
@@ -143,7 +143,7 @@ def spans(docs: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield done(rows)
 
-    sides = touched(docs, need.df).mapInArrow(extend, "g long, c long, _a long, s long, k int, h array<long>")
+    sides = with_lists(docs, need.df, "inner").mapInArrow(extend, "g long, c long, _a long, s long, k int, h array<long>")
     sides = Stash(sides, "halves")
     shared = sides.df.groupBy("g", "s").agg(several.alias("n")).where("n").select("g", "s")
     windows = sides.df.join(shared, ["g", "s"], "left_semi").select("g", "c", "_a", "k", F.posexplode("h").alias("i", "h"))
@@ -159,15 +159,14 @@ def spans(docs: DataFrame, width: int) -> DataFrame:
     return lists.df
 
 
-def if_few(rows: DataFrame) -> DataFrame:
-    """Rows of a few numbers of a written table, marked for broadcast where counting shows them to be few enough."""
-    return F.broadcast(rows) if rows.count() <= _BROADCAST else rows
-
-
-def touched(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """docs with the list of their own; those without one stay where they are, if the ids of the others are few."""
-    ids = if_few(lists.select("_a", "_b"))
-    return docs.join(ids, ["_a", "_b"], "left_semi").join(lists, ["_a", "_b"])
+def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """docs joined (inner or left) with the lists of their own; those without one stay where they are, if the ids of the others are few."""
+    key = ["_a", "_b"]
+    if lists.count() > _BROADCAST:
+        return docs.join(lists, key, how)
+    ids = F.broadcast(lists.select(*key))
+    out = docs.join(ids, key, "left_semi").join(lists, key)
+    return out if how == "inner" else out.unionByName(docs.join(ids, key, "left_anti"), allowMissingColumns=True)
 
 
 def removed(n: int, own: list[dict], width: int) -> np.ndarray:
@@ -206,8 +205,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             rows = []
-            every = batch.column("own").to_pylist() if "own" in batch.schema.names else [None] * batch.num_rows
-            for t, own in zip(batch.column("_text"), every, strict=True):
+            for t, own in zip(batch.column("_text"), batch.column("own").to_pylist(), strict=True):
                 parts = [x.split() for x in pieces((t.as_py() or "").encode())]
                 n = sum(map(len, parts))
                 gone, at = 0, 0
@@ -224,8 +222,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("_a"), *(pa.array(c, t) for c, t in zip(cols[: len(names)], kinds, strict=False))], ["_a", *names])
 
     schema = "_a long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
-    rest = base.join(if_few(lists.select("_a", "_b")), ["_a", "_b"], "left_anti")
-    out = rest.select("_a", "_text").mapInArrow(cut, schema).unionByName(touched(base, lists).select("_a", "_text", "own").mapInArrow(cut, schema))
+    out = with_lists(base, lists, "left").select("_a", "_text", "own").mapInArrow(cut, schema)
     return out.select(F.col("_a").cast(kind).alias(id_col), *names)
 
 
