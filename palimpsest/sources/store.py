@@ -1,15 +1,21 @@
 """Tables of the engine: Parquet folders under a root, of which a numbered list in JSON says which ones are the table.
 
-A write adds folders and then a list with the next number, made in one step that fails where the number is taken. Readers take
-the list of the largest number that can be read, so that whatever is cut short, they see the table before or after
-a write. Keyed tables are dealt to buckets by a hash of their key, and a write of some keys replaces only their buckets.
+A write adds folders and then the list that follows the one it has read, made in one step that fails where its number is taken. Where
+another writer came first, the write is put on top of that writer's list if none of its buckets changed, and done anew or
+refused if one did. Readers take the list of the largest number that can be read, so that whatever is cut short, they see the table
+before or after a write; a list and its folders stay for an hour after the next one.
+
+Keyed tables are dealt to buckets by the low bits of a hash of their key, and a write of some keys replaces only their buckets. The list is
+the directory of buckets: each has a depth of its own, and one that outgrows `most` rows is split alone, by as many bits as it takes.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -39,14 +45,53 @@ SCHEMAS = {
 KEYS = {
     "files": "path", "sessions": "session_id", "usage": "session_id", "chunks": "session_id", "vectors": "session_id", "stats": "path", "topics": "topic_id", "topic_names": "topic_id", "promotions": "project_id", "memories": "id", "summaries": "input_hash",
 }
-BUCKETS = 16
+#: Bits by which a new table's buckets are told apart, and rows beyond which a bucket splits.
+DEPTH, MOST_ROWS = 4, 250_000
+#: The most bits that a bucket can have, and the most buckets that one splits into at once, in bits.
+DEEPEST, STEP = 40, 10
 #: Folders of a table that is only added to, beyond which they are written anew as one.
 MOST_FOLDERS = 64
+#: How long lists and folders stay that newer lists have replaced, or that none names yet.
+KEEP_MS = 3_600_000
+#: How often a write starts anew because other writers changed its buckets.
+ATTEMPTS = 5
+
+
+class Conflict(RuntimeError):
+    """Another writer changed what a write builds on."""
+
+
+def _leaf(leaf: str) -> tuple[int, int]:
+    depth, code = leaf.split(".")
+    return int(depth), int(code)
+
+
+def leaf_of(key: str, leaves: list[str]) -> Column:
+    """The bucket of a key: of each depth that occurs, whether the hash's low bits are one of its buckets."""
+    depths: dict[int, list[int]] = {}
+    for depth, code in map(_leaf, leaves):
+        depths.setdefault(depth, []).append(code)
+    low = lambda depth: F.xxhash64(key).bitwiseAND(F.lit((1 << depth) - 1).cast("long"))
+    return F.coalesce(*(F.when(low(d).isin(codes), F.concat(F.lit(f"{d}."), low(d).cast("string"))) for d, codes in sorted(depths.items())))
+
+
+def split(leaf: str, sizes: dict[int, int], most: int, deeper: int) -> list[str]:
+    """The buckets that a bucket splits into. sizes: rows by the hash's low bits, `deeper` bits more than the bucket's."""
+    depth, code = _leaf(leaf)
+    out, todo = [], [(depth, code)]
+    while todo:
+        d, c = todo.pop()
+        own = sum(n for x, n in sizes.items() if x & ((1 << d) - 1) == c)
+        if own <= most or d == depth + deeper:
+            out.append(f"{d}.{c}")
+        else:
+            todo += [(d + 1, c), (d + 1, c + (1 << d))]
+    return out
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, most: int = MOST_ROWS, depth: int = DEPTH):
+        self.spark, self.root, self.most, self.depth = spark, root.rstrip("/"), most, depth
         self._schemas: dict[str, StructType] = {}
 
     def path(self, name: str) -> str:
@@ -77,35 +122,71 @@ class Store:
         finally:
             stream.close()
 
-    def current(self, name: str) -> dict:
-        """buckets: how many (0: not dealt); parts: the folders of each bucket, or of "all". Empty where the table was never written."""
-        for number in self._numbers(name):
+    def newest(self, name: str) -> tuple[int, dict]:
+        """The number of the list of the largest number that can be read, and the list: the folders (parts) and about as many rows as each bucket
+        has, or of "all". 0 and no folders where the table was never written; OSError where lists are there and none is whole."""
+        numbers = self._numbers(name)
+        for number in numbers:
             if found := self._list(name, number):
-                return found
-        return {"buckets": 0, "parts": {}}
+                return number, found
+        if numbers:
+            raise OSError(f"no list of {self.path(name)} can be read")
+        return 0, {"parts": {}, "rows": {}}
 
-    def _commit(self, name: str, content: dict) -> None:
-        """Make the next list; another writer's list of the same number is an error. What neither this list nor the one before
-        names is removed afterwards."""
-        numbers = self._numbers(name)
-        before = self.current(name)
-        p, fs = self._fs(f"{self.path(name)}/v{(numbers[0] if numbers else 0) + 1}.json")
-        stream = fs.create(p, False)
+    def current(self, name: str) -> dict:
+        return self.newest(name)[1]
+
+    def _create(self, name: str, number: int, content: dict) -> bool:
+        """Make a list; False where its number is taken."""
+        p, fs = self._fs(f"{self.path(name)}/v{number}.json")
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(p):
+                return False
+            raise
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
-        live = {part.split("/")[0] for x in (before, content) for own in x["parts"].values() for part in own}
+        return True
+
+    def _commit(self, name: str, base: int, change: Callable[[dict], dict]) -> None:
+        """Make the next list, as what change makes of the newest one: of that of number base, or of another writer's since, which change refuses
+        by Conflict where it can't be built on."""
+        while True:
+            number, known = self.newest(name)
+            content = change(known)
+            target = max([0, *self._numbers(name)[:1]]) + 1
+            if not self._create(name, target, content):
+                continue
+            # a list that another writer was making meanwhile is below this one: this one is made anew on top of it
+            late = [n for n in range(number + 1, target) if self._list(name, n)]
+            if not late:
+                break
+            if self._create(name, target + 1, change(self._list(name, late[-1]))):
+                break
+        if base or number:
+            self._clean(name)
+
+    def _clean(self, name: str) -> None:
+        """Remove lists that were replaced an hour ago or more, and folders of that age that no list names that stays."""
         folder, fs = self._fs(self.path(name))
+        now, times, parts = self.spark._jvm.java.lang.System.currentTimeMillis(), {}, {}
         for status in fs.listStatus(folder):
             own = status.getPath().getName()
-            if own.startswith("part-") and own not in live and not self._fresh(status):
+            if own.startswith("part-"):
+                parts[own] = status.getModificationTime()
+            elif own.startswith("v") and own[1:-5].isdigit():
+                times[int(own[1:-5])] = status.getModificationTime()
+        order = sorted(times)
+        gone = [a for a, b in zip(order, order[1:], strict=False) if now - times[b] >= KEEP_MS]
+        lists = [x for n in order if n not in gone and (x := self._list(name, n))]
+        live = {part.split("/")[0] for x in lists for own in x["parts"].values() for part in own}
+        for own, at in parts.items():
+            if own not in live and now - at >= KEEP_MS:
                 delete(self.spark, f"{self.path(name)}/{own}")
-        for number in numbers[1:]:
+        for number in gone:
             delete(self.spark, f"{self.path(name)}/v{number}.json")
 
-    def _fresh(self, status) -> bool:
-        """Whether a folder may be another writer's that isn't listed yet."""
-        return self.spark._jvm.java.lang.System.currentTimeMillis() - status.getModificationTime() < 3_600_000
-
     # tables
 
     def _schema(self, name: str) -> StructType:
@@ -125,53 +206,122 @@ class Store:
         """The table; empty where it was never written."""
         return self._load(name, [x for own in self.current(name)["parts"].values() for x in own])
 
-    def _bucket(self, key: str, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    def version(self, name: str) -> dict:
+        """What a later write compares with (base): the table as it is now."""
+        return self.current(name)
 
-    def _folder(self, name: str, df: DataFrame, buckets: int) -> dict[str, list[str]]:
-        """Write rows to a new folder; the parts that it adds. A bucket's rows are one task's."""
+    def _folder(self, name: str, rows: DataFrame, leaves: list[str] | None) -> dict[str, list[str]]:
+        """Write rows to a new folder; the parts that it adds. A bucket's rows are one task's, and at most about `most`."""
         folder = f"part-{uuid.uuid4().hex}"
-        rows = self._shaped(name, df)
-        if not buckets:
+        if leaves is None:
             rows.write.parquet(f"{self.path(name)}/{folder}")
             return {"all": [folder]}
-        rows.withColumn("_bucket", self._bucket(KEYS[name], buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path(name)}/{folder}")
+        rows.withColumn("_bucket", leaf_of(KEYS[name], leaves)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path(name)}/{folder}")
         p, fs = self._fs(f"{self.path(name)}/{folder}")
         own = [s.getPath().getName() for s in fs.listStatus(p)]
-        return {x.split("=")[1]: [f"{folder}/{x}"] for x in own if x.startswith("_bucket=")}
+        return {leaf: [] for leaf in leaves} | {x.split("=")[1]: [f"{folder}/{x}"] for x in own if x.startswith("_bucket=")}
+
+    def _first(self) -> list[str]:
+        return [f"{self.depth}.{code}" for code in range(1 << self.depth)]
+
+    def _counts(self, name: str, rows: DataFrame, leaves: list[str]) -> dict[str, int]:
+        return {r["b"]: r["count"] for r in rows.groupBy(leaf_of(KEYS[name], leaves).alias("b")).count().collect()}
+
+    def _deal(self, name: str, rows: DataFrame, leaves: list[str], sizes: dict[str, int]) -> tuple[list[str], dict[str, int]]:
+        """The buckets to write rows to: leaves (with at most sizes rows each), of which those with too many are split by what they really have; and
+        the rows of each."""
+        out, known = [x for x in leaves if sizes.get(x, 0) <= self.most], {}
+        large = [x for x in leaves if x not in out and _leaf(x)[0] < DEEPEST]
+        out += [x for x in leaves if x not in out and x not in large]
+        while large:
+            # a level that every large bucket's share can be told at
+            deeper = min(max((sizes[x] // self.most).bit_length() for x in large) + 2, STEP)
+            own = rows.withColumn("_b", leaf_of(KEYS[name], large)).where("_b is not null")
+            bits = F.substring_index("_b", ".", 1).cast("int") + deeper
+            code = F.xxhash64(KEYS[name]).bitwiseAND(F.expr("shiftleft(1L, _d)") - 1)
+            found: dict[str, dict[int, int]] = {x: {} for x in large}
+            for r in own.withColumn("_d", bits).groupBy("_b", code.alias("c")).count().collect():
+                found[r["_b"]][r["c"]] = r["count"]
+            again = []
+            for leaf, shares in found.items():
+                depth = _leaf(leaf)[0]
+                for child in split(leaf, shares, self.most, deeper):
+                    d, c = _leaf(child)
+                    known[child] = sum(n for x, n in shares.items() if x & ((1 << d) - 1) == c)
+                    # one that is too large at the last level may be one key, which no bits part
+                    more = known[child] > self.most and d == depth + deeper and d < DEEPEST and known[child] < sum(shares.values())
+                    (again if more else out).append(child)
+            large, sizes = again, sizes | known
+        return out, {x: known.get(x, sizes.get(x, 0)) for x in out}
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace the table."""
-        buckets = self.buckets if name in KEYS else 0
-        self._commit(name, {"buckets": buckets, "parts": self._folder(name, df, buckets)})
+        """Replace the table; Conflict where another writer changed it meanwhile."""
+        base, known = self.newest(name)
+        rows = self._shaped(name, df)
+        if name in KEYS:
+            rows = stash(rows, "to-write")
+            leaves, sizes = self._deal(name, rows, self._first(), self._counts(name, rows, self._first()))
+            content = {"parts": self._folder(name, rows, leaves), "rows": sizes}
+        else:
+            content = {"parts": self._folder(name, rows, None), "rows": {}}
+
+        def change(now: dict) -> dict:
+            if now["parts"] != known["parts"]:
+                raise Conflict(f"{name} was changed by another writer")
+            return content
+
+        self._commit(name, base, change)
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Add rows to a table without keys."""
-        known = self.current(name)
-        new = self._folder(name, df, 0)["all"]
-        folders = known["parts"].get("all", []) + new
-        if len(folders) > MOST_FOLDERS:
-            folders = self._folder(name, self._load(name, folders), 0)["all"]
-        self._commit(name, {"buckets": 0, "parts": {"all": folders}})
-
-    def touched(self, keys: DataFrame, buckets: int) -> set[str]:
-        """The buckets of a column of keys."""
-        return {str(r["b"]) for r in keys.select(self._bucket(keys.columns[0], buckets).alias("b")).distinct().collect()}
-
-    def replace(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Add rows to a table without keys, whoever else does."""
+        base, known = self.newest(name)
+        new = self._folder(name, self._shaped(name, df), None)["all"]
+        before = known["parts"].get("all", [])
+        whole = self._folder(name, self._load(name, before + new), None)["all"] if len(before) + len(new) > MOST_FOLDERS else None
+
+        def change(now: dict) -> dict:
+            own = now["parts"].get("all", [])
+            if whole and own[: len(before)] == before:
+                return {"parts": {"all": whole + own[len(before) :]}, "rows": {}}
+            return {"parts": {"all": own + new}, "rows": {}}
+
+        self._commit(name, base, change)
+
+    def replace(self, name: str, rows: DataFrame, gone: DataFrame | None = None, base: dict | None = None) -> None:
         """Put rows in the place of all rows of their keys; of those of the keys in gone (a column of that name) where it is given,
-        which then has all keys of rows. Only these keys' buckets are read and written."""
-        key, known = KEYS[name], self.current(name)
-        buckets = known["buckets"] or self.buckets
+        which then has all keys of rows. Only these keys' buckets are read and written. Where another writer changes one of them meanwhile, it is
+        done anew on top of that; with base, the version that rows were made from, Conflict is raised where one of them changed since."""
+        key = KEYS[name]
         rows = self._shaped(name, rows)
         keys = (rows if gone is None else gone).select(key).distinct()
-        touched = self.touched(keys, buckets)
-        if not touched:
-            return
-        old = [x for b, own in known["parts"].items() if b in touched for x in own]
-        rows = self._load(name, old).join(keys, key, "left_anti").unionByName(rows) if old else rows
-        new = self._folder(name, rows, buckets)
-        self._commit(name, {"buckets": buckets, "parts": {b: own for b, own in known["parts"].items() if b not in touched} | new})
+        for left in range(ATTEMPTS - 1, -1, -1):
+            number, known = self.newest(name)
+            leaves = list(known["parts"]) or self._first()
+            touched = sorted(self._counts(name, keys, leaves))
+            if not touched:
+                return
+            here = {x: known["parts"].get(x, []) for x in touched}
+            if base is not None and any(base["parts"].get(x, []) != own for x, own in here.items()):
+                raise Conflict(f"{name} was changed by another writer")
+            old = [x for own in here.values() for x in own]
+            sizes = self._counts(name, rows, leaves)
+            sizes = {x: sizes.get(x, 0) + known["rows"].get(x, 0) for x in touched}
+            merged = self._load(name, old).join(keys, key, "left_anti").unionByName(rows) if old else rows
+            own, sizes = self._deal(name, merged, touched, sizes)
+            new = self._folder(name, merged, own)
+            first = {} if known["parts"] else {x: [] for x in leaves}
+
+            def change(now: dict, here=here, new=new, sizes=sizes, first=first) -> dict:
+                if any(now["parts"].get(x, []) != parts for x, parts in here.items()) or (now["parts"] and any(x not in now["parts"] for x in here)):
+                    raise Conflict(f"{name} was changed by another writer")
+                kept = {x: parts for x, parts in (now["parts"] or first).items() if x not in here}
+                return {"parts": kept | new, "rows": {x: n for x, n in now["rows"].items() if x not in here} | sizes}
+
+            try:
+                return self._commit(name, number, change)
+            except Conflict:
+                if base is not None or not left:
+                    raise
 
     def remove(self, name: str, gone: DataFrame) -> None:
         """Drop the rows whose key is in gone."""
