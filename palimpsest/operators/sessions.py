@@ -35,6 +35,24 @@ def usage(records: DataFrame) -> DataFrame:
     return records.where("ty = 'assistant' and model is not null").groupBy("session_id", "model").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums))
 
 
+def merge_rollups(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The roll-ups of sessions (old: all or more of rollup()'s columns) and of the records that follow (new), as of all records together."""
+    both = new.alias("n").join(old.alias("o"), F.col("n.session_id") == F.col("o.session_id"), "full")
+    late = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
+    early = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
+    total = lambda c: (F.coalesce(F.col(f"n.{c}"), F.lit(0)) + F.coalesce(F.col(f"o.{c}"), F.lit(0))).alias(c)
+    return both.select(
+        late("session_id"), late("project_id"), F.least("n.started_at", "o.started_at").alias("started_at"), F.greatest("n.ended_at", "o.ended_at").alias("ended_at"), *map(total, ("user_count", "assistant_count", "message_count")),
+        *map(late, ("cwd", "git_branch", "ai_title")), early("first_prompt"),
+    )
+
+
+def merge_usage(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The token sums of old and new, as usage() gives them."""
+    sums = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+    return old.select(*new.columns).unionByName(new).groupBy("session_id", "model").agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def type_histogram(records: DataFrame, unknown: bool = False) -> DataFrame:
     """Records by type; with unknown, only types not in KNOWN_TYPES and '<missing>'."""
     missing = F.col("ty").isNull() | (F.col("ty") == "")

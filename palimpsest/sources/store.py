@@ -25,12 +25,13 @@ from palimpsest.operators import memory
 from palimpsest.plans.materialize import delete, exists, stash
 
 SCHEMAS = {
-    "files": "path string, modified timestamp, length long, sha string, project_id string, session_id string, is_sidechain boolean, parent_session string, agent_type string, description string",
-    "sessions": "session_id string, project_id string, started_at timestamp, ended_at timestamp, user_count long, assistant_count long, message_count long, cwd string, git_branch string, ai_title string, first_prompt string, is_sidechain boolean, parent_session string, content_hash string, summary string",
+    "files": "path string, modified timestamp, length long, sha string, project_id string, session_id string, is_sidechain boolean, parent_session string, agent_type string, description string, offset long, lines long, records long, open_bad boolean, tail string",
+    "sessions": "session_id string, project_id string, started_at timestamp, ended_at timestamp, user_count long, assistant_count long, message_count long, cwd string, git_branch string, ai_title string, first_prompt string, is_sidechain boolean, parent_session string, content_hash string, summary string, indexed long",
     "usage": "session_id string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long",
     "chunks": "chunk_id string, session_id string, project_id string, turn_index int, sub_index int, role string, kind string, text string, token_count int, redactions int, started_at timestamp, tool_name string, tool_input string",
     "vectors": "chunk_id string, session_id string, project_id string, started_at timestamp, embedding array<double>",
     "embedding_cache": "hash string, embedding array<double>",
+    "tool_lines": "session_id string, uuid string, path string, turn_index int, line_no long, at long, size long",
     "stats": "path string, total_lines long, bad_lines long",
     "topics": "topic_id string, label string, description string, members array<string>, sessions array<string>, projects array<string>, centroid array<double>, size int",
     "edges": "edge_id string, kind string, a string, b string, weight double",
@@ -43,7 +44,7 @@ SCHEMAS = {
 }
 #: The column by which a table is dealt to buckets; rows are replaced by its values.
 KEYS = {
-    "files": "path", "sessions": "session_id", "usage": "session_id", "chunks": "session_id", "vectors": "session_id", "stats": "path", "topics": "topic_id", "topic_names": "topic_id", "promotions": "project_id", "memories": "id", "summaries": "input_hash",
+    "files": "path", "sessions": "session_id", "usage": "session_id", "chunks": "session_id", "vectors": "session_id", "tool_lines": "session_id", "stats": "path", "topics": "topic_id", "topic_names": "topic_id", "promotions": "project_id", "memories": "id", "summaries": "input_hash",
 }
 #: Bits by which a new table's buckets are told apart, and rows beyond which a bucket splits.
 DEPTH, MOST_ROWS = 4, 250_000

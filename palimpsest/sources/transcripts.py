@@ -6,12 +6,12 @@ A project is a folder under the root; a session is a `.jsonl` file in it, or, fo
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from palimpsest.functions import text as tx
+from palimpsest.sources import lines as ln
 
 PREVIEW_CHARS = 300
 FILES = "path string, modified timestamp, length long, sha string, project_id string, session_id string, is_sidechain boolean, parent_session string, agent_type string, description string"
@@ -23,7 +23,7 @@ def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 def discover(spark: SparkSession, root: str, sha: bool = True) -> DataFrame:
     """The session files under root with their identity, project, and sidecars; without sha, only the sidecars are read, and it is
-    null. A root that isn't there: none."""
+    null. A root that isn't there: none. A sidecar that isn't UTF-8 or JSON counts as none."""
     from palimpsest.plans.materialize import exists
 
     if not exists(spark, root):
@@ -35,46 +35,42 @@ def discover(spark: SparkSession, root: str, sha: bool = True) -> DataFrame:
     rows = rows.where(~F.col("rel").rlike(r"^\.") & ((F.size(parts) == 2) | side))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")
     rows = rows.select(
-        "path", F.col("modificationTime").alias("modified"), "length", (F.sha2("content", 256) if sha else F.lit(None).cast("string")).alias("sha"), parts[0].alias("project_id"), side.alias("side"), F.regexp_replace("path", r"\.jsonl$", "").alias("key"),
+        "path", F.col("modificationTime").alias("modified"), "length", F.lit(None).cast("string").alias("sha"), parts[0].alias("project_id"), side.alias("side"), F.regexp_replace("path", r"\.jsonl$", "").alias("key"),
         F.when(side, F.regexp_replace(stem, "^agent-", "")).otherwise(stem).alias("session_id"), F.when(side, F.element_at(parts, -3)).alias("above"),
     )
-    meta = _files(spark, root, "*.meta.json").select(F.regexp_replace("path", r"\.meta\.json$", "").alias("key"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v")).where("v is not null")
+    meta = _files(spark, root, "*.meta.json").select(F.regexp_replace("path", r"\.meta\.json$", "").alias("key"), F.try_parse_json(ln.valid("content")).alias("v")).where("v is not null")
     meta = meta.select("key", F.try_variant_get("v", "$.agentType", "string").alias("agent_type"), F.try_variant_get("v", "$.description", "string").alias("description"), F.lit(True).alias("has_meta"))
     out = rows.join(meta, "key", "left").withColumn("is_sidechain", F.col("side") & F.coalesce("has_meta", F.lit(False)))
-    return out.select("path", "modified", "length", "sha", "project_id", "session_id", "is_sidechain", F.when(F.col("is_sidechain"), F.col("above")).alias("parent_session"), "agent_type", "description")
+    out = out.select("path", "modified", "length", "sha", "project_id", "session_id", "is_sidechain", F.when(F.col("is_sidechain"), F.col("above")).alias("parent_session"), "agent_type", "description")
+    return with_sha(spark, out) if sha else out
 
 
 def with_sha(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files with the SHA-256 of their content; null where it can't be read. Their paths go to the driver, as the list of
-    files of any read does."""
-    paths = [r["path"] for r in files.select("path").collect()]
-    if not paths:
-        return files
-    return files.drop("sha").join(_contents(spark, paths).select("path", F.sha2("content", 256).alias("sha")), "path", "left").select(*files.columns)
+    """files with the SHA-256 of their content; null where it can't be read."""
+    return files.drop("sha").join(ln.hashes(files), "path", "left").select(*files.columns)
 
 
-def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The files that can be read; those that went since they were listed, before or while Spark reads, are left out."""
-    from palimpsest.plans.materialize import exists
+def scan(files: DataFrame, size: int = ln.RANGE) -> DataFrame:
+    """lines.read() of files (path, length and, if only what follows is to be read, start)."""
+    files = files if "start" in files.columns else files.withColumn("start", F.lit(0))
+    return ln.read(ln.ranges(files, size).unionByName(ln.by_spark(files)))
+
 
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-    try:
-        return reader.load(paths)
-    except AnalysisException:
-        there = [p for p in paths if exists(spark, p)]
-        return reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+def parse(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, session_id, project_id, line_no, v, first, at, size, ended): each line that isn't empty of rows, which are a written table of scan(), and its
+    value, null where it isn't UTF-8 or can't be parsed. Of keys that a line repeats, the last counts. files: session_id and project_id,
+    and line0 where lines have been read before."""
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    line0 = F.coalesce("line0", F.lit(0)) if "line0" in files.columns else F.lit(0)
+    own = ln.numbered(rows).join(files.select("path", "session_id", "project_id", line0.alias("_line0")), "path")
+    return own.select("path", "session_id", "project_id", (F.col("line_no") + F.col("_line0")).alias("line_no"), F.try_parse_json(ln.valid()).alias("v"), "first", "at", F.octet_length("line").cast("long").alias("size"), "ended")
 
 
 def lines(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, session_id, project_id, line_no, v): each line that isn't empty and its value, null where it can't be parsed. Of
-    keys that a line repeats, the last counts."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    paths = [r["path"] for r in files.select("path").collect()]
-    if not paths:
-        return spark.createDataFrame([], "path string, session_id string, project_id string, line_no long, v variant")
-    texts = _contents(spark, paths).select("path", F.decode("content", "UTF-8").alias("text"))
-    rows = texts.join(files.select("path", "session_id", "project_id"), "path").select("path", "session_id", "project_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
-    return rows.select("path", "session_id", "project_id", F.col("line_no").cast("long").alias("line_no"), F.try_parse_json("line").alias("v"))
+    """parse() of whole files."""
+    from palimpsest.plans.materialize import stash
+
+    return parse(stash(scan(files), "scanned"), files)
 
 
 def _get(path: str, kind: str = "string", v: str = "v") -> Column:
@@ -92,7 +88,8 @@ def _item(x: Column, name: str) -> Column:
 
 
 def records(parsed: DataFrame) -> DataFrame:
-    """Parsed lines as records, in the order of their files: what chunking and roll-ups take."""
+    """Parsed lines as records, in the order of their files: what chunking and roll-ups take. Lines of ranges (first) are numbered by sums over
+    the ranges of their file; turn_index stays where it is known."""
     content = _get("message.content", "variant")
     kind = F.schema_of_variant(content)
     said = _string("message.content")
@@ -112,7 +109,14 @@ def records(parsed: DataFrame) -> DataFrame:
     listed = F.array_join(F.filter(F.transform(items, lambda x: _item(x, "text")), lambda s: s.isNotNull()), "\n")
     stamp = F.when(_string("timestamp").rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.try_to_timestamp(_string("timestamp")))
     tokens = {n: F.coalesce(_get(f"message.usage.{k}", "long"), F.lit(0)).alias(n) for n, k in (("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"), ("cache_read_tokens", "cache_read_input_tokens"), ("cache_creation_tokens", "cache_creation_input_tokens"))}
-    rows = parsed.where("v is not null").withColumn("turn_index", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1)
+    rows = parsed.where("v is not null")
+    if "first" in parsed.columns and "turn_index" not in parsed.columns:
+        counts = rows.groupBy("path", "first").agg(F.count("*").alias("_n"))
+        before = counts.select("path", "first", (F.sum("_n").over(Window.partitionBy("path").orderBy("first")) - F.col("_n")).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("path", "first").orderBy("line_no")) - 1
+        rows = rows.withColumn("_place", place).join(before, ["path", "first"]).withColumn("turn_index", (F.col("_before") + F.col("_place")).cast("int"))
+    elif "turn_index" not in parsed.columns:
+        rows = rows.withColumn("turn_index", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1)
     return rows.select(
         "path", "session_id", "project_id", "line_no", "turn_index", F.coalesce(_string("type"), F.lit("")).alias("ty"), F.coalesce(_string("uuid"), F.lit("")).alias("uuid"), _string("parentUuid").alias("parent_uuid"), stamp.alias("timestamp"),
         _string("message.role").alias("role"), _string("message.model").alias("model"), blocks.alias("blocks"), _string("attachment.type").alias("attachment_kind"), _string("attachment.result").alias("attachment_text"),

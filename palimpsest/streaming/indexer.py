@@ -1,8 +1,9 @@
-"""Incremental indexing: new and grown files are found by their identity and indexed anew, file by file in effect.
+"""Incremental indexing: new files are indexed whole, grown ones from where they ended, file by file in effect.
 
 Spark's file source takes a path once, and transcripts grow in place; so a run compares a listing with the manifest
-of what was indexed: by time and length first, and by content where these differ. Files that are gone stay indexed unless they
-are collected. follow() does so at every tick of a stream; for folders of files that never change once written, watch() does
+of what was indexed: by time and length first. A longer file whose bytes before the old end are the same is read from there on, with the
+numbers of lines and records carried in the manifest; others are compared by content, and indexed whole where it differs. Files that are
+gone stay indexed unless they are collected. follow() does so at every tick of a stream; for folders of files that never change once written, watch() does
 it from a stream's micro-batches.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids
@@ -21,6 +22,7 @@ from palimpsest.functions.tokens import Bpe
 from palimpsest.operators import cache, chunking
 from palimpsest.operators import sessions as se
 from palimpsest.plans.materialize import Stash, stash
+from palimpsest.sources import lines as ln
 from palimpsest.sources import transcripts
 from palimpsest.sources.store import Store
 
@@ -58,77 +60,161 @@ def check_dimension(vectors: DataFrame, known: int | None) -> None:
         raise ValueError(f"vectors of {sizes} components, but {known or 'one number'} expected")
 
 
-NOTHING = {"files": 0, "chunks": 0, "hits": 0, "misses": 0}
+NOTHING = {"files": 0, "chunks": 0, "hits": 0, "misses": 0, "bytes": 0}
+_STATE = ("offset", "lines", "records", "open_bad", "tail")
+
+
+def grown(listing: DataFrame, known: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Files of a listing that have only grown since the manifest: longer, the bytes before the old end the same, the line there whole, and the
+    session's rows those of that end. With start, line0, turn0 and was_bad, which index() goes on from, and the old sha."""
+    old = known.select("path", F.col("sha").alias("_sha"), F.col("offset").alias("start"), F.col("lines").alias("line0"), F.col("records").alias("turn0"), F.col("open_bad").alias("was_bad"), "tail")
+    rows = listing.join(old, "path").where("start > 0 and length > start").join(sessions.select("session_id", F.col("indexed").alias("start")), ["session_id", "start"], "left_semi")
+    rows = stash(rows, "longer")
+    found = ln.tails(rows, "start").withColumnRenamed("tail", "now")
+    rows = rows.join(found, "path").where((F.col("tail") == F.col("now")) & (F.col("ended") | F.coalesce(F.col("next") == F.lit(b"\n"), F.lit(False))))
+    return rows.withColumn("sha", F.col("_sha")).select(*listing.columns, "start", "line0", "turn0", "was_bad")
+
+
+def state(files: DataFrame, scanned: DataFrame, parsed: DataFrame) -> DataFrame:
+    """files with what a later run goes on from: the offset up to which lines count, newlines and records before it, and whether a line that nothing
+    ended was bad, which then is read again. sha of a grown file: of the old one and of what was appended."""
+    read = scanned.where("lines is not null").groupBy("path").agg(F.sum("lines").alias("_lines"), F.sum("bytes").alias("_bytes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "sha"))), lambda x: x["sha"]), ",").alias("_shas"))
+    rest = parsed.where("not ended and v is null").select("path", "size")
+    good = parsed.groupBy("path").agg(F.count_if(F.col("v").isNotNull()).alias("_records"))
+    out = files.join(read, "path", "left").join(rest, "path", "left").join(good, "path", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    out = out.select(
+        *[c for c in files.columns if c not in ("sha", *_STATE)], F.when(F.col("start") > 0, F.sha2(F.concat_ws(",", "sha", "_shas"), 256)).otherwise(F.col("sha")).alias("sha"),
+        (n("start") + n("_bytes") - n("size")).alias("offset"), (n("line0") + n("_lines")).alias("lines"), (n("turn0") + n("_records")).cast("long").alias("records"), F.col("size").isNotNull().alias("open_bad"),
+    )
+    out = stash(out, "read")
+    return out.join(ln.tails(out, "offset").select("path", "tail"), "path", "left")
+
+
+def tool_lines(records: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Where the lines of tool calls and of their results are, by the call's message."""
+    call = (F.col("ty") == "assistant") & F.exists("blocks", lambda b: b["kind"] == "tool_use")
+    result = (F.col("ty") == "attachment") & (F.col("attachment_kind") == "tool-result")
+    rows = records.where(call | result).select("session_id", F.when(call, F.col("uuid")).otherwise(F.col("parent_uuid")).alias("uuid"), "path", "turn_index", "line_no")
+    return rows.join(parsed.select("path", "line_no", "at", "size"), ["path", "line_no"])
+
+
+def with_late_results(store: Store, files: DataFrame, new: DataFrame, lines: DataFrame) -> DataFrame:
+    """Records to chunk: the new ones, and those of earlier calls of which a result has come now, with their results, read again."""
+    tools = lines.join(files.where("start > 0").select("session_id"), "session_id", "left_semi")
+    again = store.read("tool_lines").join(tools.select("session_id", "uuid").distinct(), ["session_id", "uuid"], "left_semi")
+    again = stash(again.join(files.select("path", "project_id"), "path"), "read-again")
+    if again.isEmpty():
+        return new
+    parts = again.select("path", F.col("at").alias("start"), F.col("at").alias("first"), (F.col("at") + 1).alias("last"), (F.col("at") + F.col("size")).alias("length"), F.lit(None).cast("binary").alias("content"))
+    found = ln.read(parts).where("line is not null").select("path", "at", F.try_parse_json(ln.valid()).alias("v"))
+    old = again.select("path", "session_id", "project_id", "line_no", "turn_index", "at").join(found, ["path", "at"])
+    return new.unionByName(transcripts.records(old).select(*new.columns))
 
 
 def index(store: Store, files: DataFrame, embed: Embed = hashed_bag, tokens: Bpe | None = None) -> dict[str, int]:
     """Parse, roll up, chunk, embed what the cache lacks, and put the sessions' rows in the place of their old ones; a saved summary
-    stays. Counts of files, chunks, cache hits and misses. Running it again on the same files changes nothing. The manifest is written
-    last, so that files of a run that was cut short are indexed again."""
+    stays. Of files with a start (as grown() gives them) only what follows is read, and its rows are added to their sessions'. Counts of files,
+    chunks made, cache hits and misses, bytes of lines read, and files that can't be read (failed), which wait for the next run. Running it again on
+    the same files changes nothing. The manifest is written last, so that files of a run that was cut short are indexed again, and whole."""
     spark = store.spark
+    for name, kind in (("start", "long"), ("line0", "long"), ("turn0", "long"), ("was_bad", "boolean")):
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(None).cast(kind))
     files = stash(files, "files")
+    if files.isEmpty():
+        return dict(NOTHING)
+    scanned = Stash(transcripts.scan(files), "scanned")
+    bad = stash(scanned.df.where("error is not null").select("path").distinct(), "unreadable")
+    failed = bad.count()
+    if failed:
+        files = stash(files.join(bad, "path", "left_anti"), "files")
     n = files.count()
     if not n:
-        return dict(NOTHING)
-    parsed = Stash(transcripts.lines(spark, files).withColumn("j", F.to_json("v")).drop("v"), "lines")
+        return NOTHING | {"failed": failed}
+    parsed = Stash(transcripts.parse(scanned.df, files).withColumn("j", F.to_json("v")).drop("v"), "lines")
     lines = parsed.df.withColumn("v", F.try_parse_json("j"))
-    records = Stash(transcripts.records(lines), "records").df
+    now = stash(state(files, scanned.df, lines), "files-now")
+    records = transcripts.records(lines).join(files.select("path", "turn0"), "path").withColumn("turn_index", (F.col("turn_index") + F.coalesce("turn0", F.lit(0))).cast("int")).drop("turn0")
+    records = Stash(records, "records").df
+    tools = stash(tool_lines(records, lines), "tool-lines")
+    own, more = files.select("session_id").distinct(), files.where("start > 0").select("session_id")
+    grew = not more.isEmpty()
+    base = {name: store.version(name) for name in ("sessions", "usage", "chunks", "vectors", "tool_lines", "stats")} if grew else {}
+    old = lambda name: store.read(name).join(more, "session_id", "left_semi")
     rolled = se.rollup(records)
-    kept = store.read("sessions").select("session_id", "summary")
-    side = files.select("session_id", "sha", "is_sidechain", "parent_session")
-    sessions = side.join(rolled, "session_id").join(kept, "session_id", "left").withColumn("content_hash", ids.session_hash(F.col("sha"), F.col("message_count")))
-    chunks = Stash(chunking.chunk(records, tokens), "chunks").df
+    side = now.select("session_id", "project_id", "sha", "is_sidechain", "parent_session", F.col("offset").alias("indexed"))
+    side = side.join(store.read("sessions").select("session_id", "summary"), "session_id", "left")
+    if grew:
+        rolled = se.merge_rollups(old("sessions"), rolled)
+    sessions = side.drop("project_id").join(rolled, "session_id").withColumn("content_hash", ids.session_hash(F.col("sha"), F.col("message_count")))
+    chunks = Stash(chunking.chunk(with_late_results(store, files, records, tools) if grew else records, tokens), "chunks").df
     looked = Stash(cache.cached(chunks, store.read("embedding_cache")), "looked-up").df
     fresh = stash(embed(cache.misses(looked)), "embedded")
     check_dimension(fresh, store.dimension())
     counts = looked.agg(F.count("*").alias("n"), F.count_if("hit").alias("h")).first()
     vectors = looked.drop("embedding").join(store.read("embedding_cache").unionByName(fresh), "hash").select("chunk_id", "session_id", "project_id", "started_at", vx.normalise(F.col("embedding")).alias("embedding"))
     vectors = stash(vectors, "vectors")
-    own = files.select("session_id").distinct()
     usage = se.usage(records)
     stats = transcripts.parse_stats(lines)
+    if grew:
+        usage = se.merge_usage(old("usage"), usage)
+        # a line that nothing ended and was bad has been read again
+        again = files.where("was_bad").select("path", F.lit(-1).cast("long").alias("total_lines"), F.lit(-1).cast("long").alias("bad_lines"))
+        before = store.read("stats").join(files.where("start > 0").select("path"), "path", "left_semi")
+        stats = stats.unionByName(again).unionByName(before.select(*stats.columns)).groupBy("path").agg(F.sum("total_lines").alias("total_lines"), F.sum("bad_lines").alias("bad_lines"))
+        added = chunks
+        chunks = stash(cache.merge(old("chunks"), added, ["chunk_id"]), "chunks-now")
+        vectors = stash(cache.merge(old("vectors"), vectors, ["chunk_id"]), "vectors-now")
+        tools = stash(cache.merge(old("tool_lines").select(*tools.columns), tools, ["session_id", "line_no"]), "tool-lines-now")
     if counts["n"] > counts["h"]:
         store.append("embedding_cache", fresh)
-    # the rows of these sessions go as a whole, and stale chunks with them
-    for name, rows in (("sessions", stash(sessions, "sessions")), ("usage", usage), ("chunks", chunks), ("vectors", vectors)):
-        store.replace(name, rows, own)
-    store.replace("stats", stats)
-    store.replace("files", files)
+    # the rows of these sessions go as a whole, and stale chunks with them; sessions come first, as they say up to where rows are
+    for name, rows in (("sessions", stash(sessions, "sessions")), ("usage", stash(usage, "usage")), ("chunks", chunks), ("vectors", vectors), ("tool_lines", tools)):
+        store.replace(name, rows, own, base.get(name))
+    store.replace("stats", stash(stats, "stats"), base=base.get("stats"))
+    store.replace("files", now)
+    read = scanned.df.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
     parsed.drop()
-    return {"files": n, "chunks": counts["n"], "hits": counts["h"], "misses": counts["n"] - counts["h"]}
+    scanned.drop()
+    return {"files": n, "chunks": counts["n"], "hits": counts["h"], "misses": counts["n"] - counts["h"], "bytes": read} | ({"failed": failed} if failed else {})
 
 
 def refresh(store: Store, root: str, embed: Embed = hashed_bag, collect_gone: bool = False, progress: Callable[[int, int], None] | None = None, step: int = 25, settle: float = 0.0, tokens: Bpe | None = None) -> dict[str, int]:
-    """One pass over a folder: index what changed since the last. Only files of another time or length than the manifest's are read.
-    Files that can't be read are counted as failed and tried again next time; the others go on. progress: called with the files done and
-    their number after every `step` of them; without it all go in one run. settle: files changed in the last so many seconds wait."""
+    """One pass over a folder: index what changed since the last. Only files of another time or length than the manifest's are read, grown ones from where
+    they ended. Files that can't be read are counted as failed and tried again next time; the others go on. progress: called with the files
+    done and their number after about every `step` of them; without it all go in one run. settle: files changed in the last so many seconds wait."""
     listing = transcripts.discover(store.spark, root, sha=False)
     if settle:
         listing = listing.where(F.col("modified") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(settle))))
     listing = stash(listing, "listing")
     known = store.read("files")
-    looked = stash(transcripts.with_sha(store.spark, touched(listing, known)), "looked-at")
+    new = stash(touched(listing, known), "touched")
+    longer = stash(grown(new, known, store.read("sessions")), "grown")
+    looked = stash(transcripts.with_sha(store.spark, new.join(longer.select("path"), "path", "left_anti")), "looked-at")
     read = looked.where("sha is not null")
-    todo = stash(changed(read, known), "changed")
+    todo = stash(changed(read, known).unionByName(longer, allowMissingColumns=True), "changed")
     total, out = todo.count(), dict(NOTHING)
     parts = -(-total // step) if progress else 1
-    if progress:
-        todo = todo.withColumn("_n", F.row_number().over(Window.orderBy("path")) - 1)  # a list of file names
+    deal = F.pmod(F.xxhash64("path"), F.lit(max(parts, 1)))
+    done = 0
     for k in range(parts):
-        own = todo.where(F.floor(F.col("_n") / step) == k).drop("_n") if progress else todo
-        for name, n in index(store, own, embed, tokens).items():
-            out[name] += n
-        if progress:
-            progress(min((k + 1) * step, total), total)
+        got = index(store, todo.where(deal == k) if progress else todo, embed, tokens)
+        for name, n in got.items():
+            out[name] = out.get(name, 0) + n
+        done += got["files"] + got.get("failed", 0)
+        if progress and (got["files"] or k == parts - 1):
+            progress(done, total)
     # others are as they were, at another time
     moved = read.join(todo.select("path"), "path", "left_anti")
     if not moved.isEmpty():
-        store.replace("files", moved)
+        moved = moved.drop("modified").join(known.select("path", *_STATE), "path", "left").join(read.select("path", "modified"), "path")
+        store.replace("files", stash(moved, "moved"))
     if failed := looked.where("sha is null").count():
-        out["failed"] = failed
+        out["failed"] = out.get("failed", 0) + failed
     if collect_gone:
         lost = stash(gone(listing, store.read("files")).select("path", "session_id"), "gone")
-        for name in ("sessions", "usage", "chunks", "vectors", "files", "stats"):
+        for name in ("sessions", "usage", "chunks", "vectors", "tool_lines", "files", "stats"):
             store.remove(name, lost)
     return out
 
