@@ -226,7 +226,9 @@ class Store:
         return [f"{self.depth}.{code}" for code in range(1 << self.depth)]
 
     def _counts(self, name: str, rows: DataFrame, leaves: list[str]) -> dict[str, int]:
-        return {r["b"]: r["count"] for r in rows.groupBy(leaf_of(KEYS[name], leaves).alias("b")).count().collect()}
+        """Rows of each bucket that has any; sums of _n where there is one."""
+        n = F.sum("_n") if "_n" in rows.columns else F.count("*")
+        return {r["b"]: r["n"] for r in rows.groupBy(leaf_of(KEYS[name], leaves).alias("b")).agg(n.alias("n")).collect()}
 
     def _deal(self, name: str, rows: DataFrame, leaves: list[str], sizes: dict[str, int]) -> tuple[list[str], dict[str, int]]:
         """The buckets to write rows to: leaves (with at most sizes rows each), of which those with too many are split by what they really have; and
@@ -298,15 +300,16 @@ class Store:
         for left in range(ATTEMPTS - 1, -1, -1):
             number, known = self.newest(name)
             leaves = list(known["parts"]) or self._first()
-            touched = sorted(self._counts(name, keys, leaves))
+            # rows of each bucket that a key is in, in one pass
+            sizes = self._counts(name, keys.withColumn("_n", F.lit(0)).unionByName(rows.select(key).withColumn("_n", F.lit(1))), leaves)
+            touched = sorted(sizes)
             if not touched:
                 return
             here = {x: known["parts"].get(x, []) for x in touched}
             if base is not None and any(base["parts"].get(x, []) != own for x, own in here.items()):
                 raise Conflict(f"{name} was changed by another writer")
             old = [x for own in here.values() for x in own]
-            sizes = self._counts(name, rows, leaves)
-            sizes = {x: sizes.get(x, 0) + known["rows"].get(x, 0) for x in touched}
+            sizes = {x: n + known["rows"].get(x, 0) for x, n in sizes.items()}
             merged = self._load(name, old).join(keys, key, "left_anti").unionByName(rows) if old else rows
             own, sizes = self._deal(name, merged, touched, sizes)
             new = self._folder(name, merged, own)

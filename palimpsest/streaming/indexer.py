@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,16 +164,17 @@ def index(store: Store, files: DataFrame, embed: Embed = hashed_bag, tokens: Bpe
         again = files.where("was_bad").select("path", F.lit(-1).cast("long").alias("total_lines"), F.lit(-1).cast("long").alias("bad_lines"))
         before = store.read("stats").join(files.where("start > 0").select("path"), "path", "left_semi")
         stats = stats.unionByName(again).unionByName(before.select(*stats.columns)).groupBy("path").agg(F.sum("total_lines").alias("total_lines"), F.sum("bad_lines").alias("bad_lines"))
-        added = chunks
-        chunks = stash(cache.merge(old("chunks"), added, ["chunk_id"]), "chunks-now")
-        vectors = stash(cache.merge(old("vectors"), vectors, ["chunk_id"]), "vectors-now")
-        tools = stash(cache.merge(old("tool_lines").select(*tools.columns), tools, ["session_id", "line_no"]), "tool-lines-now")
+        chunks = cache.merge(old("chunks"), chunks, ["chunk_id"])
+        vectors = cache.merge(old("vectors"), vectors, ["chunk_id"])
+        tools = cache.merge(old("tool_lines").select(*tools.columns), tools, ["session_id", "line_no"])
     if counts["n"] > counts["h"]:
         store.append("embedding_cache", fresh)
     # the rows of these sessions go as a whole, and stale chunks with them; sessions come first, as they say up to where rows are
-    for name, rows in (("sessions", stash(sessions, "sessions")), ("usage", stash(usage, "usage")), ("chunks", chunks), ("vectors", vectors), ("tool_lines", tools)):
-        store.replace(name, rows, own, base.get(name))
-    store.replace("stats", stash(stats, "stats"), base=base.get("stats"))
+    put = lambda name, rows, own=own: store.replace(name, stash(rows, f"{name}-now"), own, base.get(name))
+    put("sessions", sessions)
+    with ThreadPoolExecutor(5) as pool:  # Spark runs them side by side
+        for done in [pool.submit(put, *x) for x in (("usage", usage), ("chunks", chunks), ("vectors", vectors), ("tool_lines", tools), ("stats", stats, None))]:
+            done.result()
     store.replace("files", now)
     read = scanned.df.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
     parsed.drop()
