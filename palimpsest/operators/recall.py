@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
+from palimpsest.operators import cluster
+from palimpsest.plans.materialize import stash
 
 FLOOR, PER_SESSION = 0.18, 2
 
@@ -22,21 +25,67 @@ def search(vectors: DataFrame, query, limit: int = 10, project: str | None = Non
     return vectors.withColumn("score", vx.dot(vx.normalise(F.col("embedding")), q)).orderBy(F.desc("score"), id_col).limit(limit)
 
 
+def search_many(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id_col, score, n) of the `limit` rows of vectors nearest to each of queries (query_id, embedding), as search() for each of them; n is
+    the place, from 1. Blocks of queries meet blocks of vectors, and a pair of blocks gives `limit` rows for each query."""
+    shaped = lambda df, key: df.select(F.lit(0).alias("g"), F.col(key).alias("i"), vx.normalise(F.col("embedding")).alias("v"))
+    xs, ys = stash(cluster.in_blocks(shaped(queries, "query_id"), "g", "xs"), "blocks"), stash(cluster.in_blocks(shaped(vectors, id_col), "g", "ys"), "blocks")
+    every = lambda df, n: df.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).alias(n)).distinct()
+    one = xs.join(every(ys, "y"), "g").select(F.col("_b").alias("x"), "y", "xs")
+    two = ys.join(every(xs, "x"), "g").select("x", F.col("_b").alias("y"), "ys")
+    schema = pa.schema([("query_id", cluster._arrow(queries, "query_id")), (id_col, cluster._arrow(vectors, id_col)), ("score", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (i, a, _), (j, b, _) = cluster._side(batch.column("xs"), k), cluster._side(batch.column("ys"), k)
+                score = a @ b.T
+                # all that reach the last place, so that ties are told by id
+                least = np.partition(score, -limit, axis=1)[:, -limit] if limit < len(j) else score.min(1)
+                p, q = np.nonzero(score >= least[:, None])
+                yield cluster._batch(schema, i[p].tolist(), j[q].tolist(), score[p, q].tolist())
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString())
+    found = one.join(two, ["x", "y"]).select("xs", "ys").mapInArrow(run, f"query_id {kinds[0]}, {id_col} {kinds[1]}, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
+    return found.withColumn("n", place).where(F.col("n") <= limit)
+
+
+def pick(pools: DataFrame, limit: int, weight: float, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id_col, rank, score): maximal marginal relevance within each query's pool (query_id, id_col, embedding, score, n). Each pick weighs its
+    score against its largest similarity to earlier picks; ties go to smaller n. Pools are bounded, and each is a group's work."""
+    kinds = (pools.schema["query_id"].dataType.simpleString(), pools.schema[id_col].dataType.simpleString())
+    schema = pa.schema([("query_id", cluster._arrow(pools, "query_id")), (id_col, cluster._arrow(pools, id_col)), ("rank", pa.int32()), ("score", pa.float64())])
+
+    def greedy(pool: pa.Table) -> pa.Table:
+        pool = pool.sort_by("n")
+        x = np.array(pool.column("embedding").to_pylist(), float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        alike, score, picks = x @ x.T, pool.column("score").to_numpy(), []
+        nearest, left = np.zeros(len(x)), np.ones(len(x), dtype=bool)
+        while left.any() and len(picks) < limit:
+            value = np.where(left, weight * score - (1 - weight) * nearest, -np.inf)
+            best = int(value.argmax())
+            nearest = np.maximum(nearest, alike[best]) if picks else alike[best].copy()
+            left[best] = False
+            picks.append(best)
+        ids = pool.column(id_col).take(pa.array(picks, pa.int64()))
+        return pa.Table.from_arrays([pool.column("query_id").slice(0, len(picks)), ids, pa.array(range(1, len(picks) + 1), pa.int32()), pa.array(score[picks])], schema=schema)
+
+    return pools.groupBy("query_id").applyInArrow(greedy, f"query_id {kinds[0]}, {id_col} {kinds[1]}, rank int, score double")
+
+
+def mmr_many(vectors: DataFrame, queries: DataFrame, limit: int, weight: float = 0.6, overfetch: int = 50, id_col: str = "chunk_id") -> DataFrame:
+    """pick() over the nearest max(overfetch, limit) of each of queries (query_id, embedding)."""
+    pools = search_many(vectors, queries, max(overfetch, limit), id_col)
+    return pick(pools.join(vectors.select(id_col, "embedding"), id_col), limit, weight, id_col)
+
+
 def mmr(vectors: DataFrame, query, limit: int, weight: float = 0.6, overfetch: int = 50, project: str | None = None, id_col: str = "chunk_id") -> DataFrame:
-    """Maximal marginal relevance over the nearest max(overfetch, limit): each pick weighs its score against its largest
-    similarity to earlier picks. The pool is bounded, so the picks are made on the driver."""
-    spark = vectors.sparkSession
-    pool = search(vectors, query, max(overfetch, limit), project, id_col).select(id_col, "embedding", "score").collect()
-    if not pool:
-        return vectors.select(id_col).limit(0).withColumns({"rank": F.lit(0), "score": F.lit(0.0)})
-    x = np.array([r["embedding"] for r in pool], float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    alike, score, left, picks = x @ x.T, np.array([r["score"] for r in pool]), list(range(len(pool))), []
-    while left and len(picks) < limit:
-        value = [weight * score[k] - (1 - weight) * (alike[k, picks].max() if picks else 0.0) for k in left]
-        picks.append(left.pop(int(np.argmax(value))))
-    rows = [(pool[k][id_col], n + 1, float(score[k])) for n, k in enumerate(picks)]
-    return spark.createDataFrame(rows, f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, rank int, score double")
+    """(id_col, rank, score): pick() over the nearest max(overfetch, limit) of one query."""
+    pool = search(vectors, query, max(overfetch, limit), project, id_col).select(F.lit(0).alias("query_id"), id_col, "embedding", "score")
+    pool = pool.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
+    return pick(pool, limit, weight, id_col).drop("query_id")
 
 
 def hybrid(hits: DataFrame, query: str) -> DataFrame:

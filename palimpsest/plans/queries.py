@@ -16,7 +16,8 @@ from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.operators import cache, chunking, cluster, graph, memory, recall
 from palimpsest.operators import sessions as se
-from palimpsest.sources import transcripts
+from palimpsest.plans.materialize import shared_path, stash
+from palimpsest.sources import lines, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,11 +101,41 @@ def topk_cosine_project(spark, sf):
     return recall.search(vectors(spark, sf), query_vector(spark, sf), 10, "3").select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _mmr_sql(queries: str) -> str:
+    """Maximal marginal relevance of each query, a pick at a time."""
+    return f"""
+WITH RECURSIVE unit AS (SELECT vec_id, {_UNIT.format('embedding')} AS v FROM embeddings),
+pool AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.v, list_dot_product(q.v, e.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, e.v) DESC, e.vec_id) AS n
+  FROM unit q, unit e WHERE {queries} QUALIFY n <= 50
+), alike AS (
+  SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, list_dot_product(a.v, b.v) AS s FROM pool a JOIN pool b ON a.query_id = b.query_id
+), picks AS (
+  SELECT DISTINCT query_id, 0 AS rank, []::BIGINT[] AS chosen FROM pool
+  UNION ALL
+  SELECT query_id, rank + 1, list_append(chosen, arg_max(chunk_id, (value, -n))) FROM (
+    SELECT p.query_id, p.rank, p.chosen, c.chunk_id, c.n, 0.6::DOUBLE * c.score - 0.4::DOUBLE * coalesce(max(a.s), 0) AS value
+    FROM picks p JOIN pool c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.chunk_id)
+    LEFT JOIN alike a ON a.query_id = p.query_id AND a.x = c.chunk_id AND list_contains(p.chosen, a.y)
+    WHERE p.rank < 10 GROUP BY p.query_id, p.rank, p.chosen, c.chunk_id, c.n, c.score
+  ) GROUP BY query_id, rank, chosen
+), last AS (SELECT query_id, chosen FROM picks WHERE rank = 10), each AS (SELECT query_id, unnest(chosen) AS chunk_id, generate_subscripts(chosen, 1)::INTEGER AS rank FROM last)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM each JOIN pool USING (query_id, chunk_id)"""
+
+
+@query(f"SELECT chunk_id, rank, score FROM ({_mmr_sql('q.vec_id = 7')})")
 def mmr_rerank(spark, sf):
     return recall.mmr(vectors(spark, sf), query_vector(spark, sf), 10, 0.6, 50).select("chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(_mmr_sql("q.vec_id % 100 = 0"))
+def mmr_many(spark, sf):
+    """For the vectors whose id is divisible by 100, against all."""
+    every = vectors(spark, sf)
+    queries = every.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return recall.mmr_many(every, queries, 10, 0.6, 50).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 _LEX = "least(1.0, list_sum(list_transform(k.keys, lambda x: CASE WHEN contains(lower(title), x) THEN 1.0::DOUBLE WHEN contains(lower(text), x) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END)) / len(k.keys))"
 _PENALTY = (
     "least(0.7::DOUBLE, CASE WHEN contains(lower(text), 'initial greeting') OR contains(lower(text), 'session setup') OR contains(lower(text), 'greeting and initial') THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END + "
@@ -715,3 +746,31 @@ def upsert_rows(spark, sf):
 def glob_matches(spark, sf):
     bare = F.regexp_replace("url", "^https?://", "")
     return t(spark, sf, "pages").select("page_id", tx.glob_match(F.array(bare), ["**/example.{com,org}/*.html", "[0-9]??*", "[bad"]).alias("fits"))
+
+
+# lines by bytes
+
+_CLEAN = r"regexp_replace(text, '[\x00-\x1f\x7f\x22\x5c]', '', 'g')"
+_LINE = f"""CASE (conv_id + turn) % 10 WHEN 0 THEN '123456789' WHEN 1 THEN '{{"turn":' || turn WHEN 2 THEN '' ELSE '{{"turn":' || turn || ',"text":"' || {_CLEAN} || '"}}' END"""
+
+
+@query(f"""
+SELECT role, (count(*) FILTER ((conv_id + turn) % 10 <> 2))::BIGINT AS total_lines, (count(*) FILTER ((conv_id + turn) % 10 < 2))::BIGINT AS bad_lines, (count(*) FILTER ((conv_id + turn) % 10 = 0))::BIGINT AS not_utf8,
+  count(*)::BIGINT AS newlines, sum(strlen({_LINE}) + 1)::BIGINT AS bytes, (count(*) FILTER ((conv_id + turn) % 10 <> 2))::BIGINT AS numbers, coalesce(sum(turn) FILTER ((conv_id + turn) % 10 > 2), 0)::BIGINT AS turns
+FROM conversations GROUP BY role""")
+def line_scan(spark, sf):
+    """All conversations written as lines of JSON, of which some hold a byte that isn't UTF-8, are cut or are blank, and read by bytes in ranges of 64 KB."""
+    c = t(spark, sf, "conversations")
+    kind = (F.col("conv_id") + F.col("turn")) % 10
+    turn = F.concat(F.lit('{"turn":'), F.col("turn").cast("string"))
+    good = F.concat(turn, F.lit(',"text":"'), F.regexp_replace("text", r"[\x00-\x1f\x7f\x22\x5c]", ""), F.lit('"}'))
+    bad = F.concat(F.lit('{"x":"'), F.unhex(F.lit("FF")).cast("string"), F.lit('"}'))
+    path = shared_path(spark, "line-scan")
+    c.select("role", F.when(kind == 0, bad).when(kind == 1, turn).when(kind == 2, "").otherwise(good).alias("value")).write.partitionBy("role").text(path)
+    files = transcripts.listed(spark, path, "*.txt").select("path", "length", F.regexp_extract("path", "role=([^/]*)/", 1).alias("project_id"), F.lit("").alias("session_id"))
+    scanned = stash(transcripts.scan(files, 1 << 16), "scanned")
+    parsed = transcripts.parse(scanned, files)
+    counts = parsed.groupBy(F.col("project_id").alias("role")).agg(F.count("*").alias("total_lines"), F.count_if(F.col("v").isNull()).alias("bad_lines"), F.countDistinct("path", "line_no").alias("numbers"), F.coalesce(F.sum(F.try_variant_get("v", "$.turn", "long").cast("long") * (F.try_variant_get("v", "$.text", "string").isNotNull()).cast("long")), F.lit(0)).alias("turns"))
+    role = F.regexp_extract("path", "role=([^/]*)/", 1).alias("role")
+    read = scanned.groupBy(role).agg(F.count_if(F.col("line").isNotNull() & lines.valid().isNull()).alias("not_utf8"), F.sum("lines").alias("newlines"), F.sum("bytes").alias("bytes"))
+    return counts.join(read, "role").select("role", "total_lines", "bad_lines", "not_utf8", "newlines", "bytes", "numbers", "turns")

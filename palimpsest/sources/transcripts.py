@@ -17,7 +17,8 @@ PREVIEW_CHARS = 300
 FILES = "path string, modified timestamp, length long, sha string, project_id string, session_id string, is_sidechain boolean, parent_session string, agent_type string, description string"
 
 
-def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files below root, with path, modificationTime, length and content, which is read only where it is asked for."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
@@ -29,7 +30,7 @@ def discover(spark: SparkSession, root: str, sha: bool = True) -> DataFrame:
     if not exists(spark, root):
         return spark.createDataFrame([], FILES)
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    rows = _files(spark, root, "*.jsonl").withColumn("rel", F.substring(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), len(prefix) + 1, 4096))
+    rows = listed(spark, root, "*.jsonl").withColumn("rel", F.substring(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), len(prefix) + 1, 4096))
     parts = F.split("rel", "/")
     side = (F.size(parts) > 2) & (F.element_at(parts, -2) == "subagents")
     rows = rows.where(~F.col("rel").rlike(r"^\.") & ((F.size(parts) == 2) | side))
@@ -38,7 +39,7 @@ def discover(spark: SparkSession, root: str, sha: bool = True) -> DataFrame:
         "path", F.col("modificationTime").alias("modified"), "length", F.lit(None).cast("string").alias("sha"), parts[0].alias("project_id"), side.alias("side"), F.regexp_replace("path", r"\.jsonl$", "").alias("key"),
         F.when(side, F.regexp_replace(stem, "^agent-", "")).otherwise(stem).alias("session_id"), F.when(side, F.element_at(parts, -3)).alias("above"),
     )
-    meta = _files(spark, root, "*.meta.json").select(F.regexp_replace("path", r"\.meta\.json$", "").alias("key"), F.try_parse_json(ln.valid("content")).alias("v")).where("v is not null")
+    meta = listed(spark, root, "*.meta.json").select(F.regexp_replace("path", r"\.meta\.json$", "").alias("key"), F.try_parse_json(ln.valid("content")).alias("v")).where("v is not null")
     meta = meta.select("key", F.try_variant_get("v", "$.agentType", "string").alias("agent_type"), F.try_variant_get("v", "$.description", "string").alias("description"), F.lit(True).alias("has_meta"))
     out = rows.join(meta, "key", "left").withColumn("is_sidechain", F.col("side") & F.coalesce("has_meta", F.lit(False)))
     out = out.select("path", "modified", "length", "sha", "project_id", "session_id", "is_sidechain", F.when(F.col("is_sidechain"), F.col("above")).alias("parent_session"), "agent_type", "description")
