@@ -3,7 +3,7 @@
 Spark's file source takes a path once, and transcripts grow in place; so a run compares a listing with the manifest
 of what was indexed: by time and length first. A longer file whose bytes before the old end are the same is read from there on, with the
 numbers of lines and records carried in the manifest; others are compared by content, and indexed whole where it differs. Files that are
-gone stay indexed unless they are collected. follow() does so at every tick of a stream; for folders of files that never change once written, watch() does
+gone stay indexed unless they are collected. follow() does so whenever a stream of file events tells of one; for folders of files that never change once written, watch() does
 it from a stream's micro-batches.
 """
 
@@ -22,10 +22,11 @@ from palimpsest.functions import vectors as vx
 from palimpsest.functions.tokens import Bpe
 from palimpsest.operators import cache, chunking
 from palimpsest.operators import sessions as se
-from palimpsest.plans.materialize import Stash, stash
+from palimpsest.plans.materialize import Stash, shared_path, stash
 from palimpsest.sources import lines as ln
 from palimpsest.sources import transcripts
 from palimpsest.sources.store import Store
+from palimpsest.streaming.files import file_events
 
 #: Texts to vectors: a column of strings to a column of arrays of doubles.
 Embed = Callable[[DataFrame], DataFrame]
@@ -233,17 +234,22 @@ def watch(store: Store, root: str, checkpoint: str, embed: Embed = hashed_bag, t
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def follow(store: Store, root: str, embed: Embed = hashed_bag, every: str = "1 second", settle: float = 0.25, collect_gone: bool = False, events: Events | None = None, tokens: Bpe | None = None):
-    """A streaming query that refreshes at every tick, for files that are made, grow or go: a file is indexed once it has been quiet
-    for `settle` seconds. Files that are gone stay indexed unless collect_gone. events: told what each round did, if anything."""
-    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+def follow(store: Store, root: str, embed: Embed = hashed_bag, every: str = "1 second", settle: float = 0.25, collect_gone: bool = False, events: Events | None = None, tokens: Bpe | None = None, checkpoint: str | None = None):
+    """A streaming query that indexes files as they are made, grow or go (files.file_events): a file once it has been quiet for `settle` seconds, and
+    nothing runs on Spark while nothing happens. Files that are gone stay indexed unless collect_gone. events: told what each round did, if
+    anything. checkpoint: a folder from which a later query goes on; without one, a query starts with all files that are there, of which those that are
+    indexed cost a look at the manifest."""
+    home = checkpoint.rstrip("/") if checkpoint else shared_path(store.spark, "follow")
+    happened = file_events(store.spark, root, f"{home}/journal", settle=settle)
 
-    def batch(_: DataFrame, __: int) -> None:
-        done = refresh(store, root, embed, collect_gone, settle=settle, tokens=tokens)
+    def batch(rows: DataFrame, _: int) -> None:
+        if rows.isEmpty():
+            return
+        done = refresh(store, root, embed, collect_gone, tokens=tokens)
         if events and any(done.values()):
             events.publish(done)
 
-    return ticks.writeStream.foreachBatch(batch).trigger(processingTime=every).start()
+    return happened.writeStream.foreachBatch(batch).option("checkpointLocation", f"{home}/checkpoint").trigger(processingTime=every).start()
 
 
 class Events:
