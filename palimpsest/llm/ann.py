@@ -164,7 +164,7 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 class Search:
     """A search in the making: rows and queries with their leaves, and how many of each a leaf has."""
 
-    def __init__(self, rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, share: float | None, recall: float, least: int, forest: Forest | None):
+    def __init__(self, rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, share: float | None, recall: float, forest: Forest | None):
         self.spark, self.k, self.forest, self.share = rows.sparkSession, k, forest, share
         good = valid_vectors(rows, id_col, vector_col).distinct()
         alike = Window.partitionBy("_v").orderBy("_id")
@@ -180,7 +180,7 @@ class Search:
         forest = self.forest
         if self.share is None:
             self.share = forest.share_for(recall, k)
-        want, leaves = max(self.share, least / self.n) * forest.n, len(forest.trees) * forest.width
+        want, leaves = max(self.share, (k + 1) / self.n) * forest.n, len(forest.trees) * forest.width
 
         def visit(batches):
             for batch in batches:
@@ -249,21 +249,20 @@ class Search:
 
 
 def nearest(
-    rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, share: float | None = None, recall: float = RECALL, least: int = 1000,
-    forest: Forest | None = None,
+    rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, share: float | None = None, recall: float = RECALL, forest: Forest | None = None,
 ) -> DataFrame:
     """query_id (long), rank (int, from 1), vec_id (long), score (double): for each query its k nearest candidates found, by
     Euclidean distance in double precision, ties to smaller ids; a row with the query's id is no candidate.
 
-    A query looks at the leaves that hold `share` of the sample, and at least at `least` rows' part of it. Without a share it is
-    the one by which the sample's vectors find `recall` of their own k nearest: most of all rows where vectors have no structure, a
+    A query looks at the leaves that hold `share` of the sample, at tables of every size, and the part that k + 1 rows make up at least. Without a
+    share it is the one by which the sample's vectors find `recall` of their own k nearest: most of all rows where vectors have no structure, a
     small part where they have.
 
     Null ids and vectors that are null, empty, zero, of another length than most or with a component that is null or not
     finite: take no part. Repeated rows: an id and vector count once; of several vectors of an id, each is one.
     Very long vectors: as others. Fewer than k candidates: all. Empty tables: empty result. Other columns are not read.
     """
-    return Search(rows, queries, id_col, vector_col, k, share, recall, least, forest).run()
+    return Search(rows, queries, id_col, vector_col, k, share, recall, forest).run()
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

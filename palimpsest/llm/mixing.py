@@ -29,6 +29,8 @@ TARGETS = {
 TEMPER = 0.5
 #: Up to so many cells are looked up in a literal; beyond, joined.
 MOST_LITERAL = 2000
+#: Cells up to which their table is broadcast, and joined by shuffle beyond.
+MOST_BROADCAST = 200_000
 
 
 def count_words(text: Column) -> Column:
@@ -153,7 +155,7 @@ def mix_sources(
     key = F.concat_ws("\x1f", *(F.col(f"_mix_cell.{n}") for n in names))
     if len(tokens) > MOST_LITERAL:
         plan = base.sparkSession.createDataFrame([("\x1f".join(c), w, mix.chances[c]) for c, w in sorted(mix.weights.items())], "_mix_key string, _mix_weight double, _mix_chance double")
-        base = base.join(F.broadcast(plan), key == F.col("_mix_key"), "left")
+        base = base.join(F.broadcast(plan) if len(tokens) <= MOST_BROADCAST else plan, key == F.col("_mix_key"), "left")
         weight, chance = F.col("_mix_weight"), F.col("_mix_chance")
     elif tokens:
         weight, chance = (F.create_map(*(F.lit(x) for c, v in sorted(m.items()) for x in ("\x1f".join(c), v)))[key] for m in (mix.weights, mix.chances))

@@ -73,10 +73,10 @@ def test_blocks_of_a_leaf(spark, monkeypatch, rows, queries):
     own = table(400)
     df = spark.createDataFrame([(k, v) for k, v in own], "vec_id long, embedding array<float>").repartition(3)
     asked = df.where("vec_id % 8 = 0")
-    whole = sorted(nearest(df, asked, share=0.3, least=1).collect())
+    whole = sorted(nearest(df, asked, share=0.3).collect())
     monkeypatch.setattr(ann, "ROWS", rows)
     monkeypatch.setattr(ann, "QUERIES", queries)
-    assert sorted(nearest(df, asked, share=0.3, least=1).collect()) == whole
+    assert sorted(nearest(df, asked, share=0.3).collect()) == whole
 
 
 def test_share_is_measured(spark):

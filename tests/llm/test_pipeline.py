@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from palimpsest.llm import mixing, quality
@@ -95,6 +96,24 @@ def test_stages(spark, corpus):
         docs = after
 
 
+def test_clashing_columns_stay(spark, corpus):
+    """Extra columns come out of four stages as they went in, whatever their names."""
+    names = ["kept", "rule", "n_words", "Base_Failed", "n_lines", "n_dropped", "cell", "weight", "probability", "n_tokens", "a.b", "b`c", "_row", "_pipeline_others", "times", "_id", "KEEP me"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").drop("_row")
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{k}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))))
+    columns = docs.columns
+    for _, stage in P.STAGES[:4]:
+        docs = stage(spark, docs, corpus)
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    rows = docs.collect()
+    assert len(rows) > 20
+    at = [columns.index(n) for n in names]
+    assert all([r[i] for i in at] == [f"{k}-{r['doc_id']}" for k in range(len(names))] for r in rows)
+    assert P.pack(spark, docs, corpus).count() >= len(rows)
+
+
 def test_run_and_empty(spark, corpus, tmp_path):
     assert P.run(spark, corpus).count() > 0
     for name in ("documents", "labels"):
