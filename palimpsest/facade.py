@@ -134,6 +134,11 @@ class Engine:
     def list_projects(self) -> DataFrame:
         return se.project_summary(self.store.read("sessions")).orderBy("project_id")
 
+    def recent_project(self) -> str | None:
+        """The project of the latest session."""
+        row = se.recent_project(self.store.read("sessions")).first()
+        return row["project_id"] if row else None
+
     def list_sessions(self, project: str | None = None, limit: int = 50) -> DataFrame:
         return se.recent(self.store.read("sessions"), project, limit)
 
@@ -268,6 +273,7 @@ class Engine:
     def graph(self, with_sessions: bool = True, search: str | None = None, kinds: list[str] | None = None, projects: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         sessions, topics, edges = (self.store.read(n) for n in ("sessions", "topics", "edges"))
         nodes, links = graph.nodes(sessions, topics, with_sessions), graph.edges(sessions, topics, edges, with_sessions)
+        nodes = nodes.withColumn("label", F.when(F.col("kind") == "topic", tx.clean_label("label", "topic")).otherwise(F.col("label")))
         shown = graph.visible(nodes, links, search, kinds, projects)
         ids = shown.select("id")
         return shown, links.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")

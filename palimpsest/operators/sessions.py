@@ -92,10 +92,27 @@ def titled(sessions: DataFrame, part: str) -> DataFrame:
     return sessions.where(F.lower(F.coalesce("ai_title", F.lit(""))).contains(low) | F.lower(F.coalesce("first_prompt", F.lit(""))).contains(low)).orderBy(F.desc_nulls_last("ended_at"), "session_id")
 
 
+def following(sessions: DataFrame, by: list[str]) -> DataFrame:
+    """sessions with b and next, the session_id and start of the one that follows it in its group, by started_at and session_id; null for the last.
+    An hour's sessions of a group are a task's work, and the last of an hour gets the first of the next hour that has any, from a row for each hour,
+    so that a group of any number of sessions spreads over tasks."""
+    rows = sessions.withColumn("_hour", F.date_trunc("hour", "started_at"))
+    within = Window.partitionBy(*by, "_hour").orderBy("started_at", "session_id")
+    rows = rows.withColumn("_b", F.lead("session_id").over(within)).withColumn("_next", F.lead("started_at").over(within))
+    own = [f"_by{k}" for k in range(len(by))]
+    first = sessions.groupBy(*(F.col(c).alias(n) for c, n in zip(by, own, strict=True)), F.date_trunc("hour", "started_at").alias("_at")).agg(F.min(F.struct("started_at", "session_id")).alias("_f"))
+    first = first.withColumn("_after", F.lead("_f").over(Window.partitionBy(*own).orderBy("_at")))
+    same = F.col("_hour") == F.col("_at")
+    for c, n in zip(by, own, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    out = rows.join(first, same)
+    return out.select(*sessions.columns, F.coalesce("_b", "_after.session_id").alias("b"), F.coalesce("_next", "_after.started_at").alias("next"))
+
+
 def continuations(sessions: DataFrame) -> DataFrame:
     """Edges between sessions of a project that follow each other within 30 minutes; the nearer the heavier."""
-    w = Window.partitionBy("project_id").orderBy("started_at", "session_id")
-    pairs = sessions.where("not is_sidechain and started_at is not null and ended_at is not null").select("project_id", F.col("session_id").alias("a"), "ended_at", F.lead("session_id").over(w).alias("b"), F.lead("started_at").over(w).alias("next"))
+    rows = sessions.where("not is_sidechain and started_at is not null and ended_at is not null").select("project_id", "session_id", "started_at", "ended_at")
+    pairs = following(rows, ["project_id"]).withColumnRenamed("session_id", "a")
     gap = F.expr("timestampdiff(MINUTE, ended_at, next)")
     pairs = pairs.where(F.col("b").isNotNull()).withColumn("gap_minutes", gap).where(F.col("gap_minutes").between(0, CONTINUES_MINUTES))
     return pairs.select(

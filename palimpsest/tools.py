@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from palimpsest.facade import Engine
+from palimpsest.operators import memory
 
 
 def _text(what: str, **more) -> dict:
@@ -16,6 +17,7 @@ def _number(default: int, most: int, least: int = 1) -> dict:
 
 
 _PROJECT, _ITEMS = _text("Project id, like -home-me-work."), {"type": "array", "items": {"type": "string"}}
+_GLOBAL = {"type": "boolean", "description": "Of all projects, whatever the project. Without it and a project, the one that was active last."}
 _SCOPE = _text("When it applies.", enum=["auto", "always", "glob", "manual"])
 #: name: (what it does, arguments, required ones)
 TOOLS = {
@@ -27,10 +29,10 @@ TOOLS = {
     "save_session_summary": ("Keep a summary of a session.", {"session": _text("Session id."), "text": _text("Two to four sentences, at most 4000 characters."), "items": _ITEMS}, ["session", "text"]),
     "list_topics": ("Topics with their names and sizes.", {}, []),
     "name_topic": ("Name a topic.", {"topic": _text("Topic id."), "label": _text("3 to 80 characters."), "description": _text("At most 300 characters.")}, ["topic", "label"]),
-    "remember": ("Keep a fact; one that is nearly equal takes its place.", {"project": _PROJECT, "content": _text("The fact."), "scope": _SCOPE, "globs": _ITEMS, "pinned": {"type": "boolean"}}, ["project", "content"]),
+    "remember": ("Keep a fact; one that is nearly equal takes its place.", {"project": _PROJECT, "content": _text("The fact."), "scope": _SCOPE, "globs": _ITEMS, "pinned": {"type": "boolean"}, "source": _text("Who says so.", enum=list(memory.SOURCES)), "global": _GLOBAL}, ["content"]),
     "update_memory": ("Change a memory.", {"id_": _text("Memory id."), "content": _text("The fact."), "pinned": {"type": "boolean"}, "scope": _SCOPE, "globs": _ITEMS}, ["id_"]),
     "forget": ("Delete a memory.", {"id_": _text("Memory id.")}, ["id_"]),
-    "list_memories": ("A project's memories, pinned ones first.", {"project": _PROJECT, "scope": _SCOPE, "limit": _number(100, 500)}, ["project"]),
+    "list_memories": ("A project's memories, pinned ones first.", {"project": _PROJECT, "scope": _SCOPE, "limit": _number(100, 500), "global": _GLOBAL}, []),
     "help": ("What the tools do.", {}, []),
 }
 
@@ -65,6 +67,11 @@ def call(engine: Engine, name: str, arguments: dict | None = None):
         if kind == "integer":
             own[k] = min(max(v, known[k]["minimum"]), known[k]["maximum"])
     own = {k: p["default"] for k, p in known.items() if "default" in p} | own
+    if "global" in known:
+        everywhere = own.pop("global", False)
+        own["project"] = memory.GLOBAL if everywhere else own.get("project") or engine.recent_project()
+        if not own["project"]:
+            raise ValueError(f"{name} needs project, as none is known yet")
     if name == "help":
         return help_text()
     out = getattr(engine, name)(**own)

@@ -265,6 +265,12 @@ def test_tools(spark, root, tmp_path):
     assert "recall(query" in tools.call(e, "help") and [r["project_id"] for r in tools.call(e, "list_projects")] == ["-proj"]
     assert tools.call(e, "recall", {"query": "parse with serde", "limit": 99})["items"]
     assert "serde" in tools.call(e, "get_session_transcript", {"session": "main", "most_bytes": 5000})
+    own = tools.call(e, "remember", {"content": "Serde parses", "source": "user"})[0]
+    assert e.get_memory(own)["project_id"] == "-proj" and e.get_memory(own)["source"] == "user"  # the project that was active last
+    everywhere = tools.call(e, "remember", {"content": "Always test", "global": True})[0]
+    assert [r["id"] for r in tools.call(e, "list_memories", {"global": True})] == [everywhere] and [r["id"] for r in tools.call(e, "list_memories")] == [own]
+    with pytest.raises(ValueError, match="project"):
+        tools.call(Engine(spark, str(tmp_path / "none")), "list_memories")
     for name, arguments in (("none", {}), ("recall", {}), ("recall", {"query": 1}), ("forget", {"id_": "x", "y": 1}), ("list_sessions", {"limit": True})):
         with pytest.raises(ValueError):
             tools.call(e, name, arguments)

@@ -137,3 +137,27 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_following_across_tasks(spark):
+    """A project that holds all sessions, over hours with and without any, with ties, against a plain order."""
+    import random
+    from datetime import datetime, timedelta
+
+    from palimpsest.operators.sessions import continuations, following
+
+    rng, day = random.Random(6), datetime(2025, 1, 1)
+    rows = []
+    for k in range(600):
+        start = day + timedelta(minutes=rng.choice([rng.randrange(90), rng.randrange(60 * 24 * 9)]))
+        rows.append(("all" if k < 500 else rng.choice(["p", "q", None]), f"s{k:03}", start, start + timedelta(minutes=rng.choice([0, 5, 50, 60 * 30]))))
+    df = spark.createDataFrame(rows, "project_id string, session_id string, started_at timestamp, ended_at timestamp").repartition(7)
+    want = {}
+    for p in {r[0] for r in rows}:
+        own = sorted((r[2], r[1]) for r in rows if r[0] == p)
+        want |= {a: (p, b, at) for (_, a), (at, b) in zip(own, own[1:], strict=False)} | {own[-1][1]: (p, None, None)}
+    got = {r["session_id"]: (r["project_id"], r["b"], r["next"]) for r in following(df, ["project_id"]).collect()}
+    assert got == want
+    edges = continuations(df.selectExpr("*", "false as is_sidechain"))
+    ends = {r[1]: r[3] for r in rows}
+    assert {(r["a"], r["b"]) for r in edges.collect()} == {(a, b) for a, (_, b, at) in want.items() if b and timedelta(0) <= at - ends[a] < timedelta(minutes=31)}
