@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import ids
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
-from palimpsest.operators import cache, chunking, cluster, graph, memory, recall
+from palimpsest.operators import cache, chunking, cluster, globs, graph, memory, recall
 from palimpsest.operators import sessions as se
 from palimpsest.plans.materialize import shared_path, stash
 from palimpsest.sources import lines, transcripts
@@ -748,6 +748,28 @@ def glob_matches(spark, sf):
     return t(spark, sf, "pages").select("page_id", tx.glob_match(F.array(bare), ["**/example.{com,org}/*.html", "[0-9]??*", "[bad"]).alias("fits"))
 
 
+_PATHS = r"""p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages WHERE url IS NOT NULL),
+s AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '^([^/]*)/', 1) AS host, regexp_extract(path, '^[^/]*/([^/]*)/', 1) AS part FROM p),
+g AS (SELECT DISTINCT page_id % 4 AS kind, CASE page_id % 4 WHEN 0 THEN name WHEN 1 THEN host WHEN 2 THEN right(path, 4) ELSE part END AS x FROM s
+      WHERE regexp_matches(path, '^[A-Za-z0-9._/-]+$') AND CASE page_id % 4 WHEN 0 THEN name WHEN 1 THEN host WHEN 2 THEN 'x' ELSE part END <> '')"""
+
+
+@query(f"""
+WITH {_PATHS}, paths AS (SELECT DISTINCT path, name FROM s)
+SELECT CASE kind WHEN 0 THEN '**/' || x WHEN 1 THEN x || '/*' WHEN 2 THEN '*' || x ELSE '**/' || x || '/*' END AS pattern, count(*) AS paths
+FROM g JOIN paths ON CASE kind WHEN 0 THEN name = x WHEN 1 THEN starts_with(path, x || '/') WHEN 2 THEN ends_with(path, x) ELSE starts_with(path, x || '/') OR contains(path, '/' || x || '/') END GROUP BY ALL""")
+def glob_index(spark, sf):
+    """How many of all pages' paths each of the patterns fits that are made of them: of names, hosts, ends and parts."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    s = t(spark, sf, "pages").where("url is not null").select("page_id", path.alias("path"))
+    name, host, part = F.regexp_extract("path", "([^/]*)$", 1), F.regexp_extract("path", "^([^/]*)/", 1), F.regexp_extract("path", "^[^/]*/([^/]*)/", 1)
+    kind = F.col("page_id") % 4
+    made = F.when((kind == 0) & (name != ""), F.concat(F.lit("**/"), name)).when((kind == 1) & (host != ""), F.concat(host, F.lit("/*"))).when(kind == 2, F.concat(F.lit("*"), F.right("path", F.lit(4))))
+    made = made.when((kind == 3) & (part != ""), F.concat(F.lit("**/"), part, F.lit("/*")))
+    patterns = s.where(F.col("path").rlike("^[A-Za-z0-9._/-]+$")).select(made.alias("pattern"))
+    return globs.matches(s, patterns).groupBy("pattern").agg(F.count("*").alias("paths"))
+
+
 # lines by bytes
 
 _CLEAN = r"regexp_replace(text, '[\x00-\x1f\x7f\x22\x5c]', '', 'g')"

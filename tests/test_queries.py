@@ -161,3 +161,27 @@ def test_following_across_tasks(spark):
     edges = continuations(df.selectExpr("*", "false as is_sidechain"))
     ends = {r[1]: r[3] for r in rows}
     assert {(r["a"], r["b"]) for r in edges.collect()} == {(a, b) for a, (_, b, at) in want.items() if b and timedelta(0) <= at - ends[a] < timedelta(minutes=31)}
+
+
+def test_globs_by_index(spark):
+    """Every pattern against every path, with escapes, classes, alternatives and malformed ones; a key never hides a fit."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import text as tx
+    from palimpsest.operators import globs, memory
+
+    rng = random.Random(12)
+    part = lambda: rng.choice(["src", "a", "b.rs", "main.py", "x y", "é", "", "lib", "[b]", "a,b"])
+    paths = [*{"/".join(part() for _ in range(rng.randint(1, 4))) for _ in range(120)}, "", "b.rs", None]
+    bit = lambda: rng.choice(["src", "*", "**", "?", "*.rs", "b.rs", "{a,lib}", "[a-z]*", "main.py", "\\[b\\]", "a,b", "", "x y", "[!a]", "é"])
+    patterns = [*{"/".join(bit() for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "*", "/"]) for _ in range(160)}, "**/b.rs", "**/", "a**/b.rs", "/**/b.rs", "{", "[a", "", None, "**", "**/src/b.rs"]
+    p, g = spark.createDataFrame([(x,) for x in paths], "path string"), spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    got = {tuple(r) for r in globs.matches(p, g).collect()}
+    rows = p.where("path is not null").select("path", *(tx.glob_match(F.array("path"), [x]).alias(f"c{k}") for k, x in enumerate(patterns) if x is not None)).collect()
+    names = [x for x in patterns if x is not None]
+    assert got == {(r["path"], x) for r in rows for x, fits in zip(names, list(r)[1:], strict=True) if fits} and len(got) > 300
+    m = spark.createDataFrame([("m1", "p", "glob", ["**/none", "**/*.rs", "b.rs"]), ("m2", "__global__", "glob", ["src/**"]), ("m3", "q", "glob", ["*"]), ("m4", "p", "auto", ["*"])], "id string, project_id string, scope string, globs array<string>")
+    r = spark.createDataFrame([("r1", "p", "b.rs"), ("r1", "p", "src/x/y"), ("r2", "q", "src/b.rs"), ("r3", "p", "none/at/all")], "request_id string, project_id string, path string")
+    assert sorted(map(tuple, memory.by_paths(m, r).collect())) == [("r1", "m1", "**/*.rs"), ("r1", "m2", "src/**"), ("r2", "m2", "src/**"), ("r2", "m3", "*")]
