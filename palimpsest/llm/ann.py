@@ -25,7 +25,7 @@ from palimpsest.llm.common import Stash, table
 
 SAMPLE, TREES, LEAF = 4096, 3, 16
 #: Sampled queries whose neighbours tell the share, and the part of them that must be found.
-PROBES, RECALL = 256, 0.94
+PROBES, RECALL = 256, 0.96
 #: Rows and queries of a leaf that one task may hold together: 8 and 4 MB with 64 components.
 ROWS, QUERIES = 16_384, 8192
 
