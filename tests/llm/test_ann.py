@@ -24,12 +24,13 @@ def table(n, d=8, seed=1):
     return [(k, [float(a) for a in v]) for k, v in enumerate(x)]
 
 
-def test_small_is_exact(spark):
+def test_all_leaves_are_exact(spark):
+    """A share of 1 visits every leaf."""
     rows = table(300) + [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [1.0] * 7), (1004, [float("nan")] + [1.0] * 7), (1005, [float("inf")] + [1.0] * 7), (1006, [None] + [1.0] * 7), (None, [1.0] * 8)]
     rows += [rows[7], rows[7]]
     df = spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<float>, score int").repartition(5)
     got = {}
-    for r in nearest(df, df.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect():
+    for r in nearest(df, df.where("vec_id % 10 = 0"), share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
         assert r["rank"] == len(got[r["query_id"]])
     want = brute(rows, {k for k in range(0, 2000, 10)}, 10)
@@ -49,13 +50,24 @@ def recall_of(got, x, step, k=10):
     return hit / total
 
 
+@pytest.mark.parametrize("n", [40, 300, 900])
+def test_small_tables_go_by_the_share_too(spark, n):
+    """No table is searched otherwise because it is small, and enough is found."""
+    x = np.random.default_rng(n).standard_normal((n, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id % 4 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(v) == 10 for v in got.values()) and recall_of(got, x, 4) >= 0.9
+
+
 def test_the_forest_saves_distances(spark):
     """Distances computed fall with the share; clustered vectors need a small one for the same recall."""
     rng = np.random.default_rng(8)
     x = rng.standard_normal((60, 32))[rng.integers(0, 60, 5000)] + 0.15 * rng.standard_normal((5000, 32))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     asked = df.where("vec_id % 50 = 0")
-    search = lambda share: Search(df, asked, "vec_id", "embedding", 10, share, 0.94, 1, None)
+    search = lambda share: Search(df, asked, "vec_id", "embedding", 10, share, 0.94, None)
     some = [search(share) for share in (0.02, 0.1, 0.4)]
     done = [s.products() for s in some]
     assert done[0] < done[1] < done[2] and done[0] < 0.04 * 5000 * 100
