@@ -69,9 +69,3 @@ def delete(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    fs = spark._jvm.org.apache.hadoop.fs.Path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(old), spark._jvm.org.apache.hadoop.fs.Path(new)):
-        raise OSError(f"can't rename {old} to {new}")
