@@ -1,7 +1,9 @@
 """Topics: density clusters of vectors by project, their centroids, and edges between them.
 
-Vectors meet in pairs of blocks, each pair a row of its own, so that a project of any size spreads over tasks. Equal vectors are
-one class before, and what a pair of blocks gives is bounded by its rows: sums, links of a spanning forest, best ones.
+Vectors meet in pairs of blocks, each pair a row of its own. The blocks of a project are dealt to a fixed number of sides, and a block
+travels once to each pair of sides, where it meets all blocks of the other: all pairs are compared, but what is shuffled grows as the
+rows do. Equal vectors are one class before, and what a task gives is bounded by its rows, not its pairs: sums, links of a
+spanning forest, best ones.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from palimpsest.plans.materialize import stash
 
 EPS, SMALL_EPS, SMALL, LEAST = 0.18, 0.12, 25, 4
 BLOCK = 1024
+#: A group's blocks are dealt to this many sides; a block travels once to each pair of sides, whatever the group's size.
+SIDES = 12
+#: Blocks that a side may hold, as a task keeps one side in memory, about 150 MB: groups of over SIDES times as many (3 million rows) have more sides.
+HELD = 256
+_EDGES = 1 << 20  # links that a task gathers before it keeps a spanning forest of them
 
 
 def in_blocks(rows: DataFrame, group: str, name: str) -> DataFrame:
@@ -30,12 +37,30 @@ def in_blocks(rows: DataFrame, group: str, name: str) -> DataFrame:
     return spread.groupBy(group, "_n", "_b").agg(F.collect_list(F.struct(*own)).alias(name))
 
 
+def _sides(blocks: DataFrame) -> DataFrame:
+    """blocks and _s: how many sides its group's blocks are dealt to; _side: the block's own."""
+    n = F.greatest(F.least("_n", F.lit(SIDES)), F.ceil(F.col("_n") / HELD)).cast("long")
+    return blocks.withColumn("_s", n).withColumn("_side", F.pmod(F.col("_b").cast("long"), "_s"))
+
+
 def block_pairs(rows: DataFrame, group: str) -> DataFrame:
-    """group, same (boolean), xs and ys: each pair of blocks of a group once, and each block with itself."""
-    packed = stash(in_blocks(rows, group, "rows"), "blocks")
-    one = packed.select(group, F.col("_b").alias("x"), F.explode(F.sequence(F.col("_b"), F.col("_n").cast("long") - 1)).alias("y"), F.col("rows").alias("xs"))
-    two = packed.select(group, F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("x"), F.col("_b").alias("y"), F.col("rows").alias("ys"))
-    return one.join(two, [group, "x", "y"]).select(group, (F.col("x") == F.col("y")).alias("same"), "xs", "ys")
+    """group, x and y (numbers of blocks), same (boolean), xs and ys: each pair of blocks of a group once, and each block with itself."""
+    packed = stash(_sides(in_blocks(rows, group, "rows")), "blocks")
+    own, first = F.col("_side"), F.lit(0).cast("long")
+    one = packed.select(group, own.alias("p"), F.explode(F.sequence(own, F.col("_s") - 1)).alias("q"), F.col("_b").alias("x"), F.col("rows").alias("xs"))
+    two = packed.select(group, F.explode(F.sequence(first, own)).alias("p"), own.alias("q"), F.col("_b").alias("y"), F.col("rows").alias("ys"))
+    pairs = one.join(two, [group, "p", "q"]).where((F.col("p") < F.col("q")) | (F.col("x") <= F.col("y")))
+    return pairs.select(group, "x", "y", (F.col("x") == F.col("y")).alias("same"), "xs", "ys")
+
+
+def cross_blocks(rows: DataFrame, others: DataFrame, group: str) -> DataFrame:
+    """group, xs and ys: each block of rows with each block of others of its group."""
+    xs, ys = (stash(_sides(in_blocks(df, group, name)), "blocks") for df, name in ((rows, "xs"), (others, "ys")))
+    counts = lambda df: df.select(group, (F.col("_s") - 1).alias("_last")).distinct()
+    every, own = F.explode(F.sequence(F.lit(0).cast("long"), "_last")), F.col("_side")
+    one = xs.join(counts(ys), group).select(group, own.alias("p"), every.alias("q"), "xs")
+    two = ys.join(counts(xs), group).select(group, every.alias("p"), own.alias("q"), "ys")
+    return one.join(two, [group, "p", "q"]).select(group, "xs", "ys")
 
 
 def _side(column, k: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
@@ -49,7 +74,7 @@ def _near(batch: pa.RecordBatch, k: int):
     """xs, ys and which of them are within eps of each other, none of itself."""
     xs, ys = _side(batch.column("xs"), k), _side(batch.column("ys"), k)
     near = 1 - xs[1] @ ys[1].T <= xs[2].field("eps")[0].as_py()
-    if batch.column("same")[k].as_py():
+    if "same" in batch.schema.names and batch.column("same")[k].as_py():
         near &= xs[0][:, None] != ys[0][None]
     return xs, ys, near
 
@@ -100,10 +125,6 @@ def nearest_of_group(rows: DataFrame, others: DataFrame, group: str, id_col: str
     another id, ties to the largest. Blocks meet blocks; a pair of them keeps one best for each row."""
     schema = pa.schema([(id_col, _arrow(rows, id_col)), ("nearest", _arrow(rows, id_col)), ("score", pa.float64())])
     shaped = lambda df: df.select(group, F.col(id_col).alias("i"), vx.normalise(F.col("embedding")).alias("v"))
-    xs, ys = stash(in_blocks(shaped(rows), group, "xs"), "blocks"), stash(in_blocks(shaped(others), group, "ys"), "blocks")
-    counts = lambda df, n: df.select(group, F.col("_n").cast("long").alias(n)).distinct()
-    one = xs.join(counts(ys, "_m"), group).select(group, F.col("_b").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("y"), "xs")
-    two = ys.join(counts(xs, "_m"), group).select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("x"), F.col("_b").alias("y"), "ys")
 
     def run(batches):
         for batch in batches:
@@ -119,28 +140,38 @@ def nearest_of_group(rows: DataFrame, others: DataFrame, group: str, id_col: str
                     yield _batch(schema, i[good].tolist(), j[best[good]].tolist(), top[good].tolist())
 
     kind = rows.schema[id_col].dataType.simpleString()
-    pairs = one.join(two, [group, "x", "y"]).select("xs", "ys").mapInArrow(run, f"{id_col} {kind}, nearest {kind}, score double")
+    pairs = cross_blocks(shaped(rows), shaped(others), group).mapInArrow(run, f"{id_col} {kind}, nearest {kind}, score double")
     return pairs.groupBy(id_col).agg(F.max(F.struct("score", "nearest")).alias("m")).select(id_col, F.col("m.nearest").alias("nearest"), F.col("m.score").alias("score"))
 
 
-def spanning(near: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric matrix of links, the node of its component that comes first in order."""
-    label, links = order.copy(), near | np.eye(len(near), dtype=bool)
-    first = np.argsort(order)
+def roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n nodes, numbered from 0, the first node of its component under the links p-q."""
+    label = np.arange(n)
     while True:
-        new = np.where(links, label[None], len(label)).min(1)
-        new = np.minimum(new, new[first[new]])  # and on from there, so that chains halve
+        a, b, new = label[p], label[q], label.copy()
+        np.minimum.at(new, np.maximum(a, b), np.minimum(a, b))
+        while (new != new[new]).any():  # chains halve
+            new = new[new]
         if (new == label).all():
-            return first[label]
+            return label
         label = new
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes as a-b do: the first node of each component with each other one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = roots(len(nodes), at[: len(a)], at[len(a) :])
+    own = root != np.arange(len(nodes))
+    return nodes[root[own]], nodes[own]
+
+
 def dbscan(vectors: DataFrame, eps: float | None = None, least: int = LEAST, id_col: str = "chunk_id") -> DataFrame:
     """(project_id, id_col, cluster): clusters are named by their smallest core point; noise isn't returned. A cluster is a
     component of core points within eps; a border point goes to the one of its clusters with the smallest name.
     Without eps, projects of under SMALL vectors use SMALL_EPS, others EPS.
 
-    Three passes over pairs of blocks: how many each vector is near to, links between core points, clusters of border points."""
+    Three passes over pairs of blocks: how many each vector is near to, links between core points, clusters of the others. Every pair is
+    compared in the first, so that CPU time grows as the square of a project's distinct vectors; what is shuffled does not."""
     by_project = eps if eps is not None else vectors.groupBy("project_id").agg(F.when(F.count("*") < SMALL, SMALL_EPS).otherwise(EPS).alias("eps"))
     base = stash(_rows(vectors, by_project, id_col), "normalised")
     # equal vectors are one class, by its smallest id; zero vectors are near to nothing
@@ -154,53 +185,72 @@ def dbscan(vectors: DataFrame, eps: float | None = None, least: int = LEAST, id_
     named_as = pa.schema([("project_id", project), ("i", kind), ("cluster", kind)])
 
     def degrees(batches):
+        """Sums over a task's pairs, up to so many rows as a pair of sides has."""
+        held, size = {}, 0
         for batch in batches:
             for k in range(batch.num_rows):
                 (i, _, xs), (j, _, ys), near = _near(batch, k)
-                p = batch.column("project_id")[k].as_py()
-                yield _batch(counted, [p] * len(i), i.tolist(), (near @ ys.field("w").to_numpy()).tolist())
-                if not batch.column("same")[k].as_py():
-                    yield _batch(counted, [p] * len(j), j.tolist(), (near.T @ xs.field("w").to_numpy()).tolist())
+                p, x, y, same = (batch.column(c)[k].as_py() for c in ("project_id", "x", "y", "same"))
+                found = [(x, i, near @ ys.field("w").to_numpy())]
+                if not same:
+                    found.append((y, j, near.T @ xs.field("w").to_numpy()))
+                for block, own, n in found:
+                    if (p, block) in held:
+                        held[p, block][1] += n
+                    else:
+                        held[p, block] = [own, n]
+                        size += len(own)
+                if size >= 2 * HELD * BLOCK:
+                    yield from (_batch(counted, [p] * len(own), own.tolist(), n.tolist()) for (p, _), (own, n) in held.items())
+                    held, size = {}, 0
+        yield from (_batch(counted, [p] * len(own), own.tolist(), n.tolist()) for (p, _), (own, n) in held.items())
 
     def links(batches):
+        """A spanning forest of the links of a task's pairs, or of those of about a pair of sides."""
+        more, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 (i, _, _), (j, _, _), near = _near(batch, k)
-                if batch.column("same")[k].as_py():
-                    nodes, full = i, near
-                else:
-                    nodes, full = np.concatenate([i, j]), np.zeros((len(i) + len(j),) * 2, dtype=bool)
-                    full[: len(i), len(i) :], full[len(i) :, : len(i)] = near, near.T
-                order = np.empty(len(nodes), dtype=np.int64)
-                order[np.argsort(nodes)] = np.arange(len(nodes))
-                root = spanning(full, order)
-                own = root != np.arange(len(nodes))
-                if own.any():
-                    yield _batch(linked, nodes[root[own]].tolist(), nodes[own].tolist())
+                same = batch.column("same")[k].as_py()
+                nodes = i if same else np.concatenate([i, j])
+                p, q = np.nonzero(near)
+                root = roots(len(nodes), p, q if same else len(i) + q)
+                own = np.flatnonzero(root != np.arange(len(nodes)))
+                if len(own):
+                    more.append((nodes[root[own]], nodes[own]))
+                    size += len(own)
+                if size >= _EDGES:
+                    a, b = forest(*(np.concatenate(x) for x in zip(*more, strict=True)))
+                    if len(a) >= _EDGES // 2:
+                        yield _batch(linked, a.tolist(), b.tolist())
+                        more, size = [], 0
+                    else:
+                        more, size = [(a, b)], len(a)
+        if more:
+            a, b = forest(*(np.concatenate(x) for x in zip(*more, strict=True)))
+            yield _batch(linked, a.tolist(), b.tolist())
 
     def borders(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                (i, _, xs), (j, _, ys), near = _near(batch, k)
-                p, same = batch.column("project_id")[k].as_py(), batch.column("same")[k].as_py()
-                for one, (ids_, own), other in ((near, (i, xs), ys), (near.T, (j, ys), xs))[: 1 if same else 2]:
-                    theirs, mine = other.field("cluster").to_pylist(), own.field("cluster").to_pylist()
-                    names = sorted({x for x in theirs if x is not None})
-                    rank = {x: n for n, x in enumerate(names)}
-                    place = np.array([rank.get(x, len(names)) for x in theirs])
-                    best = np.where(one, place[None], len(names)).min(1)
-                    hit = [n for n in range(len(ids_)) if mine[n] is None and best[n] < len(names)]
-                    if hit:
-                        yield _batch(named_as, [p] * len(hit), [ids_[n] for n in hit], [names[best[n]] for n in hit])
+                (i, _, _), (_, _, ys), near = _near(batch, k)
+                theirs = ys.field("cluster").to_pylist()
+                names = sorted(set(theirs))
+                rank = {x: n for n, x in enumerate(names)}
+                best = np.where(near, np.array([rank[x] for x in theirs])[None], len(names)).min(1)
+                hit = np.flatnonzero(best < len(names))
+                if len(hit):
+                    yield _batch(named_as, [batch.column("project_id")[k].as_py()] * len(hit), i[hit].tolist(), [names[n] for n in best[hit]])
 
     kinds = vectors.schema[id_col].dataType.simpleString(), vectors.schema["project_id"].dataType.simpleString()
     near = block_pairs(reps, "project_id").mapInArrow(degrees, f"project_id {kinds[1]}, i {kinds[0]}, n long").groupBy("project_id", "i").agg(F.sum("n").alias("n"))
     core = stash(reps.join(near, ["project_id", "i"]).where(F.col("n") + F.col("w") >= least).select("project_id", "i", "v", "eps"), "core")
-    forest = block_pairs(core, "project_id").mapInArrow(links, f"a {kinds[0]}, b {kinds[0]}")
-    found = components(forest.union(core.select(F.col("i").alias("a"), F.col("i").alias("b")))).df
+    tied = block_pairs(core, "project_id").mapInArrow(links, f"a {kinds[0]}, b {kinds[0]}")
+    found = components(tied.union(core.select(F.col("i").alias("a"), F.col("i").alias("b")))).df
     named = stash(core.join(found, core.i == found.node).select("project_id", "i", F.col("comp").alias("cluster")), "named")
-    todo = reps.join(named.select("project_id").distinct(), "project_id", "left_semi").join(named, ["project_id", "i"], "left")
-    border = block_pairs(todo, "project_id").mapInArrow(borders, f"project_id {kinds[1]}, i {kinds[0]}, cluster {kinds[0]}").groupBy("project_id", "i").agg(F.min("cluster").alias("cluster"))
+    rest = reps.drop("w").join(named.select("project_id", "i"), ["project_id", "i"], "left_anti")
+    around = cross_blocks(rest, core.join(named, ["project_id", "i"]), "project_id")
+    border = around.mapInArrow(borders, f"project_id {kinds[1]}, i {kinds[0]}, cluster {kinds[0]}").groupBy("project_id", "i").agg(F.min("cluster").alias("cluster"))
     every = named.unionByName(border).withColumnRenamed("i", "rep")
     return members.select("project_id", "rep", id_col).join(every, ["project_id", "rep"]).select("project_id", id_col, "cluster")
 
