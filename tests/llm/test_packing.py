@@ -87,3 +87,14 @@ def test_pack(spark):
     whole = sequences(one, placed).toPandas()
     assert whole.ids.map(len).sum() == placed.agg({"length": "sum"}).first()[0]
     assert best_fit_pack(docs.limit(0)).count() == 0
+
+
+def test_encoder_keeps_words_in_use():
+    e, asked = Encoder(default_path(), most=40), []
+    word = e.later.word
+    e.later.word = lambda x: asked.append(x) or word(x)
+    for k in range(26 * 26):
+        text = f"a common {chr(97 + k // 26)}q{chr(97 + k % 26)}x, words"
+        assert e.encode(text) == e.whole(text)
+    assert asked.count(" common") == asked.count(" words") == 1
+    assert not any(x[-1:] == "," for x in (*e.later, *e.later.old)) and len(e.later) + len(e.later.old) <= 40
