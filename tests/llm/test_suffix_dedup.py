@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import suffix_dedup as S
@@ -167,3 +169,55 @@ def test_edges(spark):
     got = {r["doc_id"]: r["n_removed"] for r in S.suffix_dedup(docs, keep="none").collect()}
     assert got == {None: 450, 5: 450, 6: 0}
     assert S.suffix_dedup(docs.limit(0)).count() == 0
+
+
+def plainly_covered(text, own, least):
+    mask, middle = np.zeros(len(text), bool), least - S._GRAM
+    for x in own or ():
+        places = [np.ones(middle + 1, bool)] if x["bits"] is None else [np.unpackbits(np.frombuffer(b, np.uint8), count=middle + 1) > 0 for b in x["bits"]]
+        for one in places:
+            for s in np.flatnonzero(one) + x["q"] - middle:
+                if 0 <= s <= len(text) - least:
+                    mask[s : s + least] = True
+    return mask
+
+
+def test_removal_of_a_batch():
+    """The windows of all texts of a batch at once, against each by itself; the calls that takes grow with neither texts nor windows."""
+    rng, least, rows = np.random.default_rng(3), 400, []
+    bits = lambda: np.packbits(np.repeat(rng.random(21) < 0.2, 13)).tobytes()
+    for k in range(200):
+        n = int(rng.integers(0, 3000)) if k % 9 else 0
+        own = [{"q": int(rng.integers(0, n - S._GRAM)), "bits": None if rng.random() < 0.1 else [bits() for _ in range(rng.integers(0, 4))]} for _ in range(rng.integers(0, 12))] if n >= least else None
+        rows.append((None if k % 27 == 0 else "x" * n, own))
+    texts, own = pa.array(["in front", *(t for t, _ in rows)], pa.string())[1:], pa.array([x for _, x in rows], pa.list_(pa.struct([("q", pa.int64()), ("bits", pa.list_(pa.binary()))])))
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        data, starts, ends = S.flat(texts)
+        got = S.covered(data, starts, ends, own, least)
+    finally:
+        sys.setprofile(None)
+    for (text, x), a, b in zip(rows, starts, ends, strict=True):
+        assert b - a == len(text or "")
+        assert (got[a:b] == plainly_covered(text or "", x, least)).all()
+    assert got.any() and not got.all() and len(calls) < 200
+
+
+def test_anchors_are_of_windows():
+    """Every window has an anchor, equal windows have the same at the same places, and a text without windows has none, whatever lies beside it."""
+    rng, least = np.random.default_rng(4), 400
+    text = lambda n, letters=4: bytes(rng.integers(97, 97 + letters, n, dtype=np.uint8))
+    one = text(900)
+    texts = [text(399), one, b"", text(200) + one + text(150), b"a" * 1200, text(700, 2), text(127), text(400), b"ab" * 333]
+    number, q, gram, _ = S.anchors(texts, least)
+    for k, t in enumerate(texts):
+        own = np.flatnonzero(number == k)
+        assert (np.diff(q[own]) > 0).all()
+        alone = S.anchors([t], least)
+        assert [x.tolist() for x in alone[1:]] == [q[own].tolist(), gram[own].tolist(), S.anchors(texts, least)[3][own].tolist()]
+        assert len(t) >= least or not len(own)
+        for s in range(len(t) - least + 1):
+            assert ((q[own] >= s) & (q[own] + S._GRAM <= s + least)).any()
+    inner = lambda k, off: {(a - off, g) for a, g in zip(q[number == k].tolist(), gram[number == k].tolist(), strict=True) if off + 272 <= a < off + 900 - 400}
+    assert inner(1, 0) == inner(3, 200) != set()
