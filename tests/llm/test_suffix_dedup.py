@@ -221,3 +221,16 @@ def test_anchors_are_of_windows():
             assert ((q[own] >= s) & (q[own] + S._GRAM <= s + least)).any()
     inner = lambda k, off: {(a - off, g) for a, g in zip(q[number == k].tolist(), gram[number == k].tolist(), strict=True) if off + 272 <= a < off + 900 - 400}
     assert inner(1, 0) == inner(3, 200) != set()
+
+
+def test_texts_side_by_side(spark):
+    """Texts that lose their ends lie beside each other in a batch: each counts its own bytes and runs. A batch of empty texts has none."""
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=500))
+    rows = [(1, passage), (2, passage + "z" * 20), (3, None), (4, "y" * 20 + passage), (5, ""), (6, passage + "!" * 450 + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in S.suffix_dedup(docs, keep="none").collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4, 5)} == {1: (500, 1), 2: (500, 1), 3: (0, 0), 4: (500, 1), 5: (0, 0)}
+    assert got[6] == (1450, 1)  # the 450 bytes in between repeat as well
+    none = S.suffix_dedup(docs.where("doc_id in (3, 5)"), keep="none").collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_spans"], r["kept"]) for r in none) == [(3, 0, 0, b""), (5, 0, 0, b"")]
