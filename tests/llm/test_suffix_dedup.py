@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -234,3 +235,15 @@ def test_texts_side_by_side(spark):
     assert got[6] == (1450, 1)  # the 450 bytes in between repeat as well
     none = S.suffix_dedup(docs.where("doc_id in (3, 5)"), keep="none").collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_spans"], r["kept"]) for r in none) == [(3, 0, 0, b""), (5, 0, 0, b"")]
+
+
+def test_memory_of_anchors():
+    """The arrays take 35 times the text (80 times before)."""
+    texts = [np.random.default_rng(k).integers(97, 123, 2048, dtype=np.uint8).tobytes() for k in range(256)]
+    S.anchors(texts, 400)  # the powers stay
+    tracemalloc.start()
+    try:
+        S.anchors(texts, 400)
+        assert tracemalloc.get_traced_memory()[1] < 50 * 256 * 2048
+    finally:
+        tracemalloc.stop()
